@@ -10,41 +10,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lower_gamma(shape: float, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function: a power series, a continued fraction for large x."""
-    x = np.asarray(x, dtype=float)
-    front = np.exp(shape * np.log(np.maximum(x, 1e-300)) - x - lgamma(shape))
+_LN_GAMMA = np.vectorize(lgamma, otypes=[float])
+_MAX_TERMS = 2000
+
+
+def lower_gamma(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function of arrays of equal shape.
+
+    A power series below shape + 1 and a continued fraction above it.
+    """
+    x = np.maximum(np.asarray(x, dtype=float), 1e-300)
+    front = np.exp(shape * np.log(x) - x - _LN_GAMMA(shape))
     small = x < shape + 1
-    term = np.full_like(x, 1 / shape)
+    step = np.where(small, x, 0.0)
+    term = 1 / shape
     series = term.copy()
-    for i in range(1, 400):
-        term = term * np.where(small, x, 0.0) / (shape + i)
+    for i in range(1, _MAX_TERMS):
+        term = term * step / (shape + i)
         series += term
-    b = np.where(small, 1.0, x + 1 - shape)
-    c = np.full_like(x, 1e300)
-    d = 1 / b
+        if np.all(term < 1e-17 * series):
+            break
+    z = np.where(small, shape + 2, x)
+    b = z + 1 - shape
+    c, d = np.full_like(b, 1e300), 1 / b
     h = d.copy()
-    for i in range(1, 400):
+    for i in range(1, _MAX_TERMS):
         a = -i * (i - shape)
         b = b + 2
-        d = 1 / np.where(np.abs(a * d + b) < 1e-300, 1e-300, a * d + b)
-        c = np.where(np.abs(b + a / c) < 1e-300, 1e-300, b + a / c)
+        d = 1 / (a * d + b)
+        c = b + a / c
         h = h * d * c
-    return np.where(x <= 0, 0.0, np.where(small, front * series, 1 - front * np.where(small, 0.0, h)))
+        if np.all(np.abs(d * c - 1) < 1e-16):
+            break
+    return np.where(small, front * series, 1 - front * h)
 
 
-def category_rates(alpha: float, n: int) -> np.ndarray:
-    """Means of the n equal-probability bins of a Gamma with shape alpha and mean 1."""
-    goal = np.arange(1, n) / n
-    lo, hi = np.zeros(n - 1), np.full(n - 1, 1.0)
-    while np.any(lower_gamma(alpha, hi) < goal):
-        hi = np.where(lower_gamma(alpha, hi) < goal, hi * 2, hi)
-    for _ in range(100):
+def category_rates(alphas: np.ndarray, n: int) -> np.ndarray:
+    """Means of the n equal-probability bins of Gammas with mean 1: one row per shape."""
+    shape = np.repeat(np.asarray(alphas, dtype=float)[:, None], n - 1, axis=1)
+    goal = np.broadcast_to(np.arange(1, n) / n, shape.shape)
+    lo, hi = np.zeros(shape.shape), np.ones(shape.shape)
+    while np.any(short := lower_gamma(shape, hi) < goal):
+        hi = np.where(short, hi * 2, hi)
+    for _ in range(70):
         mid = (lo + hi) / 2
-        below = lower_gamma(alpha, mid) < goal
+        below = lower_gamma(shape, mid) < goal
         lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    edges = np.r_[0.0, lower_gamma(alpha + 1, (lo + hi) / 2), 1.0]
-    return n * np.diff(edges)
+    edges = lower_gamma(shape + 1, (lo + hi) / 2)
+    ends = np.ones((len(edges), 1))
+    return n * np.diff(np.hstack([0 * ends, edges, ends]), axis=1)
 
 
 def gamma_rates(draws: DataFrame, alpha: Column, n: int) -> DataFrame:
@@ -52,7 +66,8 @@ def gamma_rates(draws: DataFrame, alpha: Column, n: int) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def rates(alphas: pd.Series) -> pd.Series:
-        known = {a: category_rates(a, n) for a in alphas.dropna().unique()}
+        shapes = alphas.dropna().unique()
+        known = dict(zip(shapes, category_rates(shapes, n), strict=True))
         return alphas.map(known.get)
 
     return draws.select("*", F.posexplode(rates(alpha)).alias("cat", "rate")).withColumn("w", F.lit(1.0 / n))

@@ -223,13 +223,13 @@ def _blocks(cells: DataFrame, models: DataFrame, tree: SmallTree):
     chunk = F.floor(F.col("draw") / DRAWS_PER_BLOCK)
     keyed_models = models.withColumn("_b", block).withColumn("_c", chunk)
     # the cells of a block go to every draw block that has models for it
-    wanted = keyed_models.select("_b", "_c").distinct()
+    wanted = models.select(block.alias("_kb"), chunk.alias("_kc")).distinct()
     keyed_cells = (
         cells.filter(F.col("state").isNotNull())
-        .select(F.col("taxon").cast("string").alias("taxon"), "site", "state", block.alias("_b"))
-        .join(wanted, "_b")
+        .select(F.col("taxon").cast("string").alias("taxon"), "site", "state", block.alias("_kb"))
+        .join(wanted, "_kb")
     )
-    return keyed_cells.groupBy("_b", "_c"), keyed_models.groupBy("_b", "_c")
+    return keyed_cells.groupBy("_kb", "_kc"), keyed_models.groupBy("_b", "_c")
 
 
 def site_loglik(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: list[str]) -> DataFrame:

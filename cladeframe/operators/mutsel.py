@@ -33,44 +33,61 @@ def selection_bin(s: Column) -> Column:
     return F.when(s < BIN_LOW, 0).when(s > BIN_HIGH, N_BINS - 1).otherwise(inside)
 
 
+def _as_map(df: DataFrame, keys: list[str], item: Column, value: str, name: str) -> DataFrame:
+    """Fold a fixed set of items (bases, codons, acids) of every key into one map."""
+    return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(item, F.col(value)))).alias(name))
+
+
+def _component_rows(nuc_stat: DataFrame, codon_profile: DataFrame, aa_profile: DataFrame) -> DataFrame:
+    """One row per (draw, comp) with the base, codon and acid frequencies as maps of at most 61 entries."""
+    draws = _as_map(nuc_stat, DRAW, F.col("nuc"), "freq", "_nuc").join(
+        _as_map(codon_profile, DRAW, F.col("codon"), "freq", "_cod"), DRAW
+    )
+    return _as_map(aa_profile, [*DRAW, "comp"], F.col("aa"), "freq", "_aa").join(draws, DRAW)
+
+
+def _with_stationary(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    sense = codes.filter(~F.col("is_stop")).agg(F.collect_list(F.struct("codon", "p1", "p2", "p3", "aa"))).scalar()
+
+    def weight(c: Column) -> Column:
+        nuc = F.col("_nuc")
+        return F.struct(c["codon"].alias("codon"), (F.col("_cod")[c["codon"]] * nuc[c["p1"]] * nuc[c["p2"]] * nuc[c["p3"]] * F.col("_aa")[c["aa"]]).alias("z"))
+
+    weighted = rows.withColumn("_sense", sense).withColumn("_z", F.transform("_sense", weight)).drop("_sense")
+    total = F.aggregate("_z", F.lit(0.0), lambda a, c: a + c["z"])
+    return weighted.withColumn("_total", total)
+
+
 def codon_stationary(codes: DataFrame, nuc_stat: DataFrame, codon_profile: DataFrame, aa_profile: DataFrame) -> DataFrame:
     """Stationary codon probabilities per (draw, comp): product of base, codon and acid terms, normalised."""
-    sense = F.broadcast(codes.filter(~F.col("is_stop")).select("codon", "p1", "p2", "p3", "aa"))
-    base = codon_profile.join(sense, "codon")
-    for place in ("p1", "p2", "p3"):
-        stat = nuc_stat.select(*DRAW, F.col("nuc").alias(place), F.col("freq").alias(f"_{place}"))
-        base = base.join(stat, [*DRAW, place])
-    base = base.select(*DRAW, "codon", "aa", (F.col("freq") * F.col("_p1") * F.col("_p2") * F.col("_p3")).alias("_q"))
-    raw = base.join(aa_profile.withColumnRenamed("freq", "_aa"), [*DRAW, "aa"]).withColumn("_z", F.col("_q") * F.col("_aa"))
-    totals = raw.groupBy(*DRAW, "comp").agg(F.sum("_z").alias("_t"))
-    return raw.join(totals, [*DRAW, "comp"]).select(*DRAW, "comp", "codon", (F.col("_z") / F.col("_t")).alias("prob"))
+    rows = _with_stationary(_component_rows(nuc_stat, codon_profile, aa_profile), codes)
+    return rows.select(*DRAW, "comp", "_total", F.explode("_z").alias("_c")).select(
+        *DRAW, "comp", F.col("_c.codon").alias("codon"), (F.col("_c.z") / F.col("_total")).alias("prob")
+    )
 
 
 def codon_fluxes(
-    neighbours: DataFrame, stationary: DataFrame, nuc_stat: DataFrame, nuc_rr: DataFrame,
+    codes: DataFrame, neighbours: DataFrame, nuc_stat: DataFrame, nuc_rr: DataFrame,
     codon_profile: DataFrame, aa_profile: DataFrame, omega: DataFrame,
 ) -> DataFrame:
     """Per (draw, comp, ordered codon pair): S, mutation flux and substitution flux.
 
-    ``neighbours`` has 526 rows for the universal code and is broadcast.
+    ``neighbours`` has at most 526 rows and unfolds on every (draw, comp) row, where
+    all frequencies are looked up, so only draws are joined.
     """
-    key = [*DRAW, "comp"]
-    steps = stationary.withColumnRenamed("codon", "codon_from").join(F.broadcast(neighbours), "codon_from")
-    steps = steps.withColumn("n1", F.least("nuc_from", "nuc_to")).withColumn("n2", F.greatest("nuc_from", "nuc_to"))
-    steps = steps.join(nuc_rr.withColumnRenamed("value", "_rr"), [*DRAW, "n1", "n2"])
-    steps = steps.join(nuc_stat.select(*DRAW, F.col("nuc").alias("nuc_to"), F.col("freq").alias("_stat")), [*DRAW, "nuc_to"])
-    for end in ("from", "to"):
-        steps = steps.join(codon_profile.select(*DRAW, F.col("codon").alias(f"codon_{end}"), F.col("freq").alias(f"_c_{end}")), [*DRAW, f"codon_{end}"])
-        steps = steps.join(aa_profile.select(*key, F.col("aa").alias(f"aa_{end}"), F.col("freq").alias(f"_a_{end}")), [*key, f"aa_{end}"])
-    steps = steps.join(omega, DRAW)
-    mut = F.col("_rr") * F.col("_stat") * F.col("prob")
-    s = F.log(F.col("_c_to") / F.col("_c_from")) + F.when(F.col("synonymous"), 0.0).otherwise(F.log(F.col("_a_to") / F.col("_a_from")))
+    rows = _with_stationary(_component_rows(nuc_stat, codon_profile, aa_profile), codes)
+    rates = _as_map(nuc_rr, DRAW, F.concat("n1", "n2"), "value", "_rr")
+    rows = rows.join(rates, DRAW).join(omega, DRAW)
+    pairs = neighbours.agg(F.collect_list(F.struct("codon_from", "codon_to", "nuc_from", "nuc_to", "aa_from", "aa_to", "synonymous"))).scalar()
+    pi = F.map_from_entries("_z")
+    steps = rows.withColumn("_pi", pi).withColumn("_pairs", pairs).withColumn("_p", F.explode("_pairs")).select("*", "_p.*").drop("_pairs", "_p", "_z")
+    swap = F.concat(F.least("nuc_from", "nuc_to"), F.greatest("nuc_from", "nuc_to"))
+    mut = F.col("_rr")[swap] * F.col("_nuc")[F.col("nuc_to")] * F.col("_pi")[F.col("codon_from")] / F.col("_total")
+    acids = F.log(F.col("_aa")[F.col("aa_to")] / F.col("_aa")[F.col("aa_from")])
+    s = F.log(F.col("_cod")[F.col("codon_to")] / F.col("_cod")[F.col("codon_from")]) + F.when(F.col("synonymous"), 0.0).otherwise(acids)
     pull = F.when(F.col("synonymous"), 1.0).otherwise(F.col("omega"))
-    return (
-        steps.withColumn("s", s).withColumn("mut", mut)
-        .withColumn("sub", F.col("mut") * fixation_factor(F.col("s")) * pull)
-        .select(*key, "codon_from", "codon_to", "synonymous", "s", "mut", "sub")
-    )
+    flux = steps.select(*DRAW, "comp", "codon_from", "codon_to", "synonymous", "omega", s.alias("s"), mut.alias("mut"))
+    return flux.withColumn("sub", F.col("mut") * fixation_factor(F.col("s")) * pull).drop("omega")
 
 
 def _flux_columns() -> list[Column]:

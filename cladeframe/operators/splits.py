@@ -248,7 +248,7 @@ def consensus_splits(merged: DataFrame, cutoff: float = 0.5) -> DataFrame:
         if block.isEmpty():
             return kept
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-        chosen = block.groupBy(F.lit(0)).applyInPandas(lambda pdf: _greedy(pdf), schema)
+        chosen = block.withColumn("_block", F.lit(0)).groupBy("_block").applyInPandas(_greedy, schema)
         kept = durable(kept.unionByName(chosen))
         rest = rest.join(block.select("split"), "split", "left_anti")
 

@@ -256,7 +256,8 @@ def prune_nodes(nodes: DataFrame, keep: DataFrame) -> DataFrame:
         marked, [], {"_alive": F.coalesce("_keep", F.lit(0)), "_kids": F.lit(0)},
         lambda: [F.max("_alive"), F.sum("_alive").cast("int")],
     ).filter(F.col("_alive") == 1)
-    alive = alive.withColumn("_unary", F.col("taxon").isNull() & (F.col("_kids") == 1)).select(*nodes.columns, "_unary")
+    # read once by every level below
+    alive = durable(alive.withColumn("_unary", F.col("taxon").isNull() & (F.col("_kids") == 1)).select(*nodes.columns, "_unary"))
     level = alive.filter(F.col("parent").isNull()).withColumn("_to", F.lit(None).cast("string")).withColumn("_len", F.lit(0.0))
     done = level
     for d in range(1, max_depth(nodes) + 1):
@@ -287,19 +288,23 @@ def missing_map(cells: DataFrame, nodes: DataFrame, n_sites: int | None = None)
     depth = max_depth(nodes)
     base = nodes.select(F.col("node").alias("node"), "parent", "taxon", "depth")
     leaf = base.filter(F.col("taxon").isNotNull()).join(seen, "taxon").select("node", "parent", "depth", "site", F.lit(1).alias("_c"), F.lit(True).alias("_leaf"))
-    levels = {depth: leaf.filter(F.col("depth") == depth)}
+    level = leaf.filter(F.col("depth") == depth)
+    counted = level
     for d in range(depth - 1, -1, -1):
-        counts = levels[d + 1].groupBy(F.col("parent").alias("node"), "site").agg(F.count(F.lit(1)).cast("int").alias("_c"))
+        counts = level.groupBy(F.col("parent").alias("node"), "site").agg(F.count(F.lit(1)).cast("int").alias("_c"))
         up = base.filter((F.col("depth") == d) & F.col("taxon").isNull()).join(counts, "node").select("node", "parent", "depth", "site", "_c", F.lit(False).alias("_leaf"))
-        levels[d] = up.unionByName(leaf.filter(F.col("depth") == d))
+        level = up.unionByName(leaf.filter(F.col("depth") == d))
         if (depth - d) % LEVELS_PER_CUT == 0:
-            levels[d] = durable(levels[d])
-    level = levels[0].withColumn("mark", F.when(F.col("_c") > 1, 2).otherwise(0))
+            level = durable(level)
+        counted = counted.unionByName(level)
+    # read once by every level of the way down
+    counted = durable(counted)
+    level = counted.filter(F.col("depth") == 0).withColumn("mark", F.when(F.col("_c") > 1, 2).otherwise(0))
     done = level
     for d in range(1, depth + 1):
         above = level.select(F.col("node").alias("parent"), "site", F.col("mark").alias("_up"))
         mark = F.when(F.col("_up") > 0, 1).when(F.col("_leaf") | (F.col("_c") > 1), 2).otherwise(0)
-        level = levels[d].join(above, ["parent", "site"]).withColumn("mark", mark).drop("_up")
+        level = counted.filter(F.col("depth") == d).join(above, ["parent", "site"]).withColumn("mark", mark).drop("_up")
         if d % LEVELS_PER_CUT == 0:
             level = durable(level)
         done = done.unionByName(level)

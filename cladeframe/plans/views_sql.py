@@ -201,7 +201,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "ms_alloc": (
         "li7",
         "SELECT iter, site, CASE WHEN c0 >= c1 AND c0 >= c2 AND c0 >= c3 THEN 0 WHEN c1 >= c2 AND c1 >= c3 THEN 1 WHEN c2 >= c3 THEN 2 ELSE 3 END AS comp FROM ("
-        "SELECT iter, l_partkey % 20 AS site, " + ", ".join(f"sum((comp = {i})::INT) AS c{i}" for i in range(4)) + " FROM li7 GROUP BY 1, 2)",
+        "SELECT iter, l_partkey AS site, " + ", ".join(f"sum((comp = {i})::INT) AS c{i}" for i in range(4)) + " FROM li7 GROUP BY 1, 2)",
     ),
     "omega": ("li7", "SELECT iter, 1 + avg(l_discount) AS omega FROM li7 GROUP BY 1"),
     "stationary": (
@@ -215,11 +215,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         "stationary neighbours nuc_rr omega",
         "SELECT iter, comp, synonymous, s, mut, mut * CASE WHEN abs(s) < 1e-20 THEN 1 / (1 - s / 2) ELSE s / (1 - exp(-s)) END * "
         "CASE WHEN synonymous THEN 1 ELSE omega END AS sub FROM (SELECT t.iter, t.comp, n.synonymous, o.omega, rr.freq * ns.freq * t.prob AS mut, "
-        "ln(ct.freq / cf.freq) + CASE WHEN n.synonymous THEN 0 ELSE ln(at.freq / af.freq) END AS s FROM stationary t "
+        "ln(ct.freq / cf.freq) + CASE WHEN n.synonymous THEN 0 ELSE ln(ab.freq / aa.freq) END AS s FROM stationary t "
         "JOIN neighbours n ON n.codon_from = t.codon JOIN nuc_rr rr ON rr.iter = t.iter AND rr.pair = least(n.nuc_from, n.nuc_to) || greatest(n.nuc_from, n.nuc_to) "
         "JOIN nuc_stat ns ON ns.iter = t.iter AND ns.nuc = n.nuc_to JOIN codon_profile cf ON cf.iter = t.iter AND cf.codon = n.codon_from "
-        "JOIN codon_profile ct ON ct.iter = t.iter AND ct.codon = n.codon_to JOIN aa_profile af ON af.iter = t.iter AND af.comp = t.comp AND af.aa = n.aa_from "
-        "JOIN aa_profile at ON at.iter = t.iter AND at.comp = t.comp AND at.aa = n.aa_to JOIN omega o ON o.iter = t.iter)",
+        "JOIN codon_profile ct ON ct.iter = t.iter AND ct.codon = n.codon_to JOIN aa_profile aa ON aa.iter = t.iter AND aa.comp = t.comp AND aa.aa = n.aa_from "
+        "JOIN aa_profile ab ON ab.iter = t.iter AND ab.comp = t.comp AND ab.aa = n.aa_to JOIN omega o ON o.iter = t.iter)",
     ),
     "hist": (
         "fluxes",
@@ -232,7 +232,7 @@ VIEWS: dict[str, tuple[str, str]] = {
 
 def mask_text(m: str = "m") -> str:
     """A split mask as taxon names joined with '|'."""
-    return f"array_to_string(list_filter(range(8), x -> ({m} >> x::INT) & 1 = 1), '|')"
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN ({m}) & {1 << i} <> 0 THEN '{i}' END" for i in range(8)) + ")"
 
 
 def _up(x: str, p: str) -> str:

@@ -305,7 +305,7 @@ def mutsel(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         *draw, F.substring("pair", 1, 1).alias("n1"), F.substring("pair", 2, 1).alias("n2"), F.col("freq").alias("value")
     )
     li = li.withColumn("comp", F.col("l_suppkey") % 4)
-    comps = li.groupBy(*draw, (F.col("l_partkey") % 20).alias("site")).agg(*[F.count(F.when(F.col("comp") == i, 1)).alias(f"_c{i}") for i in range(4)])
+    comps = li.groupBy(*draw, F.col("l_partkey").alias("site")).agg(*[F.count(F.when(F.col("comp") == i, 1)).alias(f"_c{i}") for i in range(4)])
     best = F.array_position(F.array(*[F.col(f"_c{i}") for i in range(4)]), F.greatest(*[F.col(f"_c{i}") for i in range(4)])) - 1
     return {
         "nuc_stat": smoothed(draw, F.col("l_suppkey") % 4, list("ACGT"), "nuc"),
