@@ -54,12 +54,13 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     )
 
 
-def tree_splits(trees: DataFrame, with_support: bool = False, rooted: bool = False) -> DataFrame:
+def tree_splits(trees: DataFrame, with_support: bool = False, rooted: bool = False, count_trees: bool = False) -> DataFrame:
     """Splits of every tree, leaves included: (run, iter, split, length).
 
     The unrooted tree is used unless ``rooted``. A split is oriented away from the
     first taxon of its tree, and the two branches at a root with two children are one
-    split with the summed length. ``with_support`` returns the support as ``weight``.
+    split with the summed length. ``with_support`` returns the support as ``weight``;
+    ``count_trees`` adds one empty split per tree.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +73,7 @@ def tree_splits(trees: DataFrame, with_support: bool = False, rooted: bool = Fal
                 sets = nw.leaf_sets(root)
                 everyone = sets[id(root)]
                 first = min(everyone, default=None)
-                found: dict[frozenset, list] = {}
+                found: dict[frozenset, list] = {frozenset(): [0.0, None]} if count_trees else {}
                 for node, up, _ in root.walk():
                     side = sets[id(node)]
                     if up is None or not side or side == everyone:
@@ -214,9 +215,11 @@ def to_newick(nodes: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """Newick text per tree, built from the leaves up; children sort by their first leaf name."""
 
     def size(c: str) -> Column:
-        return F.coalesce(F.concat(F.lit(":"), F.format_string(f"%.{digits}f", F.col(c))), F.lit(""))
+        return F.when(F.col(c).isNotNull(), F.format_string(f":%.{digits}f", F.col(c))).otherwise("")
 
-    mark = F.coalesce(F.format_string("%.2f", F.col("support")), F.lit("")) if "support" in nodes.columns else F.lit("")
+    mark = F.lit("")
+    if "support" in nodes.columns:
+        mark = F.when(F.col("support").isNotNull(), F.format_string("%.2f", F.col("support"))).otherwise("")
     built = fold_up(
         nodes, keys, {"first_leaf": F.col("taxon"), "text": F.concat(F.col("taxon"), size("length"))},
         lambda: [F.min("first_leaf"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_leaf", "text"))), lambda x: x["text"]), ",")],
