@@ -78,18 +78,21 @@ def log_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return combine_bands(bands, keys)
 
 
-def weighted_log_sum(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
-    """log of the weighted sum of exp(value) per key."""
+def weighted_log_sums(df: DataFrame, keys: Sequence[str], value: str, weights: dict[str, Column]) -> DataFrame:
+    """log of the weighted sum of exp(value) per key, one column per entry of ``weights``."""
     keys = list(keys)
     x = F.col(value)
     w = Window.partitionBy(*keys)
-    bands = (
-        df.withColumn("_band", band(x))
-        .groupBy(*keys, "_band")
-        .agg(F.sum(F.col(weight) * F.exp(x - BAND * F.col("_band"))).alias("_s"))
-        .filter(F.col("_s") > 0)
-        .withColumn("_bmax", F.max("_band").over(w))
-    )
+    sums = [F.sum(weight * F.exp(x - BAND * F.col("_band"))).alias(f"_s_{name}") for name, weight in weights.items()]
+    bands = df.withColumn("_band", band(x)).groupBy(*keys, "_band").agg(*sums)
+    some = F.greatest(*[F.col(f"_s_{n}") for n in weights]) if len(weights) > 1 else F.col(f"_s_{next(iter(weights))}")
+    bands = bands.filter(some > 0).withColumn("_bmax", F.max("_band").over(w))
+    rise = F.exp(BAND * (F.col("_band") - F.col("_bmax")))
     return bands.groupBy(*keys).agg(
-        (F.log(F.sum(F.col("_s") * F.exp(BAND * (F.col("_band") - F.col("_bmax"))))) + BAND * F.max("_bmax")).alias(name)
+        *[(F.log(F.sum(F.col(f"_s_{name}") * rise)) + BAND * F.max("_bmax")).alias(name) for name in weights]
     )
+
+
+def weighted_log_sum(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
+    """log of the weighted sum of exp(value) per key."""
+    return weighted_log_sums(df, keys, value, {name: F.col(weight)})

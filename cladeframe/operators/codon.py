@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.functions.alphabets import DNA, genetic_code, is_stop, translation
+from cladeframe.functions.alphabets import DNA, codon_rows, genetic_code, is_stop, translation
 from cladeframe.functions.moments import shares, squared_distance
 from cladeframe.operators.alignment import observed, select_sites, site_summary, state_counts
 from cladeframe.operators.composition import distances_from_counts
@@ -29,17 +29,29 @@ def codons(cells: DataFrame, code: str = "universal", n_sites: int | None = None
     )
 
 
-def codons_of_rows(seqs: DataFrame, code: str = "universal") -> DataFrame:
-    """Wide sequences (taxon, seq ARRAY<STRING>) to codon cells without a shuffle."""
+def triples_of_rows(seqs: DataFrame) -> DataFrame:
+    """Wide sequences (taxon, seq ARRAY<STRING>) cut into triples (taxon, site, p1, p2, p3) without a shuffle."""
     triples = F.transform(
         F.sequence(F.lit(0), F.ceil(F.size("seq") / 3).cast("int") - 1),
-        lambda i: F.array(*[F.get(F.col("seq"), i * 3 + k) for k in range(3)]),
-    )
-    return (
-        seqs.filter(F.size("seq") > 0)
-        .select("taxon", F.posexplode(triples).alias("site", "_t"))
-        .select("taxon", "site", _codon(F.col("_t")[0], F.col("_t")[1], F.col("_t")[2], code).alias("state"))
+        lambda i: F.struct(*[F.get(F.col("seq"), i * 3 + k).alias(f"p{k + 1}") for k in range(3)]),
     )
+    return seqs.filter(F.size("seq") > 0).select("taxon", F.posexplode(triples).alias("site", "_t")).select("taxon", "site", "_t.*")
+
+
+def codons_of_rows(seqs: DataFrame, code: str = "universal") -> DataFrame:
+    """Wide sequences to codon cells without a shuffle."""
+    return triples_of_rows(seqs).select("taxon", "site", _codon(F.col("p1"), F.col("p2"), F.col("p3"), code).alias("state"))
+
+
+def codons_of_text(texts: DataFrame, code: str = "universal") -> DataFrame:
+    """Sequences as plain text (taxon, text) to codon cells: cut in threes, and only sense codons are states.
+
+    The fastest form: one regular-expression pass per row and a hash lookup per codon.
+    """
+    sense = [r[1] for r in codon_rows(code) if not r[6]]
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,3}"), F.lit(0))
+    cells = texts.select("taxon", F.posexplode(pieces).alias("site", "triple"))
+    return cells.select("taxon", "site", "triple", F.when(F.col("triple").isin(sense), F.col("triple")).alias("state"))
 
 
 def translate(codon_cells: DataFrame, code: str = "universal") -> DataFrame:

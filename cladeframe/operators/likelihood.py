@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.functions.logspace import weighted_log_sum
+from cladeframe.functions.logspace import weighted_log_sum, weighted_log_sums
 from cladeframe.operators.trees import LEVELS_PER_CUT, max_depth
 from cladeframe.session import durable
 
@@ -108,15 +108,14 @@ class Kernel:
         sites = {s: i for i, s in enumerate(pd.unique(models["site"]))}
         code = {s: k for k, s in enumerate(states)}
         self.k = len(states)
-        self.rows = np.array([sites[s] for s in models["site"]])
+        self.rows = models["site"].map(sites).to_numpy()
         self.rate = models["rate"].to_numpy(float)
         self.pi = np.stack(models["pi"].to_numpy()).astype(float)
-        self.leaf = {}
         kept = cells[cells["site"].isin(sites) & cells["state"].isin(code)]
-        for taxon, part in kept.groupby("taxon"):
-            column = np.full(len(sites), -1)
-            column[[sites[s] for s in part["site"]]] = [code[s] for s in part["state"]]
-            self.leaf[str(taxon)] = column
+        taxon, names = pd.factorize(kept["taxon"])
+        table = np.full((len(names), len(sites)), -1)
+        table[taxon, kept["site"].map(sites).to_numpy()] = kept["state"].map(code).to_numpy()
+        self.leaf = dict(zip(names, table, strict=True))
         self.eigen = None
         if "rr" in models and models["rr"].notna().all():
             self.eigen = self._decompose(np.stack(models["rr"].to_numpy()).astype(float))
@@ -229,7 +228,9 @@ def _blocks(cells: DataFrame, models: DataFrame, tree: SmallTree):
         .select(F.col("taxon").cast("string").alias("taxon"), "site", "state", block.alias("_kb"))
         .join(wanted, "_kb")
     )
-    return keyed_cells.groupBy("_kb", "_kc"), keyed_models.groupBy("_b", "_c")
+    # small bytes, much work per byte: keep the partition number instead of merging by size
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed_cells.repartition(n, "_kb", "_kc").groupBy("_kb", "_kc"), keyed_models.repartition(n, "_b", "_c").groupBy("_b", "_c")
 
 
 def site_loglik(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: list[str]) -> DataFrame:
@@ -270,10 +271,9 @@ def total_loglik(site_logl: DataFrame, active: DataFrame | None = None) -> DataF
 
 def site_rate(logl: DataFrame, rates: DataFrame) -> DataFrame:
     """Posterior mean rate of every (draw, site): sum of w r L over sum of w L."""
-    joined = logl.join(rates, ["draw", "cat"]).withColumn("_wr", F.col("w") * F.col("rate"))
-    top = weighted_log_sum(joined, ["draw", "site"], "logl", "_wr", "_num")
-    low = weighted_log_sum(joined, ["draw", "site"], "logl", "w", "_den")
-    return top.join(low, ["draw", "site"]).select("draw", "site", F.exp(F.col("_num") - F.col("_den")).alias("site_rate"))
+    weights = {"_num": F.col("w") * F.col("rate"), "_den": F.col("w")}
+    sums = weighted_log_sums(logl.join(rates, ["draw", "cat"]), ["draw", "site"], "logl", weights)
+    return sums.select("draw", "site", F.exp(F.col("_num") - F.col("_den")).alias("site_rate"))
 
 
 def mean_site_rates(rates: DataFrame) -> DataFrame:
@@ -291,33 +291,39 @@ def ancestral_probs(
     tree = load_tree(nodes)
     if tree is None:
         raise ValueError(f"ancestral states need a tree of at most {MAX_TREE_NODES} nodes")
-    schema = "draw bigint, site bigint, cat int, logl double, node string, probs array<double>"
+    k = len(states)
+    sums = [f"s{i}" for i in range(k)]
+    schema = "node string, site bigint, n bigint, " + ", ".join(f"{c} double" for c in sums)
+    weighted = models.withColumn("w", F.lit(1.0)) if weights is None else models.join(weights.select("draw", "cat", "w"), ["draw", "cat"])
 
     def solve(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if leaf.empty or model.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         model = model[model["site"].isin(leaf["site"].unique())].reset_index(drop=True)
+        if model.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         kernel = Kernel(tree, states, leaf, model)
-        logl = kernel.loglik()
-        parts = [
-            model[["draw", "site", "cat"]].assign(logl=logl, node=name, probs=list(p))
-            for name, p in kernel.posteriors().items()
-        ]
+        # categories to (draw, site), then draws to sites; both are whole within a group
+        point = model.groupby(["draw", "site"], sort=False).ngroup().to_numpy()
+        firsts = model.drop_duplicates(["draw", "site"])
+        site, names = pd.factorize(firsts["site"])
+        w = np.ones(len(model))
+        if not raw_sum:
+            logl = kernel.loglik()
+            top = np.full(len(firsts), -np.inf)
+            np.maximum.at(top, point, logl)
+            w = model["w"].to_numpy() * np.exp(logl - top[point])
+        total = np.bincount(point, w)
+        n_draws = np.bincount(site)
+        parts = []
+        for node, probs in kernel.posteriors().items():
+            out = {"node": node, "site": names, "n": n_draws}
+            for i, c in enumerate(sums):
+                out[c] = np.bincount(site, np.bincount(point, w * probs[:, i]) / total)
+            parts.append(pd.DataFrame(out))
         return pd.concat(parts, ignore_index=True)
 
-    left, right = _blocks(cells, models, tree)
+    left, right = _blocks(cells, weighted, tree)
     rows = left.cogroup(right).applyInPandas(solve, schema)
-    keys = ["node", "draw", "site"]
-    if raw_sum:
-        rows = rows.withColumn("w", F.lit(1.0))
-    else:
-        rows = rows.join(weights, ["draw", "cat"]) if weights is not None else rows.withColumn("w", F.lit(1.0))
-        best = rows.groupBy(*keys).agg(F.max("logl").alias("_top"))
-        rows = rows.join(best, keys).withColumn("w", F.col("w") * F.exp(F.col("logl") - F.col("_top")))
-    sums = rows.groupBy(*keys).agg(
-        F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.col("probs")[k]).alias(f"_s{k}") for k in range(len(states))]
-    )
-    means = sums.groupBy("node", "site").agg(*[F.avg(F.col(f"_s{k}") / F.col("_w")).alias(s) for k, s in enumerate(states)])
+    means = rows.groupBy("node", "site").agg(*[(F.sum(c) / F.sum("n")).alias(s) for c, s in zip(sums, states, strict=True)])
     return means.unpivot(["node", "site"], states, "state", "prob")
 
 

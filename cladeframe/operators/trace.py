@@ -81,12 +81,17 @@ def _lagged_sums(values: np.ndarray, n_lags: int) -> np.ndarray:
     return np.fft.irfft(spectrum.real**2 + spectrum.imag**2, size)[:n_lags]
 
 
-def _short_series(pdf: pd.DataFrame) -> pd.DataFrame:
-    y = pdf.sort_values("iter")["y"].to_numpy()
-    sums = _lagged_sums(y, len(y) // 2)
-    return pd.DataFrame(
-        {"run": pdf["run"].iloc[0], "param": pdf["param"].iloc[0], "lag": np.arange(len(sums)), "s": sums}
-    )
+def _short_sums(centred: DataFrame) -> DataFrame:
+    """Lagged sums of short series: one array per series, many series per Arrow batch."""
+
+    @F.pandas_udf("array<double>")
+    def lagged(series: pd.Series) -> pd.Series:
+        return series.map(lambda y: _lagged_sums(np.asarray(y), len(y) // 2))
+
+    points = F.array_sort(F.collect_list(F.struct("iter", "y")))
+    arrays = centred.groupBy(*SERIES).agg(F.transform(points, lambda p: p["y"]).alias("y"))
+    rows = arrays.select(*SERIES, F.posexplode(lagged("y")).alias("lag", "s"))
+    return rows.withColumn("lag", F.col("lag").cast("bigint"))
 
 
 def _columns_first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,8 +163,7 @@ def autocorrelation(trace: DataFrame, moments: DataFrame | None = None, short: i
         *SERIES, "n", "iter", (F.col("value") - F.col("mean")).alias("y")
     )
     types = {f.name: f.dataType.simpleString() for f in trace.schema.fields}
-    result = f"run {types['run']}, param {types['param']}, lag bigint, s double"
-    small = centred.filter(F.col("n") <= short).groupBy(*SERIES).applyInPandas(_short_series, result)
+    small = _short_sums(centred.filter(F.col("n") <= short))
     large = _long_lagged_sums(centred.filter(F.col("n") > short), types)
     sums = small.unionByName(large)
     moving = sums.join(moments.select(*SERIES, "n", "variance"), SERIES).select(

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def doc_codons(spark, d):
-    return cd.codons_of_rows(t.nuc_seqs(spark, d))
+    return cd.codons_of_text(t.nuc_text(spark, d))
 
 
 CODON_COUNTS = cte("codon_cells", "SELECT state, count(*) AS n FROM codon_cells GROUP BY 1")
@@ -40,6 +40,12 @@ def _(spark, d):
 @register("codons_of_rows", CODON_COUNTS)
 def _(spark, d):
     """Codon counts cut inside the wide rows."""
+    return tidy(cd.codons_of_rows(t.nuc_seqs(spark, d)).groupBy("state").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("codons_of_text", CODON_COUNTS)
+def _(spark, d):
+    """Codon counts cut from text."""
     return tidy(doc_codons(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -51,10 +57,8 @@ def _(spark, d):
 @register("is_stop", cte("codon_cells", "SELECT taxon, count(*) FILTER (stop) AS n_stops FROM codon_cells GROUP BY 1"))
 def _(spark, d):
     """Stop codons per document."""
-    cells = t.nuc_seqs(spark, d).select("taxon", F.posexplode("seq").alias("site", "state"))
-    place = F.col("site") % 3
-    bases = cells.groupBy("taxon", F.floor(F.col("site") / 3).alias("c")).agg(*[F.max(F.when(place == i, F.col("state"))).alias(f"p{i + 1}") for i in range(3)])
-    return tidy(bases.groupBy("taxon").agg(F.count(F.when(ab.is_stop(F.col("p1"), F.col("p2"), F.col("p3")), 1)).alias("n_stops")))
+    p1, p2, p3 = (F.substring("triple", i, 1) for i in (1, 2, 3))
+    return tidy(doc_codons(spark, d).groupBy("taxon").agg(F.count(F.when(ab.is_stop(p1, p2, p3), 1)).alias("n_stops")))
 
 
 @register("drop_aa_constant_sites", cte(

@@ -28,6 +28,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than cores, dealt out before they unfold into many cells.
+
+    The count comes from the file listing; a table of many files is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _micros(ts: str = "ts") -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast({ts} as timestamp_ntz))")
 
@@ -71,7 +84,7 @@ def genes_ev(spark: SparkSession) -> DataFrame:
 
 def seqs_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as wide rows of raw characters."""
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("taxon"), F.split("text", "").alias("seq"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("taxon"), F.split("text", "").alias("seq"))
 
 
 def cells_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +94,17 @@ def cells_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs_doc(spark, sf_dir).select("taxon", F.posexplode("seq").alias("site", "ch")).select("taxon", "site", letter.alias("state"))
 
 
-def nuc_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as nucleotide rows: letter number mod 4 to A, C, G, T, null for anything else."""
+def nuc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as nucleotide text: letter number mod 4 to A, C, G, T; other characters stay."""
     mapped = "".join("ACGT"[i % 4] for i in range(26))
     text = F.translate("text", "".join(LETTERS) + "".join(LETTERS).upper(), mapped + mapped)
-    bases = F.transform(F.split(text, ""), lambda c: F.when(c.isin("A", "C", "G", "T"), c))
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("taxon"), bases.alias("seq"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("taxon"), text.alias("text"))
+
+
+def nuc_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as wide rows of bases, null for anything else."""
+    bases = F.transform(F.split("text", ""), lambda c: F.when(c.isin("A", "C", "G", "T"), c))
+    return nuc_text(spark, sf_dir).select("taxon", bases.alias("seq"))
 
 
 def nuc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,18 +227,21 @@ def flag_profiles(spark: SparkSession, sf_dir: str, by: Column) -> DataFrame:
 RATES = [0.5, 1.0, 1.5]
 
 
-def rate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two draws (line status) x three rates for every part; profile = flag shares of the draw."""
+def _rate_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = flag_profiles(spark, sf_dir, F.when(F.col("l_linestatus") == "F", 0).otherwise(1).cast("bigint"))
     rates = F.posexplode(F.array(*[F.lit(r) for r in RATES])).alias("cat", "rate")
-    per_draw = draws.select(F.col("k").alias("draw"), "pi", rates)
-    packed = per_draw.agg(F.collect_list(F.struct("draw", "cat", "rate", "pi"))).scalar()
+    return draws.select(F.col("k").alias("draw"), "pi", rates)
+
+
+def rate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two draws (line status) x three rates for every part; profile = flag shares of the draw."""
+    packed = _rate_draws(spark, sf_dir).agg(F.collect_list(F.struct("draw", "cat", "rate", "pi"))).scalar()
     sites = lineitem(spark, sf_dir).select(F.col("l_partkey").alias("site")).distinct()
     return sites.select("site", F.explode(packed).alias("m")).select("m.draw", "site", "m.cat", "m.rate", "m.pi")
 
 
 def rate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate_models(spark, sf_dir).select("draw", "cat", "rate").distinct().withColumn("w", F.lit(1.0 / len(RATES)))
+    return _rate_draws(spark, sf_dir).select("draw", "cat", "rate", F.lit(1.0 / len(RATES)).alias("w"))
 
 
 def comp_models(spark: SparkSession, sf_dir: str) -> DataFrame:
