@@ -27,6 +27,8 @@ KEYS = ["draw", "site", "cat"]
 MAX_TREE_NODES = 200_000
 BLOCK_CELLS = 400_000
 DRAWS_PER_BLOCK = 64
+# Doubles held at once by one task: model rows x nodes x states.
+TASK_DOUBLES = 1 << 25
 
 
 def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: list[str]) -> DataFrame:
@@ -177,6 +179,8 @@ class Kernel:
 
     def loglik(self) -> np.ndarray:
         below, _, logs = self.up()
+        if below[-1] is None:
+            return logs
         return np.log((below[-1] * self.pi).sum(1)) + logs
 
     def posteriors(self) -> dict[str, np.ndarray]:
@@ -213,6 +217,10 @@ class Kernel:
         return result
 
 
+def rows_at_once(tree: SmallTree, states: list[str]) -> int:
+    return max(1, TASK_DOUBLES // (len(tree.names) * len(states)))
+
+
 def _blocks(cells: DataFrame, models: DataFrame, tree: SmallTree):
     """Cells and models keyed by (site block, draw block), each of bounded size."""
     n_leaves = sum(t is not None for t in tree.taxon)
@@ -241,13 +249,16 @@ def site_loglik(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: l
             raise ValueError("the level form knows the equal-rates process only")
         return site_loglik_levels(cells, nodes, models, states)
 
+    rows = rows_at_once(tree, states)
+
     def solve(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         out = model[["draw", "site", "cat"]]
         if model.empty:
             return out.assign(logl=pd.Series(dtype=float))
         if leaf.empty:
             return out.assign(logl=0.0)
-        return out.assign(logl=Kernel(tree, states, leaf, model).loglik())
+        slices = [model.iloc[i : i + rows] for i in range(0, len(model), rows)]
+        return out.assign(logl=np.concatenate([Kernel(tree, states, leaf, part).loglik() for part in slices]))
 
     left, right = _blocks(cells, models, tree)
     return left.cogroup(right).applyInPandas(solve, "draw bigint, site bigint, cat int, logl double")
@@ -296,12 +307,11 @@ def ancestral_probs(
     schema = "node string, site bigint, n bigint, " + ", ".join(f"{c} double" for c in sums)
     weighted = models.withColumn("w", F.lit(1.0)) if weights is None else models.join(weights.select("draw", "cat", "w"), ["draw", "cat"])
 
-    def solve(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        model = model[model["site"].isin(leaf["site"].unique())].reset_index(drop=True)
-        if model.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+    rows_once = rows_at_once(tree, states)
+
+    def summarise(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         kernel = Kernel(tree, states, leaf, model)
-        # categories to (draw, site), then draws to sites; both are whole within a group
+        # categories to (draw, site), then draws to sites
         point = model.groupby(["draw", "site"], sort=False).ngroup().to_numpy()
         firsts = model.drop_duplicates(["draw", "site"])
         site, names = pd.factorize(firsts["site"])
@@ -312,15 +322,23 @@ def ancestral_probs(
             np.maximum.at(top, point, logl)
             w = model["w"].to_numpy() * np.exp(logl - top[point])
         total = np.bincount(point, w)
-        n_draws = np.bincount(site)
         parts = []
         for node, probs in kernel.posteriors().items():
-            out = {"node": node, "site": names, "n": n_draws}
+            out = {"node": node, "site": names, "n": np.bincount(site)}
             for i, c in enumerate(sums):
                 out[c] = np.bincount(site, np.bincount(point, w * probs[:, i]) / total)
             parts.append(pd.DataFrame(out))
         return pd.concat(parts, ignore_index=True)
 
+    def solve(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        model = model[model["site"].isin(leaf["site"].unique())].reset_index(drop=True)
+        if model.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        # slices of whole sites, so that the categories of a site stay together
+        per_site = int(model.groupby("site").size().max())
+        numbers = pd.factorize(model["site"])[0] // max(1, rows_once // per_site)
+        return pd.concat([summarise(leaf, part.reset_index(drop=True)) for _, part in model.groupby(numbers)], ignore_index=True)
+
     left, right = _blocks(cells, weighted, tree)
     rows = left.cogroup(right).applyInPandas(solve, schema)
     means = rows.groupBy("node", "site").agg(*[(F.sum(c) / F.sum("n")).alias(s) for c, s in zip(sums, states, strict=True)])

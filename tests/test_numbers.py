@@ -313,7 +313,7 @@ def small_tree(spark):
     return spark.createDataFrame(TREE_NODES, "node string, parent string, taxon string, length double, depth int")
 
 
-def test_site_loglik_against_brute_force(spark, small_tree):
+def test_site_loglik_against_brute_force(spark, small_tree, monkeypatch):
     rng = random.Random(2)
     pi = [0.1, 0.2, 0.3, 0.4]
     columns = [{x: rng.choice([0, 1, 2, 3, None]) for x in "abcd"} for _ in range(12)] + [dict.fromkeys("abcd")]
@@ -323,7 +323,8 @@ def test_site_loglik_against_brute_force(spark, small_tree):
     models = [(dr, i, cat, r, pi) for dr in (0, 100) for i in range(len(columns)) for cat, r in enumerate((0.5, 2.0))]
     table = spark.createDataFrame(models, "draw bigint, site bigint, cat int, rate double, pi array<double>")
     want = {(d, i, c): brute_logl(TREE, columns[i], pi, r) for d, i, c, r, _ in models}
-    for form in (lk.site_loglik, lk.site_loglik_levels):
+    for form, room in ((lk.site_loglik, 1 << 25), (lk.site_loglik, 100), (lk.site_loglik_levels, 100)):
+        monkeypatch.setattr(lk, "TASK_DOUBLES", room)
         got = {(r.draw, r.site, r.cat): r.logl for r in form(cells, small_tree, table, DNA).collect()}
         assert got == pytest.approx(want), form.__name__
     exch = [1.0, 2.0, 0.5, 0.7, 3.0, 1.3]
