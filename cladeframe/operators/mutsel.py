@@ -23,8 +23,8 @@ FLUXES = ["mut", "sub", "nonsyn_mut", "nonsyn_sub", "syn_mut", "syn_sub"]
 
 
 def fixation_factor(s: Column) -> Column:
-    """S / (1 - exp(-S)), and 1 / (1 - S / 2) for a vanishing S."""
-    return F.when(F.abs(s) < TINY, 1 / (1 - s / 2)).otherwise(s / (1 - F.exp(-s)))
+    """S / (1 - exp(-S)), and 1 / (1 - S / 2) for a vanishing S; expm1 keeps small S exact."""
+    return F.when(F.abs(s) < TINY, 1 / (1 - s / 2)).otherwise(F.try_divide(s, -F.expm1(-s)))
 
 
 def selection_bin(s: Column) -> Column:
@@ -141,7 +141,7 @@ def site_selection_histograms(fluxes: DataFrame, alloc: DataFrame) -> DataFrame:
 def site_dnds(fluxes: DataFrame, alloc: DataFrame) -> DataFrame:
     """Mean dN/dS of every site over draws and the share of draws with dN/dS above 1."""
     totals = fluxes.groupBy(*DRAW, "comp").agg(*_flux_columns())
-    ratio = (F.col("nonsyn_sub") / F.col("syn_sub")) / (F.col("nonsyn_mut") / F.col("syn_mut"))
+    ratio = F.try_divide(F.col("nonsyn_sub") * F.col("syn_mut"), F.col("syn_sub") * F.col("nonsyn_mut"))
     return alloc.join(totals.withColumn("dnds", ratio), [*DRAW, "comp"]).groupBy("site").agg(
         F.avg("dnds").alias("dnds"), F.avg(F.when(F.col("dnds") > 1, 1.0).otherwise(0.0)).alias("p_above_one")
     )

@@ -101,7 +101,7 @@ def rr_entropy(rr: DataFrame) -> DataFrame:
 def posterior_hyper(values: DataFrame, keys: list[str]) -> DataFrame:
     """Gamma fitted by moments per parameter: shape mean^2 / var, rate mean / var (population var)."""
     m, v = F.avg("value"), F.var_pop("value")
-    return values.groupBy(*keys).agg((m * m / v).alias("shape"), (m / v).alias("rate"))
+    return values.groupBy(*keys).agg(F.try_divide(m * m, v).alias("shape"), F.try_divide(m, v).alias("rate"))
 
 
 def dirichlet_concentration(profile: DataFrame) -> DataFrame:

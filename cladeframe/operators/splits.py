@@ -70,7 +70,7 @@ def compare_runs_splits(freq: DataFrame, n_runs: int | Column | None = None) ->
         F.count(F.lit(1)).alias("n_present"),
         F.max("prob").alias("_hi"),
         F.min("prob").alias("_lo"),
-        (F.sum(weight * F.col("prob")) / F.first(pairs)).alias("mean_diff"),
+        F.coalesce(F.try_divide(F.sum(weight * F.col("prob")), F.first(pairs)), F.lit(0.0)).alias("mean_diff"),
         (F.sum("prob") / F.first(total)).alias("mean_prob"),
         F.first(total).alias("_total"),
     ).select(

@@ -213,7 +213,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "fluxes": (
         "stationary neighbours nuc_rr omega",
-        "SELECT iter, comp, synonymous, s, mut, mut * CASE WHEN abs(s) < 1e-20 THEN 1 / (1 - s / 2) ELSE s / (1 - exp(-s)) END * "
+        "SELECT iter, comp, synonymous, s, mut, mut * CASE WHEN abs(s) < 1e-6 THEN 1 + s / 2 + s * s / 12 ELSE s / (1 - exp(-s)) END * "
         "CASE WHEN synonymous THEN 1 ELSE omega END AS sub FROM (SELECT t.iter, t.comp, n.synonymous, o.omega, rr.freq * ns.freq * t.prob AS mut, "
         "ln(ct.freq / cf.freq) + CASE WHEN n.synonymous THEN 0 ELSE ln(ab.freq / aa.freq) END AS s FROM stationary t "
         "JOIN neighbours n ON n.codon_from = t.codon JOIN nuc_rr rr ON rr.iter = t.iter AND rr.pair = least(n.nuc_from, n.nuc_to) || greatest(n.nuc_from, n.nuc_to) "
