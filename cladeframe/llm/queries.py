@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import repetition
+from cladeframe.llm import language, licenses, repetition, secrets
 from cladeframe.llm.common import read
 
 
@@ -12,8 +12,23 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(read(spark, sf_dir, "documents"))
 
 
+def op5_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(read(spark, sf_dir, "documents"))
+
+
+def op8_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(secrets.secret_spans(read(spark, sf_dir, "documents")))
+
+
+def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.license_scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op5_context_trees": op5_context_trees,
+    "op8_secret_layers": op8_secret_layers,
+    "op10_license_join": op10_license_join,
 }
 
 SQL: dict[str, str] = {}
