@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import language, licenses, repetition, secrets
+from cladeframe.llm import language, licenses, packing, repetition, secrets
 from cladeframe.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op5_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(read(spark, sf_dir, "documents"))
 
 
+def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.secret_spans(read(spark, sf_dir, "documents")))
 
@@ -27,6 +31,7 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_repetition_coverage": op2_repetition_coverage,
     "op5_context_trees": op5_context_trees,
+    "op7_bin_slack": op7_bin_slack,
     "op8_secret_layers": op8_secret_layers,
     "op10_license_join": op10_license_join,
 }
