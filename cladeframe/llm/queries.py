@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cladeframe.llm import language, licenses, packing, repetition, secrets
+from cladeframe.llm import language, licenses, lines, packing, repetition, secrets
 from cladeframe.llm.common import read
 
 
@@ -16,6 +17,11 @@ def op5_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(read(spark, sf_dir, "documents"))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -31,9 +37,22 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_repetition_coverage": op2_repetition_coverage,
     "op5_context_trees": op5_context_trees,
+    "op6_line_runs": op6_line_runs,
     "op7_bin_slack": op7_bin_slack,
     "op8_secret_layers": op8_secret_layers,
     "op10_license_join": op10_license_join,
 }
 
-SQL: dict[str, str] = {}
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL = {
+    "op6_line_runs": f"""
+        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        rows AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM docs),
+        keyed AS (SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM rows),
+        frequent AS (SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.owner AS lost FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+}
