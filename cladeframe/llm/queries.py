@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import jaccard, language, licenses, lines, packing, repetition, secrets
+from cladeframe.llm import jaccard, language, licenses, lines, packing, repetition, secrets, vectors
 from cladeframe.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(read(spark, sf_dir, "documents"))
 
 
+def op3_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op4_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op3_product_codes": op3_product_codes,
     "op4_prefix_jaccard": op4_prefix_jaccard,
     "op5_context_trees": op5_context_trees,
     "op6_line_runs": op6_line_runs,
