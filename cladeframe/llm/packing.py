@@ -209,7 +209,7 @@ def place(pieces: DataFrame, window: int, key: str = "k") -> DataFrame:
     """Adds sequence_id and offset to pieces with a length of 1 to ``window``."""
     rows = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``window`` rows
     histogram = {r["length"]: r["n"] for r in rows}
-    most = max(1, sum(histogram.values()) // 20_000)
+    most = max(1, sum(histogram.values()) // 1_000)
     order = [key, "start", "doc_tokens", "ids_crc32"]
     spread = F.pmod(F.xxhash64(*order), F.lit(most))
     ranked = position_in_group(pieces, ["length"], order, spread, "rank")
