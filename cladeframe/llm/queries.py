@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import jaccard, language, licenses, lines, packing, repetition, secrets, vectors
+from cladeframe.llm import chat, jaccard, language, licenses, lines, packing, repetition, secrets, vectors
 from cladeframe.llm.common import read
 
 
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op1_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    nodes, convs = chat.format_conversations(rows.unionAll(probe))
+    told = chat.read_back(nodes, convs)
+    return convs.join(told, convs["node"] == told["leaf"]).select(
+        "conv_id", F.col("read_turns").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(read(spark, sf_dir, "documents"))
 
@@ -43,6 +56,7 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_prefix_tree": op1_prefix_tree,
     "op2_repetition_coverage": op2_repetition_coverage,
     "op3_product_codes": op3_product_codes,
     "op4_prefix_jaccard": op4_prefix_jaccard,
