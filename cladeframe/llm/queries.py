@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import chat, jaccard, language, licenses, lines, packing, repetition, secrets, vectors
+from cladeframe.llm import chat, jaccard, language, licenses, lines, packing, repetition, secrets, segments, vectors
 from cladeframe.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op8_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.secret_spans(read(spark, sf_dir, "documents")))
 
 
+def op9_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.sample_segmentations(read(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.license_scan(read(spark, sf_dir, "documents")))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op6_line_runs": op6_line_runs,
     "op7_bin_slack": op7_bin_slack,
     "op8_secret_layers": op8_secret_layers,
+    "op9_gumbel_segments": op9_gumbel_segments,
     "op10_license_join": op10_license_join,
 }
 
