@@ -1,13 +1,16 @@
 """Near-duplicate vectors by product quantisation.
 
 Equal vectors form one class. Classes are filed in inverted lists of coarse centroids
-with product codes of their residuals. A class probes every list that can hold a
-partner: if |x - y| <= r and y is nearest to centroid j, then x lies within r of the
-half space of j, which is one comparison per list. In a list, table lookups give the
-distance to every coded vector; with the stored coding error they bound the true
-distance from below, and what stays is compared exactly by cosine. Lists and queries
-are cut into blocks, so a crowded list is many tasks. A block returns link counts and
-a spanning forest of its links, never its pairs.
+with product codes of their residuals. A vector x of list i has to probe list j for
+partners within r only if it lies within r of the half space of j, one comparison
+per list. The step from x to a partner points anywhere, and its part across that
+border is about r / sqrt(dim); ``certainty`` such parts are allowed for, so that a
+pair is missed with the chance of a normal value above it; sqrt(dim) makes it exact.
+Of two lists the lower one probes the higher, and links count on both sides. In a
+list, table lookups give the distance to every coded vector; with the stored coding
+error they bound the true distance from below, and what stays is compared exactly by
+cosine. Lists and queries are cut into blocks, so a crowded list is many tasks. A
+block returns link counts and a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from cladeframe.llm.common import components, durable, id_type
 _SUB = 8  # width of a subspace
 _CODES = 256
 _BLOCK = 512
+_ASKED = 2048
 
 
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -56,7 +60,6 @@ class Quantiser:
         dim = sample.shape[1]
         self.cuts = [(a, min(a + _SUB, dim)) for a in range(0, dim, _SUB)]
         self.books = [_means(residual[:, a:b], _CODES, rounds, rng) for a, b in self.cuts]
-        self.gaps = np.sqrt(np.maximum(((self.centers[:, None] - self.centers[None]) ** 2).sum(2), 0)) if len(self.centers) <= 512 else None
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, codes and coding error."""
@@ -69,14 +72,18 @@ class Quantiser:
             rest += ((residual[:, a:b] - self.books[m][codes[:, m]]) ** 2).sum(1)
         return cell, codes, np.sqrt(rest)
 
-    def probes(self, x: np.ndarray, cell: np.ndarray, radius: float) -> list[np.ndarray]:
-        """The lists of all vectors within ``radius`` of each row."""
-        out = []
-        for i in range(len(x)):
-            d = ((self.centers - x[i]) ** 2).sum(1)
-            own = self.centers[cell[i]]
-            gap = self.gaps[cell[i]] if self.gaps is not None else np.sqrt(((self.centers - own) ** 2).sum(1))
-            out.append(np.flatnonzero(d - d[cell[i]] <= 2 * radius * gap + 1e-9).astype(np.int32))
+    def probes(self, x: np.ndarray, cell: np.ndarray, margin: float) -> list[np.ndarray]:
+        """For each row its own list and the lists above it whose half space is within ``margin``."""
+        norm = (self.centers**2).sum(1)
+        lists = np.arange(len(self.centers))
+        out: list[np.ndarray] = []
+        for a in range(0, len(x), 256):
+            own = cell[a : a + 256]
+            far = norm - 2 * x[a : a + 256] @ self.centers.T
+            far -= far[np.arange(len(own)), own][:, None]
+            gap = np.sqrt(np.maximum(norm[own][:, None] + norm - 2 * self.centers[own] @ self.centers.T, 0))
+            near = (far <= 2 * margin * gap + 1e-9) & (lists >= own[:, None])
+            out += [np.flatnonzero(r).astype(np.int32) for r in near]
         return out
 
     def lower_bounds(self, x: np.ndarray, cell: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
@@ -123,18 +130,23 @@ def _block(group: pd.DataFrame, model: Quantiser, cosine: float, radius: float)
     qn, pn = q["node"].to_numpy(), p["node"].to_numpy()
     linked &= qn[:, None] != pn[None]
     links = linked @ p["members"].to_numpy()
+    foreign = (q["home"] != q["cell"]).to_numpy()  # these lists don't probe back
+    back = (q["members"].to_numpy() * foreign) @ linked
     label = _forest(linked)
     names = np.concatenate([qn, pn])
     bound = np.flatnonzero(label != np.arange(len(label)))
-    some = np.flatnonzero(links)
+    some, more = np.flatnonzero(links), np.flatnonzero(back)
+    counted = np.concatenate([links[some], back[more]]).astype(np.int64)
     return pd.DataFrame({
-        "a": np.concatenate([names[bound], qn[some]]),
-        "b": np.concatenate([names[label[bound]], np.full(len(some), None, object)]),
-        "links": np.concatenate([np.zeros(len(bound), np.int64), links[some].astype(np.int64)]),
+        "a": np.concatenate([names[bound], qn[some], pn[more]]),
+        "b": np.concatenate([names[label[bound]], np.full(len(counted), None, object)]),
+        "links": np.concatenate([np.zeros(len(bound), np.int64), counted]),
     })
 
 
-def _linked(classes: DataFrame, cosine: float, sample_rows: int, list_size: int, most_lists: int) -> DataFrame:
+def _linked(
+    classes: DataFrame, cosine: float, certainty: float, sample_rows: int, list_size: int, most_lists: int
+) -> DataFrame:
     """Rows (a, b, links) of the classes of one dimension: forest edges, and link counts with null b."""
     spark = classes.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine))
@@ -146,6 +158,7 @@ def _linked(classes: DataFrame, cosine: float, sample_rows: int, list_size: int,
         drawn = classes.limit(1).select("vec").toPandas()
     sample = np.stack([np.frombuffer(v, np.float32) for v in drawn["vec"]]).astype(np.float64)
     sample /= np.linalg.norm(sample, axis=1)[:, None]
+    margin = radius * min(1.0, certainty / np.sqrt(sample.shape[1]))
     lists = int(min(most_lists, max(1, n // list_size)))
     model = spark.sparkContext.broadcast(Quantiser(sample, lists))
 
@@ -157,7 +170,7 @@ def _linked(classes: DataFrame, cosine: float, sample_rows: int, list_size: int,
             x /= np.linalg.norm(x, axis=1)[:, None]
             cell, codes, error = model.value.encode(x)
             yield batch.assign(
-                cell=cell, codes=[c.tobytes() for c in codes], error=error, probes=model.value.probes(x, cell, radius)
+                cell=cell, codes=[c.tobytes() for c in codes], error=error, probes=model.value.probes(x, cell, margin)
             )
 
     schema = "node string, members bigint, vec binary, cell int, codes binary, error double, probes array<int>"
@@ -166,18 +179,18 @@ def _linked(classes: DataFrame, cosine: float, sample_rows: int, list_size: int,
     asked = indexed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
     blocks = F.broadcast(  # one row per list, at most ``most_lists``
         filed.join(asked, "cell").select(
-            "cell", F.ceil(F.col("p") / _BLOCK).cast("int").alias("ps"), F.ceil(F.col("q") / _BLOCK).cast("int").alias("qs")
+            "cell", F.ceil(F.col("p") / _BLOCK).cast("int").alias("ps"), F.ceil(F.col("q") / _ASKED).cast("int").alias("qs")
         )
     )
     part = F.xxhash64("node", F.lit("block"))
-    columns = ["node", "members", "vec", "cell", "codes", "error"]
+    columns = ["node", "members", "vec", "home", "cell", "codes", "error"]
     asks = (
-        indexed.select("node", F.lit(0).cast("bigint").alias("members"), "vec", F.explode("probes").alias("cell"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
+        indexed.select("node", "members", "vec", F.col("cell").alias("home"), F.explode("probes").alias("cell"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
         .join(blocks, "cell")
         .select(*columns, F.lit(True).alias("probe"), F.pmod(part, F.col("qs")).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("s"))
     )
     posts = (
-        indexed.select(*columns)
+        indexed.withColumn("home", F.col("cell")).select(*columns)
         .join(blocks, "cell")
         .select(*columns, F.lit(False).alias("probe"), F.pmod(part, F.col("ps")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("t"))
     )
@@ -195,8 +208,9 @@ def near_vectors(
     vector_col: str = "embedding",
     cosine: float = 0.95,
     sample_rows: int = 20_000,
+    certainty: float = 3.5,
     list_size: int = 200,
-    most_lists: int = 1024,
+    most_lists: int = 4096,
 ) -> DataFrame:
     """One row per input row: id, n_links, component_id and kept.
 
@@ -231,7 +245,7 @@ def near_vectors(
     sizes = [r["s"] for r in classes.select((F.octet_length("vec") / 4).cast("int").alias("s")).distinct().orderBy("s").collect()]
     found = None
     for size in sizes:  # one, as a rule
-        part = _linked(classes.filter(F.octet_length("vec") == 4 * size), cosine, sample_rows, list_size, most_lists)
+        part = _linked(classes.filter(F.octet_length("vec") == 4 * size), cosine, certainty, sample_rows, list_size, most_lists)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return named.select(F.col("k").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
