@@ -10,10 +10,12 @@
    of buckets. Inside a bucket a shingle's classes meet; length and positional
    filters apply. First each class is paired with the class that holds the shingle
    at the earliest position, which settles large families with one pair each.
-4. Pairs are verified once: suffix filter on fixed cuts of the hash range, then the
-   exact count. Verified links give components; the second round pairs only classes
-   of different components that pass all filters, so no link between components is
-   lost and no family is expanded into all its pairs.
+   Of these a class keeps the one it shares most prefix shingles with.
+4. Pairs are verified once: first the suffix filter, which cuts both sets at fixed
+   places of the hash range and bounds the overlap by the parts' sizes, on vectors of
+   fixed size; then the exact count on the sets. Verified links give components; the
+   second round pairs only classes of different components that pass all filters, so
+   no link between components is lost and no family is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ _COUNTERS = 19  # bits of each of the two counter rows
 _SLICES = 32
 _FLUSH = 400_000  # prefix entries per block of a map task
 _BUCKET = 400_000  # prefix entries per bucket
-_CUTS = (np.arange(1, 32, dtype=np.uint64) << np.uint64(59)).astype(np.uint64)
+_SEGMENTS = 128
+_CUTS = np.arange(1, _SEGMENTS, dtype=np.uint64) << np.uint64(57)
 
 
 class Shingler:
@@ -92,31 +95,38 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def segments(h: np.ndarray) -> np.ndarray:
+    """How many of the sorted hashes lie in each part of the hash range."""
+    return np.diff(np.searchsorted(h, _CUTS), prepend=0, append=len(h)).astype("<u4")
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Per row (k, n, c): set size and class; per task slices of its shingle counters."""
+    """Per row (k, n, c, seg): set size, class, part sizes; per task slices of its shingle counters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         table = np.zeros((2, 1 << _COUNTERS), np.int64)
         some = False
         for batch in batches:
-            n, c = [], []
+            n, c, seg = [], [], []
             for text in batch["t"]:
                 h = shingler(text)
                 n.append(len(h))
                 c.append(fingerprint(h))
+                seg.append(zlib.compress(segments(h).tobytes(), 1))
                 for row, at in enumerate(counters(h)):
                     np.add.at(table[row], at, 1)
                 some |= len(h) > 0
-            yield pd.DataFrame({"k": batch["k"], "n": n, "c": c, "slice": -1, "counts": None})
+            yield pd.DataFrame({"k": batch["k"], "n": n, "c": c, "slice": -1, "data": seg})
         if some:
             flat = table.reshape(_SLICES, -1)
             blobs = [zlib.compress(x.tobytes(), 1) for x in flat]
             none = [None] * _SLICES
-            yield pd.DataFrame({"k": none, "n": 0, "c": 0, "slice": range(_SLICES), "counts": blobs})
+            yield pd.DataFrame({"k": none, "n": 0, "c": 0, "slice": range(_SLICES), "data": blobs})
 
-    schema = f"k {id_type(docs, 'k')}, n bigint, c bigint, slice int, counts binary"
-    return docs.mapInPandas(run, schema)
+    schema = "k string, n bigint, c bigint, slice int, data binary"
+    made = docs.withColumn("k", F.col("k").cast("string")).mapInPandas(run, schema)
+    return made.withColumn("k", F.col("k").cast(id_type(docs, "k")))
 
 
 def counter_table(slices: DataFrame) -> np.ndarray:
@@ -125,7 +135,7 @@ def counter_table(slices: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, blob in zip(batch["slice"], batch["counts"], strict=True):
+            for s, blob in zip(batch["slice"], batch["data"], strict=True):
                 part = np.frombuffer(zlib.decompress(blob), np.int64)
                 total[s] = total[s] + part if s in total else part
         yield pd.DataFrame({"slice": list(total), "counts": [x.tobytes() for x in total.values()]})
@@ -267,7 +277,27 @@ def class_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["c", "set"])
 
     found = docs.select("t").mapInPandas(run, "c bigint, set binary")
-    return found.join(classes, "c", "left_semi").dropDuplicates(["c"])
+    return found.groupBy("c").agg(F.first("set").alias("set"))
+
+
+def possible_pairs(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter lets through; ``parts`` has (c, n, seg) once per class."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            one, two = (
+                np.frombuffer(b"".join(zlib.decompress(x) for x in batch[s]), "<u4").reshape(-1, _SEGMENTS).astype(np.int64)
+                for s in ("sa", "sb")
+            )
+            size = one.sum(1) + two.sum(1)
+            apart = np.abs(one - two).sum(1)
+            yield batch.loc[size - apart >= 2 * (-(-percent * size // (100 + percent))), ["a", "b"]]
+
+    left = parts.select(F.col("c").alias("a"), F.col("seg").alias("sa"))
+    right = parts.select(F.col("c").alias("b"), F.col("seg").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,15 +310,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(u) > len(v):
                     u, v = v, u
-                need = needed(len(u), len(v), percent)
-                cu = np.diff(np.searchsorted(u, _CUTS), prepend=0, append=len(u))
-                cv = np.diff(np.searchsorted(v, _CUTS), prepend=0, append=len(v))
-                if len(u) + len(v) - int(np.abs(cu - cv).sum()) < 2 * need:
-                    good.append(False)
-                    continue
                 at = np.searchsorted(v, u)
                 at[at == len(v)] = 0
-                good.append(int((v[at] == u).sum()) >= need)
+                good.append(int((v[at] == u).sum()) >= needed(len(u), len(v), percent))
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
     left = sets.select(F.col("c").alias("a"), F.col("set").alias("sa"))
@@ -343,21 +367,26 @@ def jaccard_components(
     """
     docs = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     signed = durable(signatures(docs, words))
-    rows = signed.filter("slice < 0").select("k", "n", "c")
-    shared = docs.sparkSession.sparkContext.broadcast(counter_table(signed.filter("slice >= 0").select("slice", "counts")))
+    rows_with_parts = signed.filter("slice < 0").select("k", "n", "c", F.col("data").alias("seg"))
+    rows = rows_with_parts.drop("seg")
+    shared = docs.sparkSession.sparkContext.broadcast(counter_table(signed.filter("slice >= 0").select("slice", "data")))
     total = rows.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / _BUCKET))
     entries = durable(shared_entries(prefix_blocks(docs, words, percent, shared, buckets), buckets, percent))
+    parts = durable(rows_with_parts.filter("n > 0").groupBy("c").agg(F.first("seg").alias("seg")))
+    best = F.max_by("first", F.struct("shared", -F.col("first")))
     tried = durable(
         entries.filter(F.col("first").isNotNull())
+        .groupBy("c", "first").agg(F.count(F.lit(1)).alias("shared"))
+        .groupBy("c").agg(best.alias("first"))
         .select(F.least("c", "first").alias("a"), F.greatest("c", "first").alias("b"))
         .distinct()
     )
-    links = durable(check_pairs(docs, tried, words, percent))
+    links = check_pairs(docs, tried, parts, words, percent)
     roots = components(links)
     more = durable(cross_pairs(entries, roots, tried, percent))
     if not more.isEmpty():
-        links = links.unionAll(durable(check_pairs(docs, more, words, percent)))
+        links = links.unionAll(check_pairs(docs, more, parts, words, percent))
         roots = components(links)
     classes = rows.filter("n > 0").groupBy("c").agg(F.min("k").alias("least"))
     placed = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -368,6 +397,8 @@ def jaccard_components(
     return full.unionAll(empty).select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def check_pairs(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    classes = durable(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    return verified(pairs, durable(class_sets(docs, classes, words)), percent)
+def check_pairs(docs: DataFrame, pairs: DataFrame, parts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The linked pairs: suffix filter first, then the sets of the classes that are left."""
+    left = durable(possible_pairs(pairs, parts, percent))
+    classes = left.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    return durable(verified(left, class_sets(docs, classes, words), percent))
