@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.session import durable
 
-__all__ = ["durable", "read", "id_type", "code_points", "tokenizer_path", "components", "SPACES"]
+__all__ = ["durable", "read", "shared_folder", "id_type", "code_points", "tokenizer_path", "components", "SPACES"]
 
 #: The white space of every word and line rule: \x20 and \x09 to \x0D.
 SPACES = "\t\n\x0b\x0c\r "
@@ -19,6 +20,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables that the cluster names; a local session may have one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="cladeframe-")
+    return folder.rstrip("/")
+
+
 def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -20,8 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import id_type
-
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3)]
 _CHUNK = 1 << 20
 
@@ -95,9 +93,10 @@ class ContextTrees:
             counted.append([np.unique(grams(data, at, k + 1), return_counts=True) for k in range(order + 1)])
         self.tables: list[KeyTable] = []
         self.cost: list[np.ndarray] = []  # bits of a key, by language
-        self.escape: list[np.ndarray] = [np.zeros((0, n_lang), np.float32)]  # of the context that is key i one order below
+        self.contexts: list[KeyTable] = []
+        self.escape: list[np.ndarray] = []  # bits of leaving a context, by language
         for k in range(order + 1):
-            keys = np.unique(np.concatenate([c[k][0] for c in counted]))
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c[k][0] for c in counted)]))
             context = keys & np.uint64((1 << (8 * k)) - 1)
             contexts, where = np.unique(context, return_inverse=True)
             cost = np.zeros((len(keys), n_lang), np.float32)
@@ -118,13 +117,9 @@ class ContextTrees:
                 cost[:, j] = np.where(count > 0, seen, leave[where, j] + low[:, j])
             self.tables.append(KeyTable(keys))
             self.cost.append(cost)
-            if k:  # align escapes with the keys of the order below, which are these contexts
-                aligned = np.zeros((len(self.tables[k - 1].keys), n_lang), np.float32)
-                place = self.tables[k - 1].find(contexts)
-                aligned[place[place >= 0]] = leave[place >= 0]
-                self.escape.append(aligned)
-            else:
-                self.root = leave[0] if len(leave) else np.zeros(n_lang)
+            self.contexts.append(KeyTable(contexts))
+            self.escape.append(leave.astype(np.float32))
+        self.root = self.escape[0][0].astype(np.float64) if len(self.escape[0]) else np.zeros(n_lang)
 
     def _bits(self, k: int, keys: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Cost of keys of order ``k``, absent ones by escapes to the orders below."""
@@ -140,7 +135,7 @@ class ContextTrees:
             if k == 0:
                 out[at] += self.root + 8.0
                 return out
-            known = self.tables[k - 1].find(keys[at] & np.uint64((1 << (8 * k)) - 1))
+            known = self.contexts[k].find(keys[at] & np.uint64((1 << (8 * k)) - 1))
             out[at[known >= 0]] += self.escape[k][known[known >= 0]]
             keys = keys >> np.uint64(8)
             k -= 1
@@ -189,7 +184,7 @@ class ContextTrees:
         if k == 0:
             return np.tile(self.root + 8.0, (len(keys), 1))
         out = np.zeros((len(keys), len(self.languages)))
-        known = self.tables[k - 1].find(keys & np.uint64((1 << (8 * k)) - 1))
+        known = self.contexts[k].find(keys & np.uint64((1 << (8 * k)) - 1))
         out[known >= 0] += self.escape[k][known[known >= 0]]
         return out + self._bits(k - 1, keys >> np.uint64(8), keys)
 
@@ -229,7 +224,7 @@ def identify_language(
     order: int = 4,
     trees: ContextTrees | None = None,
 ) -> DataFrame:
-    """One row per input row: held_out, lang_pred, score and bits_per_byte.
+    """All columns of the input and held_out, lang_pred, score and bits_per_byte.
 
     ``score`` is the probability of the predicted language if all were equally
     likely before. The prediction reads the text alone; the label column only
@@ -238,15 +233,17 @@ def identify_language(
     A null text, one without letters, and any text when nothing was learned give
     ``und`` with score 0 and null bits_per_byte. Equal code lengths: the first
     language by name. A null id counts as empty text for the split; repeated rows
-    give repeated results; an empty table gives no rows; other columns are not read.
+    give repeated results; an empty table gives no rows. Input columns with the
+    names of the added ones are replaced.
     """
     trees = learn(df, id_col, text_col, lang_col, docs_per_language, order) if trees is None else trees
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    shared = df.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for batch in batches:
-            texts = list(batch["t"])
+        for part in parts:
+            texts = list(part)
             fit = [t is not None and any(c.isalpha() for c in t) and bool(model.languages) for t in texts]
             at = np.flatnonzero(fit)
             pred = np.full(len(texts), "und", object)
@@ -259,14 +256,15 @@ def identify_language(
                 pred[at] = np.array(model.languages, object)[best]
                 score[at] = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
                 rate[at] = least / np.array([len(r) for r in raw])
-            yield pd.DataFrame({"k": batch["k"], "h": batch["h"], "lang_pred": pred, "score": score, "bits_per_byte": rate})
-
-    schema = f"k {id_type(df, id_col)}, h boolean, lang_pred string, score double, bits_per_byte double"
-    narrow = df.select(F.col(id_col).alias("k"), (remainder(id_col) == 2).alias("h"), F.col(text_col).alias("t"))
-    return narrow.mapInPandas(run, schema).select(
-        F.col("k").alias(id_col),
-        F.col("h").alias("held_out"),
-        "lang_pred",
-        "score",
-        F.when(~F.isnan("bits_per_byte"), F.col("bits_per_byte")).alias("bits_per_byte"),
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "bits_per_byte": rate})
+
+    added = ["held_out", "lang_pred", "score", "bits_per_byte"]
+    own = [c for c in df.columns if c not in added]
+    rate = F.col("_said")["bits_per_byte"]
+    return df.withColumn("_said", predict(F.col(text_col))).select(
+        *own,
+        (remainder(id_col) == 2).alias("held_out"),
+        F.col("_said")["lang_pred"].alias("lang_pred"),
+        F.col("_said")["score"].alias("score"),
+        F.when(~F.isnan(rate), rate).alias("bits_per_byte"),
     )

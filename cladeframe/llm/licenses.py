@@ -127,7 +127,7 @@ def license_scan(
     sets = [(label, t) for label, t in sets if t]
     wanted = [(tuple(words(p.encode())), label) for p, label in (PHRASES if phrases is None else phrases).items()]
     first = frozenset(p[0] for p, _ in wanted)
-    narrow = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    narrow = df.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
     vocabulary = frozenset(w for _, t in sets for w in t)
     index = TemplateIndex(sets, _frequencies(narrow.select("t"), vocabulary), threshold)
 
@@ -149,10 +149,11 @@ def license_scan(
             yield pd.DataFrame({"k": batch["k"], "n_words": n, "places": places, "blocks": blocks})
 
     schema = (
-        f"k {id_type(df, id_col)}, n_words bigint, places array<struct<word: bigint, label: string>>, "
+        "k string, n_words bigint, places array<struct<word: bigint, label: string>>, "
         "blocks array<struct<line: bigint, label: string, containment: double>>"
     )
-    return narrow.mapInPandas(run, schema).withColumnRenamed("k", id_col)
+    out = narrow.mapInPandas(run, schema)
+    return out.withColumn("k", F.col("k").cast(id_type(df, id_col))).withColumnRenamed("k", id_col)
 
 
 def license_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

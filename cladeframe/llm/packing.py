@@ -134,10 +134,11 @@ def token_pieces(
                 out = pd.DataFrame(rows, columns=names if with_ids else names[:-1])
                 yield out.assign(k=keys.take(out["k"]).to_numpy())
 
-    schema = f"k {id_type(df, id_col)}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+    schema = "k string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     if with_ids:
         schema += ", ids array<int>"
-    return df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    made = df.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    return made.withColumn("k", F.col("k").cast(id_type(df, id_col)))
 
 
 def best_fill(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -233,8 +234,11 @@ def place(pieces: DataFrame, window: int, key: str = "k") -> DataFrame:
                 offset[at] = row[:, 3] + within % row[:, 2] * length
             yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*pieces.columns, "rank").mapInPandas(run, f"{schema}, sequence_id bigint, offset bigint")
+    kind = id_type(pieces, key)
+    schema = ", ".join(f"{f.name} {'string' if f.name == key else f.dataType.simpleString()}" for f in pieces.schema.fields)
+    rows = ranked.select(*pieces.columns, "rank").withColumn(key, F.col(key).cast("string"))
+    placed = rows.mapInPandas(run, f"{schema}, sequence_id bigint, offset bigint")
+    return placed.withColumn(key, F.col(key).cast(kind))
 
 
 def pack(

@@ -35,7 +35,8 @@ def op4_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify_language(read(spark, sf_dir, "documents"))
+    found = language.identify_language(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

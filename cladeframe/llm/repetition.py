@@ -153,12 +153,12 @@ def repetition_coverage(
             out.insert(0, "k", batch["k"].to_numpy())
             yield out
 
-    schema = f"k {id_type(df, id_col)}, " + ", ".join([f"{c} bigint" for c in counts] + [f"{c} double" for c in shares])
-    measured = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    schema = "k string, " + ", ".join([f"{c} bigint" for c in counts] + [f"{c} double" for c in shares])
+    measured = df.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     good = F.col("dup_line_share") <= line_limit
     for n, most in limits.items():
         good = good & (F.col(f"dup_{n}gram_share") <= most)
     return measured.select(
-        F.col("k").alias(id_col), *counts, failed.alias("base_failed"), (~failed & good).alias("kept"), *shares
+        F.col("k").cast(id_type(df, id_col)).alias(id_col), *counts, failed.alias("base_failed"), (~failed & good).alias("kept"), *shares
     )

@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import id_type
-
 #: Kinds in the order of the output; decoded kinds follow the plain ones.
 KINDS = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate((*KINDS, *(f"decoded_{k}" for k in KINDS), "oversize"))}
@@ -196,31 +194,31 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
 SPAN = "array<struct<kind: string, start: bigint, end: bigint, depth: int>>"
 
 
-def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: str | None = None) -> DataFrame:
-    """One row per input row: its id and ``spans`` sorted by start and kind.
+def secret_spans(df: DataFrame, text_col: str = "text", redact: str | None = None) -> DataFrame:
+    """All columns of the input and ``spans``, sorted by start and kind.
 
     Plain spans have depth 0; ``decoded_*`` kinds lie inside ``depth`` encodings and
     give the original characters that carry them; ``oversize`` marks a compressed
-    payload beyond ``MAX_UNFOLDED`` bytes, to be looked at by other means. With ``redact`` a column
-    ``clean_text`` has that string in place of every span, overlaps merged.
+    payload beyond ``MAX_UNFOLDED`` bytes, to be looked at by other means. With
+    ``redact`` a column ``clean_text`` has that string in place of every span,
+    overlaps merged.
 
-    A null or empty text has no spans and a null id stays null; a null text stays
-    null in ``clean_text``. Repeated rows give repeated results, an empty table
-    gives no rows, and other columns are not read whatever their names.
+    A null or empty text has no spans; a null text stays null in ``clean_text``.
+    Null ids and repeated rows are rows like any other, an empty table gives no
+    rows. Input columns with the names of the added ones are replaced.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [find_secrets(t) for t in batch["t"]]
-            rows = [[{"kind": k, "start": a, "end": b, "depth": d} for k, a, b, d in s] for s in spans]
-            out = pd.DataFrame({"k": batch["k"], "spans": rows})
-            if redact is not None:
-                out["clean_text"] = [_replaced(t, s, redact) for t, s in zip(batch["t"], spans, strict=True)]
-            yield out
-
-    schema = f"k {id_type(df, id_col)}, spans {SPAN}" + ("" if redact is None else ", clean_text string")
-    out = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
-    return out.withColumnRenamed("k", id_col)
+    @F.pandas_udf(f"spans {SPAN}, clean_text string")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        spans = [find_secrets(t) for t in texts]
+        rows = [[{"kind": k, "start": a, "end": b, "depth": d} for k, a, b, d in s] for s in spans]
+        clean = [None if redact is None else _replaced(t, s, redact) for t, s in zip(texts, spans, strict=True)]
+        return pd.DataFrame({"spans": rows, "clean_text": clean})
+
+    added = ["spans"] if redact is None else ["spans", "clean_text"]
+    own = [c for c in df.columns if c not in added]
+    made = df.withColumn("_found", found(F.col(text_col)))
+    return made.select(*own, *(F.col("_found")[c].alias(c) for c in added))
 
 
 def _replaced(text: str | None, spans: list[tuple[str, int, int, int]], mark: str) -> str | None:

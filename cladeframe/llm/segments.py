@@ -227,7 +227,7 @@ def _unit_draws(seed: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1) from a seed per row and up to three counters."""
     x = seed.astype(np.uint64)
     for p, odd in zip(parts, _ODD, strict=False):
-        x = x + (np.asarray(p).astype(np.uint64) + np.uint64(1)) * odd
+        x = x + (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)) * odd
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -413,7 +413,7 @@ def sample_segmentations(
                     kappa = made.threshold[docs]
                     gap = np.minimum(phi - kappa, 700.0)
                     small = np.exp(np.minimum(gap, 0.0)) < 1e-8
-                    inclusion = np.where(small, gap, np.log(-np.expm1(-np.exp(gap))))
+                    inclusion = np.where(small, gap, np.log(-np.expm1(-np.exp(np.where(small, 0.0, gap)))))
                     frame = {
                         "k": keys.iloc[lo + docs].to_numpy(), "sample": sample, "n_pieces": b - a,
                         "ids_crc32": [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(a, b, strict=True)],
