@@ -17,7 +17,8 @@ BAND = 256.0
 
 
 def band(x: Column) -> Column:
-    return F.floor(x / BAND)
+    """The band of a value; minus infinity, a likelihood of zero, is in a band below all others."""
+    return F.floor(F.greatest(x, F.lit(-1e12)) / BAND)
 
 
 def band_sums(x: Column) -> list[Column]:
@@ -79,18 +80,23 @@ def log_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def weighted_log_sums(df: DataFrame, keys: Sequence[str], value: str, weights: dict[str, Column]) -> DataFrame:
-    """log of the weighted sum of exp(value) per key, one column per entry of ``weights``."""
+    """log of the weighted sum of exp(value) per key, one column per entry of ``weights``.
+
+    A sum of zero is minus infinity; the key stays.
+    """
     keys = list(keys)
     x = F.col(value)
     w = Window.partitionBy(*keys)
     sums = [F.sum(weight * F.exp(x - BAND * F.col("_band"))).alias(f"_s_{name}") for name, weight in weights.items()]
     bands = df.withColumn("_band", band(x)).groupBy(*keys, "_band").agg(*sums)
     some = F.greatest(*[F.col(f"_s_{n}") for n in weights]) if len(weights) > 1 else F.col(f"_s_{next(iter(weights))}")
-    bands = bands.filter(some > 0).withColumn("_bmax", F.max("_band").over(w))
+    bands = bands.withColumn("_some", some > 0).withColumn("_bmax", F.max(F.when(F.col("_some"), F.col("_band"))).over(w))
     rise = F.exp(BAND * (F.col("_band") - F.col("_bmax")))
-    return bands.groupBy(*keys).agg(
-        *[(F.log(F.sum(F.col(f"_s_{name}") * rise)) + BAND * F.max("_bmax")).alias(name) for name in weights]
-    )
+    out = []
+    for name in weights:
+        total = F.sum(F.when(F.col("_some"), F.col(f"_s_{name}") * rise))
+        out.append(F.when(total > 0, F.log(total) + BAND * F.max("_bmax")).otherwise(float("-inf")).alias(name))
+    return bands.groupBy(*keys).agg(*out)
 
 
 def weighted_log_sum(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str) -> DataFrame:

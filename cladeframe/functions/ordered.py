@@ -87,22 +87,23 @@ def order_statistics(
     keys: Sequence[str],
     value: str,
     ranks: dict[str, Column],
-    n_buckets: int = 4096,
+    n_buckets: int = 128,
 ) -> DataFrame:
     """Exact order statistics: one row per ``keys``, one column per entry of ``ranks``.
 
     A rank is a zero-based index written over the column ``n`` (the group size).
-    Equal values are counted first; a histogram over the group's range then finds
-    the bucket of each rank, and only the values of that bucket are sorted.
+    Equal values are counted first. Approximate quantiles of a group's distinct
+    values cut it into buckets of about equal size, wherever its outliers lie; the
+    bucket of each rank is found, and only the values of that bucket are sorted.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    shares = [i / n_buckets for i in range(1, n_buckets)]
     spans = counts.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+        F.sum("_c").alias("n"), F.array_distinct(F.percentile_approx(value, shares, 20 * n_buckets)).alias("_cuts")
     )
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(n_buckets)
-    slot = F.when(step > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / step), F.lit(n_buckets - 1)))
-    placed = counts.join(spans, keys).withColumn("_b", F.coalesce(slot, F.lit(0)).cast("int"))
+    slot = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    placed = counts.join(spans, keys).withColumn("_b", slot).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(*[r.cast("bigint") for r in ranks.values()])
     buckets = (

@@ -1,14 +1,17 @@
-"""Two-sided 95 % critical values of Student's t, tabulated by degrees of freedom."""
+"""Two-sided 95 % critical values of Student's t for any number of degrees of freedom."""
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-MAX_DF = 1000
+_NORMAL = 1.959963984540054
+#: Beyond this the first terms of the expansion in 1 / df are exact to double precision.
+_LARGE = 200_000
 
 
 def _two_sided(t: float, df: int) -> float:
@@ -26,8 +29,11 @@ def _two_sided(t: float, df: int) -> float:
 
 def critical_value(df: int, level: float = 0.95) -> float:
     """Newton steps from the normal quantile; the curve is concave, so they rise to the root."""
+    if df > _LARGE and level == 0.95:
+        z = _NORMAL
+        return z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
     log_front = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
-    t = 1.959963984540054
+    t = _NORMAL
     for _ in range(200):
         density = 2 * math.exp(log_front - (df + 1) / 2 * math.log1p(t * t / df))
         step = (level - _two_sided(t, df)) / density
@@ -37,11 +43,12 @@ def critical_value(df: int, level: float = 0.95) -> float:
     return t
 
 
-@lru_cache(maxsize=1)
-def _rows() -> list[tuple[int, float]]:
-    return [(d, critical_value(d)) for d in range(1, MAX_DF + 1)]
+def t95(df: Column) -> Column:
+    """Critical value of every row's degrees of freedom; null below one."""
 
+    @F.pandas_udf("double")
+    def values(numbers: pd.Series) -> pd.Series:
+        known = {d: critical_value(int(d)) for d in numbers.dropna().unique() if d >= 1}
+        return numbers.map(known.get).astype(float)
 
-def student95(spark: SparkSession, max_df: int = MAX_DF) -> DataFrame:
-    """Lookup table (df, t95), at most ``MAX_DF`` rows."""
-    return spark.createDataFrame(_rows()[: min(max_df, MAX_DF)], "df int, t95 double")
+    return values(df.cast("bigint"))

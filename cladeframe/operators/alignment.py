@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.ordered import position_in_group, prefix_sum
+from cladeframe.session import durable
 
 SITE_BUCKET = 4096
 
@@ -74,11 +75,12 @@ def select_taxa(cells: DataFrame, taxa: DataFrame) -> DataFrame:
 def taxon_index(cells: DataFrame) -> DataFrame:
     """Ordered unique taxon names with their index.
 
-    The index counts through alphabetical buckets of the first letters, so no task
-    sorts all names.
+    The names are dealt out by ranges that Spark draws from the names themselves, so a
+    common beginning does not put them into one task.
     """
     names = cells.select(F.col("taxon").cast("string").alias("taxon")).distinct()
-    return position_in_group(names, [], ["taxon"], F.substring("taxon", 1, 3), "taxon_ix")
+    dealt = durable(names.repartitionByRange("taxon").withColumn("_part", F.spark_partition_id()))
+    return position_in_group(dealt, [], ["taxon"], F.col("_part"), "taxon_ix").drop("_part")
 
 
 def check_unique_taxa(seqs: DataFrame, keys: list[str] | None = None) -> DataFrame:

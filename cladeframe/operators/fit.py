@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.logspace import log_moments
 from cladeframe.functions.ordered import prefix_sum
-from cladeframe.functions.student import student95
+from cladeframe.functions.student import t95
 
 
 def cv_score(site_logl: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def run_fit(scores: DataFrame, min_ess: float = 10.0) -> DataFrame:
 
 
 def loocv_waic(scores: DataFrame, min_ess: float = 10.0, last_run: bool = False) -> DataFrame:
-    """Scores over at least two runs: one row for LOO-CV and one for wAIC.
+    """Scores over runs: one row for LOO-CV and one for wAIC; one run has no bias, sd and interval (null).
 
     The bias is half the mean across-run variance of the site terms, plus for LOO-CV
     and minus for wAIC, and is subtracted. The interval uses Student's t with
@@ -98,7 +98,7 @@ def loocv_waic(scores: DataFrame, min_ess: float = 10.0, last_run: bool = False)
     )
     one = lambda df: df.withColumn("_one", F.lit(1))
     row = one(site_part).join(one(run_part), "_one").withColumn("df", (F.col("n_runs") - 1).cast("int"))
-    row = row.join(F.broadcast(student95(scores.sparkSession)), "df")
+    row = row.withColumn("t95", t95(F.col("df")))
 
     def line(name: str, key: str, sign: float) -> Column:
         bias = sign * 0.5 * F.col(f"v_{key}")
@@ -135,7 +135,7 @@ def stepping_target(stepping: DataFrame, n_min: float, max_var: float, n_max: fl
 
 
 def marginal_likelihood(stepping: DataFrame, min_ess: float = 10.0) -> DataFrame:
-    """Per-site marginal likelihood over runs, debiased, with a Student interval of n_runs - 1 degrees."""
+    """Per-site marginal likelihood over runs, debiased, with a Student interval of n_runs - 1 degrees (null for one run)."""
     cycles = stepping.groupBy("cycle").agg(F.var_samp("logz").alias("v"), F.avg("ess").alias("e"))
     cycle_part = cycles.agg(
         F.count(F.lit(1)).alias("n_sites"), F.avg("v").alias("v"), F.avg("e").alias("mean_ess"),
@@ -144,7 +144,7 @@ def marginal_likelihood(stepping: DataFrame, min_ess: float = 10.0) -> DataFrame
     runs = stepping.groupBy("run").agg(F.avg("logz").alias("z"))
     run_part = runs.agg(F.count(F.lit(1)).alias("n_runs"), F.avg("z").alias("score")).withColumn("_one", F.lit(1))
     row = cycle_part.join(run_part, "_one").withColumn("df", (F.col("n_runs") - 1).cast("int"))
-    row = row.join(F.broadcast(student95(stepping.sparkSession)), "df")
+    row = row.withColumn("t95", t95(F.col("df")))
     bias = -0.5 * F.col("v")
     sd = F.sqrt(F.col("v") / F.col("n_sites") / F.col("n_runs"))
     centre = F.col("score") - bias

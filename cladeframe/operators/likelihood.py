@@ -64,18 +64,22 @@ def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, st
             F.sum("scale").alias("scale"), *[F.sum(x).alias(x) for x in xs],
         )
         top = F.greatest(*xs) if n > 1 else F.col(xs[0])
+        # all states impossible: the scale is minus infinity and the vector zero
+        shift = F.when(F.col("_top") > float("-inf"), F.col("_top")).otherwise(0.0)
         rescaled = summed.withColumn("_top", top).select(
             "node", *KEYS, "rate", *ps, (F.col("scale") + F.col("_top")).alias("scale"),
-            *[F.exp(F.col(x) - F.col("_top")).alias(x) for x in xs],
+            *[F.exp(F.col(x) - shift).alias(x) for x in xs],
         )
         up = tree.filter((F.col("depth") == d) & F.col("taxon").isNull()).drop("taxon").join(rescaled, "node")
         level = up.unionByName(leaf.filter(F.col("depth") == d))
         if (depth - d) % LEVELS_PER_CUT == 0:
             level = durable(level)
     root = sum((F.col(p) * F.col(x) for p, x in zip(ps[1:], xs[1:], strict=True)), F.col(ps[0]) * F.col(xs[0]))
-    found = level.select(*KEYS, (F.log(root) + F.col("scale")).alias("logl"))
+    logl = F.when(root > 0, F.log(root) + F.col("scale")).otherwise(float("-inf"))
+    found = level.select(*KEYS, logl.alias("logl"), F.lit(True).alias("_data"))
     # a site without data has likelihood one
-    return models.select(*KEYS).join(found, KEYS, "left").fillna(0.0, ["logl"])
+    joined = models.select(*KEYS).join(found, KEYS, "left")
+    return joined.select(*KEYS, F.when(F.col("_data"), F.col("logl")).otherwise(0.0).alias("logl"))
 
 
 @dataclass
@@ -102,6 +106,11 @@ def load_tree(nodes: DataFrame) -> SmallTree | None:
     )
 
 
+def _share(x: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Rows divided by their totals; a row of zeros stays."""
+    return x / np.where(total > 0, total, 1.0)[:, None]
+
+
 class Kernel:
     """Pruning for a batch of model rows: every vector is (rows, states)."""
 
@@ -156,7 +165,6 @@ class Kernel:
         below: list = [None] * n
         carried: list = [None] * n
         logs = np.zeros(len(self.rows))
-        node_logs: list = [0.0] * n
         for i in range(n):
             if self.tree.taxon[i] is not None:
                 column = self.leaf.get(self.tree.taxon[i])
@@ -168,9 +176,9 @@ class Kernel:
             if below[i] is None:
                 continue
             top = below[i].max(1)
-            below[i] = below[i] / top[:, None]
-            logs += np.log(top)
-            node_logs[i] = node_logs[i] + np.log(top)
+            below[i] = _share(below[i], top)
+            with np.errstate(divide="ignore"):
+                logs += np.log(top)  # minus infinity where no state is possible
             p = self.tree.parent[i]
             if p >= 0:
                 carried[i] = self.move(below[i], self.tree.length[i])
@@ -181,7 +189,8 @@ class Kernel:
         below, _, logs = self.up()
         if below[-1] is None:
             return logs
-        return np.log((below[-1] * self.pi).sum(1)) + logs
+        with np.errstate(divide="ignore"):
+            return np.log((below[-1] * self.pi).sum(1)) + logs
 
     def posteriors(self) -> dict[str, np.ndarray]:
         """State probabilities of the inner nodes, from the vectors of all their neighbours."""
@@ -200,16 +209,16 @@ class Kernel:
             for c in kids:
                 before.append(acc)
                 acc = acc * carried[c]
-                acc = acc / acc.max(1, keepdims=True)
+                acc = _share(acc, acc.max(1))
             joint = acc * self.pi
-            result[self.tree.names[i]] = joint / joint.sum(1, keepdims=True)
+            result[self.tree.names[i]] = _share(joint, joint.sum(1))
             after = np.ones((len(self.rows), self.k))
             for c, first in zip(reversed(kids), reversed(before), strict=True):
                 if self.tree.taxon[c] is None:
                     rest = first * after
-                    above[c] = self.move(rest / rest.max(1, keepdims=True), self.tree.length[c])
+                    above[c] = self.move(_share(rest, rest.max(1)), self.tree.length[c])
                 after = after * carried[c]
-                after = after / after.max(1, keepdims=True)
+                after = _share(after, after.max(1))
             for c in children.get(i, []):
                 if self.tree.taxon[c] is None and c not in above:
                     rest = acc
@@ -281,10 +290,11 @@ def total_loglik(site_logl: DataFrame, active: DataFrame | None = None) -> DataF
 
 
 def site_rate(logl: DataFrame, rates: DataFrame) -> DataFrame:
-    """Posterior mean rate of every (draw, site): sum of w r L over sum of w L."""
+    """Posterior mean rate of every (draw, site): sum of w r L over sum of w L; null where the likelihood is zero."""
     weights = {"_num": F.col("w") * F.col("rate"), "_den": F.col("w")}
     sums = weighted_log_sums(logl.join(rates, ["draw", "cat"]), ["draw", "site"], "logl", weights)
-    return sums.select("draw", "site", F.exp(F.col("_num") - F.col("_den")).alias("site_rate"))
+    rate = F.when(F.col("_den") > float("-inf"), F.exp(F.col("_num") - F.col("_den")))
+    return sums.select("draw", "site", rate.alias("site_rate"))
 
 
 def mean_site_rates(rates: DataFrame) -> DataFrame:
@@ -320,13 +330,15 @@ def ancestral_probs(
             logl = kernel.loglik()
             top = np.full(len(firsts), -np.inf)
             np.maximum.at(top, point, logl)
-            w = model["w"].to_numpy() * np.exp(logl - top[point])
+            w = model["w"].to_numpy() * np.exp(logl - np.where(top > -np.inf, top, 0.0)[point])
         total = np.bincount(point, w)
+        known = total > 0  # a point without likelihood has no ancestral states
         parts = []
         for node, probs in kernel.posteriors().items():
-            out = {"node": node, "site": names, "n": np.bincount(site)}
+            out = {"node": node, "site": names, "n": np.bincount(site[known], minlength=len(names))}
             for i, c in enumerate(sums):
-                out[c] = np.bincount(site, np.bincount(point, w * probs[:, i]) / total)
+                share = np.bincount(point, w * probs[:, i])[known] / total[known]
+                out[c] = np.bincount(site[known], share, len(names))
             parts.append(pd.DataFrame(out))
         return pd.concat(parts, ignore_index=True)
 
@@ -341,7 +353,7 @@ def ancestral_probs(
 
     left, right = _blocks(cells, weighted, tree)
     rows = left.cogroup(right).applyInPandas(solve, schema)
-    means = rows.groupBy("node", "site").agg(*[(F.sum(c) / F.sum("n")).alias(s) for c, s in zip(sums, states, strict=True)])
+    means = rows.filter("n > 0").groupBy("node", "site").agg(*[(F.sum(c) / F.sum("n")).alias(s) for c, s in zip(sums, states, strict=True)])
     return means.unpivot(["node", "site"], states, "state", "prob")
 
 

@@ -10,7 +10,7 @@ freq)``, ``alloc(run, iter, site, comp)``, ``omega(run, iter, omega)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DRAW = ["run", "iter"]
@@ -38,32 +38,24 @@ def _as_map(df: DataFrame, keys: list[str], item: Column, value: str, name: str)
     return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(item, F.col(value)))).alias(name))
 
 
-def _component_rows(nuc_stat: DataFrame, codon_profile: DataFrame, aa_profile: DataFrame) -> DataFrame:
-    """One row per (draw, comp) with the base, codon and acid frequencies as maps of at most 61 entries."""
-    draws = _as_map(nuc_stat, DRAW, F.col("nuc"), "freq", "_nuc").join(
-        _as_map(codon_profile, DRAW, F.col("codon"), "freq", "_cod"), DRAW
+def _codon_rows(codes: DataFrame, nuc_stat: DataFrame, codon_profile: DataFrame, aa_profile: DataFrame) -> DataFrame:
+    """One row per (draw, comp, sense codon): its frequency terms and stationary probability."""
+    sense = F.broadcast(codes.filter(~F.col("is_stop")).select("codon", "p1", "p2", "p3", "aa"))  # 64 codons at most
+    bases = _as_map(nuc_stat, DRAW, F.col("nuc"), "freq", "_nuc")  # four bases
+    nuc = F.col("_nuc")
+    own = codon_profile.join(sense, "codon").join(bases, DRAW).select(
+        *DRAW, "codon", "aa", "_nuc", F.col("freq").alias("cod"),
+        (F.col("freq") * nuc[F.col("p1")] * nuc[F.col("p2")] * nuc[F.col("p3")]).alias("_w"),
     )
-    return _as_map(aa_profile, [*DRAW, "comp"], F.col("aa"), "freq", "_aa").join(draws, DRAW)
-
-
-def _with_stationary(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    sense = codes.filter(~F.col("is_stop")).agg(F.collect_list(F.struct("codon", "p1", "p2", "p3", "aa"))).scalar()
-
-    def weight(c: Column) -> Column:
-        nuc = F.col("_nuc")
-        return F.struct(c["codon"].alias("codon"), (F.col("_cod")[c["codon"]] * nuc[c["p1"]] * nuc[c["p2"]] * nuc[c["p3"]] * F.col("_aa")[c["aa"]]).alias("z"))
-
-    weighted = rows.withColumn("_sense", sense).withColumn("_z", F.transform("_sense", weight)).drop("_sense")
-    total = F.aggregate("_z", F.lit(0.0), lambda a, c: a + c["z"])
-    return weighted.withColumn("_total", total)
+    acids = aa_profile.select(*DRAW, "comp", "aa", F.col("freq").alias("acid"))
+    z = F.col("_w") * F.col("acid")
+    total = F.sum(z).over(Window.partitionBy(*DRAW, "comp"))
+    return own.join(acids, [*DRAW, "aa"]).select(*DRAW, "comp", "codon", "cod", "acid", "_nuc", (z / total).alias("prob"))
 
 
 def codon_stationary(codes: DataFrame, nuc_stat: DataFrame, codon_profile: DataFrame, aa_profile: DataFrame) -> DataFrame:
     """Stationary codon probabilities per (draw, comp): product of base, codon and acid terms, normalised."""
-    rows = _with_stationary(_component_rows(nuc_stat, codon_profile, aa_profile), codes)
-    return rows.select(*DRAW, "comp", "_total", F.explode("_z").alias("_c")).select(
-        *DRAW, "comp", F.col("_c.codon").alias("codon"), (F.col("_c.z") / F.col("_total")).alias("prob")
-    )
+    return _codon_rows(codes, nuc_stat, codon_profile, aa_profile).select(*DRAW, "comp", "codon", "prob")
 
 
 def codon_fluxes(
@@ -72,19 +64,20 @@ def codon_fluxes(
 ) -> DataFrame:
     """Per (draw, comp, ordered codon pair): S, mutation flux and substitution flux.
 
-    ``neighbours`` has at most 526 rows and unfolds on every (draw, comp) row, where
-    all frequencies are looked up, so only draws are joined.
+    The codons of a component are rows; ``neighbours`` (at most 526 rows) is broadcast
+    to the codon a pair starts from, the codon it leads to is an equi-join.
     """
-    rows = _with_stationary(_component_rows(nuc_stat, codon_profile, aa_profile), codes)
+    rows = _codon_rows(codes, nuc_stat, codon_profile, aa_profile)
     rates = _as_map(nuc_rr, DRAW, F.concat("n1", "n2"), "value", "_rr")
-    rows = rows.join(rates, DRAW).join(omega, DRAW)
-    pairs = neighbours.agg(F.collect_list(F.struct("codon_from", "codon_to", "nuc_from", "nuc_to", "aa_from", "aa_to", "synonymous"))).scalar()
-    pi = F.map_from_entries("_z")
-    steps = rows.withColumn("_pi", pi).withColumn("_pairs", pairs).withColumn("_p", F.explode("_pairs")).select("*", "_p.*").drop("_pairs", "_p", "_z")
+    start = rows.select(*DRAW, "comp", F.col("codon").alias("codon_from"), F.col("cod").alias("_c1"), F.col("acid").alias("_a1"), "_nuc", "prob")
+    end = rows.select(*DRAW, "comp", F.col("codon").alias("codon_to"), F.col("cod").alias("_c2"), F.col("acid").alias("_a2"))
+    steps = (
+        start.join(F.broadcast(neighbours.select("codon_from", "codon_to", "nuc_from", "nuc_to", "synonymous")), "codon_from")
+        .join(end, [*DRAW, "comp", "codon_to"]).join(rates, DRAW).join(omega, DRAW)
+    )
     swap = F.concat(F.least("nuc_from", "nuc_to"), F.greatest("nuc_from", "nuc_to"))
-    mut = F.col("_rr")[swap] * F.col("_nuc")[F.col("nuc_to")] * F.col("_pi")[F.col("codon_from")] / F.col("_total")
-    acids = F.log(F.col("_aa")[F.col("aa_to")] / F.col("_aa")[F.col("aa_from")])
-    s = F.log(F.col("_cod")[F.col("codon_to")] / F.col("_cod")[F.col("codon_from")]) + F.when(F.col("synonymous"), 0.0).otherwise(acids)
+    mut = F.col("_rr")[swap] * F.col("_nuc")[F.col("nuc_to")] * F.col("prob")
+    s = F.log(F.col("_c2") / F.col("_c1")) + F.when(F.col("synonymous"), 0.0).otherwise(F.log(F.col("_a2") / F.col("_a1")))
     pull = F.when(F.col("synonymous"), 1.0).otherwise(F.col("omega"))
     flux = steps.select(*DRAW, "comp", "codon_from", "codon_to", "synonymous", "omega", s.alias("s"), mut.alias("mut"))
     return flux.withColumn("sub", F.col("mut") * fixation_factor(F.col("s")) * pull).drop("omega")

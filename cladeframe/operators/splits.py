@@ -184,21 +184,25 @@ def compatible_with(a: DataFrame, b: DataFrame) -> DataFrame:
     return a
 
 
-def _on_shared(freq: DataFrame, shared: Column) -> DataFrame:
-    cut = freq.withColumn("split", canonical_split(F.array_intersect(F.col("split"), shared), shared))
-    return cut.filter(F.size("split") > 0).groupBy("split").agg(F.max("prob").alias("prob"))
+def restricted_freq(splits: DataFrame, trees: DataFrame, shared: Column) -> DataFrame:
+    """Split frequencies of trees cut down to the shared taxa.
+
+    Every tree's splits are projected first, so splits of different trees that fall
+    together count as the one split that these trees share.
+    """
+    return split_freq(restrict_splits(splits, shared), trees)
 
 
-def split_support(a: DataFrame, b: DataFrame, shared: Column) -> DataFrame:
-    """Probability in ``b`` of every split of ``a``, both restricted to the shared taxa."""
-    right = _on_shared(b, shared).select("split", F.col("prob").alias("support"))
-    return _on_shared(a, shared).join(right, "split", "left").fillna(0.0, ["support"])
+def split_support(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Probability in ``b`` of every split of ``a``; both lists are on the same taxa."""
+    right = b.select("split", F.col("prob").alias("support"))
+    return a.select("split", "prob").join(right, "split", "left").fillna(0.0, ["support"])
 
 
-def split_compat_with(a: DataFrame, b: DataFrame, shared: Column) -> DataFrame:
+def split_compat_with(a: DataFrame, b: DataFrame) -> DataFrame:
     """Splits of ``a`` with the number and best probability of conflicting splits of ``b``."""
-    mine = _on_shared(a, shared)
-    clashes = split_conflicts(mine, _on_shared(b, shared)).groupBy("split").agg(
+    mine = a.select("split", "prob")
+    clashes = split_conflicts(mine, b).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_conflicts"), F.max("prob_b").alias("max_conflict")
     )
     return mine.join(clashes, "split", "left").fillna(0, ["n_conflicts", "max_conflict"])

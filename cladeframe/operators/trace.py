@@ -52,6 +52,8 @@ def thin_trees(trees: DataFrame, burnin: int = -1, every: int = 1, until: int |
 
 def align_traces(trace: DataFrame, burnin: int = -1, until: int | None = None) -> DataFrame:
     """Trim all runs to the shortest one, drop the burn-in (-1: a fifth) and renumber from 0."""
+    if burnin < -1:
+        raise ValueError("a burn-in is a number of points, or -1 for a fifth of them")
     longest = trace.groupBy("run").agg((F.max("iter") + 1).alias("_n"))
     size = longest.agg(F.min("_n").alias("_n"))
     if until is not None:

@@ -137,8 +137,15 @@ def unroot(trees: DataFrame) -> DataFrame:
 
 
 def reroot(trees: DataFrame, outgroup: list[str]) -> DataFrame:
+    """Trees rooted above the outgroup; ``rooted`` is false where it is no clade and the tree stays unrooted."""
     group = set(outgroup)
-    return rewrite_trees(trees, lambda root: nw.reroot(root, group))
+
+    @F.pandas_udf("newick string, rooted boolean")
+    def edited(texts: pd.Series) -> pd.DataFrame:
+        made = [nw.reroot(nw.parse(t), group) for t in texts]
+        return pd.DataFrame({"newick": [nw.render(r) for r, _ in made], "rooted": [ok for _, ok in made]})
+
+    return trees.select("run", "iter", edited("newick").alias("_e")).select("run", "iter", "_e.newick", "_e.rooted")
 
 
 def prune_taxa(trees: DataFrame, keep: list[str]) -> DataFrame:

@@ -193,10 +193,10 @@ def _(spark, d):
 ))
 def _(spark, d):
     """Student limits of every cycle over the runs."""
-    from cladeframe.functions.student import student95
+    from cladeframe.functions.student import t95
 
     cycles = fit.stepping_estimate(t.stepping_li(spark, d)).groupBy("cycle").agg(
         F.count(F.lit(1)).alias("n_runs"), F.avg("logz").alias("m"), F.stddev_samp("logz").alias("s")
     )
-    joined = cycles.withColumn("df", (F.col("n_runs") - 1).cast("int")).join(F.broadcast(student95(spark)), "df")
+    joined = cycles.filter("n_runs > 1").withColumn("t95", t95(F.col("n_runs") - 1))
     return tidy(joined.select("cycle", "n_runs", (F.col("m") - F.col("t95") * F.col("s") / F.sqrt("n_runs")).alias("ci_low")), 5)

@@ -252,27 +252,36 @@ def _(spark, d):
 
 
 _SH = "(CASE WHEN m & 2 = 2 THEN 126 - (m & 126) ELSE m & 126 END)"
-_SHARED = ", c AS (SELECT run, max(prob) AS prob, " + _SH + " AS m FROM split_freq GROUP BY run, 3), a AS (SELECT m, prob FROM c WHERE run = 'F' AND m <> 0), b AS (SELECT m, prob FROM c WHERE run = 'O' AND m <> 0) "
+_SIDE = "CASE WHEN run = 'F' THEN 'F' ELSE 'rest' END"
+_SHARED = (
+    f", o AS (SELECT DISTINCT {_SIDE} AS g, run, iter, {_SH} AS m FROM splits_ord), "
+    f"k AS (SELECT {_SIDE} AS g, count(*) AS n_trees FROM order_mask GROUP BY 1), "
+    "c AS (SELECT g, m, count(*) / any_value(n_trees)::DOUBLE AS prob FROM o JOIN k USING (g) WHERE m <> 0 GROUP BY 1, 2), "
+    "a AS (SELECT m, prob FROM c WHERE g = 'F'), b AS (SELECT m, prob FROM c WHERE g = 'rest') "
+)
 
 
-def _shared():
-    return F.array(*[F.lit(x) for x in "123456"])
+def _restricted(spark, d):
+    """Split frequencies of run F and of all other runs together, on the taxa 1 to 6."""
+    side = F.when(F.col("run") == "F", "F").otherwise("rest")
+    trees = t.order_trees(spark, d).groupBy(side.alias("run")).agg(F.sum("n_trees").alias("n_trees"))
+    splits = t.splits_ord(spark, d).withColumn("run", side)
+    both = sp.restricted_freq(splits, trees, F.array(*[F.lit(x) for x in "123456"]))
+    return both.filter(F.col("run") == "F"), both.filter(F.col("run") == "rest")
 
 
-@register("split_support", cte("split_freq", _SHARED + f"SELECT {M} AS split, {rnd('a.prob', 'prob')}, {rnd('coalesce(b.prob, 0)', 'support')} FROM a LEFT JOIN b USING (m)"))
+@register("split_support", cte("splits_ord", _SHARED + f"SELECT {M} AS split, {rnd('a.prob', 'prob')}, {rnd('coalesce(b.prob, 0)', 'support')} FROM a LEFT JOIN b USING (m)"))
 def _(spark, d):
-    """Support of one run's splits in another, on the taxa 1 to 6."""
-    both = freq(spark, d)
-    return show(sp.split_support(both.filter(F.col("run") == "F"), both.filter(F.col("run") == "O"), _shared()))
+    """Support of one run's splits in the others, on the taxa 1 to 6."""
+    return show(sp.split_support(*_restricted(spark, d)))
 
 
 @register("split_compat_with", cte(
-    "split_freq",
+    "splits_ord",
     _SHARED + f"SELECT {mask_text('a.m')} AS split, {rnd('any_value(a.prob)', 'prob')}, count(b.m) AS n_conflicts, {rnd('coalesce(max(b.prob), 0)', 'max_conflict')} FROM a LEFT JOIN b ON {_CONFLICT.format('a.m', 'b.m')} GROUP BY a.m",
 ))
 def _(spark, d):
-    both = freq(spark, d)
-    return show(sp.split_compat_with(both.filter(F.col("run") == "F"), both.filter(F.col("run") == "O"), _shared()))
+    return show(sp.split_compat_with(*_restricted(spark, d)))
 
 
 def _greedy_sql(cutoff: float) -> str:

@@ -34,11 +34,23 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, path: str, drop: int = 3) -> DataFrame:
-    """Long trace(run, iter, param, value); the first ``drop`` columns are left out."""
-    wide = spark.read.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    params = [c for c in wide.columns[drop:] if c and not c.startswith("_c")]
-    numbers = _numbered(_located(wide.select(*[F.col(f"`{p}`").cast("double").alias(p) for p in params], "_metadata")))
-    return numbers.unpivot(["run", "iter"], params, "param", "value")
+    """Long trace(run, iter, param, value); the first ``drop`` columns are left out.
+
+    Every file is read by its own header, so runs with other columns do not mix.
+    """
+    lines = _located(spark.read.text(path).filter(F.trim("value") != ""))
+    return parse_traces(_numbered(lines), drop)
+
+
+def parse_traces(lines: DataFrame, drop: int = 3) -> DataFrame:
+    """Trace lines (run, iter, value), the header of a run at iter 0, to long rows numbered from 0."""
+    fields = F.transform(F.split(F.rtrim("value"), "\t"), F.trim)
+    cut = lines.select("run", "iter", fields.alias("_v"))
+    heads = cut.filter("iter = 0").select("run", F.col("_v").alias("_h"))
+    body = cut.filter("iter > 0").join(heads, "run")
+    cells = body.select("run", (F.col("iter") - 1).alias("iter"), F.posexplode("_h").alias("_i", "param"), "_v")
+    kept = cells.filter((F.col("_i") >= drop) & (F.col("param") != ""))
+    return kept.select("run", "iter", "param", F.get("_v", F.col("_i")).cast("double").alias("value"))
 
 
 def read_site_scores(spark: SparkSession, path: str) -> DataFrame:

@@ -316,10 +316,12 @@ def mutsel(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     draw = ["run", "iter"]
 
     def smoothed(keys: list[str], slot: Column, names: list[str], name: str) -> DataFrame:
-        counts = li.withColumn("_s", slot.cast("int")).groupBy(*keys).agg(*[(F.count(F.when(F.col("_s") == i, 1)) + 1).alias(f"_c{i}") for i in range(len(names))])
-        total = sum((F.col(f"_c{i}") for i in range(1, len(names))), F.col("_c0"))
-        parts = F.explode(F.array(*[F.struct(F.lit(v).alias(name), (F.col(f"_c{i}") / total).alias("freq")) for i, v in enumerate(names)]))
-        return counts.select(*keys, parts.alias("p")).select(*keys, f"p.{name}", "p.freq")
+        counts = li.withColumn("_s", slot.cast("int")).groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c"))
+        totals = counts.groupBy(*keys).agg((F.sum("_c") + len(names)).alias("_t"))
+        grid = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_s"))
+        label = F.array(*[F.lit(v) for v in names])[F.col("_s")]
+        freq = (F.coalesce("_c", F.lit(0)) + 1) / F.col("_t")
+        return grid.join(counts, [*keys, "_s"], "left").select(*keys, label.alias(name), freq.alias("freq"))
 
     pairs = ["AC", "AG", "AT", "CG", "CT", "GT"]
     rr = smoothed(draw, F.col("l_quantity") % 6, pairs, "pair").select(
