@@ -13,7 +13,7 @@
    Of these a class keeps the one it shares most prefix shingles with.
 4. Pairs are verified once: first the suffix filter, which cuts both sets at fixed
    places of the hash range and bounds the overlap by the parts' sizes, on vectors of
-   fixed size; then the exact count on the sets. Verified links give components; the
+   a few bits per shingle; then the exact count on the sets. Verified links give components; the
    second round pairs only classes of different components that pass all filters, so
    no link between components is lost and no family is expanded into all its pairs.
 """
@@ -37,8 +37,6 @@ _COUNTERS = 19  # bits of each of the two counter rows
 _SLICES = 32
 _FLUSH = 400_000  # prefix entries per block of a map task
 _BUCKET = 400_000  # prefix entries per bucket
-_SEGMENTS = 128
-_CUTS = np.arange(1, _SEGMENTS, dtype=np.uint64) << np.uint64(57)
 
 
 class Shingler:
@@ -96,8 +94,16 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def segments(h: np.ndarray) -> np.ndarray:
-    """How many of the sorted hashes lie in each part of the hash range."""
-    return np.diff(np.searchsorted(h, _CUTS), prepend=0, append=len(h)).astype("<u4")
+    """How many of the hashes lie in each of 2^k equal parts of the hash range, about one on average."""
+    bits = max(6, (max(len(h), 1) - 1).bit_length())
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
+
+
+def apart(one: np.ndarray, two: np.ndarray) -> int:
+    """Least number of shingles that only one of two sets has, from their part sizes."""
+    if len(one) > len(two):
+        one, two = two, one
+    return int(np.abs(one.astype(np.int64) - two.reshape(len(one), -1).sum(1)).sum())
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -197,6 +203,26 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def has_partner(h: np.ndarray, n: np.ndarray, p: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Entries, sorted by shingle, with a partner that length and position allow.
+
+    Shingles of up to 64 classes are compared in full; all entries of others stay.
+    """
+    keep = size > 64
+    at = np.flatnonzero((size > 1) & ~keep)
+    rest = n - p
+    for step in range(1, 64):
+        at = at[at + step < len(h)]
+        at = at[h[at] == h[at + step]]
+        if not len(at):
+            break
+        to = at + step
+        fine = 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
+        fine &= np.minimum(rest[at], rest[to]) >= needed(n[at], n[to], percent)
+        keep[at[fine]] = keep[to[fine]] = True
+    return keep
+
+
 def shared_entries(blocks: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Entries of shingles that two classes or more send, each with the class to try first.
 
@@ -223,10 +249,11 @@ def shared_entries(blocks: DataFrame, buckets: int, percent: int) -> DataFrame:
             fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
             h, c, n, p = h[fresh], c[fresh], n[fresh], p[fresh]
             edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-            size = np.repeat(np.diff(edge), np.diff(edge))
+            keep = has_partner(h, n, p, np.repeat(np.diff(edge), np.diff(edge)), percent)
+            h, c, n, p = h[keep], c[keep], n[keep], p[keep]
+            edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
             first = np.repeat(edge[:-1], np.diff(edge))
-            keep = size > 1
-            h, c, n, p, fc, fn, fp = h[keep], c[keep], n[keep], p[keep], c[first][keep], n[first][keep], p[first][keep]
+            fc, fn, fp = c[first], n[first], p[first]
             good = (c != fc) & (100 * np.minimum(n, fn) >= percent * np.maximum(n, fn))
             good &= np.minimum(n - p, fn - fp) >= needed(n, fn, percent)
             for a in range(0, len(h), 100_000):
@@ -285,15 +312,12 @@ def possible_pairs(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            one, two = (
-                np.frombuffer(b"".join(zlib.decompress(x) for x in batch[s]), "<u4").reshape(-1, _SEGMENTS).astype(np.int64)
-                for s in ("sa", "sb")
-            )
-            size = one.sum(1) + two.sum(1)
-            apart = np.abs(one - two).sum(1)
-            yield batch.loc[size - apart >= 2 * (-(-percent * size // (100 + percent))), ["a", "b"]]
+            good = []
+            for x, y in zip(batch["sa"], batch["sb"], strict=True):
+                one, two = (np.frombuffer(zlib.decompress(z), "<u2") for z in (x, y))
+                n, m = int(one.sum()), int(two.sum())
+                good.append(n + m - apart(one, two) >= 2 * needed(n, m, percent))
+            yield batch.loc[np.array(good, bool), ["a", "b"]]
 
     left = parts.select(F.col("c").alias("a"), F.col("seg").alias("sa"))
     right = parts.select(F.col("c").alias("b"), F.col("seg").alias("sb"))
