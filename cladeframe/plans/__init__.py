@@ -9,10 +9,11 @@ from cladeframe.plans import (
     samples,
     scores,
     splitlists,
+    texts,
     treelists,
 )
 
-MODULES = [alignments, codons, chains, scores, splitlists, treelists, likelihoods, mappings, samples]
+MODULES = [alignments, codons, chains, scores, splitlists, treelists, likelihoods, mappings, samples, texts]
 
 
 def all_queries() -> dict:

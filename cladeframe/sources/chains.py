@@ -28,9 +28,14 @@ def _numbered(located: DataFrame, name: str = "iter") -> DataFrame:
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """(run, iter, newick): one record per tree, ended by ';' over any number of lines."""
-    pieces = _located(spark.read.text(path, lineSep=";")).withColumn("value", F.regexp_replace("value", r"\s+", ""))
-    trees = _numbered(pieces.filter(F.col("value").startswith("(")))
-    return trees.select("run", "iter", F.concat("value", F.lit(";")).alias("newick"))
+    pieces = _located(spark.read.text(path, lineSep=";"))
+    return parse_trees(_numbered(pieces.filter(F.trim(F.regexp_replace("value", r"\s+", "")).startswith("("))))
+
+
+def parse_trees(records: DataFrame) -> DataFrame:
+    """Records (run, iter, value) without their ';' to Newick text without white space."""
+    text = F.regexp_replace("value", r"\s+", "")
+    return records.select("run", "iter", F.concat(text, F.lit(";")).alias("newick")).filter(F.col("newick").startswith("("))
 
 
 def read_traces(spark: SparkSession, path: str, drop: int = 3) -> DataFrame:
@@ -44,7 +49,7 @@ def read_traces(spark: SparkSession, path: str, drop: int = 3) -> DataFrame:
 
 def parse_traces(lines: DataFrame, drop: int = 3) -> DataFrame:
     """Trace lines (run, iter, value), the header of a run at iter 0, to long rows numbered from 0."""
-    fields = F.transform(F.split(F.rtrim("value"), "\t"), F.trim)
+    fields = F.transform(F.split(F.rtrim("value"), "\t"), lambda x: F.trim(x))
     cut = lines.select("run", "iter", fields.alias("_v"))
     heads = cut.filter("iter = 0").select("run", F.col("_v").alias("_h"))
     body = cut.filter("iter > 0").join(heads, "run")
@@ -55,8 +60,18 @@ def parse_traces(lines: DataFrame, drop: int = 3) -> DataFrame:
 
 def read_site_scores(spark: SparkSession, path: str) -> DataFrame:
     """Per-site score files: a header line and seven tab-separated columns; site numbers start at 1."""
-    schema = "site int, logl double, var double, logcpo double, ess_cpo double, logpostmeanl double, ess_l double"
-    return spark.read.csv(path, sep="\t", header=True, schema=schema).select(run_name().alias("run"), "*")
+    return parse_site_scores(spark.read.text(path).select(run_name().alias("run"), "value"))
+
+
+SITE_SCORES = ["logl", "var", "logcpo", "ess_cpo", "logpostmeanl", "ess_l"]
+
+
+def parse_site_scores(lines: DataFrame) -> DataFrame:
+    """Score lines (run, value) to columns; lines that do not begin with a site number are headers."""
+    fields = F.transform(F.split("value", "\t"), lambda x: F.trim(x))
+    cut = lines.select("run", fields.alias("_v")).filter(F.col("_v")[0].rlike(r"^\d+$"))
+    columns = [F.get("_v", F.lit(i)).cast("double").alias(n) for i, n in enumerate(SITE_SCORES, 1)]
+    return cut.select("run", F.col("_v")[0].cast("int").alias("site"), *columns)
 
 
 STEPPING = ["frac", "nsite", "logz", "meanlogp", "meanlogprior", "varlogp", "npoint", "ess"]
@@ -66,14 +81,23 @@ PILOT = ["pilot_logz", "pilot_meanlogp", "pilot_meanlogprior", "pilot_varlogp",
 def read_stepping(spark: SparkSession, path: str) -> DataFrame:
     """Stepping files of eight columns, or fourteen with a pilot pass; the cycle is the line number."""
     located = _located(spark.read.text(path).filter(F.trim("value") != ""))
-    lines = _numbered(located, "cycle").withColumn("_w", F.split(F.trim("value"), r"\s+"))
+    return parse_stepping(_numbered(located, "cycle"))
+
+
+def parse_stepping(lines: DataFrame) -> DataFrame:
+    """Stepping lines (run, cycle, value) to columns."""
+    lines = lines.withColumn("_w", F.split(F.trim("value"), r"\s+"))
     columns = [F.get(F.col("_w"), i).cast("double").alias(n) for i, n in enumerate(STEPPING + PILOT)]
     return lines.select("run", "cycle", *columns).withColumn("npoint", F.col("npoint").cast("bigint"))
 
 
 def read_site_logl(spark: SparkSession, path: str) -> DataFrame:
     """Draw x site matrix, one line per draw, to site_logl(run, iter, site, logl)."""
-    lines = _numbered(_located(spark.read.text(path).filter(F.trim("value") != "")))
+    return parse_site_logl(_numbered(_located(spark.read.text(path).filter(F.trim("value") != ""))))
+
+
+def parse_site_logl(lines: DataFrame) -> DataFrame:
+    """Matrix lines (run, iter, value), one value per site."""
     return lines.select("run", "iter", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("site", "_v")).select(
         "run", "iter", "site", F.col("_v").cast("double").alias("logl")
     )
@@ -87,8 +111,12 @@ def read_draws(spark: SparkSession, path: str, states: list[str], scalars: tuple
     cut at ';', so the text behind a cut holds the numbers of one point and the tree of
     the next.
     """
+    return parse_draws(_numbered(_located(spark.read.text(path, lineSep=";")), "_piece"), states, scalars)
+
+
+def parse_draws(pieces: DataFrame, states: list[str], scalars: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Pieces (run, _piece, value) of chain files, cut at ';', to the tables of ``read_draws``."""
     k, n = len(states), len(scalars)
-    pieces = _numbered(_located(spark.read.text(path, lineSep=";")), "_piece")
     tree = F.regexp_replace(F.regexp_extract("value", r"(?s)(\(.*)$", 1), r"\s+", "")
     trees = pieces.select("run", F.col("_piece").alias("iter"), tree.alias("_t")).filter(F.col("_t") != "")
     numbers = F.split(F.trim(F.regexp_replace(F.regexp_replace("value", r"(?s)\(.*$", ""), r"\s+", " ")), " ")
@@ -121,15 +149,24 @@ def write_draws(tables: dict[str, DataFrame], path: str) -> None:
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
     """Gene partition: a count, then lines 'index begin end' (1-based, inclusive)."""
-    words = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).select(words.alias("w")).filter(F.size("w") >= 3)
+    return parse_genes(spark.read.text(path))
+
+
+def parse_genes(lines: DataFrame) -> DataFrame:
+    """Gene lines (value); shorter lines, such as the count, are skipped."""
+    lines = lines.select(F.split(F.trim("value"), r"\s+").alias("w")).filter(F.size("w") >= 3)
     return lines.select(*[F.col("w")[i].cast("int").alias(c) for i, c in enumerate(("gene", "site_begin", "site_end"))])
 
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     """Excluded genes: a count, then that many 1-based gene numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\s+").alias("w"))
-    return whole.select(F.explode(F.slice("w", F.lit(2), F.col("w")[0].cast("int"))).alias("gene")).withColumn("gene", F.col("gene").cast("int"))
+    return parse_exclusions(spark.read.text(path, wholetext=True))
+
+
+def parse_exclusions(texts: DataFrame, *keys: str) -> DataFrame:
+    """Whole texts (keys, value): a count, then that many gene numbers."""
+    whole = texts.select(*keys, F.split(F.trim("value"), r"\s+").alias("w"))
+    return whole.select(*keys, F.explode(F.slice("w", F.lit(2), F.col("w")[0].cast("int"))).alias("gene")).withColumn("gene", F.col("gene").cast("int"))
 
 
 def read_mixture(spark: SparkSession, path: str, floor: float = 1e-8) -> DataFrame:
@@ -139,7 +176,12 @@ def read_mixture(spark: SparkSession, path: str, floor: float = 1e-8) -> DataFra
     weight and its profile. Frequencies are raised to ``floor``; profiles and weights
     are normalised.
     """
-    whole = spark.read.text(path, wholetext=True).select(run_name().alias("name"), F.split(F.trim("value"), r"\s+").alias("w"))
+    return parse_mixture(spark.read.text(path, wholetext=True).select(run_name().alias("name"), "value"), floor)
+
+
+def parse_mixture(texts: DataFrame, floor: float = 1e-8) -> DataFrame:
+    """Whole mixture texts (name, value) to rows."""
+    whole = texts.select("name", F.split(F.trim("value"), r"\s+").alias("w"))
     k = F.col("w")[0].cast("int")
     shape = whole.select("name", k.alias("k"), F.slice("w", F.lit(2), k).alias("letters"), F.expr("slice(w, cast(w[0] as int) + 3, size(w))").alias("rest"))
     rows = shape.withColumn("_n", F.floor(F.size("rest") / (F.col("k") + 1))).withColumn("comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
@@ -157,5 +199,10 @@ def read_mixture(spark: SparkSession, path: str, floor: float = 1e-8) -> DataFra
 def read_posthyper(spark: SparkSession, path: str) -> DataFrame:
     """(run, line, shape, rate): the two-column lines of a prior table, numbered in file order."""
     located = _located(spark.read.text(path).filter(F.trim("value") != ""))
-    lines = _numbered(located, "line").withColumn("_w", F.split(F.trim("value"), r"\s+"))
+    return parse_posthyper(_numbered(located, "line"))
+
+
+def parse_posthyper(lines: DataFrame) -> DataFrame:
+    """Prior lines (run, line, value) with two numbers."""
+    lines = lines.withColumn("_w", F.split(F.trim("value"), r"\s+"))
     return lines.filter(F.size("_w") == 2).select("run", "line", F.col("_w")[0].cast("double").alias("shape"), F.col("_w")[1].cast("double").alias("rate"))

@@ -28,24 +28,29 @@ def alignment_lines(cells: DataFrame, n_sites: int, keys: list[str] | None = Non
     return everyone.select(*keys, F.concat(F.coalesce(F.array_join(gaps, ""), F.lit("")), tail).alias("seq"))
 
 
-def write_phylip(cells: DataFrame, path: str, n_sites: int, width: int = 1) -> None:
-    """Padded PHYLIP text: a header line with the sizes, then one line per taxon.
-
-    The header is a line of its own part, written with the rows; ``width`` 3 writes
-    codons, whose header counts letters.
-    """
+def phylip_lines(cells: DataFrame, n_sites: int, width: int = 1) -> DataFrame:
+    """Lines (_part, taxon, value) of a padded PHYLIP text: the header with the sizes in part 0, a line per taxon in part 1."""
     lines = alignment_lines(cells, n_sites, width=width).withColumn("taxon", F.col("taxon").cast("string"))
     size = lines.agg(F.max(F.length("taxon")).alias("w"), F.count(F.lit(1)).alias("n"))
     pad = size.select("w").scalar()
     body = lines.select(F.lit(1).alias("_part"), "taxon", F.concat(F.rpad("taxon", pad + 2, " "), "seq").alias("value"))
     head = size.select(F.lit(0).alias("_part"), F.lit("").alias("taxon"), F.concat_ws(" ", "n", F.lit(n_sites * width)).alias("value"))
-    head.unionByName(body).orderBy("_part", "taxon").select("value").write.mode("overwrite").text(path)
+    return head.unionByName(body)
 
 
-def write_fasta(cells: DataFrame, path: str, n_sites: int) -> None:
-    lines = alignment_lines(cells, n_sites)
+def write_phylip(cells: DataFrame, path: str, n_sites: int, width: int = 1) -> None:
+    """Padded PHYLIP text, header first; ``width`` 3 writes codons, whose header counts letters."""
+    phylip_lines(cells, n_sites, width).orderBy("_part", "taxon").select("value").write.mode("overwrite").text(path)
+
+
+def fasta_lines(cells: DataFrame, n_sites: int) -> DataFrame:
+    """One value per taxon: its name behind '>', and its row on the next line."""
     text = F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit("\n"), "seq")
-    lines.select(text.alias("value")).write.mode("overwrite").text(path)
+    return alignment_lines(cells, n_sites).select(text.alias("value"))
+
+
+def write_fasta(cells: DataFrame, path: str, n_sites: int) -> None:
+    fasta_lines(cells, n_sites).write.mode("overwrite").text(path)
 
 
 def wide_table(df: DataFrame, row: str, column: str, value: str, names: list[str]) -> DataFrame:
