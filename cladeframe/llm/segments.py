@@ -19,6 +19,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -88,16 +89,19 @@ class _Column:
         self.n += len(values)
 
 
-def _hashes(chars: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """Hashes of the 1, 2, ... n characters that begin at each place."""
+def _hashes(chars: np.ndarray, left: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Lengths, places and hashes of the substrings of up to ``n`` characters; ``left`` characters follow a place."""
     mixed = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
+    at = np.arange(len(chars))
     h = np.full(len(chars), 0x243F6A8885A308D3, np.uint64)
     for length in range(1, n + 1):
-        h = h[: len(chars) - length + 1]
-        h = (h ^ mixed[length - 1 :]) * np.uint64(0xD6E8FEB86659FD93)
+        if length > 1:
+            fits = left[at] >= length
+            at, h = at[fits], h[fits]
+        h = (h ^ mixed[at + (length - 1)]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        yield h
+        yield length, at, h
 
 
 class Lattices(dict):
@@ -114,8 +118,9 @@ class Lattices(dict):
         ids = np.zeros(len(keys), np.int32)
         weights = np.zeros(len(keys))
         for i, (piece, (number, weight)) in enumerate(pieces.weight.items()):
-            *_, last = _hashes(np.array([ord(c) for c in piece], np.uint32), len(piece))
-            keys[i], ids[i], weights[i] = last[0], number, weight
+            size = len(piece)
+            *_, last = _hashes(np.array([ord(c) for c in piece], np.uint32), np.arange(size, 0, -1), size)
+            keys[i], ids[i], weights[i] = last[2][0], number, weight
         order = np.argsort(keys)
         self.table, self.piece_id, self.piece_weight = KeyTable(keys[order]), ids[order], weights[order]
         self.reset()
@@ -149,9 +154,8 @@ class Lattices(dict):
         place = np.arange(len(chars))
         left = end - place
         edges = []
-        for length, h in enumerate(_hashes(chars, min(self.pieces.longest, int(sizes.max()))), 1):
-            at = np.flatnonzero(left[: len(h)] >= length)
-            found = self.table.find(h[at])
+        for length, at, h in _hashes(chars, left, min(self.pieces.longest, int(sizes.max()))):
+            found = self.table.find(h)
             hit = found >= 0
             at, found = at[hit], found[hit]
             edges.append((at, at + length, self.piece_weight[found], self.piece_id[found]))
@@ -166,7 +170,7 @@ class Lattices(dict):
                 edges.append((odd, odd + 1, weight, (-1 - first - np.arange(len(odd))).astype(np.int32)))
         source, target, gain, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
         # masses of the ends, all units at once by what is left behind a place
-        order = np.lexsort((source, left[source]))
+        order = np.argsort(left[source] * len(chars) + source, kind="stable")
         source, target, gain, piece = source[order], target[order], gain[order], piece[order]
         beta = np.zeros(len(chars) + 1)
         behind = np.where(target == end[source], len(chars), target)  # the end of a unit has mass 1
@@ -180,12 +184,13 @@ class Lattices(dict):
             total = np.add.reduceat(np.exp(value - np.repeat(most, wide)), head)
             beta[source[a:b][head]] = most + np.log(total)
         gain = gain + beta[behind] - beta[source]
-        order = np.lexsort((-gain, source))
-        source, target, gain, piece = source[order], target[order], gain[order], piece[order]
+        chance = np.exp(gain)
+        order = np.argsort(source + (1.0 - chance) * 0.999, kind="stable")  # by place, the likely edges first
+        source, target, gain, piece, chance = source[order], target[order], gain[order], piece[order], chance[order]
         head = np.flatnonzero(np.diff(source, prepend=-1))
         wide = np.diff(np.append(head, len(source)))
-        run = np.cumsum(np.exp(gain))
-        upto = run - np.repeat(run[head] - np.exp(gain[head]), wide)
+        run = np.cumsum(chance)
+        upto = run - np.repeat(run[head] - chance[head], wide)
         upto[np.append(head[1:], len(source)) - 1] = 2.0
         # one more node behind every unit
         node, edge = self.first.n, self.logp.n
@@ -223,6 +228,12 @@ class Lattices(dict):
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
 
 
+@lru_cache(maxsize=1)
+def shared_lattices(path: str, sharpness: float) -> Lattices:
+    """The lattices of a Python worker, kept from task to task; what they hold changes no result."""
+    return Lattices(Pieces(path, sharpness))
+
+
 def _unit_draws(seed: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1) from a seed per row and up to three counters."""
     x = seed.astype(np.uint64)
@@ -396,7 +407,7 @@ def sample_segmentations(
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lat = Lattices(Pieces(path, sharpness))
+        lat = shared_lattices(path, sharpness)
         for batch in batches:
             keys, texts = batch["k"], list(batch["t"])
             for lo, hi in blocks(texts, 1 << 20):
