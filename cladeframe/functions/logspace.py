@@ -64,10 +64,10 @@ def combine_bands(bands: DataFrame, keys: Sequence[str]) -> DataFrame:
             n.alias("n"),
             F.first("_all").alias("mean"),
             (F.sum(F.col("_n") * (F.col("_var") + F.pow(F.col("_mean") - F.col("_all"), 2))) / n).alias("var"),
-            (F.log(p1 / n) + BAND * F.max("_bmax")).alias("log_mean_exp"),
-            (p1 * p1 / p2).alias("ess"),
+            F.when(p1 > 0, F.log(p1 / n) + BAND * F.max("_bmax")).otherwise(float("-inf")).alias("log_mean_exp"),
+            F.try_divide(p1 * p1, p2).alias("ess"),
             (BAND * F.min("_bmin") - F.log(m1 / n)).alias("log_harmonic"),
-            (m1 * m1 / m2).alias("ess_harmonic"),
+            F.try_divide(m1 * m1, m2).alias("ess_harmonic"),
         )
     )
 
