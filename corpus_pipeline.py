@@ -33,10 +33,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents share; a text that loses all its words goes."""
-    kept = lines.dedup_lines(docs)
-    lost_all = (F.col("n_dropped") > 0) & (F.trim(F.col("kept_text"), F.lit(lines.SPACES)) == "")
-    return _with_text(kept.filter(~lost_all), "kept_text")
+    """Texts without the lines that many documents share; every document stays, if only with an empty text."""
+    return _with_text(lines.dedup_lines(docs), "kept_text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
