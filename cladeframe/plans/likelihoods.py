@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cladeframe import tables as t
 from cladeframe.functions.gamma import gamma_rates
 from cladeframe.operators import likelihood as lk
+from cladeframe.operators import trees as tt
 from cladeframe.operators.composition import site_orbits
 from cladeframe.plans.views_sql import cte, pruning_sql, rnd, tidy
 
@@ -46,6 +47,15 @@ def _(spark, d):
     return tidy(solve(spark, d, t.rate_models))
 
 
+@register("root_invariance", SQL["site_loglik"])
+def _(spark, d):
+    """The same likelihoods on the tree rooted above one supplier: the place of the root changes nothing."""
+    text = tt.to_newick(t.tree_geo(spark, d).withColumn("t", F.lit(1)), ["t"])
+    tree = text.select(F.lit("geo").alias("run"), F.lit(0).cast("bigint").alias("iter"), "newick")
+    moved = tt.tree_nodes(tt.reroot(tree, ["1"]).filter("rooted"))
+    return tidy(lk.site_loglik(t.cells_sup(spark, d), moved, t.rate_models(spark, d), t.FLAGS))
+
+
 _MIX = "SELECT draw, site, max(hi) + ln(sum({w} * exp(logl - hi))) AS logl FROM (SELECT *, max(logl) OVER (PARTITION BY draw, site) AS hi FROM lk JOIN {src} USING (draw, cat)) GROUP BY 1, 2"
 
 
