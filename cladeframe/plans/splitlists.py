@@ -40,6 +40,18 @@ def merged(spark, d):
 
 
 M = mask_text("m")
+_SIDE = "CASE WHEN run = 'F' THEN 'F' ELSE 'rest' END"
+_SIDES = (
+    f", o AS (SELECT {_SIDE} AS g, m, length FROM splits_ord), k AS (SELECT {_SIDE} AS g, count(*) AS n_trees FROM order_mask GROUP BY 1), "
+    "c AS (SELECT g, m, count(*) / any_value(n_trees)::DOUBLE AS prob, avg(length) AS mean_length FROM o JOIN k USING (g) GROUP BY 1, 2), "
+)
+
+
+def by_side(spark, d):
+    """Trees and splits with run F on one side and all other runs together on the other."""
+    side = F.when(F.col("run") == "F", "F").otherwise("rest")
+    trees = t.order_trees(spark, d).groupBy(side.alias("run")).agg(F.sum("n_trees").alias("n_trees"))
+    return trees, t.splits_ord(spark, d).withColumn("run", side)
 
 
 @register("canonical_split", cte("splits_ord", f"SELECT run, iter, {M} AS split, {rnd('length', 'length')} FROM splits_ord"))
@@ -145,14 +157,15 @@ def _(spark, d):
 
 
 @register("splits_equal", cte(
-    "split_freq",
-    ", a AS (SELECT * FROM split_freq WHERE run = 'F'), b AS (SELECT * FROM split_freq WHERE run = 'O') "
+    "splits_ord",
+    _SIDES + "a AS (SELECT * FROM c WHERE g = 'F'), b AS (SELECT * FROM c WHERE g = 'rest') "
     "SELECT count(*) FILTER (NOT coalesce(abs(a.prob - b.prob) <= 1e-6 AND abs(a.mean_length - b.mean_length) <= 1e-6, false)) AS n_different, "
     "count(*) FILTER (NOT coalesce(abs(a.prob - b.prob) <= 1e-6 AND abs(a.mean_length - b.mean_length) <= 1e-6, false)) = 0 AS equal FROM a FULL JOIN b USING (m)",
 ))
 def _(spark, d):
-    both = freq(spark, d)
-    return show(sp.splits_equal(both.filter(F.col("run") == "F"), both.filter(F.col("run") == "O")))
+    trees, splits = by_side(spark, d)
+    both = sp.split_freq(splits, trees)
+    return show(sp.splits_equal(both.filter(F.col("run") == "F"), both.filter(F.col("run") == "rest")))
 
 
 @register("check_split_duplicates", cte(
@@ -252,7 +265,6 @@ def _(spark, d):
 
 
 _SH = "(CASE WHEN m & 2 = 2 THEN 126 - (m & 126) ELSE m & 126 END)"
-_SIDE = "CASE WHEN run = 'F' THEN 'F' ELSE 'rest' END"
 _SHARED = (
     f", o AS (SELECT DISTINCT {_SIDE} AS g, run, iter, {_SH} AS m FROM splits_ord), "
     f"k AS (SELECT {_SIDE} AS g, count(*) AS n_trees FROM order_mask GROUP BY 1), "
@@ -263,9 +275,7 @@ _SHARED = (
 
 def _restricted(spark, d):
     """Split frequencies of run F and of all other runs together, on the taxa 1 to 6."""
-    side = F.when(F.col("run") == "F", "F").otherwise("rest")
-    trees = t.order_trees(spark, d).groupBy(side.alias("run")).agg(F.sum("n_trees").alias("n_trees"))
-    splits = t.splits_ord(spark, d).withColumn("run", side)
+    trees, splits = by_side(spark, d)
     both = sp.restricted_freq(splits, trees, F.array(*[F.lit(x) for x in "123456"]))
     return both.filter(F.col("run") == "F"), both.filter(F.col("run") == "rest")
 
