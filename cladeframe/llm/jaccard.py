@@ -35,7 +35,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _COUNTERS = 19  # bits of each of the two counter rows
 _SLICES = 32
-_FLUSH = 400_000  # prefix entries per block of a map task
+_FLUSH = 200_000  # prefix entries per block of a map task
 _BUCKET = 400_000  # prefix entries per bucket
 
 

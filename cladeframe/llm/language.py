@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3)]
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18  # bytes scored at once
 
 
 def padded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,13 +249,17 @@ def identify_language(
             pred = np.full(len(texts), "und", object)
             score, rate = np.zeros(len(texts)), np.full(len(texts), np.nan)
             if len(at):
-                raw = [texts[i].encode("utf-8", "replace") for i in at]
-                bits = model.code_lengths(raw)
+                parts, sizes = [], []
+                for lo in range(0, len(at), 256):  # never a whole batch of encoded texts at once
+                    raw = [texts[i].encode("utf-8", "replace") for i in at[lo : lo + 256]]
+                    parts.append(model.code_lengths(raw))
+                    sizes += [len(r) for r in raw]
+                bits = np.concatenate(parts)
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(at)), best]
                 pred[at] = np.array(model.languages, object)[best]
                 score[at] = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
-                rate[at] = least / np.array([len(r) for r in raw])
+                rate[at] = least / np.array(sizes)
             yield pd.DataFrame({"lang_pred": pred, "score": score, "bits_per_byte": rate})
 
     added = ["held_out", "lang_pred", "score", "bits_per_byte"]

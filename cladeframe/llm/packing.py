@@ -36,7 +36,7 @@ class WordCodes(dict):
     encoded one by one.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -101,7 +101,7 @@ class WordCodes(dict):
             yield self.flat[np.repeat(self.first[code] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)]
 
 
-def blocks(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` characters."""
     first = size = 0
     for i, t in enumerate(texts):
