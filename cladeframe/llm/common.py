@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.session import durable
 
-__all__ = ["durable", "read", "shared_folder", "id_type", "code_points", "tokenizer_path", "components", "SPACES"]
+__all__ = ["durable", "read", "release", "shared_folder", "id_type", "code_points", "tokenizer_path", "components", "SPACES"]
 
 #: The white space of every word and line rule: \x20 and \x09 to \x0D.
 SPACES = "\t\n\x0b\x0c\r "
@@ -20,6 +23,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give what a Python worker has freed back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written tables that the cluster names; a local session may have one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

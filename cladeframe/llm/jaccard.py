@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import components, durable, id_type
+from cladeframe.llm.common import components, durable, id_type, release
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -194,6 +194,8 @@ def prefix_blocks(docs: DataFrame, words: int, percent: int, table, buckets: int
                     parts, size, sent = [], 0, set()
         if parts:
             yield packed(parts)
+        parts, sent = [], set()
+        release()
 
     return docs.select("t").mapInPandas(run, "bucket bigint, h binary, c binary, n binary, p binary")
 
@@ -302,6 +304,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                         sent.add(c)
                         rows.append((c, h.tobytes()))
             yield pd.DataFrame(rows, columns=["c", "set"])
+        release()
 
     found = docs.select("t").mapInPandas(run, "c bigint, set binary")
     return found.groupBy("c").agg(F.first("set").alias("set"))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.llm.common import release
+
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3)]
 _CHUNK = 1 << 18  # bytes scored at once
 
@@ -261,6 +263,8 @@ def identify_language(
                 score[at] = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
                 rate[at] = least / np.array(sizes)
             yield pd.DataFrame({"lang_pred": pred, "score": score, "bits_per_byte": rate})
+            del part, texts
+            release()
 
     added = ["held_out", "lang_pred", "score", "bits_per_byte"]
     own = [c for c in df.columns if c not in added]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.ordered import position_in_group
-from cladeframe.llm.common import durable, id_type, tokenizer_path
+from cladeframe.llm.common import durable, id_type, release, tokenizer_path
 
 #: One item of a pattern: length, pieces of it per window, offset of the first, rank of its first piece.
 Item = tuple[int, int, int, int]
@@ -133,6 +133,9 @@ def token_pieces(
                 names = ["k", "start", "length", "ids_crc32", "doc_tokens", "ids"]
                 out = pd.DataFrame(rows, columns=names if with_ids else names[:-1])
                 yield out.assign(k=keys.take(out["k"]).to_numpy())
+        coder.clear()
+        del coder
+        release()
 
     schema = "k string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     if with_ids:
