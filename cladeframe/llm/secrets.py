@@ -13,7 +13,10 @@ import binascii
 import bz2
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,8 +36,29 @@ _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Bytes one compressed payload may unfold to; a larger one is reported as a span of its own.
 MAX_UNFOLDED = 64 << 20
 
-#: Text and, for decoded layers, the original start and end of every character. No text: too large to unfold.
-Layer = tuple[str | None, list[int] | None, list[int] | None]
+
+@dataclass(frozen=True)
+class Place:
+    """Where the characters of a layer lie in the layer above."""
+
+    above: Place | None
+    up: Callable[[int, int], tuple[int, int]]
+
+
+@dataclass(frozen=True)
+class Layer:
+    """A text and its place; no place: the original text. No text: too large to unfold."""
+
+    text: str | None
+    place: Place | None = None
+
+    def original(self, a: int, b: int) -> tuple[int, int]:
+        """Original code points under the characters a to b."""
+        place = self.place
+        while place is not None:
+            a, b = place.up(a, b)
+            place = place.above
+        return a, b
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -49,12 +73,6 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _place(layer: Layer, a: int, b: int) -> tuple[int, int]:
-    """Original code points under the characters a to b of a layer."""
-    _, start, end = layer
-    return (a, b) if start is None or end is None else (start[a], end[b - 1])
-
-
 def _printable(data: bytes) -> str | None:
     try:
         text = data.decode("utf-8")
@@ -77,37 +95,49 @@ def _unfold(data: bytes) -> tuple[bytes, bool] | None:
     return None
 
 
+def _within(layer: Layer, a: int, b: int) -> Place:
+    """The place of a text that as a whole lies under the characters a to b."""
+    return Place(layer.place, lambda x, y: (a, b))
+
+
 def _from_escapes(layer: Layer, spans: list[tuple[int, int, str]]) -> Iterator[Layer]:
-    """One layer per white-space token that holds escapes; ``spans`` are (start, end, decoded)."""
-    text = layer[0]
+    """One layer per line that holds escapes (no rule crosses a line break); ``spans`` are (start, end, decoded)."""
+    text = layer.text
     at = 0
     while at < len(spans):
-        left = spans[at][0]
-        while left > 0 and not text[left - 1].isspace():
-            left -= 1
+        here = text.rfind("\n", 0, spans[at][0]) + 1
+        stop = -1
         parts: list[str] = []
-        start: list[int] = []
-        end: list[int] = []
-        here, p = left, left
-        while True:
-            stop = spans[at][0] if at < len(spans) else len(text)
-            p = here
-            while p < stop and not text[p].isspace():
-                p += 1
-            for i in range(here, p):
-                a, b = _place(layer, i, i + 1)
-                start.append(a)
-                end.append(b)
-            parts.append(text[here:p])
-            if p < stop or at == len(spans):
-                break
-            a, b = _place(layer, spans[at][0], spans[at][1])
-            parts.append(spans[at][2])
-            start += [a] * len(spans[at][2])
-            end += [b] * len(spans[at][2])
-            here = spans[at][1]
+        # pieces of the line: where they begin in the decoded text and in this one; escapes have an end
+        begin, left, right = [], [], []
+        n = 0
+        while at < len(spans) and (stop < 0 or spans[at][0] < stop):
+            a, b, plain = spans[at]
+            for x, y, piece in ((here, None, text[here:a]), (a, b, plain)):
+                if piece:
+                    parts.append(piece)
+                    begin.append(n)
+                    left.append(x)
+                    right.append(y)
+                    n += len(piece)
+            here = b
             at += 1
-        yield "".join(parts), start, end
+            stop = text.find("\n", here)
+            stop = len(text) if stop < 0 else stop
+        if here < stop:
+            parts.append(text[here:stop])
+            begin.append(n)
+            left.append(here)
+            right.append(None)
+
+        def up(a: int, b: int, begin: list[int] = begin, left: list[int] = left, right: list[int | None] = right) -> tuple[int, int]:
+            i, j = bisect_right(begin, a) - 1, bisect_right(begin, b - 1) - 1
+            return (
+                left[i] + a - begin[i] if right[i] is None else left[i],
+                left[j] + b - begin[j] if right[j] is None else right[j],
+            )
+
+        yield Layer("".join(parts), Place(layer.place, up))
 
 
 def _escaped(m: re.Match) -> str:
@@ -118,7 +148,7 @@ def _escaped(m: re.Match) -> str:
 
 def layers(layer: Layer) -> Iterator[Layer]:
     """The layers one step below."""
-    text = layer[0]
+    text = layer.text
     if "%" in text:
         spans = []
         for m in _PERCENT.finditer(text):
@@ -145,45 +175,51 @@ def layers(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        a, b = _place(layer, m.start(), m.end())
+        whole = _within(layer, m.start(), m.end())
         unfolded = _unfold(data)
         if unfolded is not None:
             plain = _printable(unfolded[0])
             if not unfolded[1]:
-                yield None, [a], [b]
+                yield Layer(None, whole)
             elif plain is not None:
-                yield plain, [a] * len(plain), [b] * len(plain)
+                yield Layer(plain, whole)
             continue
         plain = _printable(data)
         if plain is not None:
-            start, end, at = [], [], 0
-            for c in plain:
-                width = len(c.encode("utf-8"))
-                first, last = m.start() + at * 8 // 6, m.start() + -(-(at + width) * 8 // 6)
-                x, y = _place(layer, first, min(last, m.end()))
-                start.append(x)
-                end.append(y)
-                at += width
-            yield plain, start, end
+            at = [0, *accumulate(len(c.encode("utf-8")) for c in plain)]
+
+            def up(a: int, b: int, at: list[int] = at, first: int = m.start(), last: int = m.end()) -> tuple[int, int]:
+                return first + at[a] * 8 // 6, min(first - (-at[b] * 8 // 6), last)
+
+            yield Layer(plain, Place(layer.place, up))
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
     """Spans (kind, start, end, depth) of a text and of all layers inside it."""
-    first: Layer = (text or "", None, None)
-    found = [(k, a, b, 0) for k, a, b in scan(first[0])]
+    first = Layer(text or "")
+    found = [(k, a, b, 0) for k, a, b in scan(first.text)]
     work, seen, known = [(first, 0)], set(), set()
+    # a layer of escapes holds the plain characters around them too: what was found there is not found again
+    same = {(k, a, b, first.text[a:b]) for k, a, b, _ in found}
     while work:
         layer, depth = work.pop()
         for below in layers(layer):
-            key = (below[0], below[1][0] if below[1] else 0, below[2][-1] if below[2] else 0)
-            if key in seen or below[0] == "":
+            if below.text == "":
+                continue
+            ends = below.original(0, len(below.text or "x"))
+            key = (below.text, *ends)
+            if key in seen:
                 continue
             seen.add(key)
-            if below[0] is None:
-                found.append(("oversize", key[1], key[2], depth + 1))
+            if below.text is None:
+                found.append(("oversize", *ends, depth + 1))
                 continue
-            for kind, a, b in scan(below[0]):
-                span = (f"decoded_{kind}", *_place(below, a, b))
+            for kind, x, y in scan(below.text):
+                a, b = below.original(x, y)
+                if (kind, a, b, below.text[x:y]) in same:
+                    continue
+                same.add((kind, a, b, below.text[x:y]))
+                span = (f"decoded_{kind}", a, b)
                 if span not in known:
                     known.add(span)
                     found.append((*span, depth + 1))
