@@ -1,22 +1,26 @@
 """Secret scans through nested encodings.
 
 Each text is the first item of a worklist. A scanned layer yields further layers:
-percent escapes, backslash escapes, base64 runs and compressed payloads are
-decoded, mapped back to the original code points and scanned in turn until no new
-layer appears. A layer whose text and place were seen before is not followed.
+percent escapes, backslash escapes, base64 runs, compressed payloads and UTF-16
+runs are decoded, mapped back to the original code points and scanned in turn until
+no new layer appears. A layer whose text and place were seen before is not followed.
+
+A decoded layer is read byte by byte, one character per byte: what the rules and the
+encodings look for is ASCII, so neither control nor other bytes hide it. A base64 run
+is read from each of its first four characters, which covers every payload that
+begins inside it; compressed payloads may begin anywhere in a decoded layer.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,8 +35,14 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}")
+#: Escapes of string literals as well: quotes, line breaks, octal digits.
+_LITERAL = re.compile(_ESCAPE.pattern + r"""|\\[0-7]{1,3}|\\[abfnrtv"'\\/]""")
+_NAMED = dict(zip("abfnrtv", "\a\b\f\n\r\t\v", strict=True))
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+_STANDARD = str.maketrans("-_", "+/")
+_WIDE = re.compile(r"\x00?(?:[\x01-\x7f]\x00){8,}[\x01-\x7f]?")
+_ZLIB = [bytes((c, f)) for c in range(0x08, 0x80, 0x10) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 0x20]
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|" + b"|".join(map(re.escape, _ZLIB)), re.DOTALL)
 #: Bytes one compressed payload may unfold to; a larger one is reported as a span of its own.
 MAX_UNFOLDED = 64 << 20
 
@@ -73,26 +83,47 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not _CONTROL.search(text) else None
-
+def _member(data: memoryview, room: int, step: int) -> tuple[bytes, int, bool, bool]:
+    """Content of the compressed member at the start of ``data``, bytes read, whether it ended, and whether it broke.
 
-def _unfold(data: bytes) -> tuple[bytes, bool] | None:
-    """Content of a zlib, gzip or bzip2 payload and whether it is whole; None if it is no such payload."""
+    ``room`` bounds the content. The input goes in by ``step`` bytes, then ever more; what a broken step held is lost.
+    """
+    bz = data[:3] == b"BZh"
+    z = bz2.BZ2Decompressor() if bz else zlib.decompressobj(47)
+    parts, at, grown = [], 0, step > 1
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            z = zlib.decompressobj(47)
-            return z.decompress(data, MAX_UNFOLDED), not z.unconsumed_tail
-        if data[:3] == b"BZh":
-            b = bz2.BZ2Decompressor()
-            return b.decompress(data, MAX_UNFOLDED), b.eof or b.needs_input
+        while at < len(data) and not z.eof and room > 0:
+            parts.append(z.decompress(data[at : at + step], room))
+            room -= len(parts[-1])
+            at = min(at + step, len(data))
+            while bz and not z.eof and not z.needs_input and room > 0:
+                parts.append(z.decompress(b"", room))
+                room -= len(parts[-1])
+            step = step * 2 if grown else step
+        return b"".join(parts), at - len(z.unused_data), z.eof, False
     except (zlib.error, OSError, EOFError, ValueError):
-        pass
-    return None
+        return b"".join(parts), at, False, True
+
+
+def _unfold(data: memoryview, start: int) -> tuple[bytes, int, bool, bool]:
+    """Content of the compressed payload at ``start`` with all members behind it, its end, and whether it ended and is whole."""
+    parts, at, room = [], start, MAX_UNFOLDED + 1
+    while True:
+        content, used, ended, broken = _member(data[at:], room, 256)
+        if broken:  # once more byte by byte, to keep all that comes before the break
+            content, used, ended, _ = _member(data[at:], room, 1)
+        parts.append(content)
+        room -= len(content)
+        at += used
+        if room <= 0 or not ended:
+            break
+        follows = at
+        while follows < len(data) and data[follows] == 0:
+            follows += 1
+        if not _MAGIC.match(data, follows):
+            break
+        at = follows
+    return b"".join(parts), at, ended, room > 0
 
 
 def _within(layer: Layer, a: int, b: int) -> Place:
@@ -141,8 +172,9 @@ def _from_escapes(layer: Layer, spans: list[tuple[int, int, str]]) -> Iterator[L
 
 
 def _escaped(m: re.Match) -> str:
-    digits = m[0][2:].strip("{}")
-    value = int(digits, 16)
+    if m[0][1] not in "uUx":
+        return chr(int(m[0][1:], 8) & 0xFF) if m[0][1].isdigit() else _NAMED.get(m[0][1], m[0][1])
+    value = int(m[0][2:].strip("{}"), 16)
     return chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else m[0]
 
 
@@ -152,46 +184,53 @@ def layers(layer: Layer) -> Iterator[Layer]:
     if "%" in text:
         spans = []
         for m in _PERCENT.finditer(text):
-            data = bytes.fromhex(m[0].replace("%", ""))
-            try:
-                plain = data.decode("utf-8")
-            except UnicodeDecodeError:
-                plain = data.decode("latin-1")
-                spans += [(m.start() + 3 * i, m.start() + 3 * i + 3, c) for i, c in enumerate(plain)]
-                continue
-            at = m.start()
-            for c in plain:
-                width = 3 * len(c.encode("utf-8"))
-                spans.append((at, at + width, c))
-                at += width
+            plain = bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+            spans += [(m.start() + 3 * i, m.start() + 3 * i + 3, c) for i, c in enumerate(plain)]
         yield from _from_escapes(layer, spans)
     if "\\" in text:
-        spans = [(m.start(), m.end(), c) for m in _ESCAPE.finditer(text) if (c := _escaped(m)) != m[0]]
-        yield from _from_escapes(layer, spans)
+        strict = []
+        for escape in (_ESCAPE, _LITERAL):
+            spans = [(m.start(), m.end(), c) for m in escape.finditer(text) if (c := _escaped(m)) != m[0]]
+            if spans != strict:
+                yield from _from_escapes(layer, spans)
+            strict = spans
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
+        run = m[0].rstrip("=").translate(_STANDARD)
+        for phase in range(4):
+            body = run[phase:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
             data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        whole = _within(layer, m.start(), m.end())
-        unfolded = _unfold(data)
-        if unfolded is not None:
-            plain = _printable(unfolded[0])
-            if not unfolded[1]:
-                yield Layer(None, whole)
-            elif plain is not None:
-                yield Layer(plain, whole)
-            continue
-        plain = _printable(data)
-        if plain is not None:
-            at = [0, *accumulate(len(c.encode("utf-8")) for c in plain)]
-
-            def up(a: int, b: int, at: list[int] = at, first: int = m.start(), last: int = m.end()) -> tuple[int, int]:
-                return first + at[a] * 8 // 6, min(first - (-at[b] * 8 // 6), last)
-
-            yield Layer(plain, Place(layer.place, up))
+
+            def up(a: int, b: int, first: int = m.start() + phase, last: int = m.end(), n: int = len(data)) -> tuple[int, int]:
+                # a secret that fills the run takes the padding along
+                return first + a * 8 // 6, last if (a, b) == (0, n) else min(first - (-b * 8 // 6), last)
+
+            yield Layer(data.decode("latin-1"), Place(layer.place, up))
+    if layer.place is None:
+        return
+    if "\0" in text:
+        for m in _WIDE.finditer(text):
+            # either byte order: the character and its zero byte are a pair
+            def pair(a: int, b: int, first: int = m.start(), last: int = m.end()) -> tuple[int, int]:
+                return first + 2 * a, min(first + 2 * b, last)
+
+            yield Layer(m[0].replace("\0", ""), Place(layer.place, pair))
+    data = memoryview(text.encode("latin-1", "replace"))
+    at = 0
+    while m := _MAGIC.search(data, at):
+        content, end, ended, whole = _unfold(data, m.start())
+        place = _within(layer, m.start(), end)
+        if not whole:
+            yield Layer(None, place)
+        elif content:
+            yield Layer(content.decode("latin-1"), place)
+        at = end if ended or not whole else m.start() + 1
+
+
+def _digest(text: str | None) -> str | bytes | None:
+    if text is None or len(text) < 64:
+        return text
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
@@ -207,7 +246,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, int]]:
             if below.text == "":
                 continue
             ends = below.original(0, len(below.text or "x"))
-            key = (below.text, *ends)
+            key = (_digest(below.text), *ends)
             if key in seen:
                 continue
             seen.add(key)
