@@ -1,17 +1,20 @@
 """License scans as an exact set-similarity join of text blocks with templates.
 
-A block (one line of a text) matches a template when it holds at least
-``threshold`` of the template's distinct words. Template words are ordered by
-their document frequency over the whole table, rarest first. A matching block must
-hold one of the first ``|T| - need + 1`` of them, so only texts with such a word
-are cut into blocks; length and positional bounds come before the full count.
+A block matches a template when it holds at least ``threshold`` of the template's
+distinct words. Blocks are the lines of a text and, for notices wrapped over lines,
+all windows of up to 1/threshold times the template's words. Template words are
+ordered by their document frequency over the whole table, rarest first. A matching
+block must hold one of the first ``|T| - need + 1`` of them, so only texts with such
+a word are cut into blocks; length and positional bounds come before the full count.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,7 +69,9 @@ def _frequencies(df: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int
 class TemplateIndex:
     """Templates with their words in frequency order and an index of the prefixes."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], threshold: float):
+        self.width = [math.floor(len(t) / max(threshold, 1e-9) + 1e-9) for _, t in templates]
+        templates = [(label, frozenset(t)) for label, t in templates]
         rank = sorted({w for _, t in templates for w in t}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(rank)}
         self.templates = [(label, sorted(t, key=self.rank.__getitem__)) for label, t in templates]
@@ -77,8 +82,8 @@ class TemplateIndex:
                 self.prefix[w].append((k, i))
         self.words = frozenset(self.prefix)
 
-    def matches(self, block: frozenset[bytes]) -> list[tuple[str, float]]:
-        """Label and containment of every template that the block holds."""
+    def matches(self, block: frozenset[bytes]) -> list[tuple[int, float]]:
+        """Number and containment of every template that the block holds."""
         out, seen = [], set()
         own = sorted(self.rank.keys() & block, key=self.rank.__getitem__)
         for j, w in enumerate(own):
@@ -92,9 +97,55 @@ class TemplateIndex:
                     continue
                 shared = sum(x in block for x in t[i:])
                 if shared >= need:
-                    out.append((self.templates[k][0], shared / len(t)))
+                    out.append((k, shared / len(t)))
         return out
 
+    def windows(self, ws: list[bytes]) -> Iterator[tuple[int, int, int, float]]:
+        """Number, first and last word, containment of the windows that hold a template; those of one template do not overlap."""
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(ws):
+            if w in self.rank:
+                at[w].append(i)
+        for k in sorted({k for w in self.words & at.keys() for k, _ in self.prefix[w]}):
+            t, need = self.templates[k][1], self.need[k]
+            if sum(w in at for w in t) < need:
+                continue
+            # a window holds a prefix word: nothing farther from one than the width counts
+            rare = sorted(i for w in t[: len(t) - need + 1] for i in at.get(w, ()))
+            own = sorted((i, w) for w in t for i in at.get(w, ()))
+            held: Counter[bytes] = Counter()
+            good, left, near = [], 0, 0
+            for i, w in own:
+                held[w] += 1
+                while i - own[left][0] >= self.width[k] or held[own[left][1]] > 1:
+                    held[own[left][1]] -= 1
+                    if not held[own[left][1]]:
+                        del held[own[left][1]]
+                    left += 1
+                while near + 1 < len(rare) and rare[near + 1] <= i:
+                    near += 1
+                if rare[near] <= i and rare[near] >= own[left][0] and len(held) >= need:
+                    good.append((-len(held), own[left][0], i))
+            taken: list[tuple[int, int]] = []
+            for n, a, b in sorted(good):
+                j = bisect_left(taken, (a, b))
+                if (j == 0 or taken[j - 1][1] < a) and (j == len(taken) or taken[j][0] > b):
+                    taken.insert(j, (a, b))
+                    yield k, a, b, -n / len(t)
+
+
+def _blocks(index: TemplateIndex, raw: bytes) -> list[dict]:
+    """Lines that match, and windows over several lines that hold more of a template than each of these lines."""
+    lines = [words(x) for x in raw.split(b"\n")]
+    found = [(i, k, c) for i, x in enumerate(lines) if x for k, c in index.matches(frozenset(x))]
+    alone = {(i, k): c for i, k, c in found}
+    ends = list(accumulate(map(len, lines)))
+    for k, a, b, c in index.windows([w for x in lines for w in x]):
+        first, last = bisect_right(ends, a), bisect_right(ends, b)
+        if first < last and all(alone.get((i, k), 0.0) < c for i in range(first, last + 1)):
+            found.append((first, k, c))
+    return [{"line": i, "label": index.templates[k][0], "containment": c} for i, k, c in sorted(found)]
+
 
 def _places(ws: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]], first: frozenset[bytes]) -> list[tuple[int, str]]:
     if first.isdisjoint(ws):
@@ -117,13 +168,13 @@ def license_scan(
     """One row per input row: n_words, ``places`` of the phrases and ``blocks`` that match templates.
 
     ``places`` holds (word, label), word the start of the phrase counted from 0;
-    ``blocks`` holds (line, label, containment), lines counted from 0.
+    ``blocks`` holds (line, label, containment), line the first one of the block, counted from 0.
 
     A null or empty text has no words, places or blocks. A null id stays null,
     repeated rows give repeated results, an empty table gives no rows, and other
     columns are not read whatever their names.
     """
-    sets = [(label, frozenset(words(t.encode()))) for label, t in templates]
+    sets = [(label, words(t.encode())) for label, t in templates]
     sets = [(label, t) for label, t in sets if t]
     wanted = [(tuple(words(p.encode())), label) for p, label in (PHRASES if phrases is None else phrases).items()]
     first = frozenset(p[0] for p, _ in wanted)
@@ -139,13 +190,7 @@ def license_scan(
                 ws = words(raw)
                 n.append(len(ws))
                 places.append([{"word": i, "label": x} for i, x in _places(ws, wanted, first)])
-                hit = []
-                if not index.words.isdisjoint(ws):
-                    for i, line in enumerate(raw.split(b"\n")):
-                        block = frozenset(words(line))
-                        if not index.words.isdisjoint(block):
-                            hit += [{"line": i, "label": x, "containment": c} for x, c in index.matches(block)]
-                blocks.append(hit)
+                blocks.append([] if index.words.isdisjoint(ws) else _blocks(index, raw))
             yield pd.DataFrame({"k": batch["k"], "n_words": n, "places": places, "blocks": blocks})
 
     schema = (

@@ -7,6 +7,7 @@ import bz2
 import gzip
 import hashlib
 import re
+import textwrap
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -305,6 +306,41 @@ def test_licenses_match_brute_force(spark, tables):
         assert r.score == pytest.approx(1.0 if places else best)
 
 
+def test_wrapped_licenses(spark):
+    rows, want = [], {}
+    for i, (label, t) in enumerate(licenses.TEMPLATES):
+        for j, (width, lead) in enumerate([(75, ""), (72, " * "), (40, "# "), (30, "")]):
+            body = "\n".join(lead + x for x in textwrap.wrap("Copyright 2020 The Authors. " + t, width, break_long_words=False, break_on_hyphens=False))
+            rows.append((10 * i + j, f"#!/bin/sh\n{lead}\n{body}\n\nimport sys\n"))
+            want[10 * i + j] = (label, 1.0)
+    rows.append((900, "redistribution and use in source\n" + "word " * 40 + "\nbinary forms with or without modification are permitted provided that the following conditions met"))
+    want[900] = ("", 0.0)
+    got = {r.doc_id: r for r in licenses.license_digest(licenses.license_scan(odd_rows(spark, rows))).collect()}
+    for i, (label, score) in want.items():
+        assert (not label or label in got[i].labels.split(",")) and got[i].score == score, i
+    assert got[900].labels == ""
+
+
+def test_windows_match_brute_force():
+    rng = np.random.default_rng(8)
+    t = [("a", [b"%d" % x for x in (0, 1, 2, 3, 1, 4, 5)]), ("b", [b"7", b"8", b"9"])]
+    for threshold in (0.5, 0.7, 0.85, 1.0):
+        index = licenses.TemplateIndex(t, {b"%d" % x: x for x in range(20)}, threshold)
+        for _ in range(150):
+            ws = [b"%d" % x for x in rng.integers(0, 14, rng.integers(0, 40))]
+            best = {}
+            for k, (_, words) in enumerate(t):
+                width = int(len(words) / threshold + 1e-9)
+                shares = [len({*words} & {*ws[i : i + width]}) / len({*words}) for i in range(len(ws))]
+                if max(shares, default=0) >= threshold:
+                    best[k] = max(shares)
+            got = {}
+            for k, a, b, c in index.windows(ws):
+                assert c == len({*t[k][1]} & {*ws[a : b + 1]}) / len({*t[k][1]}) and b - a < int(len(t[k][1]) / threshold + 1e-9)
+                got[k] = max(c, got.get(k, 0))
+            assert got == best
+
+
 def test_license_edges(spark):
     text = "Under the MIT-License\nlicensed under the apache license version 2 0 mit license"
     df = odd_rows(spark, [(1, None), (None, ""), (2, text), (2, text), (3, "ÉA éa É" * 40_000)])
