@@ -70,7 +70,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding puts first goes."""
-        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 class _Column:
@@ -234,6 +234,12 @@ def shared_lattices(path: str, sharpness: float) -> Lattices:
     return Lattices(Pieces(path, sharpness))
 
 
+@lru_cache(maxsize=1)
+def shared_pieces(path: str) -> Pieces:
+    """The pieces of a Python worker that decodes, kept from task to task."""
+    return Pieces(path)
+
+
 def _unit_draws(seed: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1) from a seed per row and up to three counters."""
     x = seed.astype(np.uint64)
@@ -447,8 +453,8 @@ def decode_pieces(df: DataFrame, ids_col: str = "ids", model: str | None = None)
 
     @F.pandas_udf("string")
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(path)
+        pieces = shared_pieces(path)
         for ids in parts:
-            yield ids.map(lambda x: None if x is None else pieces.decode(list(x)))
+            yield ids.map(lambda x: None if x is None else pieces.decode(x.tolist()))
 
     return df.withColumn("decoded", told(F.col(ids_col)))

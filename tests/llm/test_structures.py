@@ -384,3 +384,12 @@ def test_pipeline_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_segments_query_returns_and_decodes_the_samples(spark, tables):
+    texts = dict(tables("documents", "doc_id, text"))
+    rows = queries.op9_gumbel_segments(spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        assert r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
