@@ -53,9 +53,7 @@ def op8_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = segments.sample_segmentations(read(spark, sf_dir, "documents"))
-    told = segments.decode_pieces(made)
-    return told.select(*made.columns, F.sha2("decoded", 256).alias("decoded_sha256"))
+    return segments.sample_segmentations(read(spark, sf_dir, "documents"), with_digest=True)
 
 
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:

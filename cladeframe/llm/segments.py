@@ -61,9 +61,9 @@ class Pieces:
         self.byte_weight = float(scores[plain].min()) * sharpness
         self.weight = {self.model.id_to_piece(i): (i, float(scores[i]) * sharpness) for i in plain}
         self.longest = max(map(len, self.weight))
-        self.bytes_of = {
-            i: bytes([b]) for b, i in enumerate(self.byte) if i >= 0
-        } | {i: p.replace(_SPACE, " ").encode() for p, (i, _) in self.weight.items()}
+        told = {i: bytes([b]) for b, i in enumerate(self.byte) if i >= 0}
+        told |= {i: p.replace(_SPACE, " ").encode() for p, (i, _) in self.weight.items()}
+        self.bytes_of = [told.get(i) for i in range(n)]
 
     def units(self, text: str | None) -> list[str]:
         return _UNIT.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
@@ -397,14 +397,16 @@ def sample_segmentations(
     sharpness: float = 1.0,
     seed: int = 0,
     with_ids: bool = True,
+    with_digest: bool = False,
 ) -> DataFrame:
     """Up to ``k`` rows per input row, distinct segmentations by falling perturbed value.
 
     Columns: id, sample (from 0), n_pieces, ids_crc32 (of the ids as unsigned 32-bit
     numbers), log_prob (of the segmentation given the text), perturbed (log_prob plus
     its Gumbel), log_inclusion (log of the chance to be among the samples given the
-    next largest value) and, with ``with_ids``, ids. A text with fewer than ``k``
-    segmentations gives all of them, with log_inclusion 0.
+    next largest value) and, with ``with_ids``, ids; with ``with_digest`` also
+    decoded_sha256, of the text that :func:`decode_pieces` gives for the ids. A text
+    with fewer than ``k`` segmentations gives all of them, with log_inclusion 0.
 
     A null or empty text has one segmentation, without pieces. A null id is a key of
     its own; rows that share an id and a text give the same samples; an empty table
@@ -438,12 +440,16 @@ def sample_segmentations(
                     }
                     if with_ids:
                         frame["ids"] = [flat[x:y] for x, y in zip(a, b, strict=True)]
+                    if with_digest:
+                        told = (lat.pieces.decode(flat[x:y].tolist()) for x, y in zip(a, b, strict=True))
+                        frame["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in told]
                     frames.append(pd.DataFrame(frame))
                 yield pd.concat(frames)
 
     schema = "k string, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, perturbed double, log_inclusion double"
+    schema += (", ids array<int>" if with_ids else "") + (", decoded_sha256 string" if with_digest else "")
     narrow = df.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
-    out = narrow.mapInPandas(run, schema + (", ids array<int>" if with_ids else ""))
+    out = narrow.mapInPandas(run, schema)
     return out.withColumn("k", F.col("k").cast(id_type(df, id_col))).withColumnRenamed("k", id_col)
 
 
