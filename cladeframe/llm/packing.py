@@ -10,7 +10,6 @@ their length, so no task sees all pieces of a length.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,105 +20,19 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.ordered import position_in_group
 from cladeframe.llm.common import durable, id_type, release, tokenizer_path
+from cladeframe.llm.words import blocks, memory
 
 #: One item of a pattern: length, pieces of it per window, offset of the first, rank of its first piece.
 Item = tuple[int, int, int, int]
 
 
-class WordCodes(dict):
-    """Token ids of texts through a memory of white-space separated words.
-
-    The tokenizer drops white space and splits there, so the ids of a text are those
-    of its words one after another. A word gets its number when it is first met;
-    the new words of a block of texts are encoded in one call, a bar between them,
-    and live in one flat array of ids. Words with a bar or a special token are
-    encoded one by one.
-    """
-
-    def __init__(self, path: str, most: int = 200_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        (self.mark_id,) = self.tokenizer.encode("|", add_special_tokens=False).ids
-        self.most = most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        self.new.append(word)
-        return code
-
-    def _learn(self) -> None:
-        new, self.new = self.new, []
-        plain = [w.decode("utf-8", "replace") for w in new]
-        odd = [i for i, w in enumerate(new) if b"|" in w]  # every special token has one
-        apart = self.tokenizer.encode_batch([plain[i] for i in odd], add_special_tokens=False)
-        for i in odd:
-            plain[i] = ""
-        (coded,) = self.tokenizer.encode_batch_fast([" | ".join(plain)], add_special_tokens=False)
-        ids = np.array(coded.ids, np.uint32)
-        cut = np.concatenate(([-1], np.flatnonzero(ids == self.mark_id), [len(ids)]))
-        sizes = np.diff(cut) - 1
-        parts = ids[ids != self.mark_id]
-        if odd:
-            pieces = np.split(parts, np.cumsum(sizes)[:-1])
-            for i, e in zip(odd, apart, strict=True):
-                pieces[i] = np.array(e.ids, np.uint32)
-            parts, sizes = np.concatenate(pieces), np.array([len(x) for x in pieces])
-        at, n = self.used, len(self) - len(new)
-        while at + len(parts) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(new) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        self.flat[at : at + len(parts)] = parts
-        self.size[n : n + len(new)] = sizes
-        self.first[n : n + len(new)] = at + np.cumsum(sizes) - sizes
-        self.used += len(parts)
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of every text of a block."""
-        if len(self) > self.most:
-            self._reset()
-        codes = [
-            np.array(list(map(self.__getitem__, (t or "").encode("utf-8", "replace").split())), np.int64) for t in texts
-        ]
-        if self.new:
-            self._learn()
-        for code in codes:
-            sizes = self.size[code]
-            total = int(sizes.sum())
-            yield self.flat[np.repeat(self.first[code] - np.cumsum(sizes) + sizes, sizes) + np.arange(total)]
-
-
-def blocks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` characters."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def token_pieces(
     df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, window: int, with_ids: bool
 ) -> DataFrame:
     """Rows (k, start, length, ids_crc32, doc_tokens[, ids]): windows of every document's ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordCodes(path)
+        coder = memory(path, byte_level=False)
         for batch in batches:
             keys, texts = batch["k"], list(batch["t"])
             for lo, hi in blocks(texts):
@@ -133,8 +46,6 @@ def token_pieces(
                 names = ["k", "start", "length", "ids_crc32", "doc_tokens", "ids"]
                 out = pd.DataFrame(rows, columns=names if with_ids else names[:-1])
                 yield out.assign(k=keys.take(out["k"]).to_numpy())
-        coder.clear()
-        del coder
         release()
 
     schema = "k string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"

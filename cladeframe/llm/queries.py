@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import chat, jaccard, language, licenses, lines, packing, repetition, secrets, segments, vectors
+from cladeframe.llm import (
+    chat,
+    idfiles,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    packing,
+    repetition,
+    resample,
+    secrets,
+    segments,
+    vectors,
+    zonemaps,
+)
 from cladeframe.llm.common import read
 
 
@@ -60,6 +74,18 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.license_scan(read(spark, sf_dir, "documents")))
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.encode_table(read(spark, sf_dir, "documents"))
+
+
+def op13_hilbert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemaps.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_prefix_tree": op1_prefix_tree,
     "op2_repetition_coverage": op2_repetition_coverage,
@@ -71,6 +97,9 @@ QUERIES = {
     "op8_secret_layers": op8_secret_layers,
     "op9_gumbel_segments": op9_gumbel_segments,
     "op10_license_join": op10_license_join,
+    "op11_importance_draw": op11_importance_draw,
+    "op12_id_blocks": op12_id_blocks,
+    "op13_hilbert_zones": op13_hilbert_zones,
 }
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
