@@ -192,6 +192,8 @@ class WordMemory:
 
     def _look_up(self, data: np.ndarray, raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The codes of the parts; new ones are learnt."""
+        if not len(first):
+            return np.zeros(0, np.int64)
         key, check = _hashes(data, first, size)
         key, one, of = np.unique(key, return_index=True, return_inverse=True)
         mine = check[one]
