@@ -102,6 +102,29 @@ QUERIES = {
     "op13_hilbert_zones": op13_hilbert_zones,
 }
 
+
+
+def _kmeans_sql(rounds: int = 10, many: int = 8, dim: int = 64) -> str:
+    """Every round as two steps: the nearest centroid of every vector, and the floored means."""
+    finite = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+    far = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dim} AND {finite})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {many})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT i, any_value(vec_id) AS vec_id, any_value(k.v) AS v, min((d, c))[2] AS c, min(d) AS d FROM (SELECT k.i, k.vec_id, k.v, c.c, {far} AS d FROM kept k, c{r} c) k GROUP BY i)")
+        if r < rounds:
+            steps.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS v FROM "
+                f"(SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range({dim})) AS p FROM a{r}) GROUP BY 1, 2) GROUP BY 1) m USING (c))"
+            )
+    return "WITH " + ", ".join(steps) + (
+        f" SELECT vec_id, a.c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, "
+        f"sha256(array_to_string(e.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} e ON e.c = a.c"
+    )
+
+
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
@@ -114,4 +137,5 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op13_hilbert_zones": _kmeans_sql(),
 }
