@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import newick as nw
+from cladeframe.operators.clades import Clades
 from cladeframe.session import durable
 
 NODE_COLUMNS = (
@@ -30,7 +31,8 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     """Node table of every tree; nodes are numbered in preorder, ``last_node`` ends the subtree."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        pieces = (pdf.iloc[a : a + 1024] for pdf in batches for a in range(0, len(pdf), 1024))
+        for pdf in pieces:  # a bounded number of nodes at a time
             rows = []
             for run, it, text in zip(pdf["run"], pdf["iter"], pdf["newick"], strict=True):
                 listed = list(nw.parse(text).walk())
@@ -55,40 +57,27 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
 
 
 def tree_splits(trees: DataFrame, with_support: bool = False, rooted: bool = False, count_trees: bool = False) -> DataFrame:
-    """Splits of every tree, leaves included: (run, iter, split, length).
+    """Splits of every tree with their taxa, leaves included: (run, iter, split, length).
 
     The unrooted tree is used unless ``rooted``. A split is oriented away from the
     first taxon of its tree, and the two branches at a root with two children are one
     split with the summed length. ``with_support`` returns the support as ``weight``;
     ``count_trees`` adds one empty split per tree.
+    Lists that are only counted need no taxa in every row: see :mod:`clades`.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            runs, iters, splits, lengths, weights = [], [], [], [], []
-            for run, it, text in zip(pdf["run"], pdf["iter"], pdf["newick"], strict=True):
-                root = nw.parse(text)
-                if not rooted:
-                    root = nw.unroot(root)
-                sets = nw.leaf_sets(root)
-                everyone = sets[id(root)]
-                first = min(everyone, default=None)
-                found: dict[frozenset, list] = {frozenset(): [0.0, None]} if count_trees else {}
-                for node, up, _ in root.walk():
-                    side = sets[id(node)]
-                    if up is None or not side or side == everyone:
-                        continue
-                    if not rooted and first in side:
-                        side = everyone - side
-                    cell = found.setdefault(side, [0.0, node.support])
-                    cell[0] += node.length or 0.0
-                for side, (length, support) in found.items():
-                    runs.append(run)
-                    iters.append(it)
-                    splits.append(sorted(side))
-                    lengths.append(length)
-                    weights.append(support)
-            yield pd.DataFrame({"run": runs, "iter": iters, "split": splits, "length": lengths, "weight": pd.Series(weights, dtype="float64")})
+            for a in range(0, len(pdf), 256):  # a bounded number of member lists at a time
+                rows: list[tuple] = []
+                part = pdf.iloc[a : a + 256]
+                for run, it, text in zip(part["run"], part["iter"], part["newick"], strict=True):
+                    clades = Clades(text)
+                    if count_trees:
+                        rows.append((run, it, [], 0.0, None))
+                    for side, (_, length, support, node) in clades.branches(rooted).items():
+                        rows.append((run, it, clades.members(node, clades.side[node] != side), length, support))
+                yield pd.DataFrame(rows, columns=["run", "iter", "split", "length", "weight"]).astype({"weight": "float64"})
 
     out = trees.select("run", "iter", "newick").mapInPandas(
         explode, f"run {_run_type(trees)}, iter bigint, split array<string>, length double, weight double"
@@ -101,25 +90,6 @@ def tree_taxa(trees: DataFrame) -> DataFrame:
     return tree_nodes(trees).filter(F.col("taxon").isNotNull()).select("run", "taxon").distinct()
 
 
-def root_splits(trees: DataFrame) -> DataFrame:
-    """Leaf set of the first child of each root."""
-    nodes = tree_nodes(trees)
-    first = nodes.filter((F.col("depth") == 1) & (F.col("child_ix") == 0)).select("run", "iter", F.col("last_node").alias("_end"))
-    leaves = nodes.filter(F.col("taxon").isNotNull() & (F.col("node") > 0)).join(first, ["run", "iter"]).filter(F.col("node") <= F.col("_end"))
-    return leaves.groupBy("run", "iter").agg(F.array_sort(F.collect_set("taxon")).alias("split"))
-
-
-def root_split_freq(trees: DataFrame) -> DataFrame:
-    """Per (run, root split): share of the run's trees rooted there, and its mean over runs."""
-    sizes = trees.groupBy("run").agg(F.count(F.lit(1)).alias("_t"))
-    n_runs = sizes.agg(F.count(F.lit(1))).scalar()
-    freq = (
-        root_splits(trees).groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"))
-        .join(sizes, "run").select("run", "split", "n", (F.col("n") / F.col("_t")).alias("prob"))
-    )
-    return freq.withColumn("mean_prob", F.sum("prob").over(Window.partitionBy("split")) / n_runs)
-
-
 def rewrite_trees(trees: DataFrame, edit: Callable[[nw.Node], nw.Node | None]) -> DataFrame:
     """Apply an edit to every tree of the list; a tree that becomes empty is dropped."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeframe import tables as t
+from cladeframe.operators import clades as cl
 from cladeframe.operators import splits as sp
 from cladeframe.operators import trace as tr
 from cladeframe.operators import trees as tt
@@ -65,10 +66,27 @@ def _names(m: str = "m") -> str:
 @register("tree_splits", cte("order_leaves", _MASKS + f"SELECT run, {_names()} AS split, count(*) AS n, {rnd('avg(len)', 'mean_length')} FROM one {_RUN} GROUP BY run, m"))
 def _(spark, d):
     """Split counts and mean lengths over the unrooted order trees."""
-    found = tt.tree_splits(t.newick_ord(spark, d)).groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    found = cl.split_counts(t.newick_ord(spark, d)).drop("mean_support")
     return tidy(found.withColumn("split", F.array_join("split", "|")))
 
 
+@register("tree_split_supports", cte(
+    "order_leaves",
+    _MASKS + ", cs AS (SELECT l_orderkey, flag, sum(m)::BIGINT AS c, count(*) / 10.0 AS support FROM lv GROUP BY 1, 2 HAVING count(*) > 1), "
+    f"cm AS (SELECT l_orderkey, CASE WHEN c & {_LOWEST} <> 0 THEN total - c ELSE c END AS m, flag, support FROM cs JOIN tot USING (l_orderkey) WHERE c <> total), "
+    "w AS (SELECT l_orderkey, m, arg_min(support, flag) AS weight FROM cm GROUP BY 1, 2) "
+    f"SELECT run, {_names()} AS split, count(*) AS n, count(weight) AS n_supported, {rnd('avg(weight)', 'mean_support')} FROM one LEFT JOIN w USING (l_orderkey, m) {_RUN} GROUP BY run, m",
+))
+def _(spark, d):
+    """Supports of the splits of the order trees, a tenth of a clade's leaf number written behind it."""
+    marked = t.newick_ord(spark, d).withColumn("newick", F.regexp_replace("newick", r"\):([0-9.]+)", r")$1:$1"))
+    found = cl.tree_branches(marked)
+    counts = found.groupBy("run", "key1", "key2").agg(
+        F.count(F.lit(1)).alias("n"), F.count("weight").alias("n_supported"), F.avg("weight").alias("mean_support"), F.min(F.struct("run", "iter")).alias("at")
+    )
+    return tidy(cl.named_counts(counts, marked).withColumn("split", F.array_join("split", "|")))
+
+
 @register("tree_splits_rooted", cte(
     "order_clades",
     f", x AS (SELECT l_orderkey, array_to_string(members, '|') AS split FROM order_clades WHERE size > 1 UNION ALL SELECT l_orderkey, 't' || t FROM order_leaves), "
@@ -76,7 +94,7 @@ def _(spark, d):
     f"SELECT run, split, count(*) AS n FROM x JOIN nl USING (l_orderkey) {_RUN} WHERE len(string_split(split, '|')) < k GROUP BY 1, 2",
 ))
 def _(spark, d):
-    found = tt.tree_splits(t.newick_ord(spark, d), rooted=True).groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"))
+    found = cl.split_counts(t.newick_ord(spark, d), rooted=True).select("run", "split", "n")
     return tidy(found.withColumn("split", F.array_join("split", "|")))
 
 
@@ -105,7 +123,7 @@ def _(spark, d):
     f"SELECT run, split, n, {rnd('prob', 'prob')}, {rnd('sum(prob) OVER (PARTITION BY split) / (SELECT count(DISTINCT run) FROM p)', 'mean_prob')} FROM p",
 ))
 def _(spark, d):
-    return tidy(tt.root_split_freq(t.newick_ord(spark, d)).withColumn("split", F.array_join("split", "|")))
+    return tidy(cl.root_split_freq(t.newick_ord(spark, d)).withColumn("split", F.array_join("split", "|")))
 
 
 @register("prune_taxa", cte(

@@ -1,7 +1,7 @@
 """Structured Streaming monitors over growing tables.
 
 Nothing here has event time: a point is known by (run, iter), and one delivered twice
-is dropped. The monitors keep plain mergeable aggregates as state, so they survive a
+is dropped; the numbers seen are kept as intervals, see :mod:`seen`. The monitors keep plain mergeable aggregates as state, so they survive a
 restart from the query's checkpoint and combine on the map side.
 """
 
@@ -16,6 +16,7 @@ from cladeframe.functions.logspace import band, band_sums, combine_bands
 from cladeframe.operators.splits import compare_runs_splits, overall_difference
 from cladeframe.operators.trace import running_moments
 from cladeframe.operators.trees import tree_splits
+from cladeframe.streaming.seen import first_time
 
 TRACE = "run string, iter bigint, param string, value double"
 TREES = "run string, iter bigint, newick string"
@@ -32,7 +33,7 @@ def read_growing(spark: SparkSession, path: str, schema: str, max_files: int | N
 
 def stream_trace(trace: DataFrame) -> DataFrame:
     """Running n, mean and variance of every series (update mode)."""
-    return running_moments(trace.dropDuplicates(["run", "iter", "param"]))
+    return running_moments(first_time(trace, ["run", "param"], "iter"))
 
 
 def stream_splits(trees: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def stream_splits(trees: DataFrame) -> DataFrame:
     Every tree has one empty split beside its own ones, so counts and totals come from
     one stateful aggregation.
     """
-    splits = tree_splits(trees.dropDuplicates(["run", "iter"]), count_trees=True)
+    splits = tree_splits(first_time(trees, ["run"], "iter"), count_trees=True)
     return splits.groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
 
 
@@ -74,7 +75,7 @@ def stream_logz(deltas: DataFrame) -> DataFrame:
     The scale of a band is fixed, so a late larger increment opens a new band instead
     of rescaling what was summed, and one key may be summed by many tasks.
     """
-    fresh = deltas.dropDuplicates(["run", "cycle", "draw"])
+    fresh = first_time(deltas, ["run", "cycle"], "draw")
     x = F.col("delta")
     return fresh.groupBy("run", "cycle", band(x).alias("_band")).agg(*band_sums(x))
 

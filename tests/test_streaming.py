@@ -70,3 +70,42 @@ def test_logz_survives_a_restart(spark, tmp_path):
     draws = spark.createDataFrame(data, mo.DELTAS).withColumn("dlogprior", F.lit(0.0))
     want = {r.cycle: (r.npoint, pytest.approx(r.logz), pytest.approx(r.ess)) for r in fit.stepping_estimate(draws).collect()}
     assert got == want
+
+
+def test_intervals():
+    import numpy as np
+
+    from cladeframe.streaming import seen
+
+    rng = random.Random(3)
+    none = np.zeros(0, np.int64)
+    starts, ends, known = none, none, set()
+    for _ in range(60):
+        numbers = np.array([rng.randrange(80) for _ in range(rng.randrange(9))], np.int64)
+        new = seen.unseen(starts, ends, numbers)
+        want = [x not in known and x not in numbers[:i] for i, x in enumerate(numbers)]
+        assert new.tolist() == want
+        starts, ends = seen.merged(starts, ends, numbers[new])
+        known |= set(numbers.tolist())
+        held = [x for a, b in zip(starts, ends, strict=True) for x in range(a, b + 1)]
+        assert held == sorted(known) and (starts[1:] > ends[:-1] + 1).all()
+
+
+def test_state_does_not_grow_with_the_points(spark, tmp_path):
+    """Files that come late, out of order and twice; the state is one row for each range of numbers."""
+    data = [("a", i, "x", float(i % 7)) for i in range(600)]
+    source, check = str(tmp_path / "in"), str(tmp_path / "cp")
+    rows = []
+    for a in (400, 0, 200, 0, 400):
+        spark.createDataFrame(data[a : a + 200], mo.TRACE).coalesce(1).write.mode("append").parquet(source)
+        q = (
+            mo.stream_trace(mo.read_growing(spark, source, mo.TRACE)).writeStream.outputMode("complete").format("memory")
+            .queryName("late_out").option("checkpointLocation", check).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        operators = q.lastProgress["stateOperators"]
+        rows.append(max(o["numRowsTotal"] for o in operators))
+    got = spark.table("late_out").first()
+    want = tr.trace_moments(spark.createDataFrame(data, mo.TRACE)).first()
+    assert (got.n, got.mean, got.variance) == (want.n, pytest.approx(want.mean), pytest.approx(want.variance))
+    assert max(rows) <= 2
