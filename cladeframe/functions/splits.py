@@ -29,12 +29,6 @@ def informative(split: Column, n_taxa: Column | int) -> Column:
     return (F.size(split) >= 2) & (F.size(split) <= n - 2)
 
 
-def conflict(a: Column, b: Column) -> Column:
-    """Two canonical splits conflict when they overlap and neither contains the other."""
-    common = F.size(F.array_intersect(a, b))
-    return (common > 0) & (common < F.size(a)) & (common < F.size(b))
-
-
 def split_to_string(split: Column, taxa: Column, present: Column | None = None) -> Column:
     """One character per taxon: ``*`` in the split, ``.`` outside, blank when the taxon is absent."""
     here = F.lit(True) if present is None else None

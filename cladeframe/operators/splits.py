@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.splits import canonical_split, conflict, informative
+from cladeframe.functions.splits import canonical_split, informative
+from cladeframe.operators.splitindex import conflict_pairs, conflicting_splits
 from cladeframe.session import durable
 
-# Splits on the broadcast side of a conflict join; longer lists are read in pages.
-PAGE = 20_000
 # Candidates decided by one task of a consensus round.
 BLOCK = 2_000
 
@@ -153,35 +152,14 @@ def restrict_splits(splits: DataFrame, keep: Column) -> DataFrame:
     return cut.filter(F.size("split") > 0).groupBy("run", "iter", "split").agg(F.sum("length").alias("length"))
 
 
-def _pages(b: DataFrame) -> list[DataFrame]:
-    """``b`` as broadcast-sized pieces, by a count that stops at the page size."""
-    if b.limit(PAGE + 1).count() <= PAGE:
-        return [b]
-    n = b.count() // (PAGE // 2) + 1
-    page = F.pmod(F.xxhash64("split_b"), F.lit(n))
-    return [b.filter(page == p) for p in range(n)]
-
-
 def split_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs (split, split_b) of canonical splits that are incompatible.
-
-    ``b`` is a candidate list (splits above a cutoff c number at most (2n - 3) / c),
-    broadcast in pages of checked size; only conflicting pairs leave the join.
-    """
-    other = b.select(F.col("split").alias("split_b"), F.col("prob").alias("prob_b")).distinct()
-    parts = [a.join(F.broadcast(page), conflict(F.col("split"), F.col("split_b"))) for page in _pages(other)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows of ``a`` with (split_b, prob_b) of every canonical split of ``b`` that is incompatible with it."""
+    return conflict_pairs(a, b)
 
 
 def compatible_with(a: DataFrame, b: DataFrame) -> DataFrame:
     """Splits of ``a`` that conflict with no split of ``b``."""
-    other = b.select(F.col("split").alias("split_b")).distinct()
-    for page in _pages(other):
-        a = a.join(F.broadcast(page), conflict(F.col("split"), F.col("split_b")), "left_anti")
-    return a
+    return a.join(conflicting_splits(a, b), "split", "left_anti")
 
 
 def restricted_freq(splits: DataFrame, trees: DataFrame, shared: Column) -> DataFrame:

@@ -294,14 +294,34 @@ def _(spark, d):
     return show(sp.split_compat_with(*_restricted(spark, d)))
 
 
-def _greedy_sql(cutoff: float) -> str:
-    """The greedy rule as a recursion over the ranked splits."""
+def _greedy_cte(cutoff: float) -> str:
+    """The greedy rule as a recursion over the ranked splits; ``g`` lists what is kept after each."""
     clash = _CONFLICT.format("r.m", "k.x")
     return cte("merged", "SELECT 1").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("\nSELECT 1") + (
         f", r AS (SELECT m, n, prob, row_number() OVER (ORDER BY n DESC, {M}) AS i FROM merged WHERE prob >= {cutoff}), "
         "g(i, kept) AS (SELECT 0::BIGINT, []::INT[] UNION ALL SELECT g.i + 1, CASE WHEN "
-        f"(SELECT count(*) FROM (SELECT unnest(g.kept) AS x) k WHERE {clash}) = 0 THEN list_append(g.kept, r.m::INT) ELSE g.kept END FROM g JOIN r ON r.i = g.i + 1) "
-        f"SELECT {M} AS split, n, {rnd('prob', 'prob')} FROM merged WHERE list_contains((SELECT arg_max(kept, i) FROM g), m::INT)"
+        f"(SELECT count(*) FROM (SELECT unnest(g.kept) AS x) k WHERE {clash}) = 0 THEN list_append(g.kept, r.m::INT) ELSE g.kept END FROM g JOIN r ON r.i = g.i + 1), "
+        "final AS (SELECT m::INT AS m, n, prob, mean_length FROM merged WHERE list_contains((SELECT arg_max(kept, i) FROM g), m::INT)) "
+    )
+
+
+def _greedy_sql(cutoff: float) -> str:
+    return _greedy_cte(cutoff) + f"SELECT {M} AS split, n, {rnd('prob', 'prob')} FROM final"
+
+
+def _tree_sql(cutoff: float) -> str:
+    """The kept splits as nested text: clades by size, each takes the finished parts inside it."""
+    inside = "list_filter(b.parts, lambda e: (e.m & c.m) <> 0)"
+    return _greedy_cte(cutoff) + (
+        ", leaf AS (SELECT t::VARCHAR AS f, t::VARCHAR || coalesce(printf(':%.6f', CASE WHEN t = 0 THEN (SELECT max(mean_length) FROM final WHERE bit_count(m) = 7) "
+        "ELSE (SELECT max(mean_length) FROM final WHERE m = (1 << t)) END), '') AS x, (1 << t)::INT AS m FROM (SELECT unnest(range(8))::INT AS t)), "
+        "c AS (SELECT m, prob, mean_length, row_number() OVER (ORDER BY bit_count(m), m) AS i FROM final WHERE bit_count(m) BETWEEN 2 AND 6), "
+        "b(i, parts) AS (SELECT 0::BIGINT, list({'f': f, 'x': x, 'm': m}) FROM leaf UNION ALL SELECT b.i + 1, "
+        "list_append(list_filter(b.parts, lambda e: (e.m & c.m) = 0), {"
+        f"'f': list_min(list_transform({inside}, lambda e: e.f)), "
+        f"'x': '(' || array_to_string(list_transform(list_sort({inside}), lambda e: e.x), ',') || ')' || printf('%.2f', c.prob) || printf(':%.6f', c.mean_length), "
+        "'m': c.m}) FROM b JOIN c ON c.i = b.i + 1) "
+        "SELECT 'consensus' AS tree_id, '(' || array_to_string(list_transform(list_sort(arg_max(parts, i)), lambda e: e.x), ',') || ');' AS newick FROM b"
     )
 
 
@@ -311,7 +331,7 @@ def _(spark, d):
     return show(sp.consensus_splits(merged(spark, d), 0.005).select("split", "n", "prob"))
 
 
-@register("consensus_tree")
+@register("consensus_tree", _tree_sql(0.005))
 def _(spark, d):
     """Newick text of the greedy consensus tree."""
     taxa = spark.createDataFrame([(x,) for x in t.ORDER_TAXA], "taxon string")

@@ -242,14 +242,13 @@ def brute_consensus(freq, cutoff):
 
 
 def test_consensus_blocks(spark, monkeypatch):
-    """Small blocks and pages give the same answer as one plain loop."""
+    """Small blocks give the same answer as one plain loop, the index the same conflicts as all pairs."""
     rng = random.Random(5)
     freq = {}
     while len(freq) < 60:
         s = tuple(sorted(rng.sample("bcdefghij", rng.randrange(1, 9))))
         freq[s] = rng.choice([0.02, 0.05, 0.1, 0.2, 0.3, 0.4])
     monkeypatch.setattr(sp, "BLOCK", 7)
-    monkeypatch.setattr(sp, "PAGE", 5)
     data = [(list(s), round(p * 100), p, 1.0) for s, p in freq.items()]
     merged = spark.createDataFrame(data, "split array<string>, n bigint, prob double, mean_length double")
     got = sorted("".join(r.split) for r in sp.consensus_splits(merged, 0.05).collect())
