@@ -12,24 +12,22 @@ from pyspark.sql import functions as F
 
 
 _LN_GAMMA = np.vectorize(lgamma, otypes=[float])
-#: Shapes beyond this take the normal limit of the standardised Gamma, off by less than 1e-8.
-_NORMAL_SHAPE = 1e8
+_NORMAL = np.vectorize(NormalDist().inv_cdf, otypes=[float])
+#: Shapes from here on are integrated around the mean; below it series and fraction take some dozens of terms.
+_WIDE_SHAPE = 20.0
+#: Standard deviations around the mean beyond which nothing is left.
+_REACH = 14.0
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(160)
 
 
-def lower_gamma(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function of arrays of equal shape.
-
-    A power series below shape + 1 and a continued fraction above it. Near the mean
-    both need some multiples of sqrt(shape) terms; without convergence it raises.
-    """
-    most = 2000 + int(40 * np.sqrt(np.max(shape, initial=1.0)))
-    x = np.maximum(np.asarray(x, dtype=float), 1e-300)
+def _by_terms(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A power series below shape + 1 and a continued fraction above it."""
     front = np.exp(shape * np.log(x) - x - _LN_GAMMA(shape))
     small = x < shape + 1
     step = np.where(small, x, 0.0)
     term = 1 / shape
     series = term.copy()
-    for i in range(1, most):
+    for i in range(1, 2000):
         term = term * step / (shape + i)
         series += term
         if np.all(term < 1e-17 * series):
@@ -40,7 +38,7 @@ def lower_gamma(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
     b = z + 1 - shape
     c, d = np.full_like(b, 1e300), 1 / b
     h = d.copy()
-    for i in range(1, most):
+    for i in range(1, 2000):
         a = -i * (i - shape)
         b = b + 2
         d = 1 / (a * d + b)
@@ -53,30 +51,98 @@ def lower_gamma(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(small, front * series, 1 - front * h)
 
 
+def _height(shape: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """x^shape e^-x / Gamma(shape) at x = shape (1 + step), for wide shapes.
+
+    Stirling's series takes the large parts of both logarithms out, so that the
+    relative error stays near that of ``step`` for every shape.
+    """
+    one = 1 / shape
+    rest = one / 12 - one**3 / 360 + one**5 / 1260 - one**7 / 1680
+    step = np.maximum(step, -1 + 1e-15)
+    return np.sqrt(shape / (2 * np.pi)) * np.exp(shape * (np.log1p(step) - step) - rest)
+
+
+def _by_integral(shape: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The lower part up to x = shape (1 + step): Gauss-Legendre over the distance from the mean, uniform in the shape."""
+    reach = _REACH / np.sqrt(shape)
+    low = np.maximum(-reach, -1.0)
+    high = np.clip(step, low, reach)
+    half = (high - low) / 2
+    at = low[..., None] + half[..., None] * (_NODES + 1)
+    inside = _height(shape[..., None], at) / np.maximum(1 + at, 1e-15)
+    return np.minimum((inside * _WEIGHTS).sum(-1) * half, 1.0)
+
+
+def lower_gamma(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function of arrays of equal shape."""
+    shape = np.asarray(shape, dtype=float)
+    x = np.maximum(np.asarray(x, dtype=float), 1e-300)
+    out = np.empty(shape.shape)
+    wide = shape >= _WIDE_SHAPE
+    out[wide] = _by_integral(shape[wide], x[wide] / shape[wide] - 1)
+    out[~wide] = _by_terms(shape[~wide], x[~wide])
+    return out
+
+
+def _solve(start: np.ndarray, low: np.ndarray, high: np.ndarray, shape: np.ndarray, p: np.ndarray, value, slope) -> np.ndarray:
+    """Newton steps on functions of (shape, x) that increase with x, halved where they leave the bracket."""
+    out = np.clip(start, low, high)
+    low, high = low.copy(), high.copy()
+    left = np.arange(len(out))  # not settled yet
+    for _ in range(200):
+        at, a = out[left], shape[left]
+        gap = value(a, at) - p[left]
+        under = gap < 0
+        low[left[under]], high[left[~under]] = at[under], at[~under]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            following = at - gap / slope(a, at)
+        lost = ~np.isfinite(following) | (following < low[left]) | (following > high[left])
+        following = np.where(lost, (low[left] + high[left]) / 2, following)
+        out[left] = following
+        left = left[(np.abs(following - at) > 1e-14 * np.abs(at)) & (np.abs(gap) > 4e-16)]
+        if not len(left):
+            break
+    return out
+
+
+def _wide_steps(shape: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Quantiles of wide shapes as distances from the mean: x = shape (1 + step)."""
+    reach = _REACH / np.sqrt(shape)
+    start = (1 - 1 / (9 * shape) + _NORMAL(p) / (3 * np.sqrt(shape))) ** 3 - 1
+    return _solve(
+        start, np.maximum(-reach, -1 + 1e-12), reach, shape, p, _by_integral, lambda a, s: _height(a, s) / (1 + s)
+    )
+
+
+def _narrow_logs(shape: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Quantiles of other shapes as logarithms; below 1e-300 they stay there."""
+    cube = 1 - 1 / (9 * shape) + _NORMAL(p) / (3 * np.sqrt(shape))
+    near_zero = (np.log(p) + _LN_GAMMA(shape + 1)) / shape  # the first term of the series alone
+    start = np.where((cube > 0.1) & (shape > 0.3), np.log(shape) + 3 * np.log(np.maximum(cube, 0.1)), near_zero)
+    low, high = np.full(shape.shape, np.log(1e-300)), np.full(shape.shape, np.log(1e4))
+    return _solve(
+        start, low, high, shape, p, lambda a, y: _by_terms(a, np.exp(y)), lambda a, y: np.exp(a * y - np.exp(y) - _LN_GAMMA(a))
+    )
+
+
 def category_rates(alphas: np.ndarray, n: int) -> np.ndarray:
     """Means of the n equal-probability bins of Gammas with mean 1: one row per shape."""
     alphas = np.asarray(alphas, dtype=float)
-    large = alphas > _NORMAL_SHAPE
-    if large.any():
-        out = np.empty((len(alphas), n))
-        out[~large] = category_rates(alphas[~large], n)
-        cuts = [NormalDist().inv_cdf(i / n) for i in range(1, n)]
-        height = np.array([0.0, *(NormalDist().pdf(z) for z in cuts), 0.0])
-        out[large] = 1 + n * (height[:-1] - height[1:]) / np.sqrt(alphas[large])[:, None]
-        return out
     if not len(alphas):
         return np.empty((0, n))
-    shape = np.repeat(np.asarray(alphas, dtype=float)[:, None], n - 1, axis=1)
+    shape = np.repeat(alphas[:, None], n - 1, axis=1)
     goal = np.broadcast_to(np.arange(1, n) / n, shape.shape)
-    lo, hi = np.zeros(shape.shape), np.ones(shape.shape)
-    while np.any(short := lower_gamma(shape, hi) < goal):
-        hi = np.where(short, hi * 2, hi)
-    for _ in range(70):
-        mid = (lo + hi) / 2
-        below = lower_gamma(shape, mid) < goal
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    edges = lower_gamma(shape + 1, (lo + hi) / 2)
-    ends = np.ones((len(edges), 1))
+    # the share of the mean below a quantile x is P(a + 1, x) = P(a, x) - x^a e^-x / Gamma(a + 1)
+    edges = goal.copy()
+    wide = shape >= _WIDE_SHAPE
+    if wide.any():
+        a = shape[wide]
+        edges[wide] -= _height(a, _wide_steps(a, goal[wide])) / a
+    if not wide.all():
+        a = shape[~wide]
+        edges[~wide] = _by_terms(a + 1, np.exp(_narrow_logs(a, goal[~wide])))
+    ends = np.ones((len(alphas), 1))
     return n * np.diff(np.hstack([0 * ends, edges, ends]), axis=1)
 
 

@@ -1,34 +1,27 @@
-"""Per-site likelihood on a tree, distributed over sites and draws.
+"""Per-site likelihood on a tree, distributed over sites, draws and tree levels.
 
-``models(draw, site, cat, rate, pi[, rr])`` lists what has to be evaluated: a rate
-and a stationary profile for each site, category and draw. The equal-rates process
+``models([site,] draw, cat, rate, pi[, rr])`` lists what has to be evaluated: a rate
+and a stationary profile for each category and draw, of one site or (without the
+column) of every site in ``cells``. The equal-rates process
 keeps a state with probability exp(-rate t) and else draws it from ``pi``; with ``rr``
 (upper triangle of exchangeabilities) the general reversible process is used.
 
-Two forms give the same numbers. ``site_loglik_levels`` needs built-ins only and has
-no limit on the tree; ``site_loglik`` evaluates blocks of sites in grouped tasks and
-is taken for trees whose size was checked.
+Two forms give the same numbers on trees of any size. ``site_loglik`` and
+``ancestral_probs`` pass messages of packed model rows, see :mod:`messages`;
+``site_loglik_levels`` needs built-ins only and knows the equal-rates process.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.logspace import weighted_log_sum, weighted_log_sums
+from cladeframe.operators import messages
 from cladeframe.operators.trees import LEVELS_PER_CUT, max_depth
 from cladeframe.session import durable
 
 KEYS = ["draw", "site", "cat"]
-MAX_TREE_NODES = 200_000
-BLOCK_CELLS = 400_000
-DRAWS_PER_BLOCK = 64
-# Doubles held at once by one task: model rows x nodes x states.
-TASK_DOUBLES = 1 << 25
 
 
 def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: list[str]) -> DataFrame:
@@ -82,195 +75,13 @@ def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, st
     return joined.select(*KEYS, F.when(F.col("_data"), F.col("logl")).otherwise(0.0).alias("logl"))
 
 
-@dataclass
-class SmallTree:
-    """A checked tree as arrays in an order where children come before parents."""
-
-    names: list[str]
-    parent: np.ndarray
-    length: np.ndarray
-    taxon: list[str | None]
-
-
-def load_tree(nodes: DataFrame) -> SmallTree | None:
-    """Bring one tree to the driver when it has at most ``MAX_TREE_NODES`` nodes, else None."""
-    if nodes.limit(MAX_TREE_NODES + 1).count() > MAX_TREE_NODES:
-        return None
-    pdf = nodes.select(
-        F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), "taxon", "length", "depth"
-    ).toPandas().sort_values("depth", ascending=False, kind="stable")
-    at = {name: i for i, name in enumerate(pdf["node"])}
-    parent = np.array([at.get(p, -1) for p in pdf["parent"]])
-    return SmallTree(
-        list(pdf["node"]), parent, pdf["length"].fillna(0.0).to_numpy(float), [t if isinstance(t, str) else None for t in pdf["taxon"]]
-    )
-
-
-def _share(x: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Rows divided by their totals; a row of zeros stays."""
-    return x / np.where(total > 0, total, 1.0)[:, None]
-
-
-class Kernel:
-    """Pruning for a batch of model rows: every vector is (rows, states)."""
-
-    def __init__(self, tree: SmallTree, states: list[str], cells: pd.DataFrame, models: pd.DataFrame):
-        self.tree = tree
-        sites = {s: i for i, s in enumerate(pd.unique(models["site"]))}
-        code = {s: k for k, s in enumerate(states)}
-        self.k = len(states)
-        self.rows = models["site"].map(sites).to_numpy()
-        self.rate = models["rate"].to_numpy(float)
-        self.pi = np.stack(models["pi"].to_numpy()).astype(float)
-        kept = cells[cells["site"].isin(sites) & cells["state"].isin(code)]
-        taxon, names = pd.factorize(kept["taxon"])
-        table = np.full((len(names), len(sites)), -1)
-        table[taxon, kept["site"].map(sites).to_numpy()] = kept["state"].map(code).to_numpy()
-        self.leaf = dict(zip(names, table, strict=True))
-        self.eigen = None
-        if "rr" in models and models["rr"].notna().all():
-            self.eigen = self._decompose(np.stack(models["rr"].to_numpy()).astype(float))
-
-    def _decompose(self, rr: np.ndarray):
-        """One decomposition per distinct matrix; rows point to theirs."""
-        both, index = np.unique(np.hstack([rr, self.pi]), axis=0, return_inverse=True)
-        upper = np.triu_indices(self.k, 1)
-        found = []
-        for line in both:
-            exch, pi = np.zeros((self.k, self.k)), line[rr.shape[1]:]
-            exch[upper] = line[: rr.shape[1]]
-            q = (exch + exch.T) * pi
-            np.fill_diagonal(q, -q.sum(1))
-            root = np.sqrt(pi)
-            values, vectors = np.linalg.eigh(root[:, None] * q / root)
-            found.append((values, vectors / root[:, None], (vectors * root[:, None]).T))
-        return index.ravel(), found
-
-    def move(self, x: np.ndarray, length: float) -> np.ndarray:
-        """Carry vectors along a branch."""
-        if self.eigen is None:
-            stay = np.exp(-self.rate * length)[:, None]
-            return stay * x + (1 - stay) * (self.pi * x).sum(1, keepdims=True)
-        out = np.empty_like(x)
-        index, found = self.eigen
-        for i, (values, left, right) in enumerate(found):
-            here = index == i
-            inner = (x[here] @ right.T) * np.exp(np.outer(self.rate[here] * length, values))
-            out[here] = np.maximum(inner @ left.T, 0.0)
-        return out
-
-    def up(self):
-        """Vectors below every node (None without data), carried vectors, and logs taken out."""
-        n = len(self.tree.names)
-        below: list = [None] * n
-        carried: list = [None] * n
-        logs = np.zeros(len(self.rows))
-        for i in range(n):
-            if self.tree.taxon[i] is not None:
-                column = self.leaf.get(self.tree.taxon[i])
-                if column is not None:
-                    state = column[self.rows]
-                    x = np.ones((len(state), self.k))
-                    x[state >= 0] = np.eye(self.k)[state[state >= 0]]
-                    below[i] = x
-            if below[i] is None:
-                continue
-            top = below[i].max(1)
-            below[i] = _share(below[i], top)
-            with np.errstate(divide="ignore"):
-                logs += np.log(top)  # minus infinity where no state is possible
-            p = self.tree.parent[i]
-            if p >= 0:
-                carried[i] = self.move(below[i], self.tree.length[i])
-                below[p] = carried[i] if below[p] is None else below[p] * carried[i]
-        return below, carried, logs
-
-    def loglik(self) -> np.ndarray:
-        below, _, logs = self.up()
-        if below[-1] is None:
-            return logs
-        with np.errstate(divide="ignore"):
-            return np.log((below[-1] * self.pi).sum(1)) + logs
-
-    def posteriors(self) -> dict[str, np.ndarray]:
-        """State probabilities of the inner nodes, from the vectors of all their neighbours."""
-        below, carried, _ = self.up()
-        children: dict[int, list[int]] = {}
-        for i, p in enumerate(self.tree.parent):
-            children.setdefault(p, []).append(i)
-        above = {len(below) - 1: np.ones((len(self.rows), self.k))}
-        result = {}
-        for i in range(len(below) - 1, -1, -1):
-            if self.tree.taxon[i] is not None:
-                continue
-            kids = [c for c in children.get(i, []) if carried[c] is not None]
-            # products of the siblings before and after each child
-            before, acc = [], above[i]
-            for c in kids:
-                before.append(acc)
-                acc = acc * carried[c]
-                acc = _share(acc, acc.max(1))
-            joint = acc * self.pi
-            result[self.tree.names[i]] = _share(joint, joint.sum(1))
-            after = np.ones((len(self.rows), self.k))
-            for c, first in zip(reversed(kids), reversed(before), strict=True):
-                if self.tree.taxon[c] is None:
-                    rest = first * after
-                    above[c] = self.move(_share(rest, rest.max(1)), self.tree.length[c])
-                after = after * carried[c]
-                after = _share(after, after.max(1))
-            for c in children.get(i, []):
-                if self.tree.taxon[c] is None and c not in above:
-                    rest = acc
-                    above[c] = self.move(rest, self.tree.length[c])
-        return result
-
-
-def rows_at_once(tree: SmallTree, states: list[str]) -> int:
-    return max(1, TASK_DOUBLES // (len(tree.names) * len(states)))
-
-
-def _blocks(cells: DataFrame, models: DataFrame, tree: SmallTree):
-    """Cells and models keyed by (site block, draw block), each of bounded size."""
-    n_leaves = sum(t is not None for t in tree.taxon)
-    width = max(1, BLOCK_CELLS // max(1, n_leaves))
-    width = min(width, 256)
-    block = F.floor(F.col("site") / width)
-    chunk = F.floor(F.col("draw") / DRAWS_PER_BLOCK)
-    keyed_models = models.withColumn("_b", block).withColumn("_c", chunk)
-    # the cells of a block go to every draw block that has models for it
-    wanted = models.select(block.alias("_kb"), chunk.alias("_kc")).distinct()
-    keyed_cells = (
-        cells.filter(F.col("state").isNotNull())
-        .select(F.col("taxon").cast("string").alias("taxon"), "site", "state", block.alias("_kb"))
-        .join(wanted, "_kb")
-    )
-    # small bytes, much work per byte: keep the partition number instead of merging by size
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed_cells.repartition(n, "_kb", "_kc").groupBy("_kb", "_kc"), keyed_models.repartition(n, "_b", "_c").groupBy("_b", "_c")
-
-
 def site_loglik(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: list[str]) -> DataFrame:
-    """(draw, site, cat, logl) by grouped pruning; falls back to the level form for a huge tree."""
-    tree = load_tree(nodes)
-    if tree is None:
-        if "rr" in models.columns:
-            raise ValueError("the level form knows the equal-rates process only")
-        return site_loglik_levels(cells, nodes, models, states)
-
-    rows = rows_at_once(tree, states)
-
-    def solve(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = model[["draw", "site", "cat"]]
-        if model.empty:
-            return out.assign(logl=pd.Series(dtype=float))
-        if leaf.empty:
-            return out.assign(logl=0.0)
-        slices = [model.iloc[i : i + rows] for i in range(0, len(model), rows)]
-        return out.assign(logl=np.concatenate([Kernel(tree, states, leaf, part).loglik() for part in slices]))
-
-    left, right = _blocks(cells, models, tree)
-    return left.cogroup(right).applyInPandas(solve, "draw bigint, site bigint, cat int, logl double")
+    """(draw, site, cat, logl) by messages of packed model rows, for both processes and trees of any size."""
+    k = len(states)
+    packed, width = messages.packed_for(cells, models.withColumn("w", F.lit(1.0)))
+    ups, inner, _ = messages.upward(cells, nodes, packed, states, width)
+    root = inner.filter(F.col("depth") == 0).select("node")
+    return messages.root_logl(packed, ups.join(root, "node"), k)
 
 
 def mixture_site_loglik(logl: DataFrame, weights: DataFrame) -> DataFrame:
@@ -309,51 +120,13 @@ def ancestral_probs(
     Categories are weighted by w times their likelihood; ``raw_sum`` adds the
     normalised vectors without weights. Sites without data are left out.
     """
-    tree = load_tree(nodes)
-    if tree is None:
-        raise ValueError(f"ancestral states need a tree of at most {MAX_TREE_NODES} nodes")
     k = len(states)
-    sums = [f"s{i}" for i in range(k)]
-    schema = "node string, site bigint, n bigint, " + ", ".join(f"{c} double" for c in sums)
     weighted = models.withColumn("w", F.lit(1.0)) if weights is None else models.join(weights.select("draw", "cat", "w"), ["draw", "cat"])
-
-    rows_once = rows_at_once(tree, states)
-
-    def summarise(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        kernel = Kernel(tree, states, leaf, model)
-        # categories to (draw, site), then draws to sites
-        point = model.groupby(["draw", "site"], sort=False).ngroup().to_numpy()
-        firsts = model.drop_duplicates(["draw", "site"])
-        site, names = pd.factorize(firsts["site"])
-        w = np.ones(len(model))
-        if not raw_sum:
-            logl = kernel.loglik()
-            top = np.full(len(firsts), -np.inf)
-            np.maximum.at(top, point, logl)
-            w = model["w"].to_numpy() * np.exp(logl - np.where(top > -np.inf, top, 0.0)[point])
-        total = np.bincount(point, w)
-        known = total > 0  # a point without likelihood has no ancestral states
-        parts = []
-        for node, probs in kernel.posteriors().items():
-            out = {"node": node, "site": names, "n": np.bincount(site[known], minlength=len(names))}
-            for i, c in enumerate(sums):
-                share = np.bincount(point, w * probs[:, i])[known] / total[known]
-                out[c] = np.bincount(site[known], share, len(names))
-            parts.append(pd.DataFrame(out))
-        return pd.concat(parts, ignore_index=True)
-
-    def solve(leaf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        model = model[model["site"].isin(leaf["site"].unique())].reset_index(drop=True)
-        if model.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        # slices of whole sites, so that the categories of a site stay together
-        per_site = int(model.groupby("site").size().max())
-        numbers = pd.factorize(model["site"])[0] // max(1, rows_once // per_site)
-        return pd.concat([summarise(leaf, part.reset_index(drop=True)) for _, part in model.groupby(numbers)], ignore_index=True)
-
-    left, right = _blocks(cells, weighted, tree)
-    rows = left.cogroup(right).applyInPandas(solve, schema)
-    means = rows.filter("n > 0").groupBy("node", "site").agg(*[(F.sum(c) / F.sum("n")).alias(s) for c, s in zip(sums, states, strict=True)])
+    packed, width = messages.packed_for(cells, weighted)
+    ups, inner, depth = messages.upward(cells, nodes, packed, states, width)
+    downs = messages.downward(durable(ups), inner, depth, k)
+    rows = messages.posterior_sums(downs, k, raw_sum)
+    means = rows.groupBy("node", "site").agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(s) for i, s in enumerate(states)])
     return means.unpivot(["node", "site"], states, "state", "prob")
 
 

@@ -38,15 +38,21 @@ def solve(spark, d, models, form=lk.site_loglik):
 @register("site_loglik_levels", cte(VIEWS, f", {BY_RATE} {LOGL}"))
 def _(spark, d):
     """Level-by-level form with built-ins only."""
-    return tidy(solve(spark, d, t.rate_models, lk.site_loglik_levels))
+    return tidy(solve(spark, d, t.part_models, lk.site_loglik_levels))
 
 
 @register("site_loglik", cte(VIEWS, f", {BY_RATE} {LOGL}"))
 def _(spark, d):
-    """Grouped form over blocks of sites and draws."""
+    """Messages of packed blocks, the models the same for all sites."""
     return tidy(solve(spark, d, t.rate_models))
 
 
+@register("site_loglik_by_site", SQL["site_loglik"])
+def _(spark, d):
+    """The same with models of their own for every site."""
+    return tidy(solve(spark, d, t.part_models))
+
+
 @register("root_invariance", SQL["site_loglik"])
 def _(spark, d):
     """The same likelihoods on the tree rooted above one supplier: the place of the root changes nothing."""
@@ -174,14 +180,53 @@ def _(spark, d):
     return tidy(lk.expand_zip(seen.unionByName(rest), orbits, profiles).select("site", "state", "prob"))
 
 
-@register("gamma_rates")
+def _gamma_sql(n: int = 4) -> str:
+    """Quantiles by halving, the incomplete gamma function by its series with every term on its own."""
+    def lower(a: str, x: str) -> str:
+        return f"list_sum(list_transform(range(0, 300), lambda j: exp(({a} + j) * ln({x}) - {x} - lgamma({a} + j + 1))))"
+
+    half = "((lo + hi) / 2)"
+    under = f"{lower('alpha', half)} < i / {n}.0"
+    return (
+        "WITH RECURSIVE d AS (SELECT l_linenumber AS draw, 10 * avg(l_discount) AS alpha FROM lineitem GROUP BY 1), "
+        f"s(draw, alpha, i, lo, hi, t) AS (SELECT draw, alpha, unnest(range(1, {n})), 0.0::DOUBLE, 60.0::DOUBLE, 0 FROM d UNION ALL "
+        f"SELECT draw, alpha, i, CASE WHEN {under} THEN {half} ELSE lo END, CASE WHEN {under} THEN hi ELSE {half} END, t + 1 FROM s WHERE t < 64), "
+        f"e AS (SELECT draw, alpha, i, {lower('(alpha + 1)', half)} AS p FROM s WHERE t = 64 UNION ALL SELECT draw, alpha, unnest([0, {n}]), unnest([0.0, 1.0]) FROM d) "
+        f"SELECT draw::BIGINT AS draw, {rnd('alpha', 'alpha', 8)}, i AS cat, {rnd(f'{n} * (next - p)', 'rate', 8)}, {rnd(f'1 / {n}.0', 'w', 8)} "
+        "FROM (SELECT *, lead(p) OVER (PARTITION BY draw ORDER BY i) AS next FROM e) WHERE next IS NOT NULL"
+    )
+
+
+@register("gamma_rates", _gamma_sql())
 def _(spark, d):
     """Four discrete Gamma rates for the mean discount and tax of every line number, alpha = 10 x mean discount."""
     draws = t.lineitem(spark, d).groupBy(F.col("l_linenumber").alias("draw")).agg((10 * F.avg("l_discount")).alias("alpha"))
     return tidy(gamma_rates(draws, F.col("alpha"), 4), 8)
 
 
-@register("site_loglik_reversible")
+def _reversible_sql() -> str:
+    """Transition matrices as power series of the rate matrix in the recursion ``se``, then pruning level by level."""
+    n = range(3)
+    pi, q = ("pa", "pn", "pr"), ("qa", "qn", "qr")
+    off = {(i, j): f"0.1 * rate * {q[i]} * {q[j]} * {pi[j]}" for i in n for j in n if i != j}
+    rates = ", ".join(
+        f"{off[i, j] if i != j else ' + '.join(['0'] + [f'-({off[i, k]})' for k in n if k != i])} AS r{i}{j}" for i in n for j in n
+    )
+    first = ", ".join(f"{float(i == j)}::DOUBLE" for i in n for j in n)
+    names = ", ".join(f"m{i}{j}" for i in n for j in n)
+    powers = ", ".join(f"({' + '.join(f'm{i}{k} * r{k}{j}' for k in n)}) / (t + 1)" for i in n for j in n)
+    sums = ", ".join(f"sum(m{i}{j}) AS t{i}{j}" for i in n for j in n)
+    body = (
+        ", qt AS (SELECT l_returnflag AS f, avg(l_quantity) / 25 AS q FROM lineitem GROUP BY 1), "
+        "qs AS (SELECT max(q) FILTER (f = 'A') AS qa, max(q) FILTER (f = 'N') AS qn, max(q) FILTER (f = 'R') AS qr FROM qt), "
+        f"ra AS (SELECT draw, cat, {rates} FROM rate_models CROSS JOIN qs), "
+        f"se(draw, cat, t, {names}) AS (SELECT draw, cat, 0, {first} FROM ra UNION ALL SELECT draw, cat, t + 1, {powers} FROM se JOIN ra USING (draw, cat) WHERE t < 40), "
+        f"pt AS (SELECT draw, cat, {sums} FROM se GROUP BY 1, 2), {pruning_sql('rate_models', matrix='pt')} {LOGL}"
+    )
+    return cte(VIEWS, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("site_loglik_reversible", _reversible_sql())
 def _(spark, d):
     """General reversible process: exchangeabilities from mean quantities of the flag pairs."""
     flags = F.array(*[F.lit(s) for s in t.FLAGS])

@@ -86,7 +86,9 @@ VIEWS: dict[str, tuple[str, str]] = {
     "cells_ev": ("ev", "SELECT user_id AS taxon, us // 21600000000 AS site, arg_max(event_type, ts) AS state FROM ev GROUP BY 1, 2"),
     "cells_5m": ("ev", "SELECT user_id AS taxon, us // 300000000 AS site, arg_max(event_type, ts) AS state FROM ev GROUP BY 1, 2"),
     "cells_rep": ("ev", "SELECT event_id % 10 AS rep, user_id AS taxon, us // 21600000000 AS site, arg_max(event_type, ts) AS state FROM ev GROUP BY 1, 2, 3"),
-    "genes_ev": ("", "SELECT range AS gene, range * 10 + 1 AS site_begin, range * 10 + 10 AS site_end FROM range(12)"),
+    "ev_sites": ("ev", "SELECT unnest(range((SELECT max(us) // 21600000000 + 1 FROM ev))) AS range"),
+    "fine_sites": ("ev", "SELECT unnest(range((SELECT max(us) // 300000000 + 1 FROM ev))) AS range"),
+    "genes_ev": ("ev_sites", "SELECT range // 10 AS gene, min(range // 10) * 10 + 1 AS site_begin, min(range // 10) * 10 + 10 AS site_end FROM ev_sites GROUP BY 1"),
     "ev_states": ("", "SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS state"),
     "chars": ("", "SELECT doc_id AS taxon, unnest(range(length(text))) AS site, unnest(string_split(text, '')) AS ch FROM documents"),
     "cells_doc": ("chars", "SELECT taxon, site, CASE WHEN (ch >= 'a' AND ch <= 'z') OR (ch >= 'A' AND ch <= 'Z') THEN lower(ch) END AS state FROM chars"),
@@ -239,11 +241,19 @@ def _up(x: str, p: str) -> str:
     return f"ln(exp(-0.1 * rate) * {x} + (1 - exp(-0.1 * rate)) * ({p}))"
 
 
-def pruning_sql(models: str, extra: str = "") -> str:
-    """Fixed-depth pruning on the supplier tree as CTE bodies ``lk_n``, ``lk_r``, ``lk_root``, ``lk``."""
+def pruning_sql(models: str, extra: str = "", matrix: str = "") -> str:
+    """Fixed-depth pruning on the supplier tree as CTE bodies ``lk_n``, ``lk_r``, ``lk_root``, ``lk``.
+
+    ``matrix`` names a table of transition matrices (draw, cat, t00, t01, ...) to use instead of the equal-rates process.
+    """
     def level(src: str, parent: str) -> str:
         mix = "pa * xa + pn * xn + pr * xr"
-        sums = ", ".join(f"sum({_up('x' + k, mix)}) AS l{k}" for k in "anr")
+        if matrix:
+            moved = {k: f"ln(t{i}0 * xa + t{i}1 * xn + t{i}2 * xr)" for i, k in enumerate("anr")}
+            src = f"{src} JOIN {matrix} USING (draw, cat)"
+        else:
+            moved = {k: _up("x" + k, mix) for k in "anr"}
+        sums = ", ".join(f"sum({v}) AS l{k}" for k, v in moved.items())
         keys = f"{parent}site, draw, cat"
         model = "any_value(rate) AS rate, any_value(pa) AS pa, any_value(pn) AS pn, any_value(pr) AS pr"
         inner = f"SELECT {keys}, {model}, sum(scale) AS sc, {sums} FROM {src} GROUP BY {keys}"

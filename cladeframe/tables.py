@@ -19,7 +19,6 @@ FLAGS = ["A", "N", "R"]
 LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)]
 ORDER_TAXA = [str(i) for i in range(8)]
 SIX_HOURS, FIVE_MINUTES, DAY = 21_600_000_000, 300_000_000, 86_400_000_000
-EV_SITES, FINE_SITES = 120, 8640
 # Order keys per ranking bucket of line items.
 ORDER_BUCKET = 1 << 20
 
@@ -52,7 +51,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _latest_state(ev: DataFrame, keys: list[str]) -> DataFrame:
     """State of the latest event per key: time and state index packed into one long, so that it hash-aggregates."""
     names = F.array(*[F.lit(s) for s in EVENT_TYPES])
-    packed = F.col("us") * 8 + F.array_position(names, F.col("event_type"))
+    unknown = F.raise_error(F.concat(F.lit("unknown event type: "), F.col("event_type"))).cast("bigint")
+    place = F.array_position(names, F.col("event_type"))
+    packed = F.col("us") * 8 + F.when(place > 0, place).otherwise(unknown)
     latest = ev.groupBy(*keys).agg(F.max(packed).alias("_m"))
     return latest.select(*keys, F.element_at(names, (F.col("_m") % 8).cast("int")).alias("state"))
 
@@ -77,9 +78,16 @@ def cells_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_cells(spark, sf_dir, SIX_HOURS, by_rep=True)
 
 
-def genes_ev(spark: SparkSession) -> DataFrame:
+def n_sites(spark: SparkSession, sf_dir: str, width: int) -> int:
+    """Sites of the event alignment: up to the bucket of the last event."""
+    last = events(spark, sf_dir).agg(F.max("us")).first()[0]
+    return 0 if last is None else last // width + 1
+
+
+def genes_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes of ten sites each, as many as the event alignment needs."""
     g = F.col("id").cast("int")
-    return spark.range(EV_SITES // 10).select(g.alias("gene"), (g * 10 + 1).alias("site_begin"), (g * 10 + 10).alias("site_end"))
+    return spark.range(-(-n_sites(spark, sf_dir, SIX_HOURS) // 10)).select(g.alias("gene"), (g * 10 + 1).alias("site_begin"), (g * 10 + 10).alias("site_end"))
 
 
 def seqs_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +243,12 @@ def _rate_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two draws (line status) x three rates for every part; profile = flag shares of the draw."""
-    packed = _rate_draws(spark, sf_dir).agg(F.collect_list(F.struct("draw", "cat", "rate", "pi"))).scalar()
+    return _rate_draws(spark, sf_dir).select("draw", "cat", "rate", "pi")
+
+
+def part_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a row for every part."""
+    packed = rate_models(spark, sf_dir).agg(F.collect_list(F.struct("draw", "cat", "rate", "pi"))).scalar()
     sites = lineitem(spark, sf_dir).select(F.col("l_partkey").alias("site")).distinct()
     return sites.select("site", F.explode(packed).alias("m")).select("m.draw", "site", "m.cat", "m.rate", "m.pi")
 
@@ -247,9 +260,7 @@ def rate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comp_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One draw, one component per line number; profile = its flag shares, rate 1."""
     comps = flag_profiles(spark, sf_dir, F.col("l_linenumber"))
-    packed = comps.agg(F.collect_list(F.struct(F.lit(0).cast("bigint").alias("draw"), F.col("k").cast("int").alias("cat"), F.lit(1.0).alias("rate"), "pi"))).scalar()
-    sites = lineitem(spark, sf_dir).select(F.col("l_partkey").alias("site")).distinct()
-    return sites.select("site", F.explode(packed).alias("m")).select("m.draw", "site", "m.cat", "m.rate", "m.pi")
+    return comps.select(F.lit(0).cast("bigint").alias("draw"), F.col("k").cast("int").alias("cat"), F.lit(1.0).alias("rate"), "pi")
 
 
 def comp_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
