@@ -24,10 +24,13 @@ def state_counts(cells: DataFrame, keys: list[str], states: list[str], name: str
     """Counts of every state per key, as an array in the order of ``states``.
 
     One hash aggregation with map-side combine; states that do not occur are 0, so
-    nothing has to be densified with a join.
+    nothing has to be densified with a join. A state that isn't listed raises.
     """
-    return cells.groupBy(*keys).agg(*count_columns(F.col("state"), states)).select(
-        *keys, F.array(*[f"_c{i}" for i in range(len(states))]).alias(name)
+    other = F.count(F.when(~F.col("state").isin(states), 1)).alias("_other")
+    counts = F.array(*[f"_c{i}" for i in range(len(states))])
+    wrong = F.raise_error(F.lit("a state is not in the given list")).cast("array<bigint>")
+    return cells.groupBy(*keys).agg(*count_columns(F.col("state"), states), other).select(
+        *keys, F.when(F.col("_other") == 0, counts).otherwise(wrong).alias(name)
     )
 
 

@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cladeframe.functions.ordered import order_statistics
+from cladeframe.session import durable
 
 SERIES = ["run", "param"]
 # A series up to this length is transformed by one task; a longer one is split.
@@ -83,17 +85,75 @@ def _lagged_sums(values: np.ndarray, n_lags: int) -> np.ndarray:
     return np.fft.irfft(spectrum.real**2 + spectrum.imag**2, size)[:n_lags]
 
 
-def _short_sums(centred: DataFrame) -> DataFrame:
-    """Lagged sums of short series: one array per series, many series per Arrow batch."""
+def series_blocks(trace: DataFrame, size: int = SHORT_SERIES) -> DataFrame:
+    """(run, param, block, values, n, mean, variance, low, high): ``size`` points in order are one array.
 
-    @F.pandas_udf("array<double>")
-    def lagged(series: pd.Series) -> pd.Series:
-        return series.map(lambda y: _lagged_sums(np.asarray(y), len(y) // 2))
+    The trace is read and shuffled once; the statistics of a series are then taken from
+    its blocks, which for all but long series is one.
+    """
+    points = F.array_sort(F.collect_list(F.struct("iter", "value")))
+    return durable(
+        trace.groupBy(*SERIES, F.floor(F.col("iter") / size).alias("block")).agg(
+            F.transform(points, lambda p: p["value"]).alias("values"), F.count("value").alias("n"), F.avg("value").alias("mean"),
+            F.var_samp("value").alias("variance"), F.min("value").alias("low"), F.max("value").alias("high"),
+        )
+    )
+
+
+def _by_length(blocks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Series of one block, and the blocks of the others where there are any."""
+    if blocks.filter("block > 0").isEmpty():
+        return blocks, None
+    long = blocks.filter("block > 0").select(*SERIES).distinct()
+    return blocks.join(long, SERIES, "left_anti"), blocks.join(long, SERIES, "left_semi")
+
+
+def _points(blocks: DataFrame, size: int) -> DataFrame:
+    """The trace again."""
+    listed = blocks.select(*SERIES, "block", F.posexplode("values").alias("_at", "value"))
+    return listed.select(*SERIES, (F.col("block") * size + F.col("_at")).alias("iter"), "value")
+
+
+def block_moments(blocks: DataFrame) -> DataFrame:
+    """The moments of :func:`trace_moments` from blocks: means and squares of the blocks add up."""
+    squares = F.coalesce(F.col("variance"), F.lit(0.0)) * (F.col("n") - 1)
+    total = blocks.groupBy(*SERIES).agg(
+        F.sum("n").alias("n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.sum(squares).alias("_within"), F.collect_list(F.struct("n", "mean")).alias("_parts"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    between = F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return total.select(
+        *SERIES, "n", "mean", F.when(F.col("n") > 1, (F.col("_within") + between) / (F.col("n") - 1)).alias("variance"),
+        (F.col("low") == F.col("high")).alias("is_constant"),
+    )
+
+
+def _centred_sums(y: np.ndarray) -> np.ndarray:
+    y = np.asarray(y, dtype=float)
+    return _lagged_sums(y - y.mean(), len(y) // 2) if len(y) else np.zeros(0)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _lagged(series: pd.Series) -> pd.Series:
+    return series.map(_centred_sums)
+
+
+def _size_of(y: np.ndarray) -> float:
+    """n / (1 + 2 sum of w_t rho_t) of one series."""
+    y = np.asarray(y, dtype=float)
+    n = len(y)
+    sums = _centred_sums(y)
+    if n < 2 or y.min() == y.max():
+        return float(n)
+    t = np.arange(1, len(sums))
+    inflation = 1 + 2 * (0.5 * (1 + np.cos(2 * np.pi * t / n)) * sums[1:]).sum() / (y.var(ddof=1) * (n - 1))
+    return float(n) if inflation < 1 else n / inflation
 
-    points = F.array_sort(F.collect_list(F.struct("iter", "y")))
-    arrays = centred.groupBy(*SERIES).agg(F.transform(points, lambda p: p["y"]).alias("y"))
-    rows = arrays.select(*SERIES, F.posexplode(lagged("y")).alias("lag", "s"))
-    return rows.withColumn("lag", F.col("lag").cast("bigint"))
+
+@F.pandas_udf(DoubleType())
+def _sizes(series: pd.Series) -> pd.Series:
+    return series.map(_size_of)
 
 
 def _columns_first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,47 +214,59 @@ def _long_lagged_sums(centred: DataFrame, schema: dict[str, str]) -> DataFrame:
     return power.groupBy("run", "param", "t2").applyInPandas(_lag_rows, f"run {run}, param {param}, lag bigint, s double")
 
 
-def autocorrelation(trace: DataFrame, moments: DataFrame | None = None, short: int = SHORT_SERIES) -> DataFrame:
+def _long_sums(blocks: DataFrame, moments: DataFrame, size: int) -> DataFrame:
+    """(run, param, lag, s) of series of many blocks that are not constant."""
+    centred = _points(blocks, size).join(moments.filter(~F.col("is_constant")), SERIES).select(
+        *SERIES, "n", "iter", (F.col("value") - F.col("mean")).alias("y")
+    )
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    return _long_lagged_sums(centred, types)
+
+
+def autocorrelation(trace: DataFrame, short: int = SHORT_SERIES) -> DataFrame:
     """(run, param, n, lag, autocov, rho) for lags below n // 2; autocov divides by n at every lag.
 
     A constant series has zero covariance and zero rho. ``iter`` must run from 0
     without gaps inside a series.
     """
-    moments = trace_moments(trace) if moments is None else moments
-    centred = trace.join(moments.filter(~F.col("is_constant")), SERIES).select(
-        *SERIES, "n", "iter", (F.col("value") - F.col("mean")).alias("y")
-    )
-    types = {f.name: f.dataType.simpleString() for f in trace.schema.fields}
-    small = _short_sums(centred.filter(F.col("n") <= short))
-    large = _long_lagged_sums(centred.filter(F.col("n") > short), types)
-    sums = small.unionByName(large)
-    moving = sums.join(moments.select(*SERIES, "n", "variance"), SERIES).select(
-        *SERIES, "n", "lag", (F.col("s") / F.col("n")).alias("autocov"),
-        (F.col("s") / (F.col("variance") * (F.col("n") - 1))).alias("rho"),
+    blocks = series_blocks(trace, short)
+    one, many = _by_length(blocks)
+    moving = one.filter("low < high").select(*SERIES, "n", "variance", F.posexplode(_lagged("values")).alias("lag", "s"))
+    moving = moving.select(*SERIES, "n", "variance", F.col("lag").cast("bigint").alias("lag"), "s")
+    moments = block_moments(blocks)
+    if many is not None:
+        sums = _long_sums(many, moments, short)
+        moving = moving.unionByName(sums.join(moments, SERIES).select(*moving.columns))
+    rows = moving.select(
+        *SERIES, "n", "lag", (F.col("s") / F.col("n")).alias("autocov"), (F.col("s") / (F.col("variance") * (F.col("n") - 1))).alias("rho")
     )
     flat = moments.filter(F.col("is_constant") & (F.col("n") >= 2)).select(
         *SERIES, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n") / 2) - 1)).alias("lag"),
         F.lit(0.0).alias("autocov"), F.lit(0.0).alias("rho"),
     )
-    return moving.unionByName(flat)
+    return rows.unionByName(flat)
 
 
-def effective_size(trace: DataFrame, moments: DataFrame | None = None, short: int = SHORT_SERIES) -> DataFrame:
-    """n / (1 + 2 sum of w_t rho_t), w_t = (1 + cos(2 pi t / n)) / 2, and n when the sum is below 1."""
-    moments = trace_moments(trace) if moments is None else moments
+def _long_sizes(many: DataFrame, moments: DataFrame, size: int) -> DataFrame:
+    """ESS of series of many blocks."""
+    wanted = moments.join(many.select(*SERIES).distinct(), SERIES, "left_semi")
     weight = 0.5 * (1 + F.cos(2 * np.pi * F.col("lag") / F.col("n")))
-    spread = (
-        autocorrelation(trace, moments, short)
-        .filter(F.col("lag") > 0)
-        .groupBy(*SERIES)
-        .agg(F.sum(weight * F.col("rho")).alias("_s"))
-    )
+    rho = F.col("s") / (F.col("variance") * (F.col("n") - 1))
+    spread = _long_sums(many, wanted, size).filter("lag > 0").join(wanted, SERIES).groupBy(*SERIES).agg(F.sum(weight * rho).alias("_s"))
     inflation = 1 + 2 * F.coalesce(F.col("_s"), F.lit(0.0))
-    return moments.join(spread, SERIES, "left").select(
+    return wanted.join(spread, SERIES, "left").select(
         *SERIES, F.when(inflation < 1, F.col("n").cast("double")).otherwise(F.col("n") / inflation).alias("ess")
     )
 
 
+def effective_size(trace: DataFrame, short: int = SHORT_SERIES) -> DataFrame:
+    """n / (1 + 2 sum of w_t rho_t), w_t = (1 + cos(2 pi t / n)) / 2, and n when the sum is below 1."""
+    blocks = series_blocks(trace, short)
+    one, many = _by_length(blocks)
+    sizes = one.select(*SERIES, _sizes("values").alias("ess"))
+    return sizes if many is None else sizes.unionByName(_long_sizes(many, block_moments(blocks), short))
+
+
 def credible_interval(trace: DataFrame, c: float = 0.95, keys: list[str] | None = None) -> DataFrame:
     """Order statistics int((1-c)n/2) and int(n - (1-c)n/2) - 1 of every series; c = 1 is the range."""
     half = 0.5 * (1 - c)
@@ -212,16 +284,27 @@ def trace_ci(trace: DataFrame, tail: float = 0.05, keys: list[str] | None = None
     return means.join(order_statistics(trace, keys, "value", ranks), keys).select(*keys, "mean", "ci_low", "ci_high")
 
 
-def trace_report(trace: DataFrame, c: float = 0.95) -> DataFrame:
-    """mean, sd, se = sqrt(variance / ESS), ESS and credible interval of every series."""
-    moments = trace_moments(trace)
-    return (
-        moments.join(effective_size(trace, moments), SERIES)
-        .join(credible_interval(trace, c), SERIES)
-        .select(
-            *SERIES, "n", "mean", F.sqrt("variance").alias("sd"),
-            F.sqrt(F.col("variance") / F.col("ess")).alias("se"), "ess", "ci_low", "ci_high", "variance",
-        )
+def trace_report(trace: DataFrame, c: float = 0.95, short: int = SHORT_SERIES) -> DataFrame:
+    """mean, sd, se = sqrt(variance / ESS), ESS and credible interval of every series.
+
+    A series of one block is reported from its array; longer ones go through the split
+    transform and bucketed order statistics.
+    """
+    blocks = series_blocks(trace, short)
+    one, many = _by_length(blocks)
+    half, n = 0.5 * (1 - c), F.col("n")
+    ordered = F.array_sort(F.filter("values", lambda v: v.isNotNull()))
+    ranked = one.withColumn("_v", ordered).select(
+        *SERIES, "n", "mean", "variance", _sizes("values").alias("ess"),
+        F.get("_v", F.floor(half * n).cast("int")).alias("ci_low"), F.get("_v", (F.floor(n - half * n) - 1).cast("int")).alias("ci_high"),
+    )
+    if many is not None:
+        moments = block_moments(many)
+        found = moments.join(_long_sizes(many, moments, short), SERIES).join(credible_interval(_points(many, short), c), SERIES)
+        ranked = ranked.unionByName(found.select(*ranked.columns))
+    return ranked.select(
+        *SERIES, "n", "mean", F.sqrt("variance").alias("sd"), F.sqrt(F.col("variance") / F.col("ess")).alias("se"),
+        "ess", "ci_low", "ci_high", "variance",
     )
 
 

@@ -55,7 +55,7 @@ def _(spark, d):
 
 @register("slice_sites", cte("cells_ev", ", c AS (SELECT taxon, site - 24 AS site, state FROM cells_ev WHERE site >= 24 AND site < 84) " + CHECK.format("c")))
 def _(spark, d):
-    return tidy(per_taxon(al.slice_sites(t.cells_ev(spark, d), 24, 60, t.EV_SITES)))
+    return tidy(per_taxon(al.slice_sites(t.cells_ev(spark, d), 24, 60, t.n_sites(spark, d, t.SIX_HOURS))))
 
 
 @register(
@@ -93,16 +93,16 @@ def _(spark, d):
 ))
 def _(spark, d):
     """Genes whose missing fraction is at most the mean one, concatenated."""
-    cells, genes = t.cells_ev(spark, d), t.genes_ev(spark)
+    cells, genes = t.cells_ev(spark, d), t.genes_ev(spark, d)
     fractions = al.gene_missing_fraction(cells, genes, n_taxa(cells))
     limit = fractions.agg(F.avg("missing_frac")).scalar()
     kept = fractions.filter(F.col("missing_frac") <= limit).select("gene", "site_begin", "site_end")
     return tidy(per_taxon(al.concatenate_genes(cells, kept)))
 
 
-@register("all_missing_sites", cte("cells_5m", "SELECT range AS site FROM range(8640) WHERE range NOT IN (SELECT site FROM cells_5m)"))
+@register("all_missing_sites", cte("cells_5m fine_sites", "SELECT range AS site FROM fine_sites WHERE range NOT IN (SELECT site FROM cells_5m)"))
 def _(spark, d):
-    return tidy(al.all_missing_sites(t.cells_5m(spark, d), t.FINE_SITES))
+    return tidy(al.all_missing_sites(t.cells_5m(spark, d), t.n_sites(spark, d, t.FIVE_MINUTES)))
 
 
 @register("complete_sites", cte(
@@ -116,17 +116,17 @@ def _(spark, d):
     return tidy(al.complete_sites(cells, n_taxa(cells)))
 
 
-_CONST = "SELECT range AS site, count(state) AS n_obs, count(DISTINCT state) AS k FROM range(8640) LEFT JOIN cells_5m ON site = range GROUP BY 1"
+_CONST = "SELECT range AS site, count(state) AS n_obs, count(DISTINCT state) AS k FROM fine_sites LEFT JOIN cells_5m ON site = range GROUP BY 1"
 
 
-@register("constant_sites", cte("cells_5m", f"SELECT site, n_obs FROM ({_CONST}) WHERE k <= 1"))
+@register("constant_sites", cte("cells_5m fine_sites", f"SELECT site, n_obs FROM ({_CONST}) WHERE k <= 1"))
 def _(spark, d):
-    return tidy(al.constant_sites(t.cells_5m(spark, d), t.FINE_SITES))
+    return tidy(al.constant_sites(t.cells_5m(spark, d), t.n_sites(spark, d, t.FIVE_MINUTES)))
 
 
-@register("constant_site_counts", cte("cells_5m", f"SELECT count(*) FILTER (k = 1) AS eliminated, count(*) FILTER (k = 0) AS all_missing FROM ({_CONST})"))
+@register("constant_site_counts", cte("cells_5m fine_sites", f"SELECT count(*) FILTER (k = 1) AS eliminated, count(*) FILTER (k = 0) AS all_missing FROM ({_CONST})"))
 def _(spark, d):
-    return tidy(al.constant_site_counts(t.cells_5m(spark, d), t.FINE_SITES))
+    return tidy(al.constant_site_counts(t.cells_5m(spark, d), t.n_sites(spark, d, t.FIVE_MINUTES)))
 
 
 @register("drop_constant_sites", cte(
@@ -202,7 +202,7 @@ def _(spark, d):
 
 @register("assign_genes", cte("cells_ev genes_ev", "SELECT gene, count(*) AS n, sum(site)::BIGINT AS site_sum FROM cells_ev JOIN genes_ev ON site + 1 BETWEEN site_begin AND site_end GROUP BY 1"))
 def _(spark, d):
-    return tidy(al.assign_genes(t.cells_ev(spark, d), t.genes_ev(spark)).groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum("site").alias("site_sum")))
+    return tidy(al.assign_genes(t.cells_ev(spark, d), t.genes_ev(spark, d)).groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum("site").alias("site_sum")))
 
 
 @register("gene_missing_fraction", cte(
@@ -212,7 +212,7 @@ def _(spark, d):
 ))
 def _(spark, d):
     cells = t.cells_ev(spark, d)
-    return tidy(al.gene_missing_fraction(cells, t.genes_ev(spark), n_taxa(cells)))
+    return tidy(al.gene_missing_fraction(cells, t.genes_ev(spark, d), n_taxa(cells)))
 
 
 @register("empirical_freq", cte("cells_doc", f"SELECT state, count(*) AS n, {rnd('count(*) / sum(count(*)) OVER ()', 'freq', 8)} FROM cells_doc WHERE state IS NOT NULL GROUP BY 1"))
@@ -305,12 +305,12 @@ def _(spark, d):
 
 
 @register("orbit_summary", cte(
-    "cells_5m",
+    "cells_5m fine_sites",
     f"SELECT {rnd('avg(k)', 'mean_orbit')}, {rnd('avg((least(k + 1, 5) / 5.0) ^ 2)', 'speed_factor')}, count(*) FILTER (k = 1) AS n_constant "
-    "FROM (SELECT range AS site, count(DISTINCT state) AS k FROM range(8640) LEFT JOIN cells_5m ON site = range GROUP BY 1)",
+    "FROM (SELECT range AS site, count(DISTINCT state) AS k FROM fine_sites LEFT JOIN cells_5m ON site = range GROUP BY 1)",
 ))
 def _(spark, d):
-    return tidy(co.orbit_summary(co.site_orbits(t.cells_5m(spark, d), EV), 5, t.FINE_SITES))
+    return tidy(co.orbit_summary(co.site_orbits(t.cells_5m(spark, d), EV), 5, t.n_sites(spark, d, t.FIVE_MINUTES)))
 
 
 @register("render_state")
@@ -319,11 +319,11 @@ def _(spark, d):
     from cladeframe.sources.writers import alignment_lines
 
     cells = t.cells_ev(spark, d).withColumn("state", F.substring("state", 1, 1))
-    return alignment_lines(cells, t.EV_SITES)
+    return alignment_lines(cells, t.n_sites(spark, d, t.SIX_HOURS))
 
 
 SQL["render_state"] = cte(
-    "cells_ev",
-    ", u AS (SELECT DISTINCT taxon FROM cells_ev), g AS (SELECT taxon, range AS site FROM u CROSS JOIN range(120)) "
+    "cells_ev ev_sites",
+    ", u AS (SELECT DISTINCT taxon FROM cells_ev), g AS (SELECT taxon, range AS site FROM u CROSS JOIN ev_sites) "
     "SELECT g.taxon, string_agg(coalesce(substr(c.state, 1, 1), '-'), '' ORDER BY g.site) AS seq FROM g LEFT JOIN cells_ev c ON c.taxon = g.taxon AND c.site = g.site GROUP BY 1",
 )

@@ -52,8 +52,8 @@ def _(spark, d):
 ))
 def _(spark, d):
     """Five replicates of six genes, gene 2 excluded, concatenated in order."""
-    exclude = t.genes_ev(spark).filter(F.col("gene") == 2)
-    out = sa.gene_jackknife(t.cells_ev(spark, d), t.genes_ev(spark), 6, 5, 11, exclude)
+    exclude = t.genes_ev(spark, d).filter(F.col("gene") == 2)
+    out = sa.gene_jackknife(t.cells_ev(spark, d), t.genes_ev(spark, d), 6, 5, 11, exclude)
     return tidy(out.groupBy("rep", "taxon").agg(
         F.count("state").alias("n_obs"), F.sum(F.when(F.col("state").isNotNull(), F.col("site"))).alias("site_sum"),
         F.max("site").alias("last_site"), F.min("state").alias("min_state"),

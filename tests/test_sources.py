@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cladeframe.operators import codon as cd
 from cladeframe.sources import alignments as sa
 from cladeframe.sources import chains as sc
+from cladeframe.sources import scan
 from cladeframe.sources import writers as sw
 
 WANT = {"tax1": "ACGTAC", "tax2": "AC-TTT", "tax3": "GGGTAN"}
@@ -152,3 +153,60 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
     with pytest.raises(ValueError, match="layout"):
         sw.write_table(long, str(tmp_path / "q"), "latex")
+
+
+def observed(df):
+    return sorted((r.aln, r.taxon, r.site, r.state) for r in df.filter(F.col("state").isNotNull()).collect())
+
+
+@pytest.mark.parametrize("size", ["7", "16", "1m"])
+def test_scan_in_ranges(spark, folder, size):
+    """Files cut anywhere give the cells of the readers of whole files."""
+    want = observed(sa.to_cells(sa.read_alignments(spark, folder)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        assert observed(scan.scan_alignments(spark, folder)) == want
+        one = [w for w in want if w[0] == "named.phy"]
+        assert observed(scan.scan_alignments(spark, folder + "/named.phy", "interleaved")) == one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_scan_notices_wrong_files(spark, tmp_path):
+    texts = {
+        "short.phy": "2 4\na ACG\nb ACGT\n", "letters.ali": "#SPECIALALPHABET 1 3 AB\na ABC\n", "twice.phy": "2 2\na AC\na AC\n",
+        "taxa.nex": "#NEXUS\ndimensions ntax=2 nchar=2;\nformat datatype=dna;\nmatrix\na AC\n;\n", "odd.phy": "1 2\na J!\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="sizes|unknown letter|twice|wrong number|no alphabet"):
+            scan.scan_alignments(spark, str(tmp_path / name)).collect()
+
+
+def test_range_reports_agree_with_reading():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(300):
+        n_sites = rng.randrange(1, 9)
+        words = [rng.randrange(1, 4) for _ in range(rng.randrange(1, 14))]
+        told = {need: rest for need, *rest in scan.range_report(np.array(words), n_sites)}
+        for start in range(n_sites + 1):
+            need, names = start, 0
+            for w in words:
+                if need == 0:
+                    need, names = n_sites, names + 1
+                else:
+                    need -= w
+                if need < 0:
+                    break
+            crossed = start in told
+            if need < 0:
+                assert not crossed
+            elif start > sum(words):
+                assert not crossed and need == start - sum(words)
+            else:
+                assert told[start] == [need, names]
