@@ -3,8 +3,8 @@
 Every taxon has a 128-bit digest of its name, and a clade the exclusive or of its taxa's.
 One pass over a Newick text from the leaves up gives every branch as a row of fixed
 width, and the other side of a branch is the digest of all taxa less its own. Counting
-shuffles two longs a branch, after partial counts on the map side; the member lists of
-the distinct splits are read afterwards, each from one tree that has it.
+is partial in every batch of trees and shuffles one row for each of its distinct splits; a
+task writes down the taxa of a split once, not with every tree that has it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"[(),;]|[^(),;]+")
 _NUMBER = re.compile(r"[-+.\deE]+")
 _KEY = ["key1", "key2"]
+#: Splits whose taxa a task remembers to have told.
+_TOLD = 1_000_000
 
 
 @lru_cache(maxsize=1 << 16)
@@ -156,64 +158,63 @@ def tree_branches(trees: DataFrame, rooted: bool = False) -> DataFrame:
     return made.withColumn("weight", F.when(~F.isnan("weight"), F.col("weight")))
 
 
-def root_branches(trees: DataFrame) -> DataFrame:
-    """Rows (run, iter, key1, key2): the first child of every root, straight from the text."""
+def _partial(trees: DataFrame, splits_of) -> DataFrame:
+    """(run, key1, key2, n, length, n_supported, weight, split): counts of a batch of trees.
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parsed = [Clades(t) for t in batch["newick"]]
-            some = np.array([bool(c.top) for c in parsed], bool)
-            keys = _keys([c.side[c.top[0]] for c in parsed if c.top])
-            rows = batch.loc[some, ["run", "iter"]]
-            yield rows.assign(key1=keys[:, 0], key2=keys[:, 1])
-
-    schema = f"run {_run_type(trees)}, iter bigint, key1 bigint, key2 bigint"
-    return trees.select("run", "iter", "newick").mapInPandas(explode, schema)
-
-
-def clade_members(trees: DataFrame, shown: DataFrame, rooted: bool = False) -> DataFrame:
-    """(key1, key2, split): the sorted taxa of distinct splits.
-
-    ``shown`` has (key1, key2, at) with ``at`` the (run, iter) of a tree that has the split.
-    Only these trees are read again; a tree is asked once for all its splits.
+    ``splits_of`` gives the (digest, length, support, node) of a text's splits. The taxa of a
+    split come with its first row of a task only.
     """
-    asked = shown.groupBy("at.run", "at.iter").agg(F.collect_list(F.struct(*_KEY)).alias("wanted"))
-    picked = trees.select("run", "iter", "newick").join(asked, ["run", "iter"]).select("newick", "wanted")
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[int] = set()
         for batch in batches:
-            keys, splits = [], []
-            for text, wanted in zip(batch["newick"], batch["wanted"], strict=True):
+            found: dict[tuple, list] = {}
+            for run, text in zip(batch["run"], batch["newick"], strict=True):
                 clades = Clades(text)
-                found = clades.branches(rooted)
-                found.setdefault(clades.side[-1], [len(clades.taxa), 0.0, None, len(clades.side) - 1])
-                sought = {(w["key1"], w["key2"]) for w in wanted}
-                for side, key in zip(found, map(tuple, _keys(list(found)).tolist()), strict=True):
-                    if key in sought:
-                        node = found[side][3]
-                        keys.append(key)
-                        splits.append(clades.members(node, other=clades.side[node] != side))
-            yield pd.DataFrame({"key1": [k[0] for k in keys], "key2": [k[1] for k in keys], "split": splits}).astype(
-                {"key1": "int64", "key2": "int64"}
-            )
+                for side, length, support, node in splits_of(clades):
+                    cell = found.get((run, side))
+                    if cell is None:
+                        cell = found[run, side] = [0, 0.0, 0, 0.0, None]
+                        if side not in told:
+                            told.add(side)
+                            cell[4] = clades.members(node, other=clades.side[node] != side)
+                    cell[0] += 1
+                    cell[1] += length
+                    if support is not None:
+                        cell[2] += 1
+                        cell[3] += support
+            if len(told) > _TOLD:
+                told.clear()
+            keys = _keys([side for _, side in found])
+            columns = list(zip(*found.values(), strict=True)) or [()] * 5
+            yield pd.DataFrame({
+                "run": [run for run, _ in found], "key1": keys[:, 0], "key2": keys[:, 1], "n": np.array(columns[0], np.int64),
+                "length": np.array(columns[1], np.float64), "n_supported": np.array(columns[2], np.int64),
+                "weight": np.array(columns[3], np.float64), "split": list(columns[4]),
+            })
+
+    schema = f"run {_run_type(trees)}, key1 bigint, key2 bigint, n bigint, length double, n_supported bigint, weight double, split array<string>"
+    return trees.select("run", "newick").mapInPandas(count, schema)
+
+
+def _counted(partial: DataFrame) -> DataFrame:
+    """Counts by run and split from those of the batches; digests carry them through the shuffle."""
+    counts = partial.groupBy("run", *_KEY).agg(
+        F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"), F.sum("n_supported").alias("n_supported"),
+        (F.sum("weight") / F.nullif(F.sum("n_supported"), F.lit(0))).alias("mean_support"), F.first("split", ignorenulls=True).alias("split"),
+    )
+    # a split may have its taxa in the rows of another run
+    names = counts.filter(F.col("split").isNotNull()).groupBy(*_KEY).agg(F.first("split").alias("split"))
+    return counts.drop("split").join(names, _KEY).drop(*_KEY)
 
-    told = picked.mapInPandas(look, "key1 bigint, key2 bigint, split array<string>")
-    return told.dropDuplicates(_KEY)  # repeated (run, iter) tell a split twice
 
+def split_counts(trees: DataFrame, rooted: bool = False) -> DataFrame:
+    """Per (run, split): trees that have it, mean length over them, trees that support it, mean support over these."""
 
-def named_counts(counts: DataFrame, trees: DataFrame, rooted: bool = False) -> DataFrame:
-    """Counts by (run, key1, key2, at, ...) with the split's taxa instead of the digest."""
-    shown = counts.groupBy(*_KEY).agg(F.min("at").alias("at"))
-    return counts.drop("at").join(clade_members(trees, shown, rooted), _KEY).drop(*_KEY)
+    def splits_of(clades: Clades) -> Iterator[tuple]:
+        return ((side, length, support, node) for side, (_, length, support, node) in clades.branches(rooted).items())
 
-
-def split_counts(trees: DataFrame, rooted: bool = False) -> DataFrame:
-    """Per (run, split): trees that have it, mean length and mean support over them."""
-    at = F.struct("run", "iter")
-    counts = tree_branches(trees, rooted).groupBy("run", *_KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"), F.avg("weight").alias("mean_support"), F.min(at).alias("at")
-    )
-    return named_counts(counts, trees, rooted)
+    return _counted(_partial(trees, splits_of))
 
 
 def tree_split_freq(trees: DataFrame, rooted: bool = False) -> DataFrame:
@@ -224,12 +225,17 @@ def tree_split_freq(trees: DataFrame, rooted: bool = False) -> DataFrame:
 
 
 def root_split_freq(trees: DataFrame) -> DataFrame:
-    """Per (run, root split): share of the run's trees rooted there, and its mean over runs."""
-    sizes = trees.groupBy("run").agg(F.count(F.lit(1)).alias("_t"))
-    n_runs = sizes.agg(F.count(F.lit(1))).scalar()
-    counts = root_branches(trees).groupBy("run", *_KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("run", "iter")).alias("at")
-    )
-    freq = named_counts(counts, trees, rooted=True).join(sizes, "run")
-    probs = freq.select("run", "split", "n", (F.col("n") / F.col("_t")).alias("prob"))
+    """Per (run, root split): share of the run's trees rooted there, and its mean over runs.
+
+    The root split is the first child of the root, straight from the text. Every tree has
+    one, so the counts of a run add up to its trees.
+    """
+
+    def splits_of(clades: Clades) -> Iterator[tuple]:
+        return ((clades.side[c], 0.0, None, c) for c in clades.top[:1])
+
+    counts = _counted(_partial(trees, splits_of))
+    n_runs = counts.agg(F.count_distinct("run")).scalar()
+    total = F.sum("n").over(Window.partitionBy("run"))
+    probs = counts.select("run", "split", "n", (F.col("n") / total).alias("prob"))
     return probs.withColumn("mean_prob", F.sum("prob").over(Window.partitionBy("split")) / n_runs)

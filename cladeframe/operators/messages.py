@@ -234,7 +234,9 @@ def leaf_messages(cells: DataFrame, tree: DataFrame, packed: DataFrame, states:
     dealt = leaves.join(parts, "parent").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     entry = F.array(F.col("site") - F.col("sb") * width, F.col("ix").cast("bigint")).cast("array<double>")
     rows = dealt.join(seen, "taxon").withColumn("sb", _site_block(width))
-    lists = rows.groupBy("parent", "sb", "part").agg(F.collect_list(F.concat(entry, F.array(F.coalesce("length", F.lit(0.0))))).alias("leaves"))
+    # small bytes, much work per byte: keep the partition number instead of merging by size
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = rows.repartition(n, "parent", "sb", "part").groupBy("parent", "sb", "part").agg(F.collect_list(F.concat(entry, F.array(F.coalesce("length", F.lit(0.0))))).alias("leaves"))
 
     def step(node, sb, db, model, leaves) -> Iterator[tuple]:
         block = Block(model.as_buffer(), k)

@@ -131,51 +131,56 @@ def _conflicting(a: str, b: str) -> Column:
     return ~holds(a, b) & ~holds(b, a) & bits
 
 
-def _sides(a: DataFrame, b: DataFrame, numbers: Column, last: Column) -> list[tuple[DataFrame, DataFrame, Column]]:
-    """The two ways intervals can meet, as (left, right, condition) over a common column ``cell``."""
-    left = indexed(a, numbers).select(*a.columns, *[F.col(f"_{n}").alias(f"a_{n}") for n in ("lo", "hi", "size", "bits")])
-    right = indexed(b, numbers).select(*b.columns, *[F.col(f"_{n}").alias(f"b_{n}") for n in ("lo", "hi", "size", "bits")])
+def index_of(*lists: DataFrame) -> list[DataFrame]:
+    """The lists with the columns of the index on a common numbering, written down."""
+    held = [durable(x) for x in lists]  # read once for the numbers and once for the index
+    numbers = durable(taxon_numbers(*held))
+    shared = number_map(numbers)
+    last = numbers.agg(F.max("no").cast("bigint")).scalar()
+    return [durable(indexed(x, shared).withColumn("_last", last)) for x in held]
+
+
+_INDEX = ["_lo", "_hi", "_size", "_bits", "_last"]
+
+
+def _meetings(left: DataFrame, right: DataFrame) -> list[tuple[DataFrame, DataFrame, Column]]:
+    """The two ways in which intervals of indexed lists can meet, as (left, right, condition) over a column ``cell``."""
+    a = left.withColumnsRenamed({c: f"a{c}" for c in _INDEX})
+    b = right.withColumnsRenamed({c: f"b{c}" for c in _INDEX})
 
     def around(df: DataFrame, side: str) -> DataFrame:
         lo, hi = (F.col(f"{side}_{n}").cast("bigint") for n in ("lo", "hi"))
         return df.withColumn("cell", F.explode(cells_of_interval(lo, hi)))
 
     def starts(df: DataFrame, side: str) -> DataFrame:
-        held = df.withColumn("_last", last)
-        return held.withColumn("cell", F.explode(cells_of_number(F.col(f"{side}_lo").cast("bigint"), F.col("_last")))).drop("_last")
+        return df.withColumn("cell", F.explode(cells_of_number(F.col(f"{side}_lo").cast("bigint"), F.col(f"{side}_last"))))
 
     clash = _conflicting("a", "b")
     return [
-        (around(left, "a"), starts(right, "b"), clash),  # b begins inside a, or where a begins
-        (starts(left, "a"), around(right, "b"), (F.col("a_lo") > F.col("b_lo")) & clash),  # a begins inside b
+        (around(a, "a"), starts(b, "b"), clash),  # b begins inside a, or where a begins
+        (starts(a, "a"), around(b, "b"), (F.col("a_lo") > F.col("b_lo")) & clash),  # a begins inside b
     ]
 
 
-def _prepared(a: DataFrame, b: DataFrame) -> list[tuple[DataFrame, DataFrame, Column]]:
-    a, b = durable(a), durable(b)  # read once for the numbers and once for every side
-    numbers = durable(taxon_numbers(a, b))
-    last = numbers.agg(F.max("no").cast("bigint")).scalar()
-    return _sides(a, b, number_map(numbers), last)
-
-
 def conflict_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` with (split_b, prob_b) of every split of ``b`` that conflicts with it."""
-    other = b.select("split", "prob").groupBy("split").agg(F.max("prob").alias("prob"))
-    out = None
-    for left, right, clash in _prepared(a, other):
-        named = right.withColumnsRenamed({"split": "split_b", "prob": "prob_b"})
-        part = left.join(named, "cell").filter(clash).select(*a.columns, "split_b", "prob_b")
-        out = part if out is None else out.unionByName(part)
-    return out
+    left, right = index_of(a, b.groupBy("split").agg(F.max("prob").alias("prob")))
+    parts = [
+        x.join(y.withColumnsRenamed({"split": "split_b", "prob": "prob_b"}), "cell").filter(clash).select(*a.columns, "split_b", "prob_b")
+        for x, y, clash in _meetings(left, right)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clashing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct splits of an indexed list that conflict with any split of another; a search ends at its first hit in a task."""
+    parts = [
+        x.join(y.select(F.col("cell").alias("cell_b"), *[f"b{c}" for c in _INDEX]), (F.col("cell") == F.col("cell_b")) & clash, "left_semi").select("split")
+        for x, y, clash in _meetings(left, right)
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def conflicting_splits(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct splits of ``a`` that conflict with any split of ``b``; a split's search ends at its first hit in a task."""
-    mine = a.select("split", *(["prob"] if "prob" in a.columns else []))
-    other = b.select("split", *(["prob"] if "prob" in b.columns else []))
-    out = None
-    for left, right, clash in _prepared(mine, other):
-        named = right.select("cell", *[c for c in right.columns if c.startswith("b_")]).withColumnRenamed("cell", "cell_b")
-        part = left.join(named, (F.col("cell") == F.col("cell_b")) & clash, "left_semi").select("split")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    """Distinct splits of ``a`` that conflict with any split of ``b``."""
+    return clashing(*index_of(*[x.select("split", *[c for c in ["prob"] if c in x.columns]) for x in (a, b)]))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.splits import canonical_split, informative
-from cladeframe.operators.splitindex import conflict_pairs, conflicting_splits
+from cladeframe.operators.splitindex import clashing, conflict_pairs, conflicting_splits, index_of
 from cladeframe.session import durable
 
 # Candidates decided by one task of a consensus round.
@@ -217,22 +217,27 @@ def consensus_splits(merged: DataFrame, cutoff: float = 0.5) -> DataFrame:
 
     Splits above one half are always compatible and need no comparison. The rest is
     decided in blocks of rank order: a block that no kept split rules out is resolved
-    by one task, then every later candidate is checked against the kept list, which
-    has at most 2n - 3 splits.
+    by one task, then every later candidate is checked against what the block added.
     """
-    merged = merged.select("split", "n", "prob", "mean_length")
-    kept = durable(merged.filter((F.col("prob") > 0.5) & (F.col("prob") >= cutoff)))
-    rest = merged.filter((F.col("prob") <= 0.5) & (F.col("prob") >= cutoff))
+    columns = ["split", "n", "prob", "mean_length"]
+    (listed,) = index_of(merged.select(*columns).filter(F.col("prob") >= cutoff))
+    fresh = listed.filter("prob > 0.5")  # kept since the candidates were last checked
+    kept = fresh
+    rest = listed.filter("prob <= 0.5")
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("prob"), "split"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.select(*columns).schema.fields)
     while True:
-        rest = durable(compatible_with(rest, kept))
-        block = rest.orderBy(F.desc("prob"), "split").limit(BLOCK)
-        block = durable(block.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("prob"), "split"))))
-        if block.isEmpty():
-            return kept
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+        rest = durable(rest.join(clashing(rest, fresh), "split", "left_anti").select(*listed.columns))
+        block = rest.select(*columns).orderBy(F.desc("prob"), "split").limit(BLOCK).withColumn("rank", rank)
         chosen = block.withColumn("_block", F.lit(0)).groupBy("_block").applyInPandas(_greedy, schema)
-        kept = durable(kept.unionByName(chosen))
-        rest = rest.join(block.select("split"), "split", "left_anti")
+        chosen = durable(rest.join(chosen.select("split"), "split", "left_semi").select(*listed.columns))
+        kept = kept.unionByName(chosen)
+        last = block.agg(F.max_by("split", "rank").alias("s"), F.max("rank").alias("n"), F.min("prob").alias("p")).first()
+        if not last["n"] or last["n"] < BLOCK:
+            return kept.select(*columns)
+        # the next candidates stand behind the last of this block
+        rest = rest.filter((F.col("prob") < last["p"]) | ((F.col("prob") == last["p"]) & (F.col("split") > F.lit(last["s"]))))
+        fresh = chosen
 
 
 def consensus_nodes(kept: DataFrame, taxa: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def _names(m: str = "m") -> str:
 @register("tree_splits", cte("order_leaves", _MASKS + f"SELECT run, {_names()} AS split, count(*) AS n, {rnd('avg(len)', 'mean_length')} FROM one {_RUN} GROUP BY run, m"))
 def _(spark, d):
     """Split counts and mean lengths over the unrooted order trees."""
-    found = cl.split_counts(t.newick_ord(spark, d)).drop("mean_support")
+    found = cl.split_counts(t.newick_ord(spark, d)).drop("n_supported", "mean_support")
     return tidy(found.withColumn("split", F.array_join("split", "|")))
 
 
@@ -80,11 +80,8 @@ def _(spark, d):
 def _(spark, d):
     """Supports of the splits of the order trees, a tenth of a clade's leaf number written behind it."""
     marked = t.newick_ord(spark, d).withColumn("newick", F.regexp_replace("newick", r"\):([0-9.]+)", r")$1:$1"))
-    found = cl.tree_branches(marked)
-    counts = found.groupBy("run", "key1", "key2").agg(
-        F.count(F.lit(1)).alias("n"), F.count("weight").alias("n_supported"), F.avg("weight").alias("mean_support"), F.min(F.struct("run", "iter")).alias("at")
-    )
-    return tidy(cl.named_counts(counts, marked).withColumn("split", F.array_join("split", "|")))
+    found = cl.split_counts(marked).drop("mean_length")
+    return tidy(found.withColumn("split", F.array_join("split", "|")))
 
 
 @register("tree_splits_rooted", cte(

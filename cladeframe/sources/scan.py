@@ -175,17 +175,20 @@ def _type(lines: DataFrame, column: str = "aln") -> str:
     return lines.schema[column].dataType.simpleString()
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Small bytes, much work per byte: keep the partition number instead of merging by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sequential_pieces(body: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pieces of files that fit, files that don't): pieces are (aln, taxon, start, text)."""
     kind = _type(body)
-    reports = body.select("aln", "part", "line", "n_taxa", "n_sites", F.transform("words", F.length).alias("lengths")).groupBy("aln", "part")
-    told = reports.applyInPandas(_report, f"need bigint, left bigint, names bigint, aln {kind}, part bigint, n_taxa bigint")
-    starts = durable(told.groupBy("aln").applyInPandas(_fold, f"part bigint, need bigint, rows bigint, aln {kind}, fits boolean"))
+    words = body.select("aln", "part", "line", "n_taxa", "n_sites", F.transform("words", F.length).alias("lengths"))
+    told = _dealt(words, "aln", "part").groupBy("aln", "part").applyInPandas(_report, f"need bigint, left bigint, names bigint, aln {kind}, part bigint, n_taxa bigint")
+    starts = durable(_dealt(told, "aln").groupBy("aln").applyInPandas(_fold, f"part bigint, need bigint, rows bigint, aln {kind}, fits boolean"))
     fits = starts.groupBy("aln").agg(F.bool_and("fits").alias("fits"))
-    rows = (
-        body.select("aln", "part", "line", "n_sites", "words").join(starts.filter("fits").drop("fits"), ["aln", "part"])
-        .groupBy("aln", "part").applyInPandas(_place, f"row bigint, start bigint, text string, aln {kind}")
-    )
+    begun = body.select("aln", "part", "line", "n_sites", "words").join(starts.filter("fits").drop("fits"), ["aln", "part"])
+    rows = durable(_dealt(begun, "aln", "part").groupBy("aln", "part").applyInPandas(_place, f"row bigint, start bigint, text string, aln {kind}"))
     names = rows.filter("start < 0").select("aln", "row", F.col("text").alias("taxon"))
     return rows.filter("start >= 0").join(names, ["aln", "row"]).select("aln", "taxon", "start", "text"), fits.filter("NOT fits").select("aln")
 
@@ -291,6 +294,7 @@ def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
     found: list[DataFrame] = []
     if "nexus" in present:
         pieces, heads = nexus_pieces(lines.join(kinds.filter("kind = 'nexus'").select("aln"), "aln", "left_semi"))
+        pieces = durable(pieces)
         given = pieces.join(heads, "aln")
         told = _wrong(~F.coalesce(F.col("datatype").isin(list(KNOWN)), F.lit(False)), "not a NEXUS alignment: ", F.col("datatype"))
         count = pieces.select("aln", "taxon").distinct().groupBy("aln").agg(F.count(F.lit(1)).alias("_n"))
@@ -308,12 +312,14 @@ def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
                 if fmt in ("sequential", "custom"):
                     rest = rest.withColumn("aln", _wrong(F.lit(True), "sizes do not match the header of ", F.col("aln").cast("string")).cast(_type(lines)))
                 pieces = pieces.unionByName(interleaved_pieces(rest))
+        pieces = durable(pieces)
         repeated = pieces.groupBy("aln", "taxon").agg(F.sum(F.length("text")).alias("_all"))
         whole = pieces.join(repeated, ["aln", "taxon"]).join(sizes.select("aln", "kind", "n_sites", "letters"), "aln")
         whole = whole.withColumn("taxon", _wrong(F.col("_all") != F.col("n_sites"), "a taxon stands twice in ", F.col("taxon")))
-        guessed = whole.join(_alphabet_of(pieces), "aln") if "phylip" in present and "custom" not in present else whole.join(
-            _alphabet_of(pieces.join(sizes.filter("kind = 'phylip'").select("aln"), "aln", "left_semi")), "aln", "left"
-        )
+        guessed = whole.withColumn("alphabet", F.lit(None).cast("string"))
+        if "phylip" in present:
+            plain = pieces.join(sizes.filter("kind = 'phylip'").select("aln"), "aln", "left_semi")
+            guessed = whole.join(_alphabet_of(plain), "aln", "left")
         name = F.when(F.col("kind") == "custom", F.lit("custom")).otherwise(F.col("alphabet"))
         found.append(guessed.select("aln", "taxon", "start", "text", name.alias("alphabet"), "letters"))
     if not found:
