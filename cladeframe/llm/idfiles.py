@@ -119,14 +119,15 @@ class _Lanes:
         self.stretched = _STRETCH.take(self.share >> 4)
         w, x = self.weight, self.stretched
         total = (w[0] * x[0] + w[1] * x[1] + w[2] * x[2]) >> 16
-        self.chance = _SQUASH.take(np.clip(total, -2047, 2047) + 2047)
+        self.chance = _SQUASH.take(np.minimum(np.maximum(total, -2047), 2047) + 2047)
         return self.guess, self.chance
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         truth = hit.astype(np.int32) << 16
         self.right[self.at] = self.share + ((truth - self.share) >> 4)
         self.weight += (self.stretched * ((truth - self.chance) >> 2)) >> 15
-        np.clip(self.weight, -(1 << 18), 1 << 18, out=self.weight)
+        np.minimum(self.weight, 1 << 18, out=self.weight)
+        np.maximum(self.weight, -(1 << 18), out=self.weight)
         entries, support = self.entries, self.support
         known = (support > 0) & (self.ids == ids)
         shaken = np.where(support <= 1, ids << 4 | 1, (entries ^ support) | (support >> 1))
@@ -188,9 +189,9 @@ def encode_block_ids(ids: np.ndarray) -> bytes:
         width[lanes] = unit * (high - lower)
         counts.count(rows, sums, symbol)
 
-    def settle(rows: np.ndarray) -> None:
+    def settle() -> None:
         """Put out the highest word where the range has become small."""
-        small = rows[width[rows] < _TOP]
+        small = np.flatnonzero(width < _TOP)
         out[small, filled[small]] = low[small] >> _WORD
         filled[small] += 1
         low[small] <<= _WORD
@@ -208,12 +209,12 @@ def encode_block_ids(ids: np.ndarray) -> bytes:
             missed = now[miss]
             kind = model.kind.take(missed)
             code_count(model.kinds, miss, kind, miss)
-            settle(miss)
+            settle()
             code_count(model.parts, miss * 16 + kind, model.part.take(missed), miss)
             narrow = width[miss] >> model.bits.take(missed)
             add(miss, narrow * model.rest.take(missed))
             width[miss] = narrow
-        settle(model.lane)
+        settle()
         model.learn(now, hit)
     for _ in (1, 2):
         out[model.lane, filled] = low >> _WORD
@@ -248,8 +249,8 @@ def decode_block_ids(payload: bytes) -> np.ndarray:
     starts = np.where(np.arange(17) > 0, 1 << np.arange(17), 0)
     spare = max(0, (distinct - 1).bit_length() - 16)
 
-    def settle(rows: np.ndarray) -> None:
-        small = rows[width[rows] < _TOP]
+    def settle() -> None:
+        small = np.flatnonzero(width < _TOP)
         width[small] <<= _WORD
         code[small] = code[small] << _WORD | words[np.minimum(place[small], last)]
         place[small] += 1
@@ -278,7 +279,7 @@ def decode_block_ids(payload: bytes) -> np.ndarray:
         miss = np.flatnonzero(~hit)
         if len(miss):
             kind = read_count(model.kinds, miss, miss)
-            settle(miss)
+            settle()
             part = read_count(model.parts, miss * 16 + kind, miss)
             flat = np.maximum(kind - 4, 0)
             bits = (flat + spare).astype(_U64)
@@ -289,7 +290,7 @@ def decode_block_ids(payload: bytes) -> np.ndarray:
             high = starts[kind] + (part << flat) + (rest >> _U64(spare)).astype(np.int64)
             number = (high << spare) | (rest & _U64((1 << spare) - 1)).astype(np.int64)
             now[miss] = np.minimum(number, distinct - 1)  # beyond it only in damaged words
-        settle(model.lane)
+        settle()
         model.learn(now, hit)
         steps[t] = now
     ids = alphabet[steps.T.reshape(-1)[:n]]

@@ -14,12 +14,17 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 
 #: The only white space of ASCII; \x1c to \x1f are none to the tokenizers.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII letters and digits, and what is neither these nor white space.
+_WORDLY = np.array([chr(b).isalnum() for b in range(128)] + [False] * 128)
+_MARK = ~_WORDLY & ~_SPACE
+_MARK[128:] = False
 #: White space beyond ASCII: such a text is not cut here but encoded as a whole.
 _WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
 #: Longer parts are encoded whenever they come.
@@ -70,7 +75,7 @@ def _hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 class WordMemory:
     """Ids of texts; ``byte_level`` tells a byte-level pattern (white space belongs to the word behind
-    it) from a tokenizer that drops white space."""
+    it, marks behind a letter or digit are a part of their own) from a tokenizer that drops white space."""
 
     def __init__(self, path: str, byte_level: bool, most_bytes: int = 96 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -81,6 +86,8 @@ class WordMemory:
         if resize is not None:  # every part is encoded once, so the model's own memory only costs
             resize(0)
         self.byte_level = byte_level
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special and byte_level else None
         self.most_bytes = most_bytes
         if byte_level:  # ids that begin with a blank or a line feed
             vocabulary = self.tokenizer.get_vocab()
@@ -122,10 +129,10 @@ class WordMemory:
     def _encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that were not met before: plain ones in rows of some dozens, which are told apart again."""
         if self.byte_level:
-            plain = [len(w) > 1 and w[0] in (10, 32) and w[1] > 32 and b"<|" not in w for w in words]
+            plain = [w[:1] in (b" ", b"\n") and w[1:2] > b" " for w in words]
         else:
             plain = [b"|" not in w for w in words]  # every special token has one
-        rowed = [w for w, p in zip(words, plain, strict=True) if p]
+        rowed = list(compress(words, plain))
         rest = [w.decode("utf-8", "replace") for w, p in zip(words, plain, strict=True) if not p]
         rows = [rowed[a : a + _ROW] for a in range(0, len(rowed), _ROW)]
         texts = [(b"" if self.byte_level else b" | ").join(r).decode("utf-8", "replace") for r in rows]
@@ -177,6 +184,7 @@ class WordMemory:
         after[1:] = space[:-1]
         if self.byte_level:
             begin = space & ~after
+            begin[1:] |= _MARK[data[1:]] & _WORDLY[data[:-1]]
             begin[edges] = True
             first = np.flatnonzero(begin)
             return first, np.diff(np.append(first, len(data)))
@@ -190,6 +198,12 @@ class WordMemory:
         stop[0] = False
         return first, np.flatnonzero(stop) - first
 
+    def _uncut(self, text: str) -> bool:
+        """Whether a text holds white space beyond ASCII or a special token, which may not be cut."""
+        if not text.isascii() and _WIDE_SPACE.search(text):
+            return True
+        return self.special is not None and self.special.search(text) is not None
+
     def _look_up(self, data: np.ndarray, raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The codes of the parts; new ones are learnt."""
         if not len(first):
@@ -229,7 +243,7 @@ class WordMemory:
         """Ids of every text of a block."""
         if self.count * _ENTRY + 4 * self.used > self.most_bytes:
             self._turn()
-        wide = [bool(t) and not t.isascii() and bool(_WIDE_SPACE.search(t)) for t in texts]
+        wide = [bool(t) and self._uncut(t) for t in texts]
         given = [b"" if not t or w else t.encode("utf-8", "replace") for t, w in zip(texts, wide, strict=True)]
         raw = b"".join(given)
         data = np.frombuffer(raw, np.uint8)
