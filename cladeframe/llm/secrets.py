@@ -153,8 +153,9 @@ def _from_escapes(layer: Layer, spans: list[tuple[int, int, str]]) -> Iterator[L
                     n += len(piece)
             here = b
             at += 1
-            stop = text.find("\n", here)
-            stop = len(text) if stop < 0 else stop
+            if stop < here:  # once a line
+                stop = text.find("\n", here)
+                stop = len(text) if stop < 0 else stop
         if here < stop:
             parts.append(text[here:stop])
             begin.append(n)

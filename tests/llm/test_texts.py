@@ -377,3 +377,17 @@ def test_lines_match_brute_force(spark, batches, fan_out):
     got = lines.dedup_lines(df, batches=batches, fan_out=fan_out).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
     assert sorted(map(tuple, got), key=str) == sorted(dedup_by_hand(rows), key=str)
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_very_many_escapes_in_one_line():
+    """Line ends are sought once a line, so a long line of escapes stays linear."""
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        (layer,) = secrets.layers(secrets.Layer("password=%68unter2222 " + "%41" * n + "\nnext"))
+        assert layer.text == "password=hunter2222 " + "A" * n
+        return time.perf_counter() - start
+
+    small, large = min(seconds(30_000) for _ in range(3)), seconds(300_000)
+    assert large < 40 * small
