@@ -30,6 +30,16 @@ _BLOCK = 512
 _ASKED = 2048
 
 
+def _stack(blobs: pd.Series, kind: str) -> np.ndarray:
+    """Stored vectors as rows of doubles, each scaled by a power of two so that its largest component is near one."""
+    x = np.stack([np.frombuffer(v, kind) for v in blobs]).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """k-means on a bounded sample."""
     centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -110,23 +120,32 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         left, right = new_left, new_right
 
 
-def _block(group: pd.DataFrame, model: Quantiser, cosine: float, radius: float) -> pd.DataFrame:
+def _linked_pairs(x: np.ndarray, y: np.ndarray, maybe: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the possible pairs reach the cosine.
+
+    The product of crowded blocks may round otherwise than that of single pairs, so
+    pairs near the border are always taken one by one.
+    """
+    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    linked = np.zeros(maybe.shape, bool)
+    if maybe.mean() > 0.05:
+        whole = (x @ y.T) / np.outer(nx, ny)
+        linked = maybe & (whole >= cosine)
+        maybe = maybe & (np.abs(whole - cosine) < 1e-9)
+    i, j = np.nonzero(maybe)
+    linked[i, j] = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j]) >= cosine
+    return linked
+
+
+def _block(group: pd.DataFrame, model: Quantiser, cosine: float, radius: float, kind: str) -> pd.DataFrame:
     q, p = group[group["probe"]], group[~group["probe"]]
     none = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "links": pd.Series(dtype="int64")})
     if q.empty or p.empty:
         return none
-    x, y = (np.stack([np.frombuffer(v, np.float32) for v in s["vec"]]).astype(np.float64) for s in (q, p))
-    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    x, y = _stack(q["vec"], kind), _stack(p["vec"], kind)
     codes = np.stack([np.frombuffer(c, np.uint8) for c in p["codes"]])
-    low = model.lower_bounds(x / nx[:, None], int(group["cell"].iloc[0]), codes, p["error"].to_numpy())
-    maybe = low <= radius + 1e-7
-    if maybe.mean() > 0.05:
-        linked = maybe & ((x @ y.T) / np.outer(nx, ny) >= cosine)
-    else:
-        i, j = np.nonzero(maybe)
-        good = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j]) >= cosine
-        linked = np.zeros(maybe.shape, bool)
-        linked[i[good], j[good]] = True
+    low = model.lower_bounds(_unit(x), int(group["cell"].iloc[0]), codes, p["error"].to_numpy())
+    linked = _linked_pairs(x, y, low <= radius + 1e-7, cosine)
     qn, pn = q["node"].to_numpy(), p["node"].to_numpy()
     linked &= qn[:, None] != pn[None]
     links = linked @ p["members"].to_numpy()
@@ -145,7 +164,7 @@ def _block(group: pd.DataFrame, model: Quantiser, cosine: float, radius: float)
 
 
 def _linked(
-    classes: DataFrame, cosine: float, certainty: float, sample_rows: int, list_size: int, most_lists: int
+    classes: DataFrame, kind: str, cosine: float, certainty: float, sample_rows: int, list_size: int, most_lists: int
 ) -> DataFrame:
     """Rows (a, b, links) of the classes of one dimension: forest edges, and link counts with null b."""
     spark = classes.sparkSession
@@ -156,8 +175,7 @@ def _linked(
     drawn = classes.filter(F.pmod(F.xxhash64("node"), F.lit(grain)) < share).select("vec").toPandas()
     if drawn.empty:
         drawn = classes.limit(1).select("vec").toPandas()
-    sample = np.stack([np.frombuffer(v, np.float32) for v in drawn["vec"]]).astype(np.float64)
-    sample /= np.linalg.norm(sample, axis=1)[:, None]
+    sample = _unit(_stack(drawn["vec"], kind))
     margin = radius * min(1.0, certainty / np.sqrt(sample.shape[1]))
     lists = int(min(most_lists, max(1, n // list_size)))
     model = spark.sparkContext.broadcast(Quantiser(sample, lists))
@@ -166,8 +184,7 @@ def _linked(
         for batch in batches:
             if batch.empty:
                 continue
-            x = np.stack([np.frombuffer(v, np.float32) for v in batch["vec"]]).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1)[:, None]
+            x = _unit(_stack(batch["vec"], kind))
             cell, codes, error = model.value.encode(x)
             yield batch.assign(
                 cell=cell, codes=[c.tobytes() for c in codes], error=error, probes=model.value.probes(x, cell, margin)
@@ -197,7 +214,7 @@ def _linked(
     both = asks.unionByName(posts)
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        return _block(group, model.value, cosine, radius)
+        return _block(group, model.value, cosine, radius, kind)
 
     return both.groupBy("cell", "s", "t").applyInPandas(block, "a string, b string, links bigint")
 
@@ -231,21 +248,23 @@ def near_vectors(
         & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists(v, lambda x: x != 0)
     )
-    rows = df.select(F.col(id_col).alias("k"), F.col(vector_col).cast("array<float>").alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
+    single = id_type(df, vector_col) == "array<float>"  # what else there is, is compared in double precision
+    kind, width = ("<f4", 4) if single else ("<f8", 8)
+    rows = df.select(F.col(id_col).alias("k"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     name = F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(7), v, F.lit("vector"))))
     named = durable(rows.select("k", "v", F.when(F.col("fine"), name).alias("node")))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            blobs = [np.asarray(x, np.float32).tobytes() for x in batch["v"]]
+            blobs = [np.asarray(x, kind).tobytes() for x in batch["v"]]
             yield pd.DataFrame({"node": batch["node"], "members": batch["members"], "least": batch["least"], "vec": blobs})
 
     grouped = named.filter("node IS NOT NULL").groupBy("node", "v").agg(F.count(F.lit(1)).alias("members"), F.min("k").alias("least"))
     classes = durable(grouped.mapInPandas(packed, f"node string, members bigint, least {id_type(df, id_col)}, vec binary"))
-    sizes = [r["s"] for r in classes.select((F.octet_length("vec") / 4).cast("int").alias("s")).distinct().orderBy("s").collect()]
+    sizes = [r["s"] for r in classes.select((F.octet_length("vec") / width).cast("int").alias("s")).distinct().orderBy("s").collect()]
     found = None
     for size in sizes:  # one, as a rule
-        part = _linked(classes.filter(F.octet_length("vec") == 4 * size), cosine, certainty, sample_rows, list_size, most_lists)
+        part = _linked(classes.filter(F.octet_length("vec") == width * size), kind, cosine, certainty, sample_rows, list_size, most_lists)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return named.select(F.col("k").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))

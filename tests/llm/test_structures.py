@@ -393,3 +393,22 @@ def test_segments_query_returns_and_decodes_the_samples(spark, tables):
     for r in rows:
         assert r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_double_vectors(spark):
+    """Huge, tiny and nearly equal doubles are compared as they are."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 8))
+    rows = [b * s for b in base for s in (1.0, 1e200, 1e-200, 3e-310 / np.abs(b).max())]
+    rows += [b + rng.normal(size=8) * 0.1 for b in base for _ in (1, 2)] + [base[0] * (1 + 2.0**-52), np.array([1e308] * 8)]
+    rows.append(np.array([1e200, 1e199, 0, 0, 0, 0, 0, 0]))
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    got = {r[0]: tuple(r)[1:3] for r in vectors.near_vectors(spark.createDataFrame(data, "vec_id int, embedding array<double>")).collect()}
+    x = np.array([v / np.abs(v).max() for v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T
+    assert (np.abs(near - 0.95) > 1e-6).all()  # subnormal components keep some digits only
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if near[a, b] >= 0.95]
+    roots = least_reachable(range(len(rows)), links)
+    count = Counter(i for pair in links for i in pair)
+    assert got == {i: (count[i], roots[i]) for i in range(len(rows))}
