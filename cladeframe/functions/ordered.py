@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.session import durable
+
 
 def prefix_sum(
     df: DataFrame,
@@ -50,6 +52,21 @@ def position_in_group(
     return prefix_sum(df, keys, order, bucket, F.lit(1).cast("bigint"), name)
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Position of every row in ``order`` over the whole table, from 1.
+
+    Ranges of the order become partitions; a row's position is that in its range and the
+    rows of the ranges before. Rows equal in ``order`` get positions in any order.
+    """
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
+    part = F.shiftright("_i", 33)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    offsets = parts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_off") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn("_p", part).join(F.broadcast(offsets), "_p").select(*df.columns, place.alias(name))
+
+
 def next_in_group(
     df: DataFrame,
     keys: Sequence[str],

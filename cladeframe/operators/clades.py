@@ -158,6 +158,19 @@ def tree_branches(trees: DataFrame, rooted: bool = False) -> DataFrame:
     return made.withColumn("weight", F.when(~F.isnan("weight"), F.col("weight")))
 
 
+def complete_trees(trees: DataFrame, taxa: list[str]) -> DataFrame:
+    """The trees whose leaves are exactly ``taxa``; others can't be compared with them and go."""
+    wanted = 0
+    for name in set(taxa):
+        wanted ^= taxon_digest(name)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[Clades(t).side[-1] == wanted for t in batch["newick"]]]
+
+    return trees.mapInPandas(keep, trees.schema)
+
+
 def _partial(trees: DataFrame, splits_of) -> DataFrame:
     """(run, key1, key2, n, length, n_supported, weight, split): counts of a batch of trees.
 

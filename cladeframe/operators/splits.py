@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.ordered import ranked
 from cladeframe.functions.splits import canonical_split, informative
 from cladeframe.operators.splitindex import clashing, conflict_pairs, conflicting_splits, index_of
 from cladeframe.session import durable
@@ -111,14 +112,17 @@ def truncate_splits(freq: DataFrame, cutoff: float) -> DataFrame:
 
 
 def top_splits(freq: DataFrame, cutoff: float, k: int | None = None) -> DataFrame:
-    """Splits at or above ``cutoff`` by falling probability; ``k`` makes it a top-k report."""
-    ordered = truncate_splits(freq, cutoff).orderBy(F.desc("prob"), "split")
-    return ordered.limit(k) if k is not None else ordered
+    """Splits at or above ``cutoff`` with their rank by falling probability; ``k`` makes it a top-k report."""
+    kept = truncate_splits(freq, cutoff)
+    if k is None:
+        return rank_splits(kept, "prob")
+    first = kept.orderBy(F.desc("prob"), "split").limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("prob"), "split")))  # k rows
 
 
 def rank_splits(df: DataFrame, by: str) -> DataFrame:
-    """Sort by falling ``by``, ties by split."""
-    return df.orderBy(F.desc(by), "split")
+    """Adds ``rank``: position by falling ``by``, ties by split."""
+    return ranked(df, [F.desc(by), F.asc("split")], "rank")
 
 
 def split_histogram(freq: DataFrame, n_bins: int) -> DataFrame:

@@ -139,16 +139,16 @@ def _(spark, d):
     return show(sp.truncate_splits(freq(spark, d), 0.0101234).select("run", "split", "prob"))
 
 
-@register("top_splits", cte("merged", f"SELECT {M} AS split, n FROM merged WHERE prob >= 0.002 ORDER BY n DESC, {M} LIMIT 20"))
+@register("top_splits", cte("merged", f"SELECT {M} AS split, n, row_number() OVER (ORDER BY n DESC, {M}) AS rank FROM merged WHERE prob >= 0.002 ORDER BY n DESC, {M} LIMIT 20"))
 def _(spark, d):
     """The twenty most frequent splits."""
-    return show(sp.top_splits(merged(spark, d), 0.002, 20).select("split", "n"))
+    return show(sp.top_splits(merged(spark, d), 0.002, 20).select("split", "n", "rank"))
 
 
-@register("rank_splits", cte("split_freq", _CMP + f"SELECT {M} AS split, {rnd('maxdiff', 'maxdiff')} FROM cmp"))
+@register("rank_splits", cte("split_freq", _CMP + f"SELECT {M} AS split, {rnd('maxdiff', 'maxdiff')}, row_number() OVER (ORDER BY maxdiff DESC, {M}) AS rank FROM cmp"))
 def _(spark, d):
     """Splits by falling difference between runs."""
-    return show(sp.rank_splits(sp.compare_runs_splits(freq(spark, d)), "maxdiff").select("split", "maxdiff"))
+    return show(sp.rank_splits(sp.compare_runs_splits(freq(spark, d)), "maxdiff").select("split", "maxdiff", "rank"))
 
 
 @register("split_histogram", cte("split_freq", "SELECT least(floor(prob * 2000), 1999)::BIGINT AS bin, count(*) AS n FROM split_freq GROUP BY 1"))

@@ -148,6 +148,26 @@ def _(spark, d):
     return tidy(tr.thin_trees(points, -1, 10))
 
 
+@register("thin_tree_list", cte(
+    "order_mask",
+    ", n AS (SELECT run, max(iter) + 1 AS n FROM order_mask GROUP BY 1) SELECT run, iter, bit_count(raw)::BIGINT AS n_leaves FROM order_mask JOIN n USING (run) WHERE iter >= n // 5 AND (iter - n // 5) % 10 = 0",
+))
+def _(spark, d):
+    """The same on the order trees themselves, with the leaves of the trees that stay."""
+    kept = tr.thin_trees(t.newick_ord(spark, d), -1, 10)
+    return tidy(tt.tree_stats(tt.tree_nodes(kept), ["run", "iter"]).select("run", "iter", "n_leaves"))
+
+
+@register("complete_trees", cte(
+    "order_leaves",
+    f", k AS (SELECT l_orderkey FROM order_leaves WHERE t <= 2 GROUP BY 1 HAVING count(*) = 3) SELECT run, l_orderkey AS iter FROM k {_RUN}",
+))
+def _(spark, d):
+    """Order trees cut down to t0, t1 and t2 that have all three."""
+    names = ["t0", "t1", "t2"]
+    return tidy(cl.complete_trees(tt.prune_taxa(t.newick_ord(spark, d), names), names).select("run", "iter"))
+
+
 @register("compatible_runs", (
     "WITH x AS (SELECT DISTINCT o_orderpriority AS run, o_custkey AS taxon FROM orders), b AS (SELECT taxon FROM x WHERE run = (SELECT min(run) FROM x)) "
     "SELECT run, count(*) AS n_taxa, count(b.taxon) AS n_common, count(*) = count(b.taxon) AND count(*) = (SELECT count(*) FROM b) AS compatible FROM x LEFT JOIN b USING (taxon) GROUP BY 1"

@@ -400,3 +400,24 @@ def test_two_run_scores(spark):
     waic = [np.mean([post(per[r, s]) - np.var(per[r, s]) for s in range(6)]) for r in ("one", "two")]
     wbias = -0.5 * np.mean([np.var([post(per[r, s]) for r in ("one", "two")], ddof=1) for s in range(6)])
     assert got["waic"].score == pytest.approx(np.mean(waic) - wbias)
+
+
+def test_keyed_subsets(spark):
+    from cladeframe.operators import fit, subsets
+
+    rng = random.Random(8)
+    sites = list(range(3, 40, 2))
+    rows = [(run, i, s, rng.gauss(-3, 1)) for run in ("a", "b") for i in range(9) for s in sites if (i + s) % 7]
+    logl = spark.createDataFrame(rows, "run string, iter bigint, site bigint, logl double")
+    sizes = fit.curve_sizes(len(sites))
+    sizes = [(k, min(reps, 40)) for k, reps in sizes]
+    drawn = subsets.keyed_subsets(logl, sizes, 5)
+    members = {}
+    for r in drawn.collect():
+        members.setdefault((r.k, r.rep), set()).add(r.site)
+    assert {key: len(v) for key, v in members.items()} == {(k, rep): k for k, reps in sizes for rep in range(reps)}
+    want = {(r.run, r.k): r for r in fit.cv_subset_curve(logl, drawn).collect()}
+    got = {(r.run, r.k): r for r in subsets.subset_curve(logl, sizes, 5).collect()}
+    assert got.keys() == want.keys()
+    for key, row in got.items():
+        assert row.asDict() == pytest.approx(want[key].asDict(), rel=1e-9, abs=1e-9)
