@@ -78,15 +78,22 @@ def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, st
 def site_loglik(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: list[str]) -> DataFrame:
     """(draw, site, cat, logl) by messages of packed model rows, for both processes and trees of any size."""
     k = len(states)
-    packed, width = messages.packed_for(cells, models.withColumn("w", F.lit(1.0)))
-    ups, inner, _ = messages.upward(cells, nodes, packed, states, width)
+    weighted = models.withColumn("w", F.lit(1.0))
+    tree = messages.tree_table(nodes)
+    order = messages.Order.of(tree)
+    if order is not None:
+        return messages.block_logl(cells, tree, weighted, states, order)
+    width = messages.block_width(messages.block_size(weighted)[0])
+    packed = durable(messages.packed_for(cells, weighted, width))
+    ups, inner, _ = messages.upward(cells, tree, packed, states, width)
     root = inner.filter(F.col("depth") == 0).select("node")
     return messages.root_logl(packed, ups.join(root, "node"), k)
 
 
 def mixture_site_loglik(logl: DataFrame, weights: DataFrame) -> DataFrame:
     """log sum over components of w exp(logl): (draw, site); ``weights`` is (draw, cat, w)."""
-    return weighted_log_sum(logl.join(weights, ["draw", "cat"]), ["draw", "site"], "logl", "w", "logl")
+    # a few weights meet the rows of all sites, so these rows stay where they are
+    return weighted_log_sum(logl.join(F.broadcast(weights), ["draw", "cat"]), ["draw", "site"], "logl", "w", "logl")
 
 
 def rate_mixture_loglik(logl: DataFrame, rates: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def total_loglik(site_logl: DataFrame, active: DataFrame | None = None) -> DataF
 def site_rate(logl: DataFrame, rates: DataFrame) -> DataFrame:
     """Posterior mean rate of every (draw, site): sum of w r L over sum of w L; null where the likelihood is zero."""
     weights = {"_num": F.col("w") * F.col("rate"), "_den": F.col("w")}
-    sums = weighted_log_sums(logl.join(rates, ["draw", "cat"]), ["draw", "site"], "logl", weights)
+    sums = weighted_log_sums(logl.join(F.broadcast(rates), ["draw", "cat"]), ["draw", "site"], "logl", weights)
     rate = F.when(F.col("_den") > float("-inf"), F.exp(F.col("_num") - F.col("_den")))
     return sums.select("draw", "site", rate.alias("site_rate"))
 
@@ -122,11 +129,19 @@ def ancestral_probs(
     """
     k = len(states)
     weighted = models.withColumn("w", F.lit(1.0)) if weights is None else models.join(weights.select("draw", "cat", "w"), ["draw", "cat"])
-    packed, width = messages.packed_for(cells, weighted)
-    ups, inner, depth = messages.upward(cells, nodes, packed, states, width)
-    downs = messages.downward(durable(ups), inner, depth, k)
-    rows = messages.posterior_sums(downs, k, raw_sum)
-    means = rows.groupBy("node", "site").agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(s) for i, s in enumerate(states)])
+    tree = messages.tree_table(nodes)
+    order = messages.Order.of(tree)
+    made = None if order is None else messages.block_posteriors(cells, tree, weighted, states, order, raw_sum)
+    if made is None:
+        width = messages.block_width(messages.block_size(weighted)[0])
+        packed = durable(messages.packed_for(cells, weighted, width))
+        ups, inner, depth = messages.upward(cells, tree, packed, states, width)
+        made = messages.posterior_sums(messages.downward(durable(ups), inner, depth, k), k, raw_sum), False
+    rows, single = made
+    if single:
+        means = rows.select("node", "site", *[(F.col(f"s{i}") / F.col("n")).alias(s) for i, s in enumerate(states)])
+    else:
+        means = rows.groupBy("node", "site").agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(s) for i, s in enumerate(states)])
     return means.unpivot(["node", "site"], states, "state", "prob")
 
 

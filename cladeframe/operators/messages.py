@@ -6,14 +6,21 @@ and state, kept as sums of logarithms and numbers of zeros, so that products of
 children are sums in any order and one child can be taken out again. One level of the
 tree is one join or grouping by (node, block); a node with very many children is summed
 in rounds of bounded groups. No step looks at the whole tree.
+
+A tree of up to ``NODES_AT_ONCE`` inner nodes needs no message outside its block: the cells
+of a block are read in the order in which the inner nodes are finished, and one task passes
+the messages of the block up (and down) in memory. Only cells and model rows are shuffled.
+Larger trees go level by level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +36,9 @@ LEAVES_AT_ONCE = 256
 MESSAGES_AT_ONCE = 16
 #: Rows of leaf vectors held at once.
 EXPANDED = 1 << 17
+#: Inner nodes whose order every task knows; bytes of all messages of a block, where they are kept for the way down.
+NODES_AT_ONCE = 1 << 16
+KEPT_BYTES = 1 << 28
 
 _FIXED = 5  # site, draw, cat, rate, weight
 
@@ -39,6 +49,8 @@ class Block:
     def __init__(self, blob, k: int):
         width, sites = np.frombuffer(blob, "<i8", 2).tolist()
         rows = np.frombuffer(blob, "<i8", offset=16 + 8 * sites).reshape(-1, width)
+        self._times, base = max(1, sites), rows.view("<f8")[:, _FIXED:]
+        self._kinds = np.hstack([base[:, k:], base[:, :k]])  # matrices before the rows are repeated
         if sites:  # every row holds for every site
             site = np.frombuffer(blob, "<i8", sites, 16)
             rows = np.hstack([np.repeat(site, len(rows))[:, None], np.tile(rows[:, 1:], (sites, 1))])
@@ -52,7 +64,7 @@ class Block:
     def eigen(self):
         """One decomposition per distinct rate matrix; rows point to theirs."""
         if self._eigen is None:
-            both, index = np.unique(np.hstack([self.rr, self.pi]), axis=0, return_inverse=True)
+            both, index = np.unique(self._kinds, axis=0, return_inverse=True)
             upper = np.triu_indices(self.k, 1)
             found = []
             for line in both:
@@ -63,7 +75,7 @@ class Block:
                 root = np.sqrt(pi)
                 values, vectors = np.linalg.eigh(root[:, None] * q / root)
                 found.append((values, vectors / root[:, None], (vectors * root[:, None]).T))
-            self._eigen = index.ravel(), found
+            self._eigen = np.tile(index.ravel(), self._times), found
         return self._eigen
 
     def move(self, x: np.ndarray, length: float) -> np.ndarray:
@@ -133,6 +145,11 @@ class Message:
         out.log = np.where(out.zero > 0, 0.0, out.log + shift[:, None])
         return out
 
+    def add(self, other: Message) -> None:
+        self.log += other.log
+        self.zero += other.zero
+        self.seen += other.seen
+
     def without(self, other: Message) -> Message:
         return Message(self.log - other.log, self.zero - other.zero, self.seen)
 
@@ -169,7 +186,10 @@ def packed_models(models: DataFrame, width: int, sites: DataFrame | None = None)
         draws = models.groupBy(_draw_block().alias("db")).agg(rows)
         chunks = models.agg(F.array_sort(F.collect_set(_draw_block()))).scalar()  # one number per ``BLOCK_DRAWS`` draws
         held = sites.groupBy(_site_block(width).alias("sb")).agg(F.array_sort(F.collect_set(F.col("site").cast("bigint"))).alias("sites"))
-        lists = held.select("sb", "sites", F.explode(chunks).alias("db")).join(draws, "db")
+        # few draw blocks meet very many site blocks: each draw block is copied to every salt
+        salts = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = held.select("sb", "sites", F.explode(chunks).alias("db"), F.pmod(F.hash("sb"), F.lit(salts)).alias("salt"))
+        lists = dealt.join(draws.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["db", "salt"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,18 +208,23 @@ def packed_models(models: DataFrame, width: int, sites: DataFrame | None = None)
     return lists.select("sb", "db", "rows", "sites").mapInArrow(pack, "sb bigint, db bigint, model binary")
 
 
-def block_width(models: DataFrame) -> int:
-    """Sites of a block: as many as keep its model rows within ``BLOCK_ROWS``."""
+def block_size(models: DataFrame) -> tuple[int, int]:
+    """(model rows of a site and a block of draws, blocks of draws)."""
     keys = [c for c in ["site"] if c in models.columns]
-    most = models.groupBy(*keys, _draw_block()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return max(1, min(BLOCK_SITES, BLOCK_ROWS // max(1, most or 1)))
+    each = models.groupBy(*keys, _draw_block().alias("db")).agg(F.count(F.lit(1)).alias("n"))
+    most, draws = each.agg(F.max("n"), F.count_distinct("db")).first()
+    return max(1, most or 1), draws
 
 
-def packed_for(cells: DataFrame, models: DataFrame) -> tuple[DataFrame, int]:
-    """The packed models, written down once, and the sites of a block."""
-    width = block_width(models)
+def block_width(most: int) -> int:
+    """Sites of a block: as many as keep its model rows within ``BLOCK_ROWS``."""
+    return max(1, min(BLOCK_SITES, BLOCK_ROWS // most))
+
+
+def packed_for(cells: DataFrame, models: DataFrame, width: int) -> DataFrame:
+    """The packed models of all sites."""
     sites = None if "site" in models.columns else cells.select("site").distinct()
-    return durable(packed_models(models, width, sites)), width
+    return packed_models(models, width, sites)
 
 
 def _each(columns: list[str], schema: str, fn: Callable[..., Iterator[tuple]]) -> Callable:
@@ -221,6 +246,23 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
+def hear(block: Block, out: Message, site: np.ndarray, state: np.ndarray, length: np.ndarray) -> None:
+    """Add what observed leaves of the block's sites say."""
+    first = np.searchsorted(block.site, site)
+    size = np.searchsorted(block.site, site, "right") - first
+    for part in np.split(np.arange(len(site)), np.flatnonzero(np.diff(np.cumsum(size) // EXPANDED)) + 1):
+        n, ends = size[part], np.cumsum(size[part])
+        if not n.sum():
+            continue
+        rows = np.repeat(first[part] - ends + n, n) + np.arange(ends[-1])
+        values = block.leaf(rows, np.repeat(state[part], n), np.repeat(length[part], n))
+        said = Message.of(values, np.ones(len(rows)))
+        out.seen += np.bincount(rows, minlength=block.n)
+        for s in range(block.k):
+            out.log[:, s] += np.bincount(rows, said.log[:, s], block.n)
+            out.zero[:, s] += np.bincount(rows, said.zero[:, s], block.n)
+
+
 _MESSAGE = "node string, sb bigint, db bigint, model binary, message binary"
 
 
@@ -241,23 +283,8 @@ def leaf_messages(cells: DataFrame, tree: DataFrame, packed: DataFrame, states:
     def step(node, sb, db, model, leaves) -> Iterator[tuple]:
         block = Block(model.as_buffer(), k)
         told = leaves.values.flatten().to_numpy().reshape(-1, 3)
-        offset = block.site - sb.as_py() * width
-        first = np.searchsorted(offset, np.arange(width))
-        count = np.searchsorted(offset, np.arange(width), "right") - first
         out = Message.ones(block)
-        site = told[:, 0].astype(np.int64)
-        size = count[site]
-        for part in np.split(np.arange(len(told)), np.flatnonzero(np.diff(np.cumsum(size) // EXPANDED)) + 1):
-            n, ends = size[part], np.cumsum(size[part])
-            if not n.sum():
-                continue
-            rows = np.repeat(first[site[part]] - ends + n, n) + np.arange(ends[-1])
-            values = block.leaf(rows, np.repeat(told[part, 1].astype(np.int64), n), np.repeat(told[part, 2], n))
-            said = Message.of(values, np.ones(len(rows)))
-            out.seen += np.bincount(rows, minlength=block.n)
-            for s in range(k):
-                out.log[:, s] += np.bincount(rows, said.log[:, s], block.n)
-                out.zero[:, s] += np.bincount(rows, said.zero[:, s], block.n)
+        hear(block, out, told[:, 0].astype(np.int64) + sb.as_py() * width, told[:, 1].astype(np.int64), told[:, 2])
         if out.seen.any():
             yield node.as_py(), sb.as_py(), db.as_py(), model.as_py(), out.blob()
 
@@ -283,13 +310,17 @@ def added(messages: DataFrame, parts: int, k: int) -> DataFrame:
             return messages
 
 
-def upward(cells: DataFrame, nodes: DataFrame, packed: DataFrame, states: list[str], width: int) -> tuple[DataFrame, DataFrame, int]:
-    """(messages of all inner nodes with data below, their tree, depth)."""
-    k = len(states)
-    tree = durable(nodes.select(
+def tree_table(nodes: DataFrame) -> DataFrame:
+    """The tree with names as text, written down once."""
+    return durable(nodes.select(
         F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), F.col("taxon").cast("string").alias("taxon"),
         F.coalesce("length", F.lit(0.0)).alias("length"), "depth",
     ))
+
+
+def upward(cells: DataFrame, tree: DataFrame, packed: DataFrame, states: list[str], width: int) -> tuple[DataFrame, DataFrame, int]:
+    """(messages of all inner nodes with data below, their tree, depth)."""
+    k = len(states)
     kids = tree.filter("parent IS NOT NULL").groupBy("parent").agg(
         F.count_if(F.col("taxon").isNull()).alias("inner"), F.ceil(F.count("taxon") / LEAVES_AT_ONCE).alias("parts")
     )
@@ -336,13 +367,10 @@ def root_logl(packed: DataFrame, root: DataFrame, k: int) -> DataFrame:
             for model, message in zip(batch.column("model"), batch.column("message"), strict=True):
                 block = Block(model.as_buffer(), k)
                 said = Message.read(message.as_buffer(), k) if message.is_valid else Message.ones(block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.draw), pa.array(block.site), pa.array(block.cat, pa.int32()), pa.array(row_logl(block, said))],
-                    ["draw", "site", "cat", "logl"],
-                )
+                yield _logl_batch(block, said)
 
     joined = packed.join(root.select("sb", "db", "message"), ["sb", "db"], "left").select("model", "message")
-    return joined.mapInArrow(run, "draw bigint, site bigint, cat int, logl double")
+    return joined.mapInArrow(run, _LOGL)
 
 
 _ABOVE = "node string, sb bigint, db bigint, model binary, message binary, above binary"
@@ -385,39 +413,223 @@ def downward(ups: DataFrame, inner: DataFrame, depth: int, k: int) -> DataFrame:
     return done
 
 
+def state_sums(block: Block, logl: np.ndarray, message: Message, above: np.ndarray, raw_sum: bool) -> list[np.ndarray]:
+    """[site, draws with a likelihood, sum of every state's probability] of a node in a block."""
+    joint = message.scaled()[0] * above * block.pi
+    probs = share(joint, joint.sum(1))
+    seen = ~np.isnan(logl)
+    # categories to (draw, site), then draws to sites; rows stand by site and draw
+    fresh = np.append(True, (np.diff(block.site) != 0) | (np.diff(block.draw) != 0))
+    point = np.cumsum(fresh) - 1
+    if raw_sum:
+        w = seen.astype(np.float64)
+    else:
+        top = np.full(point[-1] + 1, -np.inf)
+        np.maximum.at(top, point[seen], logl[seen])
+        high = np.where(np.isfinite(top), top, 0.0)[point]
+        w = np.where(seen, block.weight * np.exp(np.where(seen, logl, -np.inf) - high), 0.0)
+    total = np.bincount(point, w)
+    known = total > 0  # a point without data or likelihood has no ancestral states
+    sites, place = np.unique(block.site[fresh], return_inverse=True)
+    n = np.bincount(place[known], minlength=len(sites))
+    kept = n > 0
+    columns = [np.bincount(place[known], np.bincount(point, w * probs[:, i])[known] / total[known], len(sites))[kept] for i in range(block.k)]
+    return [sites[kept], n[kept], *columns]
+
+
+def _sums_schema(k: int) -> str:
+    return "node string, site bigint, n bigint, " + ", ".join(f"s{i} double" for i in range(k))
+
+
+def _sums_batch(node: str | None, found: list[np.ndarray]) -> pa.RecordBatch:
+    names = ["node", "site", "n", *[f"s{i}" for i in range(len(found) - 2)]]
+    return pa.RecordBatch.from_arrays([pa.array([node] * len(found[0]), pa.string()), *map(pa.array, found)], names)
+
+
 def posterior_sums(downs: DataFrame, k: int, raw_sum: bool) -> DataFrame:
     """(node, site, n, s0, s1, ...): draws with a likelihood and their summed state probabilities, by block."""
-    sums = [f"s{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, model, message, above in zip(*[batch.column(c) for c in ("node", "model", "message", "above")], strict=True):
-                block = Block(model.as_buffer(), k)
                 rest = np.frombuffer(above.as_buffer(), "<f8").reshape(-1, k + 1)
-                logl = rest[:, k]
-                joint = Message.read(message.as_buffer(), k).scaled()[0] * rest[:, :k] * block.pi
-                probs = share(joint, joint.sum(1))
-                seen = ~np.isnan(logl)
-                # categories to (draw, site), then draws to sites; rows stand by site and draw
-                fresh = np.append(True, (np.diff(block.site) != 0) | (np.diff(block.draw) != 0))
-                point = np.cumsum(fresh) - 1
-                if raw_sum:
-                    w = seen.astype(np.float64)
-                else:
-                    top = np.full(point[-1] + 1, -np.inf)
-                    np.maximum.at(top, point[seen], logl[seen])
-                    high = np.where(np.isfinite(top), top, 0.0)[point]
-                    w = np.where(seen, block.weight * np.exp(np.where(seen, logl, -np.inf) - high), 0.0)
-                total = np.bincount(point, w)
-                known = total > 0  # a point without data or likelihood has no ancestral states
-                sites, place = np.unique(block.site[fresh], return_inverse=True)
-                n = np.bincount(place[known], minlength=len(sites))
-                kept = n > 0
-                columns = [np.bincount(place[known], np.bincount(point, w * probs[:, i])[known] / total[known], len(sites))[kept] for i in range(k)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node.as_py()] * int(kept.sum()), pa.string()), pa.array(sites[kept]), pa.array(n[kept]), *map(pa.array, columns)],
-                    ["node", "site", "n", *sums],
-                )
-
-    schema = "node string, site bigint, n bigint, " + ", ".join(f"{c} double" for c in sums)
-    return downs.select("node", "model", "message", "above").mapInArrow(run, schema)
+                block, said = Block(model.as_buffer(), k), Message.read(message.as_buffer(), k)
+                yield _sums_batch(node.as_py(), state_sums(block, rest[:, k], said, rest[:, :k], raw_sum))
+
+    return downs.select("node", "model", "message", "above").mapInArrow(run, _sums_schema(k))
+
+
+# ---- all levels of a block in one task ----------------------------------------------------
+
+
+class Order:
+    """Inner nodes in the order in which they are finished, children before their parent.
+
+    The child with most nodes below comes first, so at any time only a logarithmic number
+    of nodes has heard some of its children and not all.
+    """
+
+    def __init__(self, names: list[str], parent: np.ndarray, length: np.ndarray):
+        self.names, self.parent, self.length = names, parent, length
+
+    @classmethod
+    def of(cls, tree: DataFrame) -> Order | None:
+        """None for more than ``NODES_AT_ONCE`` nodes, or if they are no tree with one root and a name for every node."""
+        depth = tree.agg(F.max("depth")).first()[0] or 0
+        inner = tree.filter(F.col("taxon").isNull() & (F.col("depth") < depth))
+        rows = inner.select("node", "parent", "length", "depth").limit(NODES_AT_ONCE + 1).collect()
+        place = {r.node: i for i, r in enumerate(rows)}
+        roots = [r.node for r in rows if r.depth == 0]
+        whole = len(rows) <= NODES_AT_ONCE and len(place) == len(rows) and None not in place and len(roots) == 1
+        if not whole or any(r.depth and (r.parent not in place or rows[place[r.parent]].depth != r.depth - 1) for r in rows):
+            return None
+        below: dict[str, list[str]] = {}
+        size = dict.fromkeys(place, 1)
+        for r in sorted(rows, key=lambda r: -r.depth):
+            if r.depth:
+                below.setdefault(r.parent, []).append(r.node)
+                size[r.parent] += size[r.node]
+        names, todo = [], roots
+        while todo:  # parents first and the largest child last; turned round below
+            names.append(node := todo.pop())
+            todo.extend(sorted(below.get(node, ()), key=size.__getitem__, reverse=True))
+        names.reverse()
+        number = {x: i for i, x in enumerate(names)}
+        at = [rows[place[x]] for x in names]
+        parent = np.array([number[r.parent] if r.depth else -1 for r in at], np.int64)
+        return cls(names, parent, np.array([r.length for r in at], np.float64))
+
+
+class Pass:
+    """The messages of one block on their way up."""
+
+    def __init__(self, key: tuple[int, int], order: Order, keep: bool):
+        self.key, self.order, self.keep = key, order, keep
+        self.block: Block | None = None
+        self.root: Message | None = None
+        self.open: dict[int, Message] = {}
+        self.due: list[int] = []
+        self.done: dict[int, Message] = {}
+
+    def at(self, node: int) -> Message:
+        if node not in self.open:
+            self.open[node] = Message.ones(self.block)
+            heappush(self.due, node)
+        return self.open[node]
+
+    def close(self, below: int) -> None:
+        """Finish all nodes before ``below``."""
+        while self.due and self.due[0] < below:
+            node = heappop(self.due)
+            said, parent = self.open.pop(node), int(self.order.parent[node])
+            if self.keep:
+                self.done[node] = said
+            if parent < 0:
+                self.root = said
+            else:
+                self.at(parent).add(said.carried(self.block, self.order.length[node]))
+
+    def down(self, logl: np.ndarray, raw_sum: bool) -> Iterator[pa.RecordBatch]:
+        """The states of all inner nodes, parents first."""
+        none = Message.ones(self.block)
+        above = {len(self.order.names) - 1: np.ones((self.block.n, self.block.k))}
+        for node in range(len(self.order.names) - 1, -1, -1):
+            said, parent, length = self.done.get(node, none), int(self.order.parent[node]), self.order.length[node]
+            if parent >= 0:
+                others = self.done.get(parent, none).without(said.carried(self.block, length))
+                x = others.scaled()[0] * above[parent]
+                moved = self.block.move(share(x, x.max(1)), length)
+                above[node] = share(moved, moved.max(1))
+            yield _sums_batch(self.order.names[node], state_sums(self.block, logl, said, above[node], raw_sum))
+
+
+_NONE = -(1 << 63)
+
+
+def block_passes(
+    cells: DataFrame, tree: DataFrame, models: DataFrame, packed: DataFrame, states: list[str], width: int, order: Order, keep: bool,
+    out: Callable[[Pass], Iterator[pa.RecordBatch]], schema: str,
+) -> DataFrame:
+    """``out`` of every block whose messages have reached the root.
+
+    A block's model rows come first (node -1), then its cells by the number of the node above their leaf.
+    """
+    k = len(states)
+    spark = cells.sparkSession
+    code = F.array_position(F.array(*[F.lit(s) for s in states]), F.col("state")) - 1
+    seen = cells.select(F.col("taxon").cast("string").alias("taxon"), F.col("site").cast("bigint").alias("site"), code.alias("ix")).filter("ix >= 0 AND site IS NOT NULL")
+    numbers = F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(order.names)], "parent string, at int"))
+    leaves = tree.filter("taxon IS NOT NULL").join(numbers, "parent").select("taxon", "at", "length")
+    chunks = models.agg(F.array_sort(F.collect_set(_draw_block()))).scalar()
+    told = leaves.join(seen, "taxon").select(
+        _site_block(width).alias("sb"), F.explode(chunks).alias("db"), "at", "site", "ix", "length", F.lit(None).cast("binary").alias("model")
+    )
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("site", "bigint"), ("ix", "bigint"), ("length", "double"))]
+    # every block is much work for few bytes: keep the partition number instead of merging by size
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed.select("sb", "db", F.lit(-1).alias("at"), *none, "model").unionByName(told).repartition(n, "sb", "db").sortWithinPartitions("sb", "db", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended(one: Pass | None) -> Iterator[pa.RecordBatch]:
+            if one is not None and one.block is not None:
+                one.close(len(order.names))
+                yield from out(one)
+
+        now: Pass | None = None
+        for batch in batches:
+            sb, db = (pc.fill_null(batch.column(c), _NONE).to_numpy() for c in ("sb", "db"))
+            at = batch.column("at").to_numpy()
+            site, ix = (pc.fill_null(batch.column(c), 0).to_numpy() for c in ("site", "ix"))
+            length = pc.fill_null(batch.column("length"), 0.0).to_numpy()
+            cuts = np.flatnonzero((np.diff(sb) != 0) | (np.diff(db) != 0) | (np.diff(at) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sb)], strict=True):
+                if a == b:
+                    continue
+                key = int(sb[a]), int(db[a])
+                if now is None or now.key != key:
+                    yield from ended(now)
+                    now = Pass(key, order, keep)
+                if at[a] < 0:
+                    now.block = Block(batch.column("model")[a].as_buffer(), k)
+                elif now.block is not None:
+                    now.close(int(at[a]))
+                    hear(now.block, now.at(int(at[a])), site[a:b], ix[a:b], length[a:b])
+        yield from ended(now)
+
+    return rows.mapInArrow(run, schema)
+
+
+_LOGL = "draw bigint, site bigint, cat int, logl double"
+
+
+def _logl_batch(block: Block, said: Message) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block.draw), pa.array(block.site), pa.array(block.cat, pa.int32()), pa.array(row_logl(block, said))], ["draw", "site", "cat", "logl"]
+    )
+
+
+def block_logl(cells: DataFrame, tree: DataFrame, models: DataFrame, states: list[str], order: Order) -> DataFrame:
+    """(draw, site, cat, logl) of all model rows, no message leaving its block."""
+    width = block_width(block_size(models)[0])
+
+    def out(one: Pass) -> Iterator[pa.RecordBatch]:
+        yield _logl_batch(one.block, Message.ones(one.block) if one.root is None else one.root)
+
+    return block_passes(cells, tree, models, packed_for(cells, models, width), states, width, order, False, out, _LOGL)
+
+
+def block_posteriors(cells: DataFrame, tree: DataFrame, models: DataFrame, states: list[str], order: Order, raw_sum: bool) -> tuple[DataFrame, bool] | None:
+    """Rows of :func:`posterior_sums` and whether a (node, site) has only one; None if a block's messages don't fit ``KEPT_BYTES``."""
+    most, draws = block_size(models)
+    k = len(states)
+    width = min(block_width(most), KEPT_BYTES // (8 * (3 * k + 1) * most * len(order.names)))
+    if not width:
+        return None
+
+    def out(one: Pass) -> Iterator[pa.RecordBatch]:
+        if one.root is not None:
+            logl = row_logl(one.block, one.root)
+            yield from one.down(np.where(one.root.seen > 0, logl, np.nan), raw_sum)
+
+    sums = block_passes(cells, tree, models, packed_for(cells, models, width), states, width, order, True, out, _sums_schema(k))
+    return sums, draws <= 1

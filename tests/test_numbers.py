@@ -366,6 +366,60 @@ def test_ancestral_probs_against_brute_force(spark, small_tree):
             assert got[node, DNA[s]] == pytest.approx(joint[node, s] / total, abs=1e-9)
 
 
+def test_messages_stay_in_their_block(spark, small_tree, monkeypatch):
+    """Small trees need no message outside a task; larger ones, level by level, give the same."""
+    rng = random.Random(6)
+    columns = [{x: rng.choice([0, 1, 2, 3, None]) for x in "abcd"} for _ in range(9)]
+    cells = spark.createDataFrame([(x, i, DNA[s]) for i, c in enumerate(columns) for x, s in c.items() if s is not None], "taxon string, site bigint, state string")
+    profiles = {0: [0.1, 0.2, 0.3, 0.4], 100: [0.4, 0.3, 0.2, 0.1]}  # two blocks of draws
+    models = [(dr, cat, r, pi) for dr, pi in profiles.items() for cat, r in enumerate((0.5, 2.0))]
+    shared = spark.createDataFrame(models, "draw bigint, cat int, rate double, pi array<double>")
+    weights = shared.select("draw", "cat", ((F.col("cat") + 1) / 3).alias("w"))
+    reversible = shared.withColumn("rr", F.array(*[F.lit(x) for x in (1.0, 2.0, 0.5, 0.7, 3.0, 1.3)]))
+
+    def solved():
+        logl = [{(r.draw, r.site, r.cat): r.logl for r in lk.site_loglik(cells, small_tree, m, DNA).collect()} for m in (shared, reversible)]
+        probs = [lk.ancestral_probs(cells, small_tree, m, DNA, w, raw_sum=w is None).collect() for m, w in ((shared, weights), (reversible, None))]
+        return [*logl, *[{(r.node, r.site, r.state): r.prob for r in rows} for rows in probs]]
+
+    monkeypatch.setattr(messages, "BLOCK_ROWS", 8)
+    with monkeypatch.context() as m:
+        m.setattr(messages, "leaf_messages", None)
+        found = solved()
+    monkeypatch.setattr(messages, "NODES_AT_ONCE", 1)
+    for one, other in zip(found, solved(), strict=True):
+        assert one and one == pytest.approx(other, abs=1e-9)
+    # a table that is no tree with names for all nodes goes level by level too
+    assert messages.Order.of(messages.tree_table(small_tree.unionByName(small_tree.filter("node = 'x'")))) is None
+
+
+def test_order_of_a_long_tree(spark):
+    """Children stand before their parent, the largest child first, so few nodes wait."""
+    nodes = [("n0", None, None, None, 0)]
+    for i in range(40):
+        nodes += [(f"n{i + 1}", f"n{i}", None, 0.1, i + 1), (f"t{i}", f"n{i}", f"t{i}", 0.2, i + 1)]
+    nodes += [("u0", "n40", "u0", 0.1, 41), ("u1", "n40", "u1", 0.3, 41)]
+    order = messages.Order.of(messages.tree_table(spark.createDataFrame(nodes, "node string, parent string, taxon string, length double, depth int")))
+    assert order.names == [f"n{i}" for i in range(40, -1, -1)]
+    assert order.parent.tolist() == [*range(1, 41), -1]
+
+
+def test_weights_meet_rows_of_sites_where_they_are(spark, capsys):
+    """Few (draw, category) keys: a join by them would put all sites into a few tasks."""
+    rows = [(dr, i, cat, -float(i + cat)) for dr in range(2) for i in range(8) for cat in range(2)]
+    logl = spark.createDataFrame(rows, "draw bigint, site bigint, cat int, logl double")
+    rates = spark.createDataFrame([(dr, cat, 1.0 + cat, 0.5) for dr in range(2) for cat in range(2)], "draw bigint, cat int, rate double, w double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables whose size Spark does not know
+    try:
+        for found in (lk.rate_mixture_loglik(logl, rates), lk.site_rate(logl, rates)):
+            found.explain()
+            assert "SortMergeJoin" not in capsys.readouterr().out
+            assert found.count() == 16
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_selection_bins(spark):
     values = [-31.0, -30.0, -29.875, -29.874, 0.0, 0.125, 0.126, 29.9, 30.0, 31.0]
 
