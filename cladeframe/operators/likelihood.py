@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.logspace import weighted_log_sum, weighted_log_sums
 from cladeframe.operators import messages
-from cladeframe.operators.trees import LEVELS_PER_CUT, max_depth
+from cladeframe.operators.trees import LEVELS_PER_CUT
 from cladeframe.session import durable
 
 KEYS = ["draw", "site", "cat"]
+#: Model rows of a task where nodes have a row for each of them.
+MODEL_ROWS_AT_ONCE = 1 << 15
 
 
 def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, states: list[str]) -> DataFrame:
@@ -29,20 +31,23 @@ def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, st
 
     Only nodes with data below have rows: a missing leaf contributes a factor one.
     Log vectors are summed over children as columns, so every level combines on the
-    map side and a node with very many children stays cheap.
+    map side and a node with very many children stays cheap. Rows are dealt by site, so
+    that no level is shuffled, into as many tasks as the model rows need.
     """
     n = len(states)
+    levels = {r.depth: r for r in nodes.groupBy("depth").agg(F.count("taxon").alias("leaves"), F.count_if(F.col("taxon").isNull()).alias("inner")).collect() if r.depth is not None}
+    depth = max(levels, default=0)
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-models.count() // MODEL_ROWS_AT_ONCE))
     xs, ps = [f"x{k}" for k in range(n)], [f"p{k}" for k in range(n)]
     model = models.select(*KEYS, "rate", *[F.col("pi")[k].alias(p) for k, p in enumerate(ps)])
     tree = nodes.select("node", "parent", "taxon", "length", "depth")
     seen = cells.filter(F.col("state").isNotNull()).select(F.col("taxon").cast("string").alias("taxon"), "site", "state")
     leaf_sites = tree.filter(F.col("taxon").isNotNull()).join(seen, "taxon")
-    leaf = leaf_sites.join(model, "site").select(
+    leaf = leaf_sites.repartition(parts, "site").join(model.repartition(parts, "site"), "site").select(
         "node", "parent", "length", "depth", *KEYS, "rate",
         *[F.when(F.col("state") == s, 1.0).otherwise(0.0).alias(x) for s, x in zip(states, xs, strict=True)],
         *ps, F.lit(0.0).alias("scale"),
     )
-    depth = max_depth(nodes)
     level = leaf.filter(F.col("depth") == depth)
     for d in range(depth - 1, -1, -1):
         stay = F.exp(-F.col("rate") * F.col("length"))
@@ -63,8 +68,12 @@ def site_loglik_levels(cells: DataFrame, nodes: DataFrame, models: DataFrame, st
             "node", *KEYS, "rate", *ps, (F.col("scale") + F.col("_top")).alias("scale"),
             *[F.exp(F.col(x) - shift).alias(x) for x in xs],
         )
-        up = tree.filter((F.col("depth") == d) & F.col("taxon").isNull()).drop("taxon").join(rescaled, "node")
-        level = up.unionByName(leaf.filter(F.col("depth") == d))
+        here = tree.filter((F.col("depth") == d) & F.col("taxon").isNull()).drop("taxon")
+        if d in levels and levels[d].inner <= messages.NODES_AT_ONCE:
+            here = F.broadcast(here)
+        level = rescaled.join(here, "node")
+        if d in levels and levels[d].leaves:
+            level = level.unionByName(leaf.filter(F.col("depth") == d))
         if (depth - d) % LEVELS_PER_CUT == 0:
             level = durable(level)
     root = sum((F.col(p) * F.col(x) for p, x in zip(ps[1:], xs[1:], strict=True)), F.col(ps[0]) * F.col(xs[0]))
