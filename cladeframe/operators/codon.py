@@ -21,21 +21,23 @@ def codons(cells: DataFrame, code: str = "universal", n_sites: int | None = None
     if n_sites is not None and n_sites % 3:
         raise ValueError(f"{n_sites} sites is not a multiple of 3")
     place = F.col("site") % 3
-    bases = [F.max(F.when(place == i, F.col("state"))).alias(f"_p{i + 1}") for i in range(3)]
+    # the codes of letters, not the letters: numbers are aggregated by hash, text would be sorted
+    letter = F.when((F.length("state") == 1) & (F.ascii("state") < 128), F.ascii("state"))
+    wrong = F.raise_error(F.concat(F.lit("not a letter of an alignment: "), F.col("state"))).cast("int")
+    number = F.when(F.col("state").isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(letter, wrong))
+    bases = [F.max(F.when(place == i, number)).alias(f"_p{i + 1}") for i in range(3)]
     return (
         cells.groupBy("taxon", F.floor(F.col("site") / 3).cast("int").alias("site"))
         .agg(*bases)
-        .select("taxon", "site", _codon(F.col("_p1"), F.col("_p2"), F.col("_p3"), code).alias("state"))
+        .select("taxon", "site", _codon(*[F.char(f"_p{i}") for i in (1, 2, 3)], code).alias("state"))
     )
 
 
 def triples_of_rows(seqs: DataFrame) -> DataFrame:
     """Wide sequences (taxon, seq ARRAY<STRING>) cut into triples (taxon, site, p1, p2, p3) without a shuffle."""
-    triples = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("seq") / 3).cast("int") - 1),
-        lambda i: F.struct(*[F.get(F.col("seq"), i * 3 + k).alias(f"p{k + 1}") for k in range(3)]),
-    )
-    return seqs.filter(F.size("seq") > 0).select("taxon", F.posexplode(triples).alias("site", "_t")).select("taxon", "site", "_t.*")
+    places = F.sequence(F.lit(0), F.ceil(F.size("seq") / 3).cast("int") - 1)
+    cut = seqs.filter(F.size("seq") > 0).select("taxon", "seq", F.explode(places).alias("site"))
+    return cut.select("taxon", "site", *[F.get("seq", F.col("site") * 3 + k).alias(f"p{k + 1}") for k in range(3)])
 
 
 def codons_of_rows(seqs: DataFrame, code: str = "universal") -> DataFrame:

@@ -21,6 +21,8 @@ ORDER_TAXA = [str(i) for i in range(8)]
 SIX_HOURS, FIVE_MINUTES, DAY = 21_600_000_000, 300_000_000, 86_400_000_000
 # Order keys per ranking bucket of line items.
 ORDER_BUCKET = 1 << 20
+# Tasks for each split of a text table whose rows unfold into cells.
+TASKS_PER_SPLIT = 8
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,19 +106,29 @@ def cells_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nuc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as nucleotide text: letter number mod 4 to A, C, G, T; other characters stay."""
+    return _nuc_text(documents(spark, sf_dir))
+
+
+def _nuc_text(docs: DataFrame) -> DataFrame:
     mapped = "".join("ACGT"[i % 4] for i in range(26))
     text = F.translate("text", "".join(LETTERS) + "".join(LETTERS).upper(), mapped + mapped)
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("taxon"), text.alias("text"))
+    return docs.select(F.col("doc_id").alias("taxon"), text.alias("text"))
 
 
 def nuc_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as wide rows of bases, null for anything else."""
-    bases = F.transform(F.split("text", ""), lambda c: F.when(c.isin("A", "C", "G", "T"), c))
-    return nuc_text(spark, sf_dir).select("taxon", bases.alias("seq"))
+    return _bases(nuc_text(spark, sf_dir))
+
+
+def _bases(text: DataFrame) -> DataFrame:
+    return text.select("taxon", F.transform(F.split("text", ""), lambda c: F.when(c.isin("A", "C", "G", "T"), c)).alias("seq"))
 
 
 def nuc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nuc_seqs(spark, sf_dir).select("taxon", F.posexplode("seq").alias("site", "state"))
+    """The cells of these rows. Rows are dealt by taxon before they unfold, so that groups of cells of a taxon need no shuffle."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_SPLIT * docs.rdd.getNumPartitions())
+    return _bases(_nuc_text(docs.repartition(tasks, "doc_id"))).select("taxon", F.posexplode("seq").alias("site", "state"))
 
 
 def event_trace(spark: SparkSession, sf_dir: str, run: str = "event_type") -> DataFrame:

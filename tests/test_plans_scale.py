@@ -34,3 +34,14 @@ def test_levels_deal_rows_by_site(spark, capsys, monkeypatch):
     assert ", 20), REPARTITION_BY_NUM" in capsys.readouterr().out
     want = {r.site: r.logl for r in lk.site_loglik(cells, nodes, models, list(DNA)).collect()}
     assert {r.site: round(r.logl, 9) for r in found.collect()} == {s: round(x, 9) for s, x in want.items()}
+
+
+def test_codons_are_hashed_where_rows_unfold(spark, tmp_path, capsys):
+    d = documents(spark, tmp_path, [(1, "abcdea"), (2, "a?c"), (3, None), (4, ""), (5, "ta")])
+    found = codon.codons(tables.nuc_cells(spark, d))
+    text = plan(found, capsys)
+    assert "SortAggregate" not in text and text.count("Exchange") == 1  # the documents, not the cells
+    got = {(r.taxon, r.site): r.state for r in found.collect()}
+    # letters number 0, 1, 2, ... are A, C, G, T, A, ...; a cell that is missing leaves no codon
+    assert got[1, 0] == "ACG" and got[2, 0] is None and got[5, 0] is None
+    assert got == {(r.taxon, r.site): r.state for r in codon.codons_of_rows(tables.nuc_seqs(spark, d)).collect()}
