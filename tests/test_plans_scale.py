@@ -45,3 +45,10 @@ def test_codons_are_hashed_where_rows_unfold(spark, tmp_path, capsys):
     # letters number 0, 1, 2, ... are A, C, G, T, A, ...; a cell that is missing leaves no codon
     assert got[1, 0] == "ACG" and got[2, 0] is None and got[5, 0] is None
     assert got == {(r.taxon, r.site): r.state for r in codon.codons_of_rows(tables.nuc_seqs(spark, d)).collect()}
+
+
+def test_triples_are_cut_by_columns(spark, capsys):
+    seqs = spark.createDataFrame([("a", list("ACGT")), ("b", []), ("c", None), ("d", ["A", None, "G"])], "taxon string, seq array<string>")
+    found = codon.triples_of_rows(seqs)
+    assert "lambdafunction" not in plan(found, capsys)
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", 0, "A", "C", "G"), ("a", 1, "T", None, None), ("d", 0, "A", None, "G")]
