@@ -178,9 +178,10 @@ def _doc_rows(spark, d):
     letters = F.translate(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", _NUC)
     docs = t.load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("aln"), letters.alias("s")).filter("s <> ''")
     n = F.ceil(F.length("s") / _WIDTH)
-    rows = docs.select("aln", "s", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("row"))
-    part = F.substring(F.col("s"), (F.col("row") * _WIDTH + 1).cast("int"), F.lit(_WIDTH))
-    return rows.select("aln", "n", "row", F.rpad(part, _WIDTH, "-").alias("seq"))
+    # one pass over a text, not one up to every row
+    pieces = F.regexp_extract_all("s", F.lit(f".{{1,{_WIDTH}}}"), F.lit(0))
+    rows = docs.select("aln", n.alias("n"), F.posexplode(pieces).alias("row", "part"))
+    return rows.select("aln", "n", F.col("row").cast("bigint").alias("row"), F.rpad("part", _WIDTH, "-").alias("seq"))
 
 
 def _lines(rows, head, body):

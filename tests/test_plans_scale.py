@@ -52,3 +52,15 @@ def test_triples_are_cut_by_columns(spark, capsys):
     found = codon.triples_of_rows(seqs)
     assert "lambdafunction" not in plan(found, capsys)
     assert sorted(map(tuple, found.collect()), key=str) == [("a", 0, "A", "C", "G"), ("a", 1, "T", None, None), ("d", 0, "A", None, "G")]
+
+
+def test_rows_of_a_text_are_cut_in_one_pass(spark, tmp_path, capsys):
+    d = documents(spark, tmp_path, [(1, "ab c" * 50), (2, "Z" * 60), (3, "?"), (4, None)])
+    rows = texts._doc_rows(spark, d)
+    assert "substring(" not in plan(rows.select("seq"), capsys)
+    got = {(r.aln, r.row): (r.n, r.seq) for r in rows.collect()}
+    letters = "ACG" * 50
+    assert got == {
+        ("1", 0): (3, letters[:60]), ("1", 1): (3, letters[60:120]), ("1", 2): (3, letters[120:].ljust(60, "-")), ("2", 0): (1, "C" * 60),
+    }
+    assert rows.schema["row"].dataType == rows.select(F.lit(0).cast("bigint")).schema[0].dataType
