@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions import gamma, student
+from cladeframe.functions import newick as nw
 from cladeframe.functions.logspace import log_moments
 from cladeframe.functions.ordered import order_statistics
 from cladeframe.operators import alignment, fit, likelihood, trace
@@ -108,3 +110,40 @@ def test_traces_with_other_headers(spark, tmp_path):
 def test_burn_in_below_minus_one(spark):
     with pytest.raises(ValueError, match="burn-in"):
         trace.align_traces(spark.createDataFrame([("r", 0, "p", 1.0)], "run string, iter bigint, param string, value double"), -2)
+
+
+def test_reroot_of_a_wide_tree():
+    n = 40_000
+    wide = nw.parse("(" + ",".join(f"(x{i}:1,y{i}:1):1" for i in range(n // 2)) + ",o:2);")
+    start = time.perf_counter()
+    root, rooted = nw.reroot(wide, {"o"})
+    assert time.perf_counter() - start < 5  # in steps of one set per node this took a minute
+    assert rooted and [c.taxon for c in root.children] == ["o", None] and len(root.children[1].children) == n // 2
+
+
+def test_reroot_finds_the_branch_of_the_sets():
+    import random
+
+    rnd = random.Random(7)
+    for _ in range(300):
+        parts = [f"{rnd.choice('abcdefgh')}:{rnd.randint(1, 9)}" if rnd.random() < 0.95 else "" for _ in range(rnd.randint(2, 8))]
+        while len(parts) > 3:
+            k = rnd.randint(1, 3)
+            rnd.shuffle(parts)
+            parts = [f"({','.join(parts[:k])}):{rnd.randint(1, 9)}", *parts[k:]]
+        group = set(rnd.sample("abcdefgh", rnd.randint(1, 3)))
+        text = f"({','.join(parts)});"
+        tree = nw.unroot(nw.parse(text))
+        sets, listed = nw.leaf_sets(tree), [n for n, _, _ in tree.walk()]
+        everyone = sets[id(tree)]
+        target = group & everyone
+        spot = None
+        if target and target != everyone:
+            spot = next((n for n in listed[1:] if sets[id(n)] in (target, everyone - target)), None)
+        root, rooted = nw.reroot(nw.parse(text), group)
+        assert rooted == (spot is not None)
+        if spot is None:
+            assert nw.render(root) == nw.render(tree)
+        else:
+            first = nw.leaf_sets(root)[id(root.children[0])]
+            assert len(root.children) == 2 and first == sets[id(spot)]
