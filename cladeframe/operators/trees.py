@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,32 +31,50 @@ def _run_type(trees: DataFrame) -> str:
 def tree_nodes(trees: DataFrame) -> DataFrame:
     """Node table of every tree; nodes are numbered in preorder, ``last_node`` ends the subtree."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = (pdf.iloc[a : a + 1024] for pdf in batches for a in range(0, len(pdf), 1024))
-        for pdf in pieces:  # a bounded number of nodes at a time
-            rows = []
-            for run, it, text in zip(pdf["run"], pdf["iter"], pdf["newick"], strict=True):
-                listed = list(nw.parse(text).walk())
-                number = {id(n): i for i, (n, _, _) in enumerate(listed)}
-                last = {id(n): i for i, (n, _, _) in enumerate(listed)}
-                for node, up, _ in reversed(listed):
-                    if up is not None:
-                        last[id(up)] = max(last[id(up)], last[id(node)])
-                place = {id(c): k for n, _, _ in listed for k, c in enumerate(n.children)}
-                for node, up, depth in listed:
-                    rows.append((
-                        run, it, number[id(node)], None if up is None else number[id(up)], node.taxon,
-                        node.length, node.support, depth, place.get(id(node), 0), last[id(node)],
-                    ))
-            names = ["run", "iter", *[c.split()[0] for c in NODE_COLUMNS.split(", ")]]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"parent": "Int64", "length": "float64", "support": "float64"})
-
-    return trees.select("run", "iter", "newick").mapInPandas(
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):  # a bounded number of nodes at a time
+                yield _node_rows(batch.slice(a, 1024))
+
+    return trees.select("run", F.col("iter").cast("bigint").alias("iter"), "newick").mapInArrow(
         explode, f"run {_run_type(trees)}, iter bigint, {NODE_COLUMNS}"
     )
 
 
+def _node_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    owner: list[int] = []
+    number: list[int] = []
+    parent: list[int | None] = []
+    nodes: list[nw.Node] = []
+    depth: list[int] = []
+    place: list[int] = []
+    last: list[int] = []
+    for row, text in enumerate(batch.column("newick").to_pylist()):
+        listed, up, depths = nw.preorder(nw.parse(text))
+        n = len(listed)
+        seen, places, ends = [0] * n, [0] * n, list(range(n))
+        for i in range(1, n):
+            places[i] = seen[up[i]]
+            seen[up[i]] += 1
+        for i in range(n - 1, 0, -1):
+            if ends[i] > ends[up[i]]:
+                ends[up[i]] = ends[i]
+        owner += [row] * n
+        number += range(n)
+        parent.append(None)
+        parent += up[1:]
+        nodes += listed
+        depth += depths
+        place += places
+        last += ends
+    rows = pa.array(owner, pa.int64())
+    whole = [pa.array(x, pa.int32()) for x in (number, parent, depth, place, last)]
+    taxon = pa.array([x.taxon for x in nodes], pa.string())
+    length, support = (pa.array([getattr(x, c) for x in nodes], pa.float64(), from_pandas=True) for c in ("length", "support"))
+    columns = [batch.column("run").take(rows), batch.column("iter").take(rows), *whole[:2], taxon, length, support, *whole[2:]]
+    return pa.RecordBatch.from_arrays(columns, ["run", "iter", *[c.split()[0] for c in NODE_COLUMNS.split(", ")]])
+
+
 def tree_splits(trees: DataFrame, with_support: bool = False, rooted: bool = False, count_trees: bool = False) -> DataFrame:
     """Splits of every tree with their taxa, leaves included: (run, iter, split, length).
 
