@@ -110,17 +110,21 @@ def order_statistics(
 
     A rank is a zero-based index written over the column ``n`` (the group size).
     Equal values are counted first. Approximate quantiles of a group's distinct
-    values cut it into buckets of about equal size, wherever its outliers lie; the
+    values, sought by halves, cut it into buckets of about equal size, wherever its outliers lie; the
     bucket of each rank is found, and only the values of that bucket are sorted.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     shares = [i / n_buckets for i in range(1, n_buckets)]
     spans = counts.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), F.array_distinct(F.percentile_approx(value, shares, 20 * n_buckets)).alias("_cuts")
+        F.sum("_c").alias("n"), F.array_sort(F.array_distinct(F.percentile_approx(value, shares, 20 * n_buckets))).alias("_cuts")
     )
-    slot = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = counts.join(spans, keys).withColumn("_b", slot).drop("_cuts")
+    # the cuts below a value, halved again and again: a key's rows may lie in one task
+    placed = counts.join(spans, keys).withColumn("_b", F.lit(0))
+    for step in (1 << i for i in reversed(range((n_buckets - 1).bit_length()))):
+        below = F.coalesce(F.get("_cuts", F.col("_b") + (step - 1)) < F.col(value), F.lit(False))
+        placed = placed.withColumn("_b", F.when(below, F.col("_b") + step).otherwise(F.col("_b")))
+    placed = placed.drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(*[r.cast("bigint") for r in ranks.values()])
     buckets = (
