@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators.trace import credible_interval, trace_ci
+from cladeframe.session import durable
 
 DRAW = ["run", "iter"]
+#: States of a profile that become columns: one bit of a long each.
+STATES_AT_ONCE = 62
 
 
 def posterior_summary(draws: DataFrame, params: list[str], tail: float | None = None) -> DataFrame:
@@ -32,11 +35,34 @@ def site_profiles(alloc: DataFrame, profiles: DataFrame) -> DataFrame:
 def mean_site_profiles(alloc: DataFrame, profiles: DataFrame) -> DataFrame:
     """Posterior mean profile per site, averaged over all draws.
 
-    A state missing from a component's profile counts as zero there.
+    A state missing from a component's profile counts as zero there. Profiles become one
+    row per component with a column per state, so that a task sums one row per site; with
+    more than ``STATES_AT_ONCE`` states it sums a row per site and state.
     """
-    seen = alloc.groupBy("site").agg(F.count(F.lit(1)).alias("_n"))
-    sums = site_profiles(alloc, profiles).groupBy("site", "state").agg(F.sum("freq").alias("_s"))
-    return sums.join(seen, "site").select("site", "state", (F.col("_s") / F.col("_n")).alias("freq"))
+    profiles = durable(profiles.select(*DRAW, "comp", "state", "freq"))
+    states = [r.state for r in profiles.select("state").distinct().limit(STATES_AT_ONCE + 1).collect()]
+    if not 0 < len(states) <= STATES_AT_ONCE:
+        seen = alloc.groupBy("site").agg(F.count(F.lit(1)).alias("_n"))
+        sums = site_profiles(alloc, profiles).groupBy("site", "state").agg(F.sum("freq").alias("_s"))
+        return sums.join(seen, "site").select("site", "state", (F.col("_s") / F.col("_n")).alias("freq"))
+    kind = profiles.schema["state"].dataType
+    names = [F.lit(s).cast(kind) for s in states]
+    sums = [f"_s{i}" for i in range(len(states))]
+    own = [F.col("state").eqNullSafe(s) for s in names]
+    marks = [F.when(o, F.lit(1 << i).cast("bigint")) for i, o in enumerate(own)]  # which states there are
+    wide = profiles.groupBy(*DRAW, "comp").agg(
+        *[F.sum(F.when(o, F.col("freq"))).alias(c) for o, c in zip(own, sums, strict=True)],
+        F.bit_or(F.coalesce(*marks, F.lit(0).cast("bigint"))).alias("_has"),
+    )
+    by_site = alloc.join(wide, [*DRAW, "comp"], "left").filter(F.col("site").isNotNull()).groupBy("site").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_or("_has").alias("_has"), *[F.sum(c).alias(c) for c in sums]
+    )
+    listed = F.array(*[
+        F.struct(s.alias("state"), F.col(c).alias("sum"), (F.col("_has").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0).alias("has"))
+        for i, (s, c) in enumerate(zip(names, sums, strict=True))
+    ])
+    rows = by_site.select("site", "_n", F.explode(listed).alias("_p"))
+    return rows.filter("_p.has").select("site", "_p.state", (F.col("_p.sum") / F.col("_n")).alias("freq"))
 
 
 def normalised_exchangeabilities(rr: DataFrame) -> DataFrame:

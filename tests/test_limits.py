@@ -13,7 +13,7 @@ from cladeframe.functions import gamma, student
 from cladeframe.functions import newick as nw
 from cladeframe.functions.logspace import log_moments
 from cladeframe.functions.ordered import order_statistics
-from cladeframe.operators import alignment, fit, likelihood, trace
+from cladeframe.operators import alignment, fit, likelihood, posterior, trace
 from cladeframe.operators import trees as tt
 from cladeframe.sources import chains
 
@@ -159,3 +159,31 @@ def test_order_statistics_seek_the_bucket_by_halves(spark):
         assert (r.n, r.low, r.mid, r.high) == (len(v), v[int(len(v) * 0.05)], v[len(v) // 2], v[-1])
     # one look at all cuts per row took 8 microseconds, and a key's rows may lie in one task
     assert "filter(_cuts" not in found._jdf.queryExecution().toString()
+
+
+def profiles_by_hand(alloc, profiles):
+    n, sums = {}, {}
+    for run, it, site, comp in alloc:
+        if site is not None:
+            n[site] = n.get(site, 0) + 1
+            for r, i, c, state, freq in profiles:
+                if comp is not None and (r, i, c) == (run, it, comp):
+                    old = sums.get((site, state))
+                    sums[site, state] = old if freq is None else freq + (old or 0.0)
+    return {k: None if v is None else pytest.approx(v / n[k[0]]) for k, v in sums.items()}
+
+
+@pytest.mark.parametrize("n_states", [3, 62, 63])
+def test_site_profiles_sum_one_row_per_site(spark, n_states):
+    alloc = [("r", i, s if s < 9 else None, (s + i) % 4 if s != 3 or i else None) for i in range(3) for s in range(10)]
+    alloc += [alloc[0], ("r", 9, 2, 0), ("q", 0, 11, 7)]
+    profiles = [("r", i, c, f"s{k}", (k + c + i) / 10) for i in range(3) for c in range(3) for k in range(n_states - 1) if k != c]
+    profiles += [profiles[0], ("r", 1, 1, None, 0.5), ("r", 2, 0, None, None), ("r", 0, None, "s0", 1.0)]
+    made = posterior.mean_site_profiles(
+        spark.createDataFrame(alloc, "run string, iter int, site int, comp int"),
+        spark.createDataFrame(profiles, "run string, iter int, comp int, state string, freq double"),
+    )
+    got = [((r.site, r.state), r.freq) for r in made.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == profiles_by_hand(alloc, profiles)
+    groups = [x for x in made._jdf.queryExecution().toString().splitlines() if "Aggregate(keys=[site#" in x]
+    assert groups and (n_states > posterior.STATES_AT_ONCE or not any("state#" in x.split("functions=")[0] for x in groups))
