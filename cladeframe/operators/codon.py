@@ -35,8 +35,9 @@ def codons(cells: DataFrame, code: str = "universal", n_sites: int | None = None
 
 def triples_of_rows(seqs: DataFrame) -> DataFrame:
     """Wide sequences (taxon, seq ARRAY<STRING>) cut into triples (taxon, site, p1, p2, p3) without a shuffle."""
-    places = F.sequence(F.lit(0), F.ceil(F.size("seq") / 3).cast("int") - 1)
-    cut = seqs.filter(F.size("seq") > 0).select("taxon", "seq", F.explode(places).alias("site"))
+    # no filter: it would run below a shuffle of the rows, on a value that is made above it, and make it twice
+    places = F.when(F.size("seq") > 0, F.sequence(F.lit(0), F.ceil(F.size("seq") / 3).cast("int") - 1))
+    cut = seqs.select("taxon", "seq", F.explode(places).alias("site"))
     return cut.select("taxon", "site", *[F.get("seq", F.col("site") * 3 + k).alias(f"p{k + 1}") for k in range(3)])
 
 

@@ -64,3 +64,13 @@ def test_rows_of_a_text_are_cut_in_one_pass(spark, tmp_path, capsys):
         ("1", 0): (3, letters[:60]), ("1", 1): (3, letters[60:120]), ("1", 2): (3, letters[120:].ljust(60, "-")), ("2", 0): (1, "C" * 60),
     }
     assert rows.schema["row"].dataType == rows.select(F.lit(0).cast("bigint")).schema[0].dataType
+
+
+def test_rows_are_cut_above_the_shuffle_that_deals_them(spark, tmp_path, capsys):
+    rows = [(1, "abcdea"), (2, "a?c"), (3, None), (4, ""), (5, "ta"), (5, "ta")]
+    found = codon.codons_of_rows(tables.nuc_seqs(spark, documents(spark, tmp_path, rows)))
+    text = plan(found, capsys)
+    assert "RoundRobin" in text and "split(" not in text.split("RoundRobin")[1]
+    empty = [(4, 0, None)] if any(r.taxon == 4 for r in found.collect()) else []
+    want = [(1, 0, "ACG"), (1, 1, None), (2, 0, None), (5, 0, None), (5, 0, None), *empty]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
