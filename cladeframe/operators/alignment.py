@@ -40,9 +40,9 @@ def count_columns(state: Column, states: list[str]) -> list[Column]:
 
 def renumber(sites: DataFrame, name: str = "new_site") -> DataFrame:
     """Distinct ``site`` values with dense numbers from 0."""
-    return position_in_group(
-        sites.select("site").distinct(), [], ["site"], F.floor(F.col("site") / SITE_BUCKET), name
-    )
+    # read twice, and often found by a pass over all cells
+    named = durable(sites.select("site").distinct())
+    return position_in_group(named, [], ["site"], F.floor(F.col("site") / SITE_BUCKET), name)
 
 
 def encode_states(cells: DataFrame, alphabet: DataFrame, symbol: str = "symbol") -> DataFrame:

@@ -63,7 +63,9 @@ def translate(codon_cells: DataFrame, code: str = "universal") -> DataFrame:
 
 def drop_aa_constant_sites(codon_cells: DataFrame, code: str = "universal") -> DataFrame:
     """Delete codon columns whose translated state does not vary."""
-    varying = site_summary(translate(codon_cells, code)).filter(F.col("min_state") != F.col("max_state"))
+    # codes of the letters: numbers are aggregated by hash, text would be sorted
+    acids = translate(codon_cells, code).select("site", F.ascii("state").alias("state"))
+    varying = site_summary(acids).filter(F.col("min_state") != F.col("max_state"))
     return select_sites(codon_cells, varying)
 
 

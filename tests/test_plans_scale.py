@@ -74,3 +74,15 @@ def test_rows_are_cut_above_the_shuffle_that_deals_them(spark, tmp_path, capsys)
     empty = [(4, 0, None)] if any(r.taxon == 4 for r in found.collect()) else []
     want = [(1, 0, "ACG"), (1, 1, None), (2, 0, None), (5, 0, None), (5, 0, None), *empty]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_varying_codon_columns_are_found_in_one_pass(spark, tmp_path, capsys):
+    # site 0 varies, site 1 has two codons of one acid (GCA, GCC), site 2 one codon and a missing cell, site 3 is missing, site 4 varies
+    rows = [(1, "AAAGCAACG???AAA"), (2, "CCCGCCACG???CCC"), (3, "AAAGCA??????AAA"), (4, None)]
+    texts_ = spark.createDataFrame(rows, "taxon int, text string")
+    kept = codon.drop_aa_constant_sites(codon.codons_of_text(texts_))
+    assert "SortAggregate" not in plan(kept, capsys)
+    kept.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1  # the rows that stay; the columns are known by then
+    got = sorted((r.taxon, r.site, r.state) for r in kept.collect())
+    assert got == [(1, 0, "AAA"), (1, 1, "AAA"), (2, 0, "CCC"), (2, 1, "CCC"), (3, 0, "AAA"), (3, 1, "AAA")]
