@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _COUNTERS = 19  # bits of each of the two counter rows
 _SLICES = 32
+_ROWS = 512  # texts of a batch held as Python strings
 _FLUSH = 200_000  # prefix entries per block of a map task
 _BUCKET = 400_000  # prefix entries per bucket
 
@@ -106,16 +108,30 @@ def apart(one: np.ndarray, two: np.ndarray) -> int:
     return int(np.abs(one.astype(np.int64) - two.reshape(len(one), -1).sum(1)).sum())
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A bounded number of rows at a time with their texts: a batch of long texts is never all Python strings at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(a, _ROWS)
+            yield part, part.column("t").to_pylist()
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """Per row (k, n, c, seg): set size, class, part sizes; per task slices of its shingle counters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["k", "n", "c", "slice", "data"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         table = np.zeros((2, 1 << _COUNTERS), np.int64)
         some = False
-        for batch in batches:
+        for part, texts in sliced(batches):
             n, c, seg = [], [], []
-            for text in batch["t"]:
+            for text in texts:
                 h = shingler(text)
                 n.append(len(h))
                 c.append(fingerprint(h))
@@ -123,15 +139,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 for row, at in enumerate(counters(h)):
                     np.add.at(table[row], at, 1)
                 some |= len(h) > 0
-            yield pd.DataFrame({"k": batch["k"], "n": n, "c": c, "slice": -1, "data": seg})
+            yield rows(part.column("k").to_pylist(), n, c, [-1] * len(n), seg)
         if some:
             flat = table.reshape(_SLICES, -1)
             blobs = [zlib.compress(x.tobytes(), 1) for x in flat]
-            none = [None] * _SLICES
-            yield pd.DataFrame({"k": none, "n": 0, "c": 0, "slice": range(_SLICES), "data": blobs})
+            yield rows([None] * _SLICES, [0] * _SLICES, [0] * _SLICES, range(_SLICES), blobs)
+        release()
 
     schema = "k string, n bigint, c bigint, slice int, data binary"
-    made = docs.withColumn("k", F.col("k").cast("string")).mapInPandas(run, schema)
+    made = docs.withColumn("k", F.col("k").cast("string")).mapInArrow(run, schema)
     return made.withColumn("k", F.col("k").cast(id_type(docs, "k")))
 
 
@@ -160,22 +176,23 @@ def prefix_length(n: int, percent: int) -> int:
 def prefix_blocks(docs: DataFrame, words: int, percent: int, table, buckets: int) -> DataFrame:
     """Prefix entries (shingle, class, set size, position) as packed blocks of one bucket each."""
 
-    def packed(parts: list[tuple]) -> pd.DataFrame:
+    def packed(parts: list[tuple]) -> pa.RecordBatch:
         h, c, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
         bucket = ((h * _ODD) >> np.uint64(33)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         names = bucket[order][cut]
         columns = {x: [y.tobytes() for y in np.split(v[order], cut[1:])] for x, v in (("h", h), ("c", c), ("n", n), ("p", p))}
-        return pd.DataFrame({"bucket": names, **columns})
+        blobs = [pa.array(x, pa.binary()) for x in columns.values()]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *blobs], ["bucket", *columns])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), table.value
         parts: list[tuple] = []
         size = 0
         sent: set[int] = set()
-        for batch in batches:
-            for text in batch["t"]:
+        for _, texts in sliced(batches):
+            for text in texts:
                 h = shingler(text)
                 if not len(h):
                     continue
@@ -197,7 +214,7 @@ def prefix_blocks(docs: DataFrame, words: int, percent: int, table, buckets: int
         parts, sent = [], set()
         release()
 
-    return docs.select("t").mapInPandas(run, "bucket bigint, h binary, c binary, n binary, p binary")
+    return docs.select("t").mapInArrow(run, "bucket bigint, h binary, c binary, n binary, p binary")
 
 
 def needed(n, m, percent: int):
@@ -290,23 +307,24 @@ def class_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         wanted |= np.frombuffer(zlib.decompress(r["m"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         marked = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         sent: set[int] = set()
-        for batch in batches:
-            rows = []
-            for text in batch["t"]:
+        for _, texts in sliced(batches):
+            named, sets = [], []
+            for text in texts:
                 h = shingler(text)
                 if len(h):
                     c = fingerprint(h)
                     if c not in sent and marked[(c & (1 << 64) - 1) >> (64 - bits)]:
                         sent.add(c)
-                        rows.append((c, h.tobytes()))
-            yield pd.DataFrame(rows, columns=["c", "set"])
+                        named.append(c)
+                        sets.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(sets, pa.binary())], ["c", "set"])
         release()
 
-    found = docs.select("t").mapInPandas(run, "c bigint, set binary")
+    found = docs.select("t").mapInArrow(run, "c bigint, set binary")
     return found.groupBy("c").agg(F.first("set").alias("set"))
 
 

@@ -412,3 +412,21 @@ def test_double_vectors(spark):
     roots = least_reachable(range(len(rows)), links)
     count = Counter(i for pair in links for i in pair)
     assert got == {i: (count[i], roots[i]) for i in range(len(rows))}
+
+
+def test_jaccard_holds_a_bounded_number_of_texts(spark):
+    import pyarrow as pa
+
+    from cladeframe.llm import jaccard
+
+    batch = pa.RecordBatch.from_pydict({"t": [None if i % 7 == 0 else f"text {i}" for i in range(1300)]})
+    parts = [t for _, t in jaccard.sliced(iter([batch]))]
+    assert max(map(len, parts)) <= jaccard._ROWS and sum(parts, []) == batch.column("t").to_pylist()
+    # one batch of more texts than are held at once
+    rows = [(i, None if i % 9 == 0 else f"one two three four five six seven {i % 600}") for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    assert got == {i: (0, i) if t is None else (4, first[t]) for i, t in rows}
