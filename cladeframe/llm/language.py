@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,29 +241,31 @@ def identify_language(
     trees = learn(df, id_col, text_col, lang_col, docs_per_language, order) if trees is None else trees
     shared = df.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
-    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double,bits_per_byte:double>")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for part in parts:
-            texts = list(part)
-            fit = [t is not None and any(c.isalpha() for c in t) and bool(model.languages) for t in texts]
-            at = np.flatnonzero(fit)
-            pred = np.full(len(texts), "und", object)
-            score, rate = np.zeros(len(texts)), np.full(len(texts), np.nan)
-            if len(at):
-                parts, sizes = [], []
-                for lo in range(0, len(at), 256):  # never a whole batch of encoded texts at once
-                    raw = [texts[i].encode("utf-8", "replace") for i in at[lo : lo + 256]]
-                    parts.append(model.code_lengths(raw))
-                    sizes += [len(r) for r in raw]
-                bits = np.concatenate(parts)
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(len(at)), best]
-                pred[at] = np.array(model.languages, object)[best]
-                score[at] = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
-                rate[at] = least / np.array(sizes)
-            yield pd.DataFrame({"lang_pred": pred, "score": score, "bits_per_byte": rate})
-            del part, texts
+            preds, scores, rates = [np.zeros(0, object)], [np.zeros(0)], [np.zeros(0)]
+            for lo in range(0, len(part), 256):  # never a whole batch of texts as Python strings at once
+                texts = part.slice(lo, 256).to_pylist()
+                fit = [t is not None and any(c.isalpha() for c in t) and bool(model.languages) for t in texts]
+                at = np.flatnonzero(fit)
+                pred = np.full(len(texts), "und", object)
+                score, rate = np.zeros(len(texts)), np.full(len(texts), np.nan)
+                if len(at):
+                    raw = [texts[i].encode("utf-8", "replace") for i in at]
+                    bits = model.code_lengths(raw)
+                    best = bits.argmin(axis=1)
+                    least = bits[np.arange(len(at)), best]
+                    pred[at] = np.array(model.languages, object)[best]
+                    score[at] = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
+                    rate[at] = least / np.array([len(r) for r in raw])
+                preds.append(pred)
+                scores.append(score)
+                rates.append(rate)
+            columns = [pa.array(np.concatenate(preds), pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rates))]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "bits_per_byte"])
+            del part
             release()
 
     added = ["held_out", "lang_pred", "score", "bits_per_byte"]
