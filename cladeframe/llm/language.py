@@ -42,34 +42,42 @@ def grams(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 class KeyTable:
-    """Place of a key in a sorted array, -1 if absent; levels of hash slots take the clashes."""
+    """Place of a key in a sorted array, -1 if absent; levels of hash slots, each as large as its keys need, take the clashes."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 8))))
         self.levels: list[np.ndarray] = []
         left = np.arange(len(keys), dtype=np.int32)
         for mult in _MULTIPLIERS:
-            slot = self._slot(keys[left], mult)
-            table = np.full(1 << self.bits, -1, np.int32)
+            table = np.full(1 << max(10, int(np.ceil(np.log2(max(len(left), 1) * 8)))), -1, np.int32)
+            slot = self._slot(keys[left], mult, table)
             table[slot] = left
             self.levels.append(table)
             left = left[table[slot] != left]
             if not len(left):
                 break
         self.rest = left
+        self.used = self.levels[0] >= 0
 
-    def _slot(self, keys: np.ndarray, mult: np.uint64) -> np.ndarray:
-        return ((keys * mult) >> np.uint64(64 - self.bits)).astype(np.int64)
+    @staticmethod
+    def _slot(keys: np.ndarray, mult: np.uint64, table: np.ndarray) -> np.ndarray:
+        return ((keys * mult) >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(keys), -1, np.int32)
-        out = self.levels[0][self._slot(keys, _MULTIPLIERS[0])]
-        wrong = np.flatnonzero(self.keys[out] != keys)
-        out[wrong] = -1
+        out = self.levels[0][self._slot(keys, _MULTIPLIERS[0], self.levels[0])]
+        held = np.flatnonzero(out >= 0)  # a key whose slot is empty is absent
+        wrong = held[self.keys[out[held]] != keys[held]]
+        out[wrong] = self._deeper(keys[wrong])
+        return out
+
+    def _deeper(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys that have clashed with others."""
+        out, wrong = np.full(len(keys), -1, np.int32), np.arange(len(keys))
         for mult, table in zip(_MULTIPLIERS[1:], self.levels[1:], strict=False):
-            got = table[self._slot(keys[wrong], mult)]
+            got = table[self._slot(keys[wrong], mult, table)]
+            wrong, got = wrong[got >= 0], got[got >= 0]
             hit = self.keys[got] == keys[wrong]
             out[wrong[hit]] = got[hit]
             wrong = wrong[~hit]
@@ -80,6 +88,16 @@ class KeyTable:
             out[wrong[hit]] = self.rest[place[hit]]
         return out
 
+    def find_few(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of the keys that are present, and their places; for keys that are mostly absent."""
+        slot = self._slot(keys, _MULTIPLIERS[0], self.levels[0])
+        at = np.flatnonzero(self.used.take(slot))
+        out, known = self.levels[0][slot[at]], keys[at]
+        wrong = np.flatnonzero(self.keys[out] != known)
+        out[wrong] = self._deeper(known[wrong])
+        hit = out >= 0
+        return at[hit], out[hit]
+
 
 class ContextTrees:
     """Frozen statistics of all languages."""
@@ -268,6 +286,7 @@ def identify_language(
             del part
             release()
 
+    predict = predict.asNondeterministic()  # a filter on a prediction above must not make Spark predict twice, in two workers a task
     added = ["held_out", "lang_pred", "score", "bits_per_byte"]
     own = [c for c in df.columns if c not in added]
     rate = F.col("_said")["bits_per_byte"]

@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.ordered import position_in_group
 from cladeframe.llm.common import durable, id_type, release, tokenizer_path
-from cladeframe.llm.words import blocks, memory
+from cladeframe.llm.words import memory, slices
 
 #: One item of a pattern: length, pieces of it per window, offset of the first, rank of its first piece.
 Item = tuple[int, int, int, int]
@@ -31,27 +32,31 @@ def token_pieces(
 ) -> DataFrame:
     """Rows (k, start, length, ids_crc32, doc_tokens[, ids]): windows of every document's ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["k", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.list_(pa.int32())]
+    kind = pa.schema(list(zip(names, kinds, strict=True))[: 6 if with_ids else 5])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = memory(path, byte_level=False)
         for batch in batches:
-            keys, texts = batch["k"], list(batch["t"])
-            for lo, hi in blocks(texts):
+            for keys, texts in slices(batch):
                 rows: list[tuple] = []
-                for row, text_ids in enumerate(coder.encode(texts[lo:hi]), lo):
+                for key, text_ids in zip(keys, coder.encode(texts), strict=True):
                     ids = np.append(text_ids, np.uint32(end_id)).astype("<u4")
                     for a in range(0, len(ids), window):
                         part = ids[a : a + window]
-                        made = (row, a, len(part), zlib.crc32(part.tobytes()), len(ids))
+                        made = (key, a, len(part), zlib.crc32(part.tobytes()), len(ids))
                         rows.append((*made, part.astype(np.int32)) if with_ids else made)
-                names = ["k", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-                out = pd.DataFrame(rows, columns=names if with_ids else names[:-1])
-                yield out.assign(k=keys.take(out["k"]).to_numpy())
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+            del batch
+            release()
         release()
 
     schema = "k string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     if with_ids:
         schema += ", ids array<int>"
-    made = df.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    made = df.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
     return made.withColumn("k", F.col("k").cast(id_type(df, id_col)))
 
 

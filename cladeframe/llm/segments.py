@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import id_type, tokenizer_path
 from cladeframe.llm.language import KeyTable
-from cladeframe.llm.packing import blocks
+from cladeframe.llm.words import blocks
 
 _SPACE = "▁"
 _UNIT = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")

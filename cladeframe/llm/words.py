@@ -17,6 +17,8 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The only white space of ASCII; \x1c to \x1f are none to the tokenizers.
 _SPACE = np.zeros(256, bool)
@@ -73,6 +75,13 @@ def _hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.n
     return out[0], out[1]
 
 
+def _longer(x: np.ndarray) -> np.ndarray:
+    """Twice as long; what is not written yet takes no memory."""
+    out = np.zeros(2 * len(x), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class WordMemory:
     """Ids of texts; ``byte_level`` tells a byte-level pattern (white space belongs to the word behind
     it, marks behind a letter or digit are a part of their own) from a tokenizer that drops white space."""
@@ -150,11 +159,9 @@ class WordMemory:
     def _store(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         codes = self.count + np.arange(len(sizes))
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = _longer(self.flat)
         while self.count + len(sizes) > len(self.first):
-            self.first, self.size, self.again = (
-                np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.again)
-            )
+            self.first, self.size, self.again = map(_longer, (self.first, self.size, self.again))
         self.flat[self.used : self.used + len(ids)] = ids
         self.size[codes] = sizes
         self.first[codes] = self.used + np.cumsum(sizes) - sizes
@@ -282,3 +289,15 @@ def blocks(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+def slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[list, list]]:
+    """Keys and texts (columns k and t) of a batch by parts of about ``most`` characters: only a part is Python strings at once."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        done = ends[first - 1] if first else 0
+        last = min(int(np.searchsorted(ends, done + most)) + 1, batch.num_rows)
+        part = batch.slice(first, last - first)
+        yield part.column("k").to_pylist(), part.column("t").to_pylist()
+        first = last

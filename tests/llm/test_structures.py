@@ -368,6 +368,24 @@ def test_pipeline(spark, tables, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == kept[5].count()
 
 
+def test_a_filter_on_the_language_does_not_predict_twice(spark):
+    made = corpus_pipeline.language_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_packing_slices_hold_a_bounded_part_of_a_batch():
+    import pyarrow as pa
+
+    from cladeframe.llm import words
+
+    rows = [(str(i), None if i % 5 == 0 else "é" * (i % 9)) for i in range(300)] + [(None, "x" * 500)]
+    batch = pa.RecordBatch.from_pydict({"k": [k for k, _ in rows], "t": pa.array([t for _, t in rows], pa.string())})
+    parts = list(words.slices(batch, 40))
+    assert [(k, t) for keys, texts in parts for k, t in zip(keys, texts, strict=True)] == rows
+    assert [len(k) for k, _ in parts] == [b - a for a, b in words.blocks([t for _, t in rows], 40)]
+    assert list(words.slices(batch.slice(0, 0), 40)) == []
+
+
 def test_pipeline_edges(spark):
     rows = [
         (None, "the house and the dog and the cat", "en", "s", None), (None, "the house and the dog and the cat", "en", "s", None),
