@@ -20,20 +20,23 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import id_type, tokenizer_path
 from cladeframe.llm.language import KeyTable
-from cladeframe.llm.words import blocks
+from cladeframe.llm.words import slices
 
 _SPACE = "▁"
 _UNIT = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
 #: Siblings of steps whose path has a mass below e^-40 are not drawn: one of them is among the best with a chance of about 1e-16.
 _FLOOR = -40.0
+_WAY = np.dtype([("upto", np.float32), ("next", np.int32)])
 
 
 class Pieces:
@@ -64,6 +67,7 @@ class Pieces:
         told = {i: bytes([b]) for b, i in enumerate(self.byte) if i >= 0}
         told |= {i: p.replace(_SPACE, " ").encode() for p, (i, _) in self.weight.items()}
         self.bytes_of = [told.get(i) for i in range(n)]
+        self.spelling = pa.array(self.bytes_of, pa.binary())
 
     def units(self, text: str | None) -> list[str]:
         return _UNIT.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
@@ -72,6 +76,16 @@ class Pieces:
         """The text of ids; the space that encoding puts first goes."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decode_all(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[str]:
+        """The texts of ids from ``first`` up to ``last``: all ids are looked up at once."""
+        told = self.spelling.take(pa.array(flat))
+        if told.null_count:
+            raise ValueError("an id without a text")
+        _, place, raw = told.buffers()
+        place = np.frombuffer(place, np.int32) if place else np.zeros(1, np.int32)
+        raw = memoryview(raw) if raw else memoryview(b"")
+        return [str(raw[a:b], "utf-8", "replace")[1:] for a, b in zip(place[first].tolist(), place[last].tolist(), strict=True)]
+
 
 class _Column:
     """A growing array."""
@@ -84,7 +98,9 @@ class _Column:
         while self.n + len(values) > size:
             size *= 2
         if size > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(size - len(self.data), self.data.dtype)])
+            data = np.zeros(size, self.data.dtype)  # what is not written yet takes no memory
+            data[: self.n] = self.data[: self.n]
+            self.data = data
         self.data[self.n : self.n + len(values)] = values
         self.n += len(values)
 
@@ -109,6 +125,8 @@ class Lattices(dict):
 
     New units of a block are built together: pieces are found by the hashes of all
     substrings, and the masses of the ends of all units run back step by step.
+    Units are named by their bytes, with blanks for ``_SPACE``. An edge has a record for
+    the walk, ``way``: how far its draw goes and the first edge behind it (-1: the unit ends).
     """
 
     def __init__(self, pieces: Pieces, most_edges: int = 6_000_000):
@@ -127,37 +145,98 @@ class Lattices(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.new: list[str] = []
-        self.root, self.first, self.degree = _Column(np.int64), _Column(np.int64), _Column(np.int32)
-        self.upto, self.logp = _Column(np.float32), _Column(np.float64)
-        self.target, self.source, self.piece = _Column(np.int32), _Column(np.int32), _Column(np.int32)
+        if hasattr(self, "way"):
+            for column in self.columns:
+                column.n = 0
+        else:
+            self.root, self.again = _Column(np.int64), _Column(bool)
+            self.entry, self.first, self.degree = _Column(np.int64), _Column(np.int64), _Column(np.int32)
+            self.way, self.logp = _Column(np.uint64), _Column(np.float64)
+            self.target, self.source, self.piece = _Column(np.int32), _Column(np.int32), _Column(np.int32)
+            self.columns = [self.root, self.again, self.entry, self.first, self.degree, self.way, self.logp, self.target, self.source, self.piece]
         self.spelled: list[list[int]] = []  # byte pieces of characters outside the vocabulary
 
-    def __missing__(self, unit: str) -> int:
-        code = self[unit] = len(self)
-        self.new.append(unit)
-        return code
+    def _turn(self) -> None:
+        """Forget the units that were not met again, or all where the others fill half of the memory."""
+        kept = np.flatnonzero(self.again.data[: len(self)])
+        root, entry = self.root.data[kept], self.entry.data[kept]
+        nodes = np.append(self.root.data[1 : len(self)], self.first.n)[kept] - root
+        wide = np.append(self.entry.data[1 : len(self)], self.logp.n)[kept] - entry
+        if 2 * wide.sum() > self.most:
+            return self.reset()
+        units, spelled = list(compress(self, self.again.data[: len(self)].tolist())), self.spelled
+        node, edge = _ranges(root, nodes), _ranges(entry, wide)
+        by_edge = np.repeat(np.cumsum(nodes) - nodes - root, wide)
+        moved = np.cumsum(wide) - wide - entry
+        way = self.way.data[edge].view(_WAY)
+        way["next"] = np.where(way["next"] < 0, -1, way["next"] + np.repeat(moved, wide))
+        piece = self.piece.data[edge]
+        odd = np.flatnonzero(piece < 0)
+        held = {
+            "root": np.cumsum(nodes) - nodes, "again": np.zeros(len(kept), bool), "entry": np.cumsum(wide) - wide,
+            "first": self.first.data[node] + np.repeat(moved, nodes), "degree": self.degree.data[node], "way": way.view(np.uint64),
+            "logp": self.logp.data[edge], "target": self.target.data[edge] + by_edge, "source": self.source.data[edge] + by_edge,
+        }
+        self.reset()
+        self.spelled = [spelled[-1 - p] for p in piece[odd].tolist()]
+        piece[odd] = -1 - np.arange(len(odd))
+        for name, values in (held | {"piece": piece}).items():
+            getattr(self, name).add(values)
+        self.update(zip(units, range(len(units)), strict=True))
+
+    def _names(self, units: list[bytes]) -> np.ndarray:
+        """Codes of different units; new ones are learnt."""
+        known = list(map(self.get, units))
+        new = [u for u, code in zip(units, known, strict=True) if code is None]
+        if not new:
+            codes = np.array(known, np.int64)
+            self.again.data[codes] = True
+            return codes
+        codes = np.array([-1 if code is None else code for code in known], np.int64)
+        self.again.data[codes[codes >= 0]] = True
+        self.again.add(np.zeros(len(new), bool))
+        codes[codes < 0] = len(self) + np.arange(len(new))
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        raw = b"".join(new)
+        chars = np.frombuffer(raw.decode().replace(" ", _SPACE).encode("utf-32-le"), np.uint32)
+        begins = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80  # bytes that begin a character
+        ends = np.cumsum(begins)[np.cumsum([len(u) for u in new]) - 1]
+        sizes = np.diff(ends, prepend=0)
+        first = done = 0
+        while first < len(new):
+            last = min(int(np.searchsorted(ends, done + (1 << 17))) + 1, len(new))
+            self._learn(chars[done : ends[last - 1]], sizes[first:last])
+            first, done = last, int(ends[last - 1])
+        return codes
 
     def codes(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.logp.n > self.most:
-            self.reset()
-        out = [np.array(list(map(self.__getitem__, self.pieces.units(t))), np.int64) for t in texts]
-        for lo, hi in blocks(self.new, 1 << 17):
-            self._learn(self.new[lo:hi])
-        self.new = []
-        return out
-
-    def _learn(self, units: list[str]) -> None:
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32)
-        sizes = np.array([len(u) for u in units], np.int64)
+            self._turn()
+        raw = [b" " + t.replace(_SPACE, " ").encode("utf-8", "replace") if t else b"" for t in texts]
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
+        # the cuts of Pieces.units: a line break alone, else blanks and what follows them
+        space, line = data == 32, data == 10
+        begin = line.copy()
+        begin[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        begin[starts[starts < ends]] = True
+        first = np.flatnonzero(begin)
+        place = pa.py_buffer(np.append(first, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(first), [None, place, pa.py_buffer(joined)]).dictionary_encode()
+        names = self._names(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = names[coded.indices.to_numpy()]
+        cuts = np.searchsorted(first, np.stack([starts, ends]))
+        return [codes[a:b] for a, b in cuts.T.tolist()]
+
+    def _learn(self, chars: np.ndarray, sizes: np.ndarray) -> None:
         end = np.repeat(np.cumsum(sizes), sizes)
-        place = np.arange(len(chars))
-        left = end - place
+        left = end - np.arange(len(chars))
         edges = []
         for length, at, h in _hashes(chars, left, min(self.pieces.longest, int(sizes.max()))):
-            found = self.table.find(h)
-            hit = found >= 0
-            at, found = at[hit], found[hit]
+            hit, found = self.table.find_few(h)
+            at = at[hit]
             edges.append((at, at + length, self.piece_weight[found], self.piece_id[found]))
             if length == 1:
                 bare = np.ones(len(chars), bool)
@@ -170,23 +249,25 @@ class Lattices(dict):
                 edges.append((odd, odd + 1, weight, (-1 - first - np.arange(len(odd))).astype(np.int32)))
         source, target, gain, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
         # masses of the ends, all units at once by what is left behind a place
-        order = np.argsort(left[source] * len(chars) + source, kind="stable")
-        source, target, gain, piece = source[order], target[order], gain[order], piece[order]
+        order = np.argsort(source, kind="stable")
+        source, target, gain, piece = (x.take(order) for x in (source, target, gain, piece))
         beta = np.zeros(len(chars) + 1)
         behind = np.where(target == end[source], len(chars), target)  # the end of a unit has mass 1
         step = left[source]
+        order = np.argsort(step.astype(np.uint16) if sizes.max() < 1 << 16 else step, kind="stable")
+        step, place, reached, given = (x.take(order) for x in (step, source, behind, gain))
         cut = np.concatenate(([0], np.flatnonzero(np.diff(step)) + 1, [len(step)]))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            value = gain[a:b] + beta[behind[a:b]]
-            head = np.flatnonzero(np.diff(source[a:b], prepend=-1))
+            value = given[a:b] + beta[reached[a:b]]
+            head = np.flatnonzero(np.diff(place[a:b], prepend=-1))
             most = np.maximum.reduceat(value, head)
             wide = np.diff(np.append(head, b - a))
             total = np.add.reduceat(np.exp(value - np.repeat(most, wide)), head)
-            beta[source[a:b][head]] = most + np.log(total)
+            beta[place[a:b][head]] = most + np.log(total)
         gain = gain + beta[behind] - beta[source]
         chance = np.exp(gain)
         order = np.argsort(source + (1.0 - chance) * 0.999, kind="stable")  # by place, the likely edges first
-        source, target, gain, piece, chance = source[order], target[order], gain[order], piece[order], chance[order]
+        source, target, gain, piece, chance = (x.take(order) for x in (source, target, gain, piece, chance))
         head = np.flatnonzero(np.diff(source, prepend=-1))
         wide = np.diff(np.append(head, len(source)))
         run = np.cumsum(chance)
@@ -194,19 +275,23 @@ class Lattices(dict):
         upto[np.append(head[1:], len(source)) - 1] = 2.0
         # one more node behind every unit
         node, edge = self.first.n, self.logp.n
-        unit = np.repeat(np.arange(len(units)), sizes)
-        number = node + place + unit
-        ends = node + np.cumsum(sizes) + np.arange(len(units))
-        first = np.full(len(chars) + len(units), edge, np.int64)
-        degree = np.zeros(len(chars) + len(units), np.int32)
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        number = node + np.arange(len(chars)) + unit
+        ends = node + np.cumsum(sizes) + np.arange(len(sizes))
+        first = np.full(len(chars) + len(sizes), edge, np.int64)
+        degree = np.zeros(len(chars) + len(sizes), np.int32)
         first[number - node] = edge + head
         degree[number - node] = wide
-        self.root.add(ends - sizes)
         self.first.add(first)
         self.degree.add(degree)
-        self.upto.add(upto)
+        behind = target + unit[source]
+        way = np.empty(len(source), _WAY)
+        way["upto"], way["next"] = upto, np.where(degree[behind] > 0, first[behind], -1)
+        self.root.add(ends - sizes)
+        self.entry.add(first[ends - sizes - node])
+        self.way.add(way.view(np.uint64))
         self.logp.add(gain)
-        self.target.add(node + target + unit[source])
+        self.target.add(node + behind)
         self.source.add(number[source])
         self.piece.add(piece)
 
@@ -240,41 +325,61 @@ def shared_pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _unit_draws(seed: np.ndarray, *parts) -> np.ndarray:
-    """Numbers in (0, 1) from a seed per row and up to three counters."""
-    x = seed.astype(np.uint64)
-    for p, odd in zip(parts, _ODD, strict=False):
-        x = x + (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)) * odd
+def _mixed_draws(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64 bits each; ``x`` is used up."""
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
+
 
+def _counted(seed: np.ndarray, *parts) -> np.ndarray:
+    """Bits of a draw: a seed per row and up to three counters."""
+    x = seed.astype(np.uint64)
+    for p, odd in zip(parts, _ODD, strict=False):
+        x = x + (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)) * odd
+    return x
+
+
+def _unit_draws(seed: np.ndarray, *parts) -> np.ndarray:
+    """Numbers in (0, 1) from a seed per row and up to three counters."""
+    return _mixed_draws(_counted(seed, *parts))
 
-def _walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, sample: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sample every unit from its node to its end: edges in order, and how many each unit took."""
-    count = np.zeros(len(node), np.int64)
-    active = np.flatnonzero(lat.degree.data[node] > 0)
+
+def _walk(lat: Lattices, here: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sample every unit from its first edge (-1: it is at its end) to its end: edges in order, and how many each unit took.
+
+    ``bits`` count the seed, the sample and the place; the steps are counted here.
+    """
+    ways = lat.way.data
+    count = np.zeros(len(here), np.int64)
+    active = np.flatnonzero(here >= 0)
+    here, bits = here[active], bits[active]
     steps = []
-    here = node[active]
     while len(active):
-        u = _unit_draws(seed[active], sample, place[active], count[active])
-        edge = lat.first.data[here]
-        over = np.flatnonzero(u >= lat.upto.data[edge])
+        u = _mixed_draws(bits + np.uint64((len(steps) + 1) * int(_ODD[2]) % (1 << 64)))
+        edge = here
+        way = ways.take(edge)
+        over = np.flatnonzero(u >= way.view(_WAY)["upto"])
         while len(over):
             edge[over] += 1
-            over = over[u[over] >= lat.upto.data[edge[over]]]
+            way[over] = ways.take(edge[over])
+            over = over[u[over] >= way[over].view(_WAY)["upto"]]
         steps.append((active, edge))
         count[active] += 1
-        here = lat.target.data[edge]
-        more = lat.degree.data[here] > 0
-        active, here = active[more], here[more]
+        here = way.view(_WAY)["next"]
+        on = np.flatnonzero(here >= 0)
+        active, here, bits = active.take(on), here.take(on).astype(np.int64), bits.take(on)
     begin = np.cumsum(count) - count
     edges = np.zeros(int(count.sum()), np.int64)
     for step, (who, edge) in enumerate(steps):
-        edges[begin[who] + step] = edge
+        edges[begin.take(who) + step] = edge
     return edges, count
 
 
@@ -283,6 +388,19 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
+def _best(v: np.ndarray, lead: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` largest values, and of those equal to one, of every group that begins at ``lead``; all for large ``n``."""
+    if n > 8:
+        return np.arange(len(v))
+    wide = np.diff(np.append(lead, len(v)))
+    left, found = v.copy(), np.zeros(len(v), bool)
+    for _ in range(n):
+        top = np.flatnonzero(left == np.repeat(np.maximum.reduceat(left, lead), wide))
+        found[top] = True
+        left[top] = -np.inf
+    return np.flatnonzero(found)
+
+
 class Batch:
     """Gumbel top-k over a block of texts."""
 
@@ -290,7 +408,10 @@ class Batch:
         self.lat, self.seeds, self.k = lat, seeds, k
         self.units = np.array([len(c) for c in codes], np.int64)
         self.unit_first = np.cumsum(self.units) - self.units
-        self.code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        self.entry = lat.entry.data[code]
+        self.place = _ranges(np.zeros(len(codes), np.int64), self.units)
+        self.bits = np.repeat(seeds.astype(np.uint64), self.units) + (self.place.astype(np.uint64) + np.uint64(1)) * _ODD[1]
 
     def run(self) -> list[tuple[np.ndarray, ...]]:
         """Per sample: texts that have it, values, edges with their starts and counts by text, log masses."""
@@ -307,52 +428,49 @@ class Batch:
                 break
             # fresh part: the rest of the unit of the branch, and all units behind it
             left = self.units[docs] - unit
-            place = _ranges(unit, left)
-            who = np.repeat(np.arange(len(docs)), left)
-            start = lat.root.data[self.code[self.unit_first[docs][who] + place]]
             begins = np.cumsum(left) - left
+            part = _ranges(self.unit_first[docs] + unit, left)
+            start = self.entry.take(part)
             mid = (node >= 0) & (left > 0)
-            start[begins[mid]] = node[mid]
-            tail, took = _walk(lat, start, self.seeds[docs][who], sample, place)
-            tail_count = np.bincount(who, took, len(docs)).astype(np.int64) if len(who) else np.zeros(len(docs), np.int64)
+            start[begins[mid]] = np.where(lat.degree.data[node[mid]] > 0, lat.first.data[node[mid]], -1)
+            tail, took = _walk(lat, start, self.bits.take(part) + np.uint64((sample + 1) * int(_ODD[0]) % (1 << 64)))
+            ends = np.concatenate(([0], np.cumsum(took)))
+            tail_count = ends[begins + left] - ends[begins]
             count = head_count + tail_count
             first = np.cumsum(count) - count
-            edges = np.zeros(int(count.sum()), np.int64)
-            edges[_ranges(first, head_count)] = head
-            edges[_ranges(first + head_count, tail_count)] = tail
-            sums = np.concatenate(([0.0], np.cumsum(lat.logp.data[edges])))
+            edges = tail
+            if len(head):
+                edges = np.empty(len(head) + len(tail), np.int64)
+                old = np.repeat(np.tile([True, False], len(docs)), np.stack([head_count, tail_count], 1).ravel())
+                edges[old] = head
+                edges[~old] = tail
+            sums = np.concatenate(([0.0], np.cumsum(lat.logp.data.take(edges))))
             out.append((docs, value, edges, first, count, sums[first + count] - sums[first]))
             # siblings of the fresh steps, as far as their mass counts
-            window = 256
-            while True:
-                most = np.minimum(count, head_count + window)
-                part = _ranges(first, most)
-                owner = np.repeat(np.arange(len(docs)), most)
-                step = part - first[owner]
-                before = sums[part] - sums[first][owner]
-                if not ((most < count) & (sums[first + most] - sums[first] > _FLOOR)).any():
-                    break
-                window *= 4
+            begin = first + head_count
+            stop = np.minimum(np.searchsorted(-sums, -sums[first] - _FLOOR) + 1, first + count)  # the sums fall
+            most = np.maximum(stop - begin, 0)
+            part = _ranges(begin, most)
+            owner = np.repeat(np.arange(len(docs)), most)
+            step = part - first[owner]
+            before = sums[part] - sums[first][owner]
             source = lat.source.data[edges[part]]
-            wide = np.flatnonzero((step >= head_count[owner]) & (before > _FLOOR) & (lat.degree.data[source] > 1))
+            wide = np.flatnonzero((before > _FLOOR) & (lat.degree.data[source] > 1))
             degree = lat.degree.data[source[wide]].astype(np.int64)
             other = _ranges(lat.first.data[source[wide]], degree)
             at = np.repeat(wide, degree)
             nth = _ranges(np.zeros(len(wide), np.int64), degree)
-            keep = other != edges[part[at]]
-            other, at, nth = other[keep], at[keep], nth[keep]
+            keep = np.flatnonzero(other != edges[part[at]])
+            other, at, nth = other.take(keep), at.take(keep), nth.take(keep)
             mass = before[at] + lat.logp.data[other]
             u = _unit_draws(self.seeds[docs][owner[at]], (1 << 41) + sample, step[at], nth)
             bound = value[owner[at]]
             v = mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) - np.log(u))
             v, who = np.minimum(v, bound), owner[at]
             lead = np.flatnonzero(np.diff(who, prepend=-1))
-            if len(lead):  # only the best of each text are sorted; a text with few keeps all
-                top = np.full(len(docs), np.inf)
-                top[who[lead]] = np.maximum.reduceat(v, lead)
-                near = v > top[who] - 20.0
-                near |= np.bincount(who, near, len(docs))[who] <= self.k
-                v, who, at, nth, other, mass = (x[near] for x in (v, who, at, nth, other, mass))
+            if len(lead):  # only the best of each text are sorted
+                near = _best(v, lead, self.k - sample)
+                v, who, at, nth, other, mass = (x.take(near) for x in (v, who, at, nth, other, mass))
             fresh = {"doc": docs[who], "v": v, "phi": mass, "sample": np.full(len(at), sample), "step": step[at], "edge": other}
             pool = {x: np.concatenate([pool[x], fresh[x]]) for x in pool}
             order = np.lexsort((-pool["v"], pool["doc"]))
@@ -414,17 +532,21 @@ def sample_segmentations(
     """
     path = model or tokenizer_path("piece_bpe_32k.model")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [("k", pa.string()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())]
+    fields += [(x, pa.float64()) for x in ("log_prob", "perturbed", "log_inclusion")]
+    fields += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded_sha256", pa.string())] * with_digest
+    kind = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = shared_lattices(path, sharpness)
         for batch in batches:
-            keys, texts = batch["k"], list(batch["t"])
-            for lo, hi in blocks(texts, 1 << 20):
+            for keys, texts in slices(batch, 1 << 20):
                 seeds = np.array(
-                    [int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode("utf-8", "replace"), digest_size=8).digest(), "little") for x in keys[lo:hi]],
+                    [int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode("utf-8", "replace"), digest_size=8).digest(), "little") for x in keys],
                     np.uint64,
                 )
-                made = Batch(lat, lat.codes(texts[lo:hi]), seeds, k)
-                frames = []
+                names = pa.array(keys, pa.string())
+                made = Batch(lat, lat.codes(texts), seeds, k)
                 for sample, (docs, value, edges, first, count, phi) in enumerate(made.run()):
                     flat, lengths = lat.ids(edges)
                     ends = np.concatenate(([0], np.cumsum(lengths)))
@@ -433,23 +555,19 @@ def sample_segmentations(
                     gap = np.minimum(phi - kappa, 700.0)
                     small = np.exp(np.minimum(gap, 0.0)) < 1e-8
                     inclusion = np.where(small, gap, np.log(-np.expm1(-np.exp(np.where(small, 0.0, gap)))))
-                    frame = {
-                        "k": keys.iloc[lo + docs].to_numpy(), "sample": sample, "n_pieces": b - a,
-                        "ids_crc32": [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(a, b, strict=True)],
-                        "log_prob": phi, "perturbed": value, "log_inclusion": inclusion,
-                    }
-                    if with_ids:
-                        frame["ids"] = [flat[x:y] for x, y in zip(a, b, strict=True)]
+                    plain = flat.astype("<u4")
+                    crc = [zlib.crc32(plain[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    columns = [names.take(pa.array(docs)), np.full(len(docs), sample, np.int32), b - a, np.array(crc, np.int64), phi, value, inclusion]
+                    if with_ids:  # the texts' ids stand one after another
+                        columns.append(pa.ListArray.from_arrays(np.append(a, len(flat)).astype(np.int32), flat))
                     if with_digest:
-                        told = (lat.pieces.decode(flat[x:y].tolist()) for x, y in zip(a, b, strict=True))
-                        frame["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in told]
-                    frames.append(pd.DataFrame(frame))
-                yield pd.concat(frames)
+                        columns.append([hashlib.sha256(x.encode()).hexdigest() for x in lat.pieces.decode_all(flat, a, b)])
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, kind, strict=True)], schema=kind)
 
     schema = "k string, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, perturbed double, log_inclusion double"
     schema += (", ids array<int>" if with_ids else "") + (", decoded_sha256 string" if with_digest else "")
     narrow = df.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
-    out = narrow.mapInPandas(run, schema)
+    out = narrow.mapInArrow(run, schema)
     return out.withColumn("k", F.col("k").cast(id_type(df, id_col))).withColumnRenamed("k", id_col)
 
 

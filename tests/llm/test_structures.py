@@ -230,6 +230,28 @@ def test_samples_have_the_right_chances(pieces):
                 assert abs(pairs[a, b] / n - want) < 5 * np.sqrt(want / n) + 1e-3
 
 
+def test_lattices_turn_and_keep_what_is_met_again(pieces):
+    texts = ["the cat sat\n\n  on the ▁ mat", None, "", " ", "\n a", "é 梦 the \x00", *(f"the cat {i} ab{i * 7919}x" for i in range(40))]
+    cut = segments.Lattices(pieces)
+    for t, codes in zip(texts, cut.codes(texts), strict=True):
+        units, names = pieces.units(t), list(cut)
+        assert [names[c].decode().replace(" ", "▁") for c in codes] == units
+    seeds = np.arange(1, 4, dtype=np.uint64)
+    small, kept = segments.Lattices(pieces, most_edges=400), 0
+    for a in range(0, len(texts), 3):
+        part, got = texts[a : a + 3], []
+        size = len(small)
+        for lat in (small, segments.Lattices(pieces)):
+            codes = lat.codes(part)
+            kept += lat is small and size > len(small) > len(set(np.concatenate(codes).tolist()))
+            ids = [(d.tolist(), f.tolist(), c.tolist(), lat.ids(e)[0].tolist()) for d, _, e, f, c, _ in segments.Batch(lat, codes, seeds[: len(part)], 2).run()]
+            got.append(ids)
+            told = lat.ids(segments.Batch(lat, codes, seeds[: len(part)], 1).run()[0][2])[0]
+            assert pieces.decode_all(told, np.array([0]), np.array([len(told)])) == [pieces.decode(told.tolist())]
+        assert got[0] == got[1]
+    assert kept > 0
+
+
 def test_segmentations_round_trip(spark, tables):
     docs = tables("documents", "doc_id, text")
     rows = [(i, t, 3) for i, t in docs] + [(-1, None, 1), (-2, "", 1), (-3, "  two  spaces\n\n é 梦 \t\x00", 1), (None, "x" * 3000, 1), (-4, "q", 1)]
