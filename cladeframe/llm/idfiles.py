@@ -34,105 +34,243 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import id_type, release, shared_folder, tokenizer_path
 from cladeframe.llm.words import blocks, memory
 
-MAGIC = b"CXB1"
+MAGIC = b"CXB2"
 _HEAD = struct.Struct("<4sQIII")  # magic, ids, ids a block, distinct ids, blocks
-_STEP = 24  # what one occurrence adds to a count
 _U64 = np.uint64
-_WORD = _U64(32)
-_LOW = _U64(0xFFFFFFFF)
-_TOP = _U64(1 << 32)
+#: A coder puts out words of 20 bits; its range lies between 2^40 and 2^60 after every step.
+_WORD = _U64(20)
+_TWO = _U64(40)
+_SMALL = _U64(1 << 40)
+_CARRY = np.uint32(1 << 20)
 
 #: A probability of 12 bits on the logistic scale (256 = 1), and back to 16 bits.
-_STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int32)
+_STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int16)
 _SQUASH = np.array([min(65_000, max(32, round(65536 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)], np.int32)
-#: What a count row gains by its symbol: counts are kept as running sums.
-_GAIN = (np.arange(16) >= np.arange(16)[:, None]).astype(np.uint16) * np.uint16(_STEP)
-
 
-def _classes(distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class, sixteenth, flat rest and bits of the rest by number.
+#: By support + 16 where the id was as seen: what is added to an entry, and all bits where the id takes its place.
+_TURN = np.array([-(s - (s >> 1)) for s in range(16)] + [s < 15 for s in range(16)], np.int64).astype(np.uint32)
+_SHAKEN = np.where(np.arange(32) < 2, 0xFFFFFFFF, 0).astype(np.uint32)
 
-    Numbers beyond 16 bits share their lowest bits flat.
-    """
-    spare = max(0, (max(distinct, 1) - 1).bit_length() - 16)
-    number = np.arange(max(distinct, 1))
-    high = number >> spare
-    kind = np.maximum(np.frexp(np.maximum(high, 1).astype(np.float64))[1] - 1, 0)
-    offset = np.where(kind > 0, high - (1 << kind), high)
-    flat = np.maximum(kind - 4, 0)
-    rest = ((offset & ((1 << flat) - 1)) << spare) | (number & ((1 << spare) - 1))
-    return kind.astype(np.int64), offset >> flat, rest.astype(_U64), (flat + spare).astype(_U64)
+#: Four running sums of 16 bits in one value: what an occurrence adds to the sums (shifted by its
+#: field, to those from its own on), sums of equal counts, and the highest bits.
+_STEP = 24  # what one occurrence adds to a count
+_FIELD = _U64(16)
+_MASK = _U64(0xFFFF)
+_LAST = _U64(48)
+_BITS = _U64(4)
+_THREE = _U64(3)
+_GAIN = _U64(sum(_STEP << 16 * i for i in range(4)))
+_EQUAL = sum((i + 1) << 16 * i for i in range(4))
+_ONES = _U64(0x0001_0001_0001_0001)
+_HIGH = _U64(0x8000_8000_8000_8000)
 
 
-class _Counts:
-    """Rows of 16 running sums, one row a context; a row is read and written as one value."""
+def _spare(distinct: int) -> int:
+    """Lowest bits of a number that are coded flat, as a number has 16 other bits at most."""
+    return max(0, (max(distinct, 1) - 1).bit_length() - 16)
 
-    def __init__(self, rows: int):
-        self.sums = np.tile(np.arange(1, 17, dtype=np.uint16) * np.uint16(8), (rows, 1))
-        self.whole = self.sums.view("V32").ravel()
 
-    def get(self, rows: np.ndarray) -> np.ndarray:
-        return self.sums.take(rows, axis=0)
+def _classes(distinct: int) -> np.ndarray:
+    """Class (high four bits) and sixteenth of the class (low four) by number."""
+    high = np.arange(max(distinct, 1)) >> _spare(distinct)
+    kind = np.maximum(np.frexp(np.maximum(high, 1).astype(np.float64))[1] - 1, 0)
+    offset = np.where(kind > 0, high - (1 << kind), high)
+    return (kind << 4 | offset >> np.maximum(kind - 4, 0)).astype(np.uint8)
 
-    def bounds(self, sums: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sums before and with the symbol."""
-        at = np.arange(0, 16 * len(sums), 16) + symbol
-        flat = sums.ravel()
-        return np.where(symbol > 0, flat.take(at - 1), 0).astype(_U64), flat.take(at).astype(_U64)
 
-    def count(self, rows: np.ndarray, sums: np.ndarray, symbol: np.ndarray) -> None:
-        self.whole[rows] = (sums + _GAIN.take(symbol, axis=0)).view("V32").ravel()
+class _Counts:
+    """Counts of 256 symbols a lane, class and sixteenth in one: a tree of four levels, every node
+    the running sums of its four branches in one value. A sum stays below 2^15."""
+
+    def __init__(self, lanes: int, start: int = 4):
+        self.levels = [np.full(lanes * many, _EQUAL * (start * 64 // many), _U64) for many in (1, 4, 16, 64)]
+
+    def encode(self, at: np.ndarray, symbol: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the symbols of the lanes add to the lower ends of the ranges, and the new ranges."""
+        symbol = symbol.astype(_U64)
+        below = unit = share = None
+        for down, sums in zip((6, 4, 2, 0), self.levels, strict=True):
+            which = symbol >> _U64(down)
+            which &= _THREE
+            own = sums.take(at)
+            field = which << _BITS
+            before = own << _FIELD
+            before >>= field
+            before &= _MASK
+            if below is None:
+                unit, below = width // (own >> _LAST), before
+            else:
+                below += before
+            if not down:
+                share = own >> field
+                share &= _MASK
+                share -= before
+            own += _GAIN << field
+            sums[at] = own
+            at = at << 2
+            at += which.view(np.int64)
+        below *= unit
+        share *= unit
+        return below, share
+
+    def decode(self, at: np.ndarray, code: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols, and the codes and ranges behind them."""
+        first = at
+        below = unit = share = wanted = None
+        for down, sums in zip((6, 4, 2, 0), self.levels, strict=True):
+            own = sums.take(at)
+            if below is None:
+                total = own >> _LAST
+                unit = width // total
+                total -= _U64(1)
+                wanted = np.minimum(code // unit, total)
+            more = wanted * _ONES
+            more |= _HIGH
+            more -= own
+            more &= _HIGH
+            which = np.bitwise_count(more).astype(_U64)  # how many of the sums are at most the wanted one
+            field = which << _BITS
+            before = own << _FIELD
+            before >>= field
+            before &= _MASK
+            if below is None:
+                below = before.copy()
+            else:
+                below += before
+            if down:
+                wanted -= before
+            else:
+                share = own >> field
+                share &= _MASK
+                share -= before
+            own += _GAIN << field
+            sums[at] = own
+            at = at << 2
+            at += which.view(np.int64)
+        below *= unit
+        share *= unit
+        return (at - (first << 8)).astype(np.uint8), code - below, share
 
 
 class _Lanes:
     """Models and coders of the blocks of a segment; lane = block."""
 
     def __init__(self, lanes: int, slots: int, distinct: int):
-        self.lane = np.arange(lanes)
         self.shift = np.uint32(32 - (slots.bit_length() - 1))
-        self.slot0 = np.arange(2 * lanes).reshape(2, lanes) * slots
+        self.slot0 = np.arange(2 * lanes) * slots
+        self.hashes = np.zeros(2 * lanes, np.uint32)
         self.seen = np.zeros(2 * lanes * slots, np.uint32)  # id << 4 | support, by context of order 1 and 2
-        self.before = [np.zeros(lanes, np.uint32) for _ in (1, 2)]
-        self.right0 = np.arange(3 * lanes).reshape(3, lanes) * 16
-        self.right = np.full(3 * lanes * 16, 1 << 12, np.int32)  # share of right predictions, by class or support
+        self.first = np.zeros(lanes, np.uint32)  # share of the last id in the hash of order 2
+        self.right0 = np.arange(3 * lanes) * 16
+        self.states = np.zeros(3 * lanes, np.uint8)  # class of the guess, support of order 1 and of order 2
+        self.right = np.full(3 * lanes * 16, 1 << 12, np.uint16)  # share of right predictions, by state
         self.weight = np.full((3, lanes), 22_000, np.int32)
-        self.kinds, self.parts = _Counts(lanes), _Counts(lanes * 16)
-        self.range = np.full(lanes, (1 << 64) - 1, _U64)
-        self.kind, self.part, self.rest, self.bits = _classes(distinct)
+        self.both = np.zeros(2 * lanes, np.uint32)  # the ids, for both orders
+        self.age = 0
+        self.counts = _Counts(lanes)
+        self.range = np.full(lanes, (1 << 60) - 1, _U64)
+        self.classes = _classes(distinct)
+        self.spare = _spare(distinct)
+        self.bits = np.array([max((s >> 4) - 4, 0) + self.spare for s in range(256)], _U64)  # the flat rest of a number, by symbol
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id and the chance (16 bits) that it is right."""
-        one, two = self.before
-        self.slots = self.slot0.copy()
-        with np.errstate(over="ignore"):
-            self.slots[0] += (one * np.uint32(2654435761)) >> self.shift
-            self.slots[1] += (one * np.uint32(2246822519) + two * np.uint32(3266489917)) >> self.shift
-        self.entries = self.seen.take(self.slots)
-        ids, support = self.entries >> 4, self.entries & 15
-        self.ids, self.support = ids, support
-        self.guess = np.where(support[1] > 0, ids[1], ids[0])
-        self.at = self.right0.copy()
-        self.at[0] += self.kind.take(self.guess)
-        self.at[1] += support[0] * (ids[0] == self.guess)
-        self.at[2] += support[1]
-        self.share = self.right.take(self.at)
-        self.stretched = _STRETCH.take(self.share >> 4)
-        w, x = self.weight, self.stretched
-        total = (w[0] * x[0] + w[1] * x[1] + w[2] * x[2]) >> 16
-        self.chance = _SQUASH.take(np.minimum(np.maximum(total, -2047), 2047) + 2047)
-        return self.guess, self.chance
+        lanes = len(self.first)
+        one = self.both[:lanes]
+        np.multiply(one, np.uint32(2654435761), out=self.hashes[:lanes])
+        np.add(one * np.uint32(2246822519), self.first, out=self.hashes[lanes:])
+        np.multiply(one, np.uint32(3266489917), out=self.first)
+        np.right_shift(self.hashes, self.shift, out=self.hashes)
+        self.slots = self.hashes.astype(np.int64)
+        self.slots += self.slot0
+        self.entries = entries = self.seen.take(self.slots)
+        self.ids = ids = entries >> np.uint32(4)
+        self.support = support = entries.astype(np.uint8) & np.uint8(15)
+        one, two = ids[:lanes], ids[lanes:]
+        guess = two - one
+        guess *= support[lanes:] > 0
+        guess += one
+        states = self.states
+        np.right_shift(self.classes.take(guess), np.uint8(4), out=states[:lanes])
+        np.multiply(support[:lanes], one == guess, out=states[lanes : 2 * lanes])
+        states[2 * lanes :] = support[lanes:]
+        self.at = states.astype(np.int64)
+        self.at += self.right0
+        share = self.right.take(self.at)
+        self.share = share.astype(np.int32)
+        self.stretched = _STRETCH.take(share >> np.uint16(4)).reshape(3, lanes)
+        x = self.weight * self.stretched
+        total = x[0] + x[1]
+        total += x[2]
+        total >>= 16
+        total += 2047
+        self.chance = _SQUASH.take(total, mode="clip")
+        return guess, self.chance
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        lanes = len(ids)
         truth = hit.astype(np.int32) << 16
-        self.right[self.at] = self.share + ((truth - self.share) >> 4)
-        self.weight += (self.stretched * ((truth - self.chance) >> 2)) >> 15
-        np.minimum(self.weight, 1 << 18, out=self.weight)
-        np.maximum(self.weight, -(1 << 18), out=self.weight)
-        entries, support = self.entries, self.support
-        known = (support > 0) & (self.ids == ids)
-        shaken = np.where(support <= 1, ids << 4 | 1, (entries ^ support) | (support >> 1))
-        self.seen[self.slots] = np.where(known, entries + (support < 15), shaken)
-        self.before = [ids, self.before[0]]
+        gap = truth - self.share.reshape(3, lanes)
+        gap >>= 4
+        self.right[self.at] = (self.share + gap.ravel()).astype(np.uint16)
+        truth -= self.chance
+        truth >>= 2
+        step = self.stretched * truth
+        step >>= 15
+        self.weight += step
+        self.age += 1
+        if not self.age % 32:  # a step moves a weight by less than 1 200
+            np.minimum(self.weight, 1 << 18, out=self.weight)
+            np.maximum(self.weight, -(1 << 18), out=self.weight)
+        both = self.both
+        both[:lanes] = both[lanes:] = ids
+        entries = self.entries
+        state = (self.ids == both).view(np.uint8) * np.uint8(16)
+        state |= self.support
+        state = state.astype(np.int64)
+        fresh = both << np.uint32(4)
+        fresh |= np.uint32(1)
+        entries += _TURN.take(state)  # one more support where the id is the same, else half of it
+        fresh ^= entries
+        fresh &= _SHAKEN.take(state)
+        entries ^= fresh
+        self.seen[self.slots] = entries
+
+
+def _steps(numbered: np.ndarray, lanes: int, size: int) -> np.ndarray:
+    """The numbers of all lanes by step; the last lane is filled up with zeros."""
+    padded = np.zeros(lanes * size, np.uint32)
+    padded[: len(numbered)] = numbered
+    return np.ascontiguousarray(padded.reshape(lanes, size).T)
+
+
+def _joined(words: list[np.ndarray], owner: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words a lane, and the words by lane; the highest bit of a word is added to the word before it."""
+    lane = np.concatenate(owner)
+    out = np.concatenate(words)[np.argsort(lane, kind="stable")]
+    over = np.flatnonzero(out >= _CARRY)
+    while len(over):
+        out[over] ^= _CARRY
+        over -= 1
+        out[over] += np.uint32(1)
+        over = over[out[over] >= _CARRY]
+    return np.bincount(lane, minlength=lanes), out
+
+
+def _bytes(words: np.ndarray) -> bytes:
+    """Words of 20 bits, five bytes a pair."""
+    even = np.append(words, np.zeros(len(words) % 2, np.uint32)).astype("<u8").reshape(-1, 2)
+    pairs = even[:, 0] << _WORD | even[:, 1]
+    return pairs.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _words(payload: bytes, at: int) -> np.ndarray:
+    """The words of ``_bytes``, and some zeros behind them."""
+    raw = np.frombuffer(payload, np.uint8, (len(payload) - at) // 5 * 5, at).reshape(-1, 5)
+    wide = np.zeros((len(raw) + 2, 8), np.uint8)
+    wide[:-2, :5] = raw
+    pairs = wide.view("<u8")
+    return np.concatenate([pairs >> _WORD, pairs & _U64((1 << 20) - 1)], 1).astype(np.uint32).ravel()
 
 
 def encode_block_ids(ids: np.ndarray) -> bytes:
@@ -158,72 +296,64 @@ def encode_block_ids(ids: np.ndarray) -> bytes:
     head = _HEAD.pack(MAGIC, n, size, len(alphabet), lanes) + alphabet.astype("<u4").tobytes()
     if not n:
         return head
-    padded = np.zeros(lanes * size, np.uint32)
-    padded[:n] = numbered
-    steps = np.ascontiguousarray(padded.reshape(lanes, size).T)
+    steps = _steps(numbered, lanes, size)
+    del numbered
     model = _Lanes(lanes, size, len(alphabet))
-    out = np.zeros((lanes, 2 * size + 4), np.uint32)
-    filled = np.zeros(lanes, np.int64)
+    lane = np.arange(lanes, dtype=np.uint16 if lanes < 1 << 16 else np.uint32)
+    words: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
     low, width = np.zeros(lanes, _U64), model.range
 
-    def add(rows: np.ndarray | slice, step: np.ndarray) -> None:
-        """Raise ``low``; an overflow goes into the words that were already put out."""
-        with np.errstate(over="ignore"):
-            raised = low[rows] + step
-        low[rows] = raised
-        over = raised < step
-        if over.any():
-            lane = np.flatnonzero(over) if isinstance(rows, slice) else rows[over]
-            at = filled[lane] - 1
-            while len(lane):
-                with np.errstate(over="ignore"):
-                    out[lane, at] += np.uint32(1)
-                on = out[lane, at] == 0
-                lane, at = lane[on], at[on] - 1
-
-    def code_count(counts: _Counts, rows: np.ndarray, symbol: np.ndarray, lanes: np.ndarray) -> None:
-        sums = counts.get(rows)
-        lower, high = counts.bounds(sums, symbol)
-        unit = width.take(lanes) // sums[:, 15]
-        add(lanes, unit * lower)
-        width[lanes] = unit * (high - lower)
-        counts.count(rows, sums, symbol)
-
-    def settle() -> None:
-        """Put out the highest word where the range has become small."""
-        small = np.flatnonzero(width < _TOP)
-        out[small, filled[small]] = low[small] >> _WORD
-        filled[small] += 1
-        low[small] <<= _WORD
-        width[small] <<= _WORD
-
-    every = slice(None)
+    def settle(lane: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        """Put out the highest word, with a carry above it, until the range is large."""
+        small = np.flatnonzero(width < _SMALL)
+        while len(small):
+            lows = low.take(small)
+            high = lows >> _TWO
+            words.append(high.astype(np.uint32))
+            owner.append(lane.take(small))
+            high <<= _TWO
+            lows ^= high
+            lows <<= _WORD
+            low[small] = lows
+            widths = width.take(small)
+            widths <<= _WORD
+            width[small] = widths
+            small = small[widths < _SMALL]
+
     for now in steps:
         guess, chance = model.predict()
         hit = now == guess
-        bound = (width >> _U64(16)) * chance.astype(_U64)
-        add(every, np.where(hit, _U64(0), bound))
-        np.copyto(width, np.where(hit, bound, width - bound))
+        bound = (width >> _FIELD) * chance.astype(_U64)
+        missed = hit.astype(_U64) - _U64(1)  # all bits where the prediction is wrong
+        low += bound & missed
+        width -= bound
+        width ^= (width ^ bound) & ~missed
         miss = np.flatnonzero(~hit)
         if len(miss):
-            missed = now[miss]
-            kind = model.kind.take(missed)
-            code_count(model.kinds, miss, kind, miss)
-            settle()
-            code_count(model.parts, miss * 16 + kind, model.part.take(missed), miss)
-            narrow = width[miss] >> model.bits.take(missed)
-            add(miss, narrow * model.rest.take(missed))
-            width[miss] = narrow
-        settle()
+            number = now.take(miss)
+            lows, widths = low.take(miss), width.take(miss)
+            symbol = model.classes.take(number)
+            step, widths = model.counts.encode(miss, symbol, widths)
+            lows += step
+            if model.spare > 3:  # a long rest needs a large range
+                settle(lane.take(miss), lows, widths)
+            bits = model.bits.take(symbol)
+            widths >>= bits
+            lows += widths * (number & ((_U64(1) << bits) - _U64(1)))
+            low[miss], width[miss] = lows, widths
+        settle(lane, low, width)
         model.learn(now, hit)
-    for _ in (1, 2):
-        out[model.lane, filled] = low >> _WORD
-        filled += 1
-        low <<= _WORD
-    sums = [zlib.crc32(ids[a : a + size].astype("<u4").tobytes()) for a in range(0, n, size)]
+    for _ in (1, 2, 3):
+        high = low >> _TWO
+        words.append(high.astype(np.uint32))
+        owner.append(lane)
+        low = (low ^ (high << _TWO)) << _WORD
+    filled, out = _joined(words, owner, lanes)
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    sums = [zlib.crc32(raw[a : a + 4 * size]) for a in range(0, 4 * n, 4 * size)]
     table = np.stack([filled.astype("<u4"), np.array(sums, "<u4")], 1)
-    words = out[np.arange(out.shape[1]) < filled[:, None]]
-    return head + table.tobytes() + words.astype("<u4").tobytes()
+    return b"".join([head, table.tobytes(), _bytes(out)])
 
 
 def decode_block_ids(payload: bytes) -> np.ndarray:
@@ -239,63 +369,63 @@ def decode_block_ids(payload: bytes) -> np.ndarray:
     table = np.frombuffer(payload, "<u4", 2 * lanes, at).reshape(lanes, 2)
     at += 8 * lanes
     filled = table[:, 0].astype(np.int64)
-    words = np.concatenate([np.frombuffer(payload, "<u4", -1, at), np.zeros(4, np.uint32)]).astype(_U64)
+    words = _words(payload, at)
     place = np.cumsum(filled) - filled
-    code = words[place] << _WORD | words[place + 1]
-    place += 2
-    last = len(words) - 1
+    code = words[place].astype(_U64) << _TWO | words[place + 1].astype(_U64) << _WORD | words[place + 2]
+    place += 3
     model = _Lanes(lanes, size, distinct)
     width = model.range
-    starts = np.where(np.arange(17) > 0, 1 << np.arange(17), 0)
-    spare = max(0, (distinct - 1).bit_length() - 16)
-
-    def settle() -> None:
-        small = np.flatnonzero(width < _TOP)
-        width[small] <<= _WORD
-        code[small] = code[small] << _WORD | words[np.minimum(place[small], last)]
-        place[small] += 1
-
-    def read_count(counts: _Counts, rows: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        sums = counts.get(rows)
-        total = sums[:, 15].astype(_U64)
-        unit = width.take(lanes) // total
-        wanted = np.minimum(code.take(lanes) // unit, total - _U64(1)).astype(np.uint16)
-        passed = np.bitwise_count((sums <= wanted[:, None]).view(_U64))
-        symbol = (passed[:, 0] + passed[:, 1]).astype(np.int64)
-        lower, high = counts.bounds(sums, symbol)
-        code[lanes] -= unit * lower
-        width[lanes] = unit * (high - lower)
-        counts.count(rows, sums, symbol)
-        return symbol
+    first = np.array([(s & 15) << max((s >> 4) - 4, 0) | (1 << (s >> 4) if s >> 4 else 0) for s in range(256)], _U64)
+    first <<= _U64(model.spare)  # the lowest number of a symbol
+
+    def settle(place: np.ndarray, code: np.ndarray, width: np.ndarray) -> None:
+        small = np.flatnonzero(width < _SMALL)
+        while len(small):
+            at = place.take(small)
+            codes = code.take(small)
+            codes <<= _WORD
+            codes |= words.take(at, mode="clip")
+            code[small] = codes
+            at += 1
+            place[small] = at
+            widths = width.take(small)
+            widths <<= _WORD
+            width[small] = widths
+            small = small[widths < _SMALL]
 
     steps = np.empty((size, lanes), np.uint32)
     for t in range(size):
         guess, chance = model.predict()
-        bound = (width >> _U64(16)) * chance.astype(_U64)
+        bound = (width >> _FIELD) * chance.astype(_U64)
         hit = code < bound
-        code -= np.where(hit, _U64(0), bound)
-        np.copyto(width, np.where(hit, bound, width - bound))
+        missed = hit.astype(_U64) - _U64(1)
+        code -= bound & missed
+        width -= bound
+        width ^= (width ^ bound) & ~missed
         now = guess.copy()
         miss = np.flatnonzero(~hit)
         if len(miss):
-            kind = read_count(model.kinds, miss, miss)
-            settle()
-            part = read_count(model.parts, miss * 16 + kind, miss)
-            flat = np.maximum(kind - 4, 0)
-            bits = (flat + spare).astype(_U64)
-            narrow = width[miss] >> bits
-            rest = np.minimum(code[miss] // narrow, (_U64(1) << bits) - _U64(1))
-            code[miss] -= narrow * rest
-            width[miss] = narrow
-            high = starts[kind] + (part << flat) + (rest >> _U64(spare)).astype(np.int64)
-            number = (high << spare) | (rest & _U64((1 << spare) - 1)).astype(np.int64)
-            now[miss] = np.minimum(number, distinct - 1)  # beyond it only in damaged words
-        settle()
+            symbol, codes, widths = model.counts.decode(miss, code.take(miss), width.take(miss))
+            if model.spare > 3:
+                places = place.take(miss)
+                settle(places, codes, widths)
+                place[miss] = places
+            bits = model.bits.take(symbol)
+            widths >>= bits
+            rest = np.minimum(codes // widths, (_U64(1) << bits) - _U64(1))
+            codes -= widths * rest
+            code[miss], width[miss] = codes, widths
+            rest += first.take(symbol)
+            now[miss] = np.minimum(rest, _U64(distinct - 1)).astype(np.uint32)  # beyond it only in damaged words
+        settle(place, code, width)
         model.learn(now, hit)
         steps[t] = now
-    ids = alphabet[steps.T.reshape(-1)[:n]]
-    for lane, a in enumerate(range(0, n, size)):
-        if zlib.crc32(ids[a : a + size].tobytes()) != table[lane, 1]:
+    del model
+    ids = np.ascontiguousarray(steps.T).reshape(-1)[:n]
+    ids = alphabet.take(ids)
+    raw = memoryview(ids).cast("B")
+    for lane, a in enumerate(range(0, 4 * n, 4 * size)):
+        if zlib.crc32(raw[a : a + 4 * size]) != table[lane, 1]:
             raise ValueError(f"block {lane} is damaged")
     return ids
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -31,24 +32,26 @@ _MARK[128:] = False
 _WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
 #: Longer parts are encoded whenever they come.
 _LONGEST = 255
-_RANGE = 1 << 20
 _ROW = 64
 #: Bytes of a remembered part besides its ids.
 _ENTRY = 41
 
 
-def _odd_numbers(count: int, seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes 0 to 7 of a value, and what keeps the first n of them.
+_EIGHT = 8
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(_EIGHT + 1)], np.uint64)
 
 
 def _powers(base: int) -> np.ndarray:
     out = [1]
-    for _ in range(_LONGEST):
+    for _ in range(_LONGEST // _EIGHT):
         out.append(out[-1] * base % (1 << 64))
     return np.array(out, np.uint64)
 
 
-_LETTERS = [_odd_numbers(256, seed) for seed in (1, 2)]
+#: For each of the two hashes: what is added a byte and multiplied with, odd, and the factors by place.
+_LENGTHS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
+_FACTORS = [np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)]
 _PLACES = [_powers(base) for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
@@ -56,25 +59,49 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers first[i], first[i] + 1, ... (size[i] of them) for every i in turn."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(first - ends + size, size) + np.arange(total)
-
-
-def _hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every part of at most ``_LONGEST`` bytes; parts hold at least one byte."""
-    out = np.empty((2, len(first)), np.uint64)
-    step = np.searchsorted(first, np.arange(0, len(data), _RANGE)).tolist()
-    for a, b in zip(step, [*step[1:], len(first)], strict=True):
-        if a == b:
-            continue
-        at = spread(first[a:b], size[a:b])
-        place = at - np.repeat(first[a:b], size[a:b])
-        letter = data[at]
-        cut = np.cumsum(size[a:b]) - size[a:b]
+    out = np.repeat(first - ends + size, size)
+    out += np.arange(total)
+    return out
+
+
+def _hashes(raw: bytes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every part of at most ``_LONGEST`` bytes: eight bytes of a part at a time are
+    mixed with their number and added up by place."""
+    padded = np.frombuffer(raw + bytes(_EIGHT), np.uint8)
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from every byte on
+    out = np.zeros((2, len(first)), np.uint64)
+    rows: np.ndarray | slice = slice(None)  # parts that reach the place
+    at, left = first, size
+    for place in range(-(-int(size.max(initial=0)) // _EIGHT)):
+        if place:
+            more = np.flatnonzero(left > _EIGHT)
+            rows = more if place == 1 else rows[more]
+            at, left = at[more] + _EIGHT, left[more] - _EIGHT
+        held = np.minimum(left, _EIGHT)
+        value = eights[at] & _FIRST.take(held)
+        held = held.astype(np.uint64)
         for i in (0, 1):
-            out[i, a:b] = np.add.reduceat(_LETTERS[i][letter] * _PLACES[i][place], cut)
+            mixed = (value + held * _LENGTHS[i]) * _FACTORS[i]
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= _FACTORS[1 - i]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= _PLACES[i][place]
+            out[i, rows] += mixed
     return out[0], out[1]
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in ascending order, a place of each, and the number of the key of every place."""
+    of, found = pd.factorize(keys)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    of = rank.take(of)
+    one = np.empty(len(order), np.int64)
+    one[of] = np.arange(len(of))
+    return found[order], one, of
+
+
 def _longer(x: np.ndarray) -> np.ndarray:
     """Twice as long; what is not written yet takes no memory."""
     out = np.zeros(2 * len(x), x.dtype)
@@ -186,12 +213,12 @@ class WordMemory:
 
     def _cut(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and size of every part; ``edges`` are the first bytes of the texts that hold any."""
-        space = _SPACE[data]
+        space = _SPACE.take(data)
         after = np.empty(len(space), bool)  # behind white space or the start of a text
         after[1:] = space[:-1]
         if self.byte_level:
             begin = space & ~after
-            begin[1:] |= _MARK[data[1:]] & _WORDLY[data[:-1]]
+            begin[1:] |= _MARK.take(data[1:]) & _WORDLY.take(data[:-1])
             begin[edges] = True
             first = np.flatnonzero(begin)
             return first, np.diff(np.append(first, len(data)))
@@ -211,12 +238,12 @@ class WordMemory:
             return True
         return self.special is not None and self.special.search(text) is not None
 
-    def _look_up(self, data: np.ndarray, raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _look_up(self, raw: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The codes of the parts; new ones are learnt."""
         if not len(first):
             return np.zeros(0, np.int64)
-        key, check = _hashes(data, first, size)
-        key, one, of = np.unique(key, return_index=True, return_inverse=True)
+        key, check = _hashes(raw, first, size)
+        key, one, of = _distinct(key)
         mine = check[one]
         wrong = mine[of] != check  # parts of one hash that are not the same
         at = np.searchsorted(self.keys, key)
@@ -259,7 +286,7 @@ class WordMemory:
         first, size = self._cut(data, (ends - lengths)[lengths > 0]) if raw else (ends[:0], ends[:0])
         codes = np.zeros(len(first), np.int64)
         short = size <= _LONGEST
-        codes[short] = self._look_up(data, raw, first[short], size[short])
+        codes[short] = self._look_up(raw, first[short], size[short])
         if not short.all():
             codes[~short] = self._aside(raw, first[~short], size[~short])
         ids, sizes = self._ids(codes), self.size[codes]

@@ -62,6 +62,45 @@ def test_coder_learns_and_notices_damage():
         idfiles.decode_block_ids(b"x" * 64)
 
 
+def test_coder_of_many_different_ids():
+    ids = np.random.default_rng(3).permutation(600_000).astype(np.uint32) * np.uint32(7000)  # rests of up to 15 bits
+    assert (idfiles.decode_block_ids(idfiles.encode_block_ids(ids)) == ids).all()
+
+
+def test_class_and_sixteenth_are_coded_in_one_step():
+    rng = np.random.default_rng(5)
+    lanes, steps = np.arange(40), rng.choice(256, (1024, 40), p=rng.dirichlet(np.full(256, 0.1))).astype(np.uint8)
+    told, read = idfiles._Counts(40), idfiles._Counts(40)
+    plain = np.full((40, 256), 4)
+    width = np.full(40, (1 << 40) + 12_345, np.uint64)
+    for symbols in steps:
+        below, share = told.encode(lanes, symbols, width)
+        unit = width // plain.sum(1).astype(np.uint64)
+        assert (below == unit * np.array([plain[i, :x].sum() for i, x in enumerate(symbols)], np.uint64)).all()
+        assert (share == unit * plain[lanes, symbols].astype(np.uint64)).all()
+        found, code, again = read.decode(lanes, below + share - np.uint64(1), width)
+        assert (found == symbols).all() and (again == share).all() and (code == share - np.uint64(1)).all()
+        plain[lanes, symbols] += 24
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7])
+def test_words_of_twenty_bits(n):
+    given = np.random.default_rng(n).integers(0, 1 << 20, n).astype(np.uint32)
+    made = idfiles._bytes(given)
+    assert len(made) == 5 * (n + n % 2) // 2
+    assert (idfiles._words(b"head" + made, 4)[:n] == given).all()
+
+
+def test_hashes_take_eight_bytes_at_a_time():
+    parts = [b"a", b"a\0", b"\0a", b"\0", b"\0\0", b"eightbyt", b"eightbyt\0", b"eightbytes", b"x" * 16, b"x" * 17, b"x" * 255]
+    raw = b"".join([*parts, b"|", *parts])
+    size = np.array([len(p) for p in parts])
+    first = np.cumsum(size) - size
+    here, there = (np.stack(words._hashes(raw, first + a, size)) for a in (0, len(raw) // 2 + 1))
+    assert (here == there).all()  # wherever a part stands
+    assert len({*here.ravel().tolist()}) == 2 * len(parts)
+
+
 def _token_rows(rows):
     plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     out, start = [], 0
