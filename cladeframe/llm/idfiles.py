@@ -9,8 +9,8 @@ of its own that start from nothing, and a checksum of its ids. An id is coded in
   same id (order 1) is the prediction, the most used id (order 0) where neither is known.
   How often each order was right with such support before is stretched, weighted and
   added up; the weights learn from every outcome;
-* if not, its order-0 frequency class (a power of two of its number), its sixteenth of the
-  class, both by counts that adapt, and the rest of the number flat.
+* if not, its order-0 frequency class (a power of two of its number) and its sixteenth of
+  the class, as one symbol by counts that adapt, and the rest of the number flat.
 
 All arithmetic is on integers, so that every machine decodes what another one coded.
 The blocks of a segment step together: one step of the coder is one numpy call over
