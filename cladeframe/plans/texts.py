@@ -175,7 +175,7 @@ _DOC_CELLS = _DOC_ROWS + (
 
 def _doc_rows(spark, d):
     """(aln, n, row, seq): the ASCII letters of every document as nucleotides, cut in rows of 60 and filled up with '-'."""
-    letters = F.translate(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", _NUC)
+    letters = F.translate(F.regexp_replace("text", "[^A-Za-z]+", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", _NUC * 2)
     docs = t.load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("aln"), letters.alias("s")).filter("s <> ''")
     n = F.ceil(F.length("s") / _WIDTH)
     # one pass over a text, not one up to every row
@@ -186,9 +186,8 @@ def _doc_rows(spark, d):
 
 def _lines(rows, head, body):
     """Lines (aln, part, line, value) in short ranges: ``head`` and ``body`` are arrays of (place, value) of a file and of a row."""
-    firsts = rows.filter("row = 0").select("aln", F.explode(head).alias("x"))
-    others = rows.select("aln", F.explode(body).alias("x"))
-    both = firsts.unionByName(others).select("aln", F.col("x.at").alias("line"), F.col("x.value").alias("value"))
+    every = F.when(F.col("row") == 0, F.concat(head, body)).otherwise(body)
+    both = rows.select("aln", F.explode(every).alias("x")).select("aln", F.col("x.at").alias("line"), F.col("x.value").alias("value"))
     return both.select("aln", F.floor(F.col("line") / 50).alias("part"), "line", "value")
 
 

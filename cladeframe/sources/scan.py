@@ -1,6 +1,7 @@
 """Alignment files of any size, read by many tasks.
 
-Spark reads a file as ranges of lines; a line is known by its file, range and place. What a
+Spark reads a file as ranges of lines; a line is known by its file, range and place. The lines
+that are not blank are packed once, a row for each range, and all later steps deal with ranges. What a
 range's first line means depends on everything before it, so every range first tells how
 it changes the reader's state, the states at the starts follow from these reports alone,
 and then all ranges are read at the same time:
@@ -8,26 +9,37 @@ and then all ranges are read at the same time:
 * sequential PHYLIP and own alphabets: the state is how many letters the current row still
   needs. A report lists the states from which the range can be read without a contradiction;
 * interleaved PHYLIP: the number of non-blank lines before the range;
-* NEXUS: whether a comment is open, which the last bracket before a line tells.
+* NEXUS: whether a comment is open, which the last bracket tells, and whether the matrix has
+  begun or ended. A report tells what happens with a comment open at the start and without.
 
 Nothing holds a file, a row of an alignment or all lines of a file. The result is cells.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.alphabets import CUSTOM_MISSING, alphabet_rows
-from cladeframe.functions.ordered import position_in_group, prefix_sum
-from cladeframe.sources.alignments import KNOWN
+from cladeframe.sources.alignments import KNOWN, POLYMORPHIC
 from cladeframe.session import durable
 
-#: A group in brackets stands for a polymorphic cell and reads as missing.
-_GROUPS = r"\([^)]*\)|\{[^}]*\}"
 _AT = ["part", "line"]
+#: Lines in a packed row at most; longer ranges are cut.
+RANGE_LINES = 4096
+#: Reads as missing in every alphabet and is a state in none.
+_GAP = "-"
+# what Java's \\s has
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+_NO_BLANKS = str.maketrans("", "", " \t\n\x0b\f\r")
+_COMMENT = re.compile(r"\[[^\]]*(?:\]|\Z)")
+_MATRIX = re.compile(r"^[ \t\x0b\f\r]*matrix\b", re.M | re.I | re.A)
+_PIECE = "array<struct<taxon:string,start:bigint,text:string>>"
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -52,123 +64,197 @@ def _wrong(condition: Column, text: str, value: Column) -> Column:
     return F.when(condition, F.raise_error(F.concat(F.lit(text), F.col("aln").cast("string"))).cast("string")).otherwise(value)
 
 
-def _sizes(lines: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(aln, kind, n_taxa, n_sites, letters, head_at) of PHYLIP and own alphabets.
+def packed_ranges(lines: DataFrame) -> DataFrame:
+    """(aln, part, lines): one row per range with its lines that are not blank, in order; ``part`` orders the ranges of a file."""
+    part = F.struct(F.col("part"), F.floor(F.col("line") / RANGE_LINES).alias("sub"))
+    shown = lines.filter(F.col("aln").isNotNull() & (F.trim("value") != ""))
+    packed = shown.select("aln", part.alias("part"), F.struct("line", "value").alias("_l")).groupBy("aln", "part").agg(F.sort_array(F.collect_list("_l")).alias("_l"))
+    return packed.select("aln", "part", F.col("_l.value").alias("lines"))
+
+
+def _sizes(ranges: DataFrame, fmt: str) -> DataFrame:
+    """(aln, kind, n_taxa, n_sites, letters, head_part, skip): the sizes of a file and where its header ends.
 
-    A header with an own alphabet is its first line or the first two.
+    A header with an own alphabet is its first line or the first two. Sizes of NEXUS files are not in it.
     """
-    own = kinds.filter("kind = 'custom'")
-    second = (
-        lines.join(own.select("aln", "head_at"), "aln")
-        .filter((F.trim("value") != "") & (F.struct(*_AT) > F.col("head_at")))
-        .groupBy("aln").agg(F.min(F.struct(*_AT)).alias("_next_at"), F.min_by(F.trim("value"), F.struct(*_AT)).alias("_next"))
+    order = Window.partitionBy("aln").orderBy("part")
+    top = ranges.select("aln", "part", F.trim(F.get("lines", F.lit(0))).alias("_a"), F.trim(F.get("lines", F.lit(1))).alias("_b"))
+    top = top.withColumn("_r", F.row_number().over(order)).filter("_r <= 2").groupBy("aln").agg(
+        F.min("part").alias("_p"), F.max("part").alias("_q"),
+        *[F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}") for r, c in ((1, "_a"), (1, "_b"), (2, "_a"))],
     )
-    short = (F.col("kind") == "custom") & (F.size(F.split("head", r"\s+")) < 4)
-    both = kinds.filter("kind <> 'nexus'").join(second, "aln", "left").select(
-        "aln", "kind", F.when(short, F.concat_ws(" ", "head", "_next")).otherwise(F.col("head")).alias("head"),
-        F.when(short, F.col("_next_at")).otherwise(F.col("head_at")).alias("head_at"),
-    )
-    words = F.split("head", r"\s+")
-    first = F.when(F.col("kind") == "custom", 1).otherwise(0)
-    sizes = both.withColumn("_w", words).withColumn("_f", first)
+    word = F.split("_a1", r"\s+")[0]
+    found = F.when(F.upper(word) == "#NEXUS", "nexus").when(word == "#SPECIALALPHABET", "custom").otherwise("phylip")
+    kind = found if fmt == "auto" else F.lit(fmt if fmt in ("nexus", "custom") else "phylip")
+    kinds = top.withColumn("kind", kind)
+    short = (F.col("kind") == "custom") & (F.size(F.split("_a1", r"\s+")) < 4)
+    here = F.col("_b1").isNotNull()
+    head = F.when(short, F.concat_ws(" ", "_a1", F.coalesce("_b1", "_a2"))).otherwise(F.col("_a1"))
+    sizes = kinds.withColumn("_w", F.split(head, r"\s+")).withColumn("_f", F.when(F.col("kind") == "custom", 1).otherwise(0))
+    number = lambda i: F.when(F.col("kind") != "nexus", F.get("_w", F.col("_f") + i).cast("bigint"))
     return sizes.select(
-        "aln", "kind", F.get("_w", F.col("_f")).cast("bigint").alias("n_taxa"), F.get("_w", F.col("_f") + 1).cast("bigint").alias("n_sites"),
-        F.when(F.col("kind") == "custom", F.get("_w", F.lit(3))).alias("letters"), "head_at",
+        "aln", "kind", number(0).alias("n_taxa"), number(1).alias("n_sites"),
+        F.when(F.col("kind") == "custom", F.get("_w", F.lit(3))).alias("letters"),
+        F.when(short & ~here, F.col("_q")).otherwise(F.col("_p")).alias("head_part"), F.when(short & here, 2).otherwise(1).alias("skip"),
     )
 
 
-def _body(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Lines behind the header with the sizes of their file."""
-    joined = lines.join(sizes, "aln").filter(F.struct(*_AT) > F.col("head_at"))
-    text = F.when(F.col("kind") == "custom", F.regexp_replace("value", _GROUPS, "?")).otherwise(F.col("value"))
-    return joined.withColumn("words", F.filter(F.split(text, r"\s+"), lambda w: w != "")).filter(F.size("words") > 0)
+def _body(ranges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Ranges without the lines of the header, with the sizes of their file."""
+    joined = ranges.join(sizes.filter("kind <> 'nexus'").select("aln", "kind", "n_taxa", "n_sites", "head_part", "skip"), "aln").filter("part >= head_part")
+    rest = F.when(F.col("part") == F.col("head_part"), F.slice("lines", F.col("skip") + 1, F.size("lines"))).otherwise(F.col("lines"))
+    cut = F.when(F.col("part") == F.col("head_part"), F.col("skip")).otherwise(0)
+    return joined.select("aln", "part", rest.alias("lines"), (F.col("kind") == "custom").alias("own"), "n_taxa", "n_sites", cut.alias("skip"))
+
+
+def _words(lines: list[str], own: bool) -> list[list[str]]:
+    """Words of every line that has some; groups of an own alphabet are one missing letter."""
+    if own:
+        lines = [POLYMORPHIC.sub("?", x) if "(" in x or "{" in x else x for x in lines]
+    return [w for w in map(_WORD.findall, lines) if w]
+
+
+def _lists(rows: Iterable[list], kind: pa.DataType) -> pa.Array:
+    """A list column from one Python list a row."""
+    rows = list(rows)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), pa.array([x for r in rows for x in r], kind))
+
+
+def _pieces(rows: list[list[tuple]]) -> pa.Array:
+    """A column of pieces (taxon, start, text) from one list a row."""
+    flat = [x for r in rows for x in r]
+    columns = zip(*flat, strict=True) if flat else ([], [], [])
+    arrays = [pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)]
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), pa.StructArray.from_arrays(arrays, ["taxon", "start", "text"]))
+
+
+def _by_file(reports: DataFrame, fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """What ``fold`` makes of the reports of a file in the order of its ranges, file after file of a task."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    columns = {name: kinds[kind] for name, kind in (x.split() for x in schema.split(", "))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        types: dict[str, pa.DataType] = {}
+
+        def made(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], list(types))
+
+        for batch in batches:
+            types = {c: batch.schema.field(c).type for c in ("aln", "part")} | columns
+            done: list[dict] = []
+            for r in batch.to_pylist():
+                if held and held[0]["aln"] != r["aln"]:
+                    done += fold(held)
+                    held = []
+                held.append(r)
+            yield made(done)
+        if held:
+            yield made(fold(held))
+
+    keys = f"aln {_type(reports)}, part {_type(reports, 'part')}"
+    return _dealt(reports, "aln").sortWithinPartitions("aln", "part").mapInArrow(run, f"{keys}, {schema}")
 
 
 # ---- sequential rows ------------------------------------------------------------------
 
 
-def range_report(lengths: np.ndarray, n_sites: int) -> list[tuple[int, int, int]]:
+def range_report(lengths: Iterable[int], n_sites: int) -> list[tuple[int, int, int]]:
     """(letters missing at the start, at the end, names inside) for every start without a contradiction.
 
     Starts that exceed the whole range are not listed: what is missing then shrinks by it.
     """
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    last = len(lengths)
-    known: dict[int, tuple[int, int] | None] = {}
-
-    def follow(start: int) -> tuple[int, int] | None:
-        """What is missing at the end and the names met when a row begins with word ``start``."""
-        path, j = [], start
-        while j not in known:
-            path.append(j)
-            goal = ends[j + 1] + n_sites if j < last else 0  # word j is a name
-            if j == last:
-                known[j] = (0, 0)
-            elif goal > ends[last]:
-                known[j] = (int(goal - ends[last]), 1)
-            else:
-                m = int(np.searchsorted(ends, goal))
-                if ends[m] != goal:
-                    known[j] = None
-                else:
-                    j = m
-        found = known[j]
-        for back in reversed(path):
-            if back not in known:
-                known[back] = None if found is None else (found[0], found[1] + 1)
-            found = known[back]
-        return known[start]
-
+    ends = [0, *accumulate(int(x) for x in lengths)]
+    last, total = len(ends) - 1, ends[-1]
+    at = {e: j for j, e in enumerate(ends)}
+    # what is missing at the end and the names met when a row begins with word j
+    known: list[tuple[int, int] | None] = [None] * last + [(0, 0)]
+    for j in reversed(range(last)):
+        goal = ends[j + 1] + n_sites  # word j is a name
+        if goal > total:
+            known[j] = (goal - total, 1)
+        elif (found := known[m] if (m := at.get(goal)) is not None else None) is not None:
+            known[j] = (found[0], found[1] + 1)
     out = []
-    for j in range(int(np.searchsorted(ends, n_sites, "right"))):
-        found = follow(j)
+    for end, found in zip(ends, known, strict=True):
+        if end > n_sites:
+            break
         if found is not None:
-            out.append((int(ends[j]), *found))
+            out.append((end, *found))
     return out
 
 
-def _report(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("line")
-    lengths = np.concatenate([np.asarray(x, np.int64) for x in pdf["lengths"]])
-    rows = [(-1, int(lengths.sum()), 0), *range_report(lengths, int(pdf["n_sites"].iloc[0]))]
-    out = pd.DataFrame(rows, columns=["need", "left", "names"])
-    return out.assign(aln=pdf["aln"].iloc[0], part=pdf["part"].iloc[0], n_taxa=pdf["n_taxa"].iloc[0])
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The states at the starts of a file's ranges, from their reports."""
-    need, rows, ok, out = 0, 0, True, []
-    for part, report in pdf.sort_values("part").groupby("part", sort=True):
-        out.append((part, need, rows))
-        total = int(report.loc[report["need"] < 0, "left"].iloc[0])
-        hit = report[report["need"] == need]
-        if len(hit):
-            need, rows = int(hit["left"].iloc[0]), rows + int(hit["names"].iloc[0])
-        elif need > total:
-            need -= total
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every range: its letters, its lines and what it makes of every start."""
+    for batch in batches:
+        totals, counts, told = [], [], []
+        for lines, own, n_sites in zip(*(batch.column(c).to_pylist() for c in ("lines", "own", "n_sites")), strict=True):
+            words = _words(lines, own)
+            lengths = [len(w) for ws in words for w in ws]
+            totals.append(sum(lengths))
+            counts.append(len(words))
+            told.append(range_report(lengths, n_sites))
+        lists = [_lists(([x[i] for x in r] for r in told), pa.int64()) for i in range(3)]
+        passed = [batch.column(c) for c in ("aln", "part", "n_taxa", "n_sites", "own", "skip")]
+        yield pa.RecordBatch.from_arrays([*passed, pa.array(totals, pa.int64()), pa.array(counts, pa.int64()), *lists], [*_PASSED, "total", "count", "needs", "lefts", "names"])
+
+
+_PASSED = ["aln", "part", "n_taxa", "n_sites", "own", "skip"]
+
+
+def _fold(reports: list[dict]) -> list[dict]:
+    """The states at the starts of a file's ranges, from their reports, and the lines before them."""
+    need, rows, ok, before, out = 0, 0, True, 0, []
+    for r in reports:
+        out.append({c: r[c] for c in _PASSED} | {"need": need, "rows": rows, "before": before})
+        before += r["count"]
+        if not ok:
+            continue
+        if need in r["needs"]:
+            hit = r["needs"].index(need)
+            need, rows = r["lefts"][hit], rows + r["names"][hit]
+        elif need > r["total"]:
+            need -= r["total"]
         else:
             ok = False
-            break
-    fits = ok and need == 0 and rows == int(pdf["n_taxa"].iloc[0])
-    made = pd.DataFrame(out, columns=["part", "need", "rows"])
-    return made.assign(aln=pdf["aln"].iloc[0], fits=fits)
+    fits = ok and need == 0 and rows == reports[0]["n_taxa"]
+    return [x | {"fits": fits} for x in out]
 
 
-def _place(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (row, start, text) of a range: a name has the start -1."""
-    pdf = pdf.sort_values("line")
-    need, row, n_sites = int(pdf["need"].iloc[0]), int(pdf["rows"].iloc[0]) - 1, int(pdf["n_sites"].iloc[0])
-    out = []
-    for words in pdf["words"]:
-        for w in words:
-            if need:
-                out.append((row, n_sites - need, w))
-                need -= len(w)
-            else:
-                row += 1
-                out.append((row, -1, w))
-                need = n_sites
-    return pd.DataFrame(out, columns=["row", "start", "text"]).assign(aln=pdf["aln"].iloc[0])
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a range, one for each row of the alignment in it.
+
+    ``first`` is the number of the row that began before the range, ``begun`` its piece; ``open`` is the
+    number of the row that goes on behind the range and ``name`` its taxon, if that stands in the range.
+    """
+    for batch in batches:
+        pieces, first, begun, going, name = [], [], [], [], []
+        for lines, own, n_sites, need, rows in zip(*(batch.column(c).to_pylist() for c in ("lines", "own", "n_sites", "need", "rows")), strict=True):
+            found: list[tuple] = []
+            taxon, start, text, row = None, n_sites - need, [], rows - 1
+            old = None
+            for words in _words(lines, own):
+                for w in words:
+                    if need:
+                        text.append(w)
+                        need -= len(w)
+                    else:
+                        if text and taxon is None:
+                            old = (None, start, "".join(text))
+                        elif text:
+                            found.append((taxon, start, "".join(text)))
+                        taxon, start, text, row, need = w, 0, [], row + 1, n_sites
+            if text and taxon is None:
+                old = (None, start, "".join(text))
+            elif text:
+                found.append((taxon, start, "".join(text)))
+            pieces.append(found)
+            first.append(rows - 1 if old else None)
+            begun.append([old] if old else [])
+            going.append(row if need and taxon is not None else None)
+            name.append(taxon)
+        arrays = [batch.column("aln"), batch.column("part"), _pieces(pieces), pa.array(first, pa.int64()), _pieces(begun), pa.array(going, pa.int64()), pa.array(name, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["aln", "part", "pieces", "first", "begun", "open", "name"])
 
 
 def _type(lines: DataFrame, column: str = "aln") -> str:
@@ -180,101 +266,218 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def sequential_pieces(body: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pieces of files that fit, files that don't): pieces are (aln, taxon, start, text)."""
-    kind = _type(body)
-    words = body.select("aln", "part", "line", "n_taxa", "n_sites", F.transform("words", F.length).alias("lengths"))
-    told = _dealt(words, "aln", "part").groupBy("aln", "part").applyInPandas(_report, f"need bigint, left bigint, names bigint, aln {kind}, part bigint, n_taxa bigint")
-    starts = durable(_dealt(told, "aln").groupBy("aln").applyInPandas(_fold, f"part bigint, need bigint, rows bigint, aln {kind}, fits boolean"))
-    fits = starts.groupBy("aln").agg(F.bool_and("fits").alias("fits"))
-    begun = body.select("aln", "part", "line", "n_sites", "words").join(starts.filter("fits").drop("fits"), ["aln", "part"])
-    rows = durable(_dealt(begun, "aln", "part").groupBy("aln", "part").applyInPandas(_place, f"row bigint, start bigint, text string, aln {kind}"))
-    names = rows.filter("start < 0").select("aln", "row", F.col("text").alias("taxon"))
-    return rows.filter("start >= 0").join(names, ["aln", "row"]).select("aln", "taxon", "start", "text"), fits.filter("NOT fits").select("aln")
+def sequential_starts(body: DataFrame) -> DataFrame:
+    """(aln, part, ..., need, rows, before, fits): the reader's state where a range starts, and whether its file can be read so."""
+    keys = f"aln {_type(body)}, part {_type(body, 'part')}"
+    told = _dealt(body, "aln", "part").mapInArrow(
+        _report, f"{keys}, n_taxa bigint, n_sites bigint, own boolean, skip int, total bigint, count bigint, needs array<bigint>, lefts array<bigint>, names array<bigint>"
+    )
+    return _by_file(told, _fold, "n_taxa bigint, n_sites bigint, own boolean, skip int, need bigint, rows bigint, before bigint, fits boolean")
+
+
+def sequential_pieces(ranges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(aln, part, pieces) of the files that fit."""
+    keys = f"aln {_type(ranges)}, part {_type(ranges, 'part')}"
+    begun = _dealt(_started(ranges, starts.filter("fits")), "aln", "part")
+    placed = durable(begun.mapInArrow(_place, f"{keys}, pieces {_PIECE}, first bigint, begun {_PIECE}, open bigint, name string"))
+    names = placed.filter("open IS NOT NULL").select("aln", F.col("open").alias("first"), F.col("name").alias("_taxon"))
+    named = F.transform("begun", lambda x: F.struct(F.col("_taxon").alias("taxon"), x["start"].alias("start"), x["text"].alias("text")))
+    cut = placed.filter("first IS NOT NULL").join(names, ["aln", "first"]).select("aln", "part", named.alias("pieces"))
+    return placed.filter(F.size("pieces") > 0).select("aln", "part", "pieces").unionByName(cut)
+
+
+def _started(ranges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Ranges without lines of the header, with the state at their starts."""
+    rest = F.when(F.col("skip") > 0, F.slice("lines", F.col("skip") + 1, F.size("lines"))).otherwise(F.col("lines"))
+    return ranges.join(starts, ["aln", "part"]).withColumn("lines", rest)
 
 
 # ---- interleaved rows and NEXUS -----------------------------------------------------------
 
 
-def interleaved_pieces(body: DataFrame) -> DataFrame:
-    """Blocks of one line per taxon; later blocks may repeat the names."""
-    placed = position_in_group(body, ["aln"], _AT, F.col("part"), "_i")
-    lines = placed.select("aln", "n_taxa", "n_sites", "words", (F.col("_i") % F.col("n_taxa")).alias("row"), F.floor(F.col("_i") / F.col("n_taxa")).alias("block"))
-    names = lines.filter("block = 0").select("aln", "row", F.col("words")[0].alias("taxon"))
-    named = lines.join(names, ["aln", "row"])
-    letters = F.when(F.col("words")[0] == F.col("taxon"), F.slice("words", 2, F.size("words"))).otherwise(F.col("words"))
-    texts = named.withColumn("text", F.array_join(letters, ""))
-    started = prefix_sum(texts, ["aln", "row"], ["block"], F.floor(F.col("block") / 4096), F.length("text"), "start")
-    full = texts.groupBy("aln", "row").agg(F.sum(F.length("text")).alias("_all"))
-    checked = started.join(full, ["aln", "row"])
-    return checked.select("aln", _wrong(F.col("_all") != F.col("n_sites"), "sizes do not match the header of ", F.col("taxon")).alias("taxon"), "start", "text")
-
-
-def _without_comments(lines: DataFrame) -> DataFrame:
-    """Lines without what stands in square brackets, also over several lines."""
-    bracket = F.regexp_extract("value", r"([\[\]])[^\[\]]*$", 1)
-    last = lines.withColumn("_b", F.nullif(bracket, F.lit("")))
-    inner = Window.partitionBy("aln", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("aln").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = last.filter(F.col("_b").isNotNull()).groupBy("aln", "part").agg(F.max_by("_b", "line").alias("_e"))
-    every = last.select("aln", "part").distinct().join(ranges, ["aln", "part"], "left")
-    before = every.select("aln", "part", F.last("_e", ignorenulls=True).over(outer).alias("_e"))
-    opened = last.withColumn("_p", F.last("_b", ignorenulls=True).over(inner)).join(before, ["aln", "part"])
-    inside = F.coalesce("_p", "_e", F.lit("]")) == "["
-    text = F.when(inside, F.when(F.col("value").contains("]"), F.regexp_replace("value", r"^[^\]]*\]", "")).otherwise("")).otherwise(F.col("value"))
-    clean = F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]", ""), r"\[.*$", "")
-    return opened.select("aln", *_AT, clean.alias("value"))
-
-
-def nexus_pieces(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pieces, (aln, n_taxa, n_sites, datatype)): the matrix between its keyword and the next semicolon."""
-    clean = _without_comments(lines)
-    at = F.struct(*_AT)
-    matrix = clean.filter(F.lower("value").rlike(r"^\s*matrix\b")).groupBy("aln").agg(F.min(at).alias("_from"))
-    inside = clean.join(matrix, "aln")
-    stop = inside.filter((at > F.col("_from")) & F.col("value").contains(";")).groupBy("aln").agg(F.min(at).alias("_to"))
-    head = inside.filter(at < F.col("_from")).groupBy("aln").agg(F.array_sort(F.collect_list(F.struct(*_AT, "value"))).alias("_h"))
-    text = F.array_join(F.transform("_h", lambda h: h["value"]), "\n")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every line of an interleaved file: first word and letters."""
+    for batch in batches:
+        at, rows, blocks, firsts, texts = [], [], [], [], []
+        for k, (lines, own, n_taxa, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lines", "own", "n_taxa", "before")), strict=True)):
+            for i, words in enumerate(_words(lines, own), before):
+                at.append(k)
+                rows.append(i % n_taxa)
+                blocks.append(i // n_taxa)
+                firsts.append(words[0])
+                texts.append("".join(words))
+        taken = pa.array(at, pa.int64())
+        arrays = [batch.column("aln").take(taken), batch.column("part").take(taken), batch.column("n_sites").take(taken)]
+        arrays += [pa.array(x, k) for x, k in ((rows, pa.int64()), (blocks, pa.int64()), (firsts, pa.string()), (texts, pa.string()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["aln", "part", "n_sites", "row", "block", "first", "text"])
+
+
+def interleaved_pieces(ranges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Blocks of one line per taxon; later blocks may repeat the names. (aln, part, pieces)."""
+    keys = f"aln {_type(ranges)}, part {_type(ranges, 'part')}"
+    begun = _dealt(_started(ranges, starts), "aln", "part")
+    lines = begun.mapInArrow(_blocks, f"{keys}, n_sites bigint, row bigint, block bigint, first string, text string")
+    order = Window.partitionBy("aln", "row").orderBy("block")
+    before, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = _dealt(lines, "aln", "row").withColumn("taxon", F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    letters = F.when(F.col("first") == F.col("taxon"), F.expr("substring(text, length(first) + 1)")).otherwise(F.col("text"))
+    texts = named.withColumn("text", letters).withColumn("_n", F.length("text"))
+    started = texts.withColumn("start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(every))
+    taxon = _wrong(F.col("_all") != F.col("n_sites"), "sizes do not match the header of ", F.col("taxon"))
+    return durable(started.select("aln", "part", F.array(F.struct(taxon.alias("taxon"), "start", "text")).alias("pieces")))
+
+
+def _plain(lines: list[str], inside: bool) -> str:
+    """The lines without what stands in square brackets, also over several lines; ``inside``: a comment is open before them."""
+    text = "\n".join(lines)
+    if text.count("\n") >= len(lines):  # a line break inside a line
+        text = "\n".join(x.replace("\n", " ") for x in lines)
+    if inside:
+        text = "[" + text
+    return _COMMENT.sub(lambda m: "\n" * m.group().count("\n"), text) if "[" in text else text
+
+
+def _matrix_at(text: str) -> tuple[int | None, int | None, int | None]:
+    """Lines of the matrix keyword, of the first semicolon on a line behind it and of the first semicolon."""
+    def line(i: int) -> int | None:
+        return None if i < 0 else text.count("\n", 0, i)
+
+    semicolon = text.find(";")
+    found = _MATRIX.search(text)
+    if not found:
+        return None, None, line(semicolon)
+    after = text.find("\n", found.end())
+    return line(found.end()), line(text.find(";", after)) if after >= 0 else None, line(semicolon)
+
+
+def _nexus_report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every range: its last bracket and where the matrix begins and ends, with no comment open at the start and with one."""
+    for batch in batches:
+        ends, counts, found = [], [], []
+        for lines in batch.column("lines").to_pylist():
+            text = _plain(lines, False)
+            raw = "\n".join(lines)
+            ends.append(None if "[" not in raw and "]" not in raw else raw.rfind("[") > raw.rfind("]"))
+            counts.append(len(lines))
+            found.append((*_matrix_at(text), *(_matrix_at(_plain(lines, True)) if "]" in raw else (None, None, None))))
+        columns = zip(*found, strict=True) if found else [[]] * 6
+        arrays = [batch.column("aln"), batch.column("part"), pa.array(ends, pa.bool_()), pa.array(counts, pa.int64()), *(pa.array(list(c), pa.int64()) for c in columns)]
+        yield pa.RecordBatch.from_arrays(arrays, ["aln", "part", "opens", "count", "m0", "s0", "f0", "m1", "s1", "f1"])
+
+
+def _nexus_fold(reports: list[dict]) -> list[dict]:
+    """Of every range that has lines of the head or rows of the matrix: whether a comment is open, and which lines they are."""
+    inside, begun, out = False, False, []
+    for r in reports:
+        matrix, stop, first = (r[f"{c}{int(inside)}"] for c in "msf")
+        head, low, high = None, None, None
+        if begun:
+            low, high = 0, first
+        elif matrix is None:
+            head = r["count"]
+        else:
+            begun, head, low, high = True, matrix, matrix + 1, stop
+        ended = low is not None and high is not None
+        if low is not None and high is None:
+            high = r["count"]
+        out.append({"aln": r["aln"], "part": r["part"], "inside": inside, "head": head, "low": low, "high": high})
+        if ended:
+            break
+        inside = inside if r["opens"] is None else r["opens"]
+    return out if begun else []
+
+
+def _nexus_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a range, one for each taxon in it, and the lines before the matrix."""
+    for batch in batches:
+        pieces, heads = [], []
+        for lines, inside, head, low, high in zip(*(batch.column(c).to_pylist() for c in ("lines", "inside", "head", "low", "high")), strict=True):
+            clean = _plain(lines, inside).split("\n")
+            heads.append(None if not head else "\n".join(clean[:head]))
+            found: dict[str, list[str]] = {}
+            for row in clean[low:high] if low is not None else []:
+                row = row.replace("\t", " ").replace("\r", " ").strip(" ")
+                if row:
+                    taxon, _, text = row.partition(" ")
+                    text = text.translate(_NO_BLANKS)
+                    found.setdefault(taxon, []).append(POLYMORPHIC.sub("?", text) if "(" in text or "{" in text else text)
+            pieces.append([(t, 0, "".join(x)) for t, x in found.items()])
+        yield pa.RecordBatch.from_arrays([batch.column("aln"), batch.column("part"), pa.array(heads, pa.string()), _pieces(pieces)], ["aln", "part", "head", "pieces"])
+
+
+def nexus_pieces(ranges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((aln, part, pieces), (aln, n_taxa, n_sites, datatype), (aln, _n)): the matrix between its keyword and the next semicolon, the sizes told and the taxa found."""
+    keys = f"aln {_type(ranges)}, part {_type(ranges, 'part')}"
+    told = _dealt(ranges, "aln", "part").mapInArrow(
+        _nexus_report, f"{keys}, opens boolean, count bigint, m0 bigint, s0 bigint, f0 bigint, m1 bigint, s1 bigint, f1 bigint"
+    )
+    starts = _by_file(told, _nexus_fold, "inside boolean, head bigint, low bigint, high bigint")
+    read = durable(_dealt(ranges.join(starts, ["aln", "part"]), "aln", "part").mapInArrow(_nexus_rows, f"{keys}, head string, pieces {_PIECE}"))
+    head = read.filter("head IS NOT NULL").groupBy("aln").agg(F.array_sort(F.collect_list(F.struct("part", "head"))).alias("_h"))
+    text = F.array_join(F.transform("_h", lambda h: h["head"]), "\n")
     size = r"(?i)dimensions[^;]*?=\s*(\d+)[^;]*?=\s*(\d+)"
     heads = head.select(
         "aln", F.regexp_extract(text, size, 1).cast("bigint").alias("n_taxa"), F.regexp_extract(text, size, 2).cast("bigint").alias("n_sites"),
         F.lower(F.regexp_extract(text, r"(?i)datatype\s*=\s*(\w+)", 1)).alias("datatype"),
     )
-    rows = inside.join(stop, "aln", "left").filter((at > F.col("_from")) & F.coalesce(at < F.col("_to"), F.lit(True)))
-    row = F.trim(F.regexp_replace("value", r"[\t\r]", " "))
-    words = F.split(row, " ", 2)
-    letters = F.regexp_replace(F.regexp_replace(F.coalesce(F.get(words, 1), F.lit("")), r"\s", ""), _GROUPS, "?")
-    named = rows.filter(row != "").select("aln", *_AT, words[0].alias("taxon"), letters.alias("text"))
-    started = prefix_sum(named, ["aln", "taxon"], _AT, F.col("part"), F.length("text"), "start")
-    return started.select("aln", "taxon", "start", "text"), heads
+    found = read.filter(F.size("pieces") > 0).select("aln", "part", "pieces")
+    sizes = found.select("aln", "part", F.inline("pieces")).select("aln", "part", "taxon", F.length("text").alias("_v"))
+    taxa = durable(sizes.groupBy("aln", "taxon").agg(F.count(F.lit(1)).alias("_c")))
+    # a taxon of several ranges goes on where the one before ends
+    several = taxa.filter("_c > 1").select("aln", "taxon")
+    pieces = found
+    if not several.isEmpty():
+        before = Window.partitionBy("aln", "taxon").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        later = sizes.join(several, ["aln", "taxon"], "left_semi").withColumn("_s", F.coalesce(F.sum("_v").over(before), F.lit(0)))
+        shifts = later.groupBy("aln", "part").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "_s"))).alias("_m"))
+        moved = F.transform("pieces", lambda x: F.struct(x["taxon"].alias("taxon"), F.coalesce(F.col("_m")[x["taxon"]], F.lit(0)).alias("start"), x["text"].alias("text")))
+        pieces = found.join(shifts, ["aln", "part"], "left").select("aln", "part", F.when(F.col("_m").isNull(), F.col("pieces")).otherwise(moved).alias("pieces"))
+    return pieces, heads, taxa.groupBy("aln").agg(F.count(F.lit(1)).alias("_n"))
 
 
 # ---- letters to states --------------------------------------------------------------------
 
 
-def _alphabet_of(pieces: DataFrame) -> DataFrame:
-    """(aln, alphabet): the first of DNA, RNA and protein that has all letters of a file."""
-    letters = pieces.select("aln", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).distinct()
-    tables = {name: [r[1] for r in alphabet_rows(name, *KNOWN[name])] for name in KNOWN}
-    fits = letters.groupBy("aln").agg(*[F.bool_and(F.col("ch").isin(t)).alias(n) for n, t in tables.items()])
-    found = F.coalesce(*[F.when(F.col(n), F.lit(n)) for n in tables])
-    return fits.select("aln", _wrong(found.isNull(), "no alphabet has all letters of ", found).alias("alphabet"))
+def _symbols(name: str) -> dict[str, str]:
+    return {r[1]: r[2] or _GAP for r in alphabet_rows(name, *KNOWN[name])}
+
 
+def _others(letters: Iterable[str]) -> str:
+    """A pattern for one character that is none of the letters."""
+    return "[^" + "".join(c if c.isalnum() else f"\\{c}" for c in letters) + "]"
 
-def _states(pieces: DataFrame) -> DataFrame:
-    """Cells of pieces with (alphabet, letters); a letter that the alphabet lacks raises."""
-    def state(ch: Column) -> Column:
-        known = F.lit(None).cast("string")
-        for name in KNOWN:
-            pairs = [F.lit(x) for r in alphabet_rows(name, *KNOWN[name]) for x in (r[1], r[2] or "")]
-            known = F.when(F.col("alphabet") == name, F.create_map(*pairs)[ch]).otherwise(known)
-        own = F.when(ch.isin(CUSTOM_MISSING), "").when(F.col("letters").contains(ch), ch)
-        known = F.when(F.col("alphabet") == "custom", own).otherwise(known)
-        unknown = F.raise_error(F.concat(F.lit("unknown letter "), ch)).cast("string")
-        return F.when(known.isNull(), unknown).otherwise(F.nullif(known, F.lit("")))
 
-    cells = pieces.select("aln", "taxon", "start", "alphabet", "letters", F.posexplode(F.split("text", "")).alias("_at", "_ch"))
-    return cells.select("aln", "taxon", (F.col("start") + F.col("_at")).cast("int").alias("site"), state(F.col("_ch")).alias("state"))
+def _alphabets(text: Column) -> dict[str, Column]:
+    """Whether DNA, RNA and protein have all letters of a text that is not empty."""
+    return {name: ~text.rlike(_others(_symbols(name))) & (text != "") for name in KNOWN}
+
+
+def _states(files: DataFrame) -> DataFrame:
+    """Cells of pieces with (alphabet, letters); a letter that the alphabet lacks raises.
+
+    The letters of a piece become states as one text, where every missing cell is a gap.
+    """
+    pieces = _dealt(files, "aln", "part").select("aln", "alphabet", "letters", "wrong", F.inline("pieces"))
+    text = F.col("text")
+    told = F.when(F.col("wrong").isNotNull(), F.raise_error(F.col("wrong")).cast("string"))
+    for name in KNOWN:
+        table = _symbols(name)
+        moved = "".join(c for c, x in table.items() if c != x)
+        unknown = F.raise_error(F.concat(F.lit("unknown letter "), F.regexp_extract(text, _others(table), 0))).cast("string")
+        known = F.when(text.rlike(_others(set("".join(table.values())))), F.translate(text, moved, "".join(table[c] for c in moved))).otherwise(text)
+        told = told.when(F.col("alphabet") == name, F.when(_alphabets(text)[name], known).otherwise(unknown))
+    missing = "".join(CUSTOM_MISSING)
+    left = F.call_function("translate", text, F.concat(F.coalesce("letters", F.lit("")), F.lit(missing)), F.lit(""))
+    unknown = F.raise_error(F.concat(F.lit("unknown letter "), F.substring(left, 1, 1))).cast("string")
+    gaps = F.when(text.rlike(_others(missing).replace("^", "", 1)), F.translate(text, missing, _GAP * len(missing))).otherwise(text)
+    own = F.when((left != "") | (text == ""), unknown).otherwise(gaps)
+    split = F.split(told.otherwise(own), "")
+    cells = pieces.select("aln", "taxon", "start", F.posexplode(split).alias("_at", "_ch"))
+    return cells.select("aln", "taxon", (F.col("start") + F.col("_at")).cast("int").alias("site"), F.when(F.col("_ch") != _GAP, F.col("_ch")).alias("state"))
+
+
+def _said(text: str) -> Column:
+    return F.concat(F.lit(text), F.col("aln").cast("string"))
 
 
 def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
@@ -285,43 +488,41 @@ def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
     NEXUS row lacks are missing. Sizes that contradict the header, unknown letters and a taxon
     that stands twice raise.
     """
-    kinds = formats(lines)
-    if fmt != "auto":
-        kinds = kinds.withColumn("kind", F.lit(fmt if fmt in ("nexus", "custom") else "phylip"))
-    kinds = durable(kinds)
-    present = {r["kind"] for r in kinds.select("kind").distinct().collect()}  # at most three
+    ranges = durable(packed_ranges(lines))
+    sizes = durable(_sizes(ranges, fmt))
+    present = {r["kind"] for r in sizes.select("kind").distinct().collect()}  # at most three
     none = F.lit(None).cast("string")
     found: list[DataFrame] = []
     if "nexus" in present:
-        pieces, heads = nexus_pieces(lines.join(kinds.filter("kind = 'nexus'").select("aln"), "aln", "left_semi"))
-        pieces = durable(pieces)
-        given = pieces.join(heads, "aln")
-        told = _wrong(~F.coalesce(F.col("datatype").isin(list(KNOWN)), F.lit(False)), "not a NEXUS alignment: ", F.col("datatype"))
-        count = pieces.select("aln", "taxon").distinct().groupBy("aln").agg(F.count(F.lit(1)).alias("_n"))
-        given = given.join(count, "aln").withColumn("taxon", _wrong(F.col("_n") != F.col("n_taxa"), "wrong number of taxa in ", F.col("taxon")))
-        found.append(given.select("aln", "taxon", "start", "text", told.alias("alphabet"), none.alias("letters")))
+        pieces, heads, count = nexus_pieces(ranges.join(sizes.filter("kind = 'nexus'").select("aln"), "aln", "left_semi") if len(present) > 1 else ranges)
+        files = heads.join(count, "aln").select(
+            "aln", F.col("datatype").alias("alphabet"), none.alias("letters"),
+            F.when(~F.coalesce(F.col("datatype").isin(list(KNOWN)), F.lit(False)), _said("not a NEXUS alignment: "))
+            .when(F.col("_n") != F.col("n_taxa"), _said("wrong number of taxa in ")).alias("wrong"),
+        )
+        found.append(pieces.join(files, "aln"))
     if present - {"nexus"}:
-        sizes = durable(_sizes(lines, kinds))
-        body = _body(lines, sizes)
+        body = _body(ranges, sizes)
+        starts = durable(sequential_starts(body))
         if fmt == "interleaved":
-            pieces = interleaved_pieces(body)
+            pieces = interleaved_pieces(ranges, starts)
         else:
-            pieces, misfits = sequential_pieces(body)
-            if not misfits.isEmpty():
-                rest = body.join(misfits, "aln", "left_semi")
+            pieces = sequential_pieces(ranges, starts)
+            rest = starts.filter("NOT fits")
+            if not rest.isEmpty():
                 if fmt in ("sequential", "custom"):
                     rest = rest.withColumn("aln", _wrong(F.lit(True), "sizes do not match the header of ", F.col("aln").cast("string")).cast(_type(lines)))
-                pieces = pieces.unionByName(interleaved_pieces(rest))
-        pieces = durable(pieces)
-        repeated = pieces.groupBy("aln", "taxon").agg(F.sum(F.length("text")).alias("_all"))
-        whole = pieces.join(repeated, ["aln", "taxon"]).join(sizes.select("aln", "kind", "n_sites", "letters"), "aln")
-        whole = whole.withColumn("taxon", _wrong(F.col("_all") != F.col("n_sites"), "a taxon stands twice in ", F.col("taxon")))
-        guessed = whole.withColumn("alphabet", F.lit(None).cast("string"))
-        if "phylip" in present:
-            plain = pieces.join(sizes.filter("kind = 'phylip'").select("aln"), "aln", "left_semi")
-            guessed = whole.join(_alphabet_of(plain), "aln", "left")
-        name = F.when(F.col("kind") == "custom", F.lit("custom")).otherwise(F.col("alphabet"))
-        found.append(guessed.select("aln", "taxon", "start", "text", name.alias("alphabet"), "letters"))
+                pieces = pieces.unionByName(interleaved_pieces(ranges, rest))
+        flat = pieces.select("aln", F.inline("pieces"))
+        told = flat.groupBy("aln", "taxon").agg(F.sum(F.length("text")).alias("_all"), *[F.bool_and(fits).alias(n) for n, fits in _alphabets(F.col("text")).items()])
+        wrong = F.bool_or(F.col("_all") != F.col("n_sites"))
+        files = told.join(sizes.select("aln", "kind", "n_sites", "letters"), "aln").groupBy("aln", "kind", "letters").agg(wrong.alias("_twice"), *[F.bool_and(n).alias(n) for n in KNOWN])
+        guessed = F.coalesce(F.when(F.col("kind") == "custom", "custom"), *[F.when(F.col(n), n) for n in KNOWN])
+        files = files.select(
+            "aln", guessed.alias("alphabet"), "letters",
+            F.when(F.col("_twice"), _said("a taxon stands twice in ")).when(guessed.isNull(), _said("no alphabet has all letters of ")).alias("wrong"),
+        )
+        found.append(pieces.join(files, "aln"))
     if not found:
         return lines.sparkSession.createDataFrame([], f"aln {_type(lines)}, taxon string, site int, state string")
     every = found[0]

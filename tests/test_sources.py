@@ -208,3 +208,70 @@ def test_range_reports_agree_with_reading():
                 assert not crossed and need == start - sum(words)
             else:
                 assert told[start] == [need, names]
+
+
+def test_lines_are_packed_once_by_range(spark):
+    """Ranges keep their lines in order and are cut when they are long; blank lines and lines of no file go."""
+    rows = [("a", 0, i, f"x{i}") for i in range(scan.RANGE_LINES + 3)] + [("a", 1, 0, "y"), ("a", 1, 1, "  "), ("b", 0, 0, None), (None, 0, 0, "z")]
+    lines = spark.createDataFrame(rows, "aln string, part bigint, line bigint, value string").repartition(4)
+    got = {(r.aln, r.part.part, r.part.sub): r.lines for r in scan.packed_ranges(lines).collect()}
+    assert got == {("a", 0, 0): [f"x{i}" for i in range(scan.RANGE_LINES)], ("a", 0, 1): [f"x{scan.RANGE_LINES + i}" for i in range(3)], ("a", 1, 0): ["y"]}
+
+
+def _texts(rng, kind, n_taxa, n_sites):
+    """An alignment and its text of a kind, with breaks, comments and blanks at random places."""
+    rows = {f"t{i}": "".join(rng.choice("ACGTacgt-?N") for _ in range(n_sites)) for i in range(n_taxa)}
+
+    def cut(s):
+        at = sorted(rng.sample(range(1, len(s)), rng.randrange(0, 3))) if len(s) > 3 else []
+        return [s[a:b] for a, b in zip([0, *at], [*at, len(s)], strict=True)]
+
+    if kind == "sequential":
+        return rows, f"{n_taxa} {n_sites}\n" + "".join(f"{t}{rng.choice([' ', chr(10)])}{rng.choice([' ', chr(10), chr(9)]).join(cut(s))}\n" for t, s in rows.items())
+    if kind == "custom":
+        rows = {t: s.replace("N", "X") for t, s in rows.items()}
+        head = rng.choice([f"#SPECIALALPHABET\n{n_taxa} {n_sites} ACGTacgt", f"\n#SPECIALALPHABET {n_taxa} {n_sites} ACGTacgt"])
+        return rows, head + "\n" + "".join(f"{t} {chr(10).join(cut(s))}\n\n" for t, s in rows.items())
+    if kind == "interleaved":
+        half = n_sites // 2
+        again = rng.random() < 0.5
+        return rows, f"{n_taxa} {n_sites}\n" + "".join(f"{t} {s[:half]}\n" for t, s in rows.items()) + "\n" + "".join((f"{t} " if again else "") + s[half:] + "\n" for t, s in rows.items())
+    notes = ["", "[n]", "[two\nlines t0 AC;\n matrix]", "[a [b]"]
+    body = "".join(f"{t} {rng.choice(['', '[n]', '[a [b]'])}{part}\n{rng.choice(notes)}\n" for k in range(2) for t, s in rows.items() for part in [s[k * n_sites // 2:(k + 1) * n_sites // 2]])
+    return rows, f"#NEXUS [matrix\n;] \nbegin data;\ndimensions ntax={n_taxa}\n nchar={n_sites};\nformat datatype=dna;\n{rng.choice(notes)}\n Matrix\n{body};\nt0 AAAA\nend;\n"
+
+
+@pytest.mark.parametrize("kind", ["sequential", "custom", "interleaved", "nexus"])
+def test_ranges_agree_with_whole_files(spark, kind):
+    """Files in ranges of every length give the states written, a row per letter."""
+    import random
+
+    rng = random.Random(kind)
+    rows, want = [], []
+    for f in range(24):
+        made, text = _texts(rng, kind, rng.randrange(1, 9), rng.randrange(8, 30))
+        step = rng.choice([1, 2, 3, 5, 100])
+        rows += [(f, i // step, i, v) for i, v in enumerate(text.split("\n"))]
+        up = (lambda s: s) if kind == "custom" else str.upper
+        want += [(f, t, i, None if c in "-?NX" else up(c)) for t, s in made.items() for i, c in enumerate(s)]
+    rng.shuffle(rows)
+    got = scan.scan_cells(spark.createDataFrame(rows, "aln bigint, part bigint, line bigint, value string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("kind", ["sequential", "custom", "interleaved", "nexus"])
+def test_lines_are_read_once(spark, kind):
+    """Whatever the format needs to know first, every line is made once."""
+    import random
+
+    rng, made = random.Random(3), spark.sparkContext.accumulator(0)
+    rows = [(str(f), i // 4, i, v) for f in range(5) for i, v in enumerate(_texts(rng, kind, 4, 20)[1].split("\n"))]
+    schema = "aln string, part bigint, line bigint, value string"
+
+    def told(row):
+        made.add(1)
+        return row
+
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(told), schema)
+    assert scan.scan_cells(lines).count() == 5 * 4 * 20
+    assert made.value == len(rows)
