@@ -278,7 +278,7 @@ def _(spark, d):
 def _(spark, d):
     """NEXUS to the rows of a FASTA or PHYLIP file."""
     cells = scan.scan_cells(_nexus_lines(_doc_rows(spark, d)))
-    return sw.alignment_lines(cells, _WIDTH, ["aln"])
+    return sw.alignment_lines(cells, _WIDTH, ["aln"], in_rows=True)
 
 
 @register("parse_draws", (

@@ -210,6 +210,25 @@ def test_range_reports_agree_with_reading():
                 assert told[start] == [need, names]
 
 
+def test_lines_of_cells_in_rows(spark):
+    """Runs of cells give the lines that single cells give, whatever repeats, overlaps or is null."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"f{f}", f"r{r}", i, rng.choice(["A", "C", "G", None])) for f in range(4) for r in range(5) for i in range(rng.randrange(1, 40))]
+    rows += [("f0", "r0", i, "T") for i in range(5, 9)] + [("f1", "r1", 3, "GG"), ("f1", "r1", 4, "é"), ("f1", "r1", 5, "")]
+    rows += [("f2", "r2", None, "A"), ("f2", None, 1, "A"), (None, None, 1, "C"), ("f3", "void", 0, None), ("f3", "void", None, None)]
+    for order in (rows, rng.sample(rows, len(rows))):
+        for width in (1, 3):
+            cells = spark.createDataFrame(order, "aln string, taxon string, site bigint, state string").repartition(3).union(spark.createDataFrame(order[:9], "aln string, taxon string, site bigint, state string"))
+            want = sw.alignment_lines(cells, 45, ["aln"], width)
+            got = sw.alignment_lines(cells, 45, ["aln"], width, in_rows=True)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    one = spark.createDataFrame([("a", 7, i, "ACG"[i % 3]) for i in range(30)], "aln string, taxon int, site int, state string").coalesce(1)
+    runs = sw.cell_runs(one, ["aln", "taxon"])
+    assert [(r.aln, r.taxon, r.start, r.text, r.n, r.w) for r in runs.collect()] == [("a", 7, 0, "ACG" * 10, 30, 1)]
+
+
 def test_lines_are_packed_once_by_range(spark):
     """Ranges keep their lines in order and are cut when they are long; blank lines and lines of no file go."""
     rows = [("a", 0, i, f"x{i}") for i in range(scan.RANGE_LINES + 3)] + [("a", 1, 0, "y"), ("a", 1, 1, "  "), ("b", 0, 0, None), (None, 0, 0, "z")]
