@@ -101,10 +101,21 @@ def _sizes(ranges: DataFrame, fmt: str) -> DataFrame:
 
 def _body(ranges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Ranges without the lines of the header, with the sizes of their file."""
-    joined = ranges.join(sizes.filter("kind <> 'nexus'").select("aln", "kind", "n_taxa", "n_sites", "head_part", "skip"), "aln").filter("part >= head_part")
-    rest = F.when(F.col("part") == F.col("head_part"), F.slice("lines", F.col("skip") + 1, F.size("lines"))).otherwise(F.col("lines"))
+    told = sizes.filter("kind <> 'nexus'").select("aln", "kind", "n_taxa", "n_sites", "head_part", "skip")
     cut = F.when(F.col("part") == F.col("head_part"), F.col("skip")).otherwise(0)
-    return joined.select("aln", "part", rest.alias("lines"), (F.col("kind") == "custom").alias("own"), "n_taxa", "n_sites", cut.alias("skip"))
+    placed = ranges.select("aln", "part").join(told, "aln").filter("part >= head_part")
+    return _started(ranges, placed.select("aln", "part", (F.col("kind") == "custom").alias("own"), "n_taxa", "n_sites", cut.alias("skip")))
+
+
+def _started(ranges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Ranges with what is known of their starts, without lines of the header."""
+    rest = F.when(F.col("skip") > 0, F.slice("lines", F.col("skip") + 1, F.size("lines"))).otherwise(F.col("lines"))
+    return _with(ranges, starts).withColumn("lines", rest)
+
+
+def _with(ranges: DataFrame, told: DataFrame) -> DataFrame:
+    """Ranges, dealt out once, with a row told of each; the others go."""
+    return _dealt(ranges, "aln", "part").join(told, ["aln", "part"])
 
 
 def _words(lines: list[str], own: bool) -> list[list[str]]:
@@ -269,7 +280,7 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
 def sequential_starts(body: DataFrame) -> DataFrame:
     """(aln, part, ..., need, rows, before, fits): the reader's state where a range starts, and whether its file can be read so."""
     keys = f"aln {_type(body)}, part {_type(body, 'part')}"
-    told = _dealt(body, "aln", "part").mapInArrow(
+    told = body.mapInArrow(
         _report, f"{keys}, n_taxa bigint, n_sites bigint, own boolean, skip int, total bigint, count bigint, needs array<bigint>, lefts array<bigint>, names array<bigint>"
     )
     return _by_file(told, _fold, "n_taxa bigint, n_sites bigint, own boolean, skip int, need bigint, rows bigint, before bigint, fits boolean")
@@ -278,20 +289,13 @@ def sequential_starts(body: DataFrame) -> DataFrame:
 def sequential_pieces(ranges: DataFrame, starts: DataFrame) -> DataFrame:
     """(aln, part, pieces) of the files that fit."""
     keys = f"aln {_type(ranges)}, part {_type(ranges, 'part')}"
-    begun = _dealt(_started(ranges, starts.filter("fits")), "aln", "part")
-    placed = durable(begun.mapInArrow(_place, f"{keys}, pieces {_PIECE}, first bigint, begun {_PIECE}, open bigint, name string"))
+    placed = durable(_started(ranges, starts.filter("fits")).mapInArrow(_place, f"{keys}, pieces {_PIECE}, first bigint, begun {_PIECE}, open bigint, name string"))
     names = placed.filter("open IS NOT NULL").select("aln", F.col("open").alias("first"), F.col("name").alias("_taxon"))
     named = F.transform("begun", lambda x: F.struct(F.col("_taxon").alias("taxon"), x["start"].alias("start"), x["text"].alias("text")))
     cut = placed.filter("first IS NOT NULL").join(names, ["aln", "first"]).select("aln", "part", named.alias("pieces"))
     return placed.filter(F.size("pieces") > 0).select("aln", "part", "pieces").unionByName(cut)
 
 
-def _started(ranges: DataFrame, starts: DataFrame) -> DataFrame:
-    """Ranges without lines of the header, with the state at their starts."""
-    rest = F.when(F.col("skip") > 0, F.slice("lines", F.col("skip") + 1, F.size("lines"))).otherwise(F.col("lines"))
-    return ranges.join(starts, ["aln", "part"]).withColumn("lines", rest)
-
-
 # ---- interleaved rows and NEXUS -----------------------------------------------------------
 
 
@@ -315,8 +319,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def interleaved_pieces(ranges: DataFrame, starts: DataFrame) -> DataFrame:
     """Blocks of one line per taxon; later blocks may repeat the names. (aln, part, pieces)."""
     keys = f"aln {_type(ranges)}, part {_type(ranges, 'part')}"
-    begun = _dealt(_started(ranges, starts), "aln", "part")
-    lines = begun.mapInArrow(_blocks, f"{keys}, n_sites bigint, row bigint, block bigint, first string, text string")
+    lines = _started(ranges, starts).mapInArrow(_blocks, f"{keys}, n_sites bigint, row bigint, block bigint, first string, text string")
     order = Window.partitionBy("aln", "row").orderBy("block")
     before, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     named = _dealt(lines, "aln", "row").withColumn("taxon", F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -408,11 +411,11 @@ def _nexus_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def nexus_pieces(ranges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((aln, part, pieces), (aln, n_taxa, n_sites, datatype), (aln, _n)): the matrix between its keyword and the next semicolon, the sizes told and the taxa found."""
     keys = f"aln {_type(ranges)}, part {_type(ranges, 'part')}"
-    told = _dealt(ranges, "aln", "part").mapInArrow(
+    told = ranges.mapInArrow(
         _nexus_report, f"{keys}, opens boolean, count bigint, m0 bigint, s0 bigint, f0 bigint, m1 bigint, s1 bigint, f1 bigint"
     )
     starts = _by_file(told, _nexus_fold, "inside boolean, head bigint, low bigint, high bigint")
-    read = durable(_dealt(ranges.join(starts, ["aln", "part"]), "aln", "part").mapInArrow(_nexus_rows, f"{keys}, head string, pieces {_PIECE}"))
+    read = durable(_with(ranges, starts).mapInArrow(_nexus_rows, f"{keys}, head string, pieces {_PIECE}"))
     head = read.filter("head IS NOT NULL").groupBy("aln").agg(F.array_sort(F.collect_list(F.struct("part", "head"))).alias("_h"))
     text = F.array_join(F.transform("_h", lambda h: h["head"]), "\n")
     size = r"(?i)dimensions[^;]*?=\s*(\d+)[^;]*?=\s*(\d+)"
@@ -457,7 +460,7 @@ def _states(files: DataFrame) -> DataFrame:
 
     The letters of a piece become states as one text, where every missing cell is a gap.
     """
-    pieces = _dealt(files, "aln", "part").select("aln", "alphabet", "letters", "wrong", F.inline("pieces"))
+    pieces = files.select("aln", "alphabet", "letters", "wrong", F.inline("pieces"))
     text = F.col("text")
     told = F.when(F.col("wrong").isNotNull(), F.raise_error(F.col("wrong")).cast("string"))
     for name in KNOWN:
@@ -476,6 +479,11 @@ def _states(files: DataFrame) -> DataFrame:
     return cells.select("aln", "taxon", (F.col("start") + F.col("_at")).cast("int").alias("site"), F.when(F.col("_ch") != _GAP, F.col("_ch")).alias("state"))
 
 
+def _told(pieces: DataFrame, files: DataFrame) -> DataFrame:
+    """Pieces with what is known of their file: files meet the names of the ranges first, so that a large one stays in many tasks."""
+    return _with(pieces, pieces.select("aln", "part").distinct().join(files, "aln"))
+
+
 def _said(text: str) -> Column:
     return F.concat(F.lit(text), F.col("aln").cast("string"))
 
@@ -500,7 +508,7 @@ def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
             F.when(~F.coalesce(F.col("datatype").isin(list(KNOWN)), F.lit(False)), _said("not a NEXUS alignment: "))
             .when(F.col("_n") != F.col("n_taxa"), _said("wrong number of taxa in ")).alias("wrong"),
         )
-        found.append(pieces.join(files, "aln"))
+        found.append(_told(pieces, files))
     if present - {"nexus"}:
         body = _body(ranges, sizes)
         starts = durable(sequential_starts(body))
@@ -522,7 +530,7 @@ def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
             "aln", guessed.alias("alphabet"), "letters",
             F.when(F.col("_twice"), _said("a taxon stands twice in ")).when(guessed.isNull(), _said("no alphabet has all letters of ")).alias("wrong"),
         )
-        found.append(pieces.join(files, "aln"))
+        found.append(_told(pieces, files))
     if not found:
         return lines.sparkSession.createDataFrame([], f"aln {_type(lines)}, taxon string, site int, state string")
     every = found[0]
