@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -512,15 +513,15 @@ def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
     if present - {"nexus"}:
         body = _body(ranges, sizes)
         starts = durable(sequential_starts(body))
-        if fmt == "interleaved":
-            pieces = interleaved_pieces(ranges, starts)
-        else:
-            pieces = sequential_pieces(ranges, starts)
-            rest = starts.filter("NOT fits")
-            if not rest.isEmpty():
-                if fmt in ("sequential", "custom"):
-                    rest = rest.withColumn("aln", _wrong(F.lit(True), "sizes do not match the header of ", F.col("aln").cast("string")).cast(_type(lines)))
-                pieces = pieces.unionByName(interleaved_pieces(ranges, rest))
+        # at most two; a way that no file takes reads no range
+        fitting = [r["fits"] for r in starts.select("fits").distinct().collect()] if fmt != "interleaved" else [False]
+        ways = [sequential_pieces(ranges, starts)] if True in fitting else []
+        if False in fitting:
+            rest = starts if fmt == "interleaved" else starts.filter("NOT fits")
+            if fmt in ("sequential", "custom"):
+                rest = rest.withColumn("aln", _wrong(F.lit(True), "sizes do not match the header of ", F.col("aln").cast("string")).cast(_type(lines)))
+            ways.append(interleaved_pieces(ranges, rest))
+        pieces = reduce(DataFrame.unionByName, ways)
         flat = pieces.select("aln", F.inline("pieces"))
         told = flat.groupBy("aln", "taxon").agg(F.sum(F.length("text")).alias("_all"), *[F.bool_and(fits).alias(n) for n, fits in _alphabets(F.col("text")).items()])
         wrong = F.bool_or(F.col("_all") != F.col("n_sites"))
@@ -533,10 +534,7 @@ def scan_cells(lines: DataFrame, fmt: str = "auto") -> DataFrame:
         found.append(_told(pieces, files))
     if not found:
         return lines.sparkSession.createDataFrame([], f"aln {_type(lines)}, taxon string, site int, state string")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return _states(every)
+    return _states(reduce(DataFrame.unionByName, found))
 
 
 def scan_alignments(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
