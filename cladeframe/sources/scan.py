@@ -66,11 +66,15 @@ def _wrong(condition: Column, text: str, value: Column) -> Column:
 
 
 def packed_ranges(lines: DataFrame) -> DataFrame:
-    """(aln, part, lines): one row per range with its lines that are not blank, in order; ``part`` orders the ranges of a file."""
+    """(aln, part, lines, ahead): one row per range with its lines that are not blank, in order; ``part`` orders the ranges of a file.
+
+    ``ahead`` counts the lines at the first place: more than one where a place stands twice.
+    """
     part = F.struct(F.col("part"), F.floor(F.col("line") / RANGE_LINES).alias("sub"))
     shown = lines.filter(F.col("aln").isNotNull() & (F.trim("value") != ""))
     packed = shown.select("aln", part.alias("part"), F.struct("line", "value").alias("_l")).groupBy("aln", "part").agg(F.sort_array(F.collect_list("_l")).alias("_l"))
-    return packed.select("aln", "part", F.col("_l.value").alias("lines"))
+    ahead = F.size(F.filter("_l", lambda x: x["line"] == F.get("_l", F.lit(0))["line"]))
+    return packed.select("aln", "part", F.col("_l.value").alias("lines"), ahead.alias("ahead"))
 
 
 def _sizes(ranges: DataFrame, fmt: str) -> DataFrame:
@@ -79,10 +83,10 @@ def _sizes(ranges: DataFrame, fmt: str) -> DataFrame:
     A header with an own alphabet is its first line or the first two. Sizes of NEXUS files are not in it.
     """
     order = Window.partitionBy("aln").orderBy("part")
-    top = ranges.select("aln", "part", F.trim(F.get("lines", F.lit(0))).alias("_a"), F.trim(F.get("lines", F.lit(1))).alias("_b"))
+    top = ranges.select("aln", "part", F.trim(F.get("lines", F.lit(0))).alias("_a"), F.trim(F.get("lines", F.col("ahead"))).alias("_b"), F.col("ahead").alias("_c"))
     top = top.withColumn("_r", F.row_number().over(order)).filter("_r <= 2").groupBy("aln").agg(
         F.min("part").alias("_p"), F.max("part").alias("_q"),
-        *[F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}") for r, c in ((1, "_a"), (1, "_b"), (2, "_a"))],
+        *[F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}") for r, c in ((1, "_a"), (1, "_b"), (1, "_c"), (2, "_a"), (2, "_c"))],
     )
     word = F.split("_a1", r"\s+")[0]
     found = F.when(F.upper(word) == "#NEXUS", "nexus").when(word == "#SPECIALALPHABET", "custom").otherwise("phylip")
@@ -96,7 +100,8 @@ def _sizes(ranges: DataFrame, fmt: str) -> DataFrame:
     return sizes.select(
         "aln", "kind", number(0).alias("n_taxa"), number(1).alias("n_sites"),
         F.when(F.col("kind") == "custom", F.get("_w", F.lit(3))).alias("letters"),
-        F.when(short & ~here, F.col("_q")).otherwise(F.col("_p")).alias("head_part"), F.when(short & here, 2).otherwise(1).alias("skip"),
+        F.when(short & ~here, F.col("_q")).otherwise(F.col("_p")).alias("head_part"),
+        F.when(short & here, F.col("_c1") + 1).when(short, F.coalesce("_c2", "_c1")).otherwise(F.col("_c1")).alias("skip"),
     )
 
 

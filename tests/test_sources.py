@@ -294,3 +294,12 @@ def test_lines_are_read_once(spark, kind):
     lines = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(told), schema)
     assert scan.scan_cells(lines).count() == 5 * 4 * 20
     assert made.value == len(rows)
+
+
+def test_a_header_that_stands_twice_is_left_out(spark):
+    """Lines at the place of the header belong to it; rows that come twice contradict the sizes."""
+    rows = [("a", 0, 0, "#SPECIALALPHABET"), ("a", 0, 0, "#SPECIALALPHABET"), ("a", 0, 1, "2 3 AB"), ("a", 0, 2, "x ABA"), ("a", 0, 3, "y BBB")]
+    schema = "aln string, part bigint, line bigint, value string"
+    assert scan.scan_cells(spark.createDataFrame(rows, schema)).count() == 6
+    with pytest.raises(Exception, match="sizes"):
+        scan.scan_cells(spark.createDataFrame([*rows, *rows[2:]], schema)).collect()
